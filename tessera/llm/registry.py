@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import packing, warc
 
-MODULES = (packing,)
+MODULES = (packing, warc)
 
 
 def queries() -> dict:
