@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, warc
+from . import langid, packing, warc
 
-MODULES = (packing, warc)
+MODULES = (langid, packing, warc)
 
 
 def queries() -> dict:
