@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, packing, warc
+from . import fingerprint, langid, packing, warc
 
-MODULES = (langid, packing, warc)
+MODULES = (fingerprint, langid, packing, warc)
 
 
 def queries() -> dict:
