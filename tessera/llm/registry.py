@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, warc
+from . import fingerprint, langid, packing, simhash, warc
 
-MODULES = (fingerprint, langid, packing, warc)
+MODULES = (fingerprint, langid, packing, simhash, warc)
 
 
 def queries() -> dict:
