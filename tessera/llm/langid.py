@@ -14,6 +14,7 @@ sorts first; repeated rows and further columns change nothing.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,13 @@ class Model:
     spread: float
 
 
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
+
+
 def presence(texts: list[bytes]) -> np.ndarray:
     """One row a text: which hashed n-grams it has, divided by the root of how many."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
@@ -94,7 +102,7 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def training_rows(docs: DataFrame, per_label: int = PER_LANGUAGE, labels: int = LANGUAGES) -> DataFrame:
     """The bounded sample: of the most frequent labels, the texts with the least hashes."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    known = docs.filter(F.col("lang").isNotNull()).select("lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
     if not counts:
         return known.limit(0)
@@ -102,7 +110,7 @@ def training_rows(docs: DataFrame, per_label: int = PER_LANGUAGE, labels: int =
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (4 * per_label + 200) / n))])
     part = F.abs(F.col("h") % 1_000_003) / 1_000_003
     drawn = known.filter(F.col("lang").isin(list(counts))).withColumn("h", F.xxhash64("text")).filter(part <= F.element_at(share, F.col("lang")))
-    drawn = drawn.select("lang", "h", F.substring("text", 1, FIT_BYTES).alias("text")).dropDuplicates(["lang", "h"])
+    drawn = drawn.filter(F.col("text").rlike(r"\p{L}")).select("lang", "h", F.substring("text", 1, FIT_BYTES).alias("text")).dropDuplicates(["lang", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return drawn.withColumn("k", rank).filter(F.col("k") <= per_label).select("lang", "text")
 
@@ -124,8 +132,8 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                letters = np.array(part.column("__letters").to_numpy(zero_copy_only=False), bool)
                 texts = common.column_bytes(part.column("__text"))
+                letters = np.fromiter(map(has_letter, texts), bool, len(texts))
                 label, score = ["und"] * len(texts), np.zeros(len(texts))
                 if m is not None and letters.any():
                     s = scores(m, texts).astype(np.float64)
@@ -136,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                     label = [m.labels[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
-    texts = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    texts = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return texts.mapInArrow(run, schema)
 
