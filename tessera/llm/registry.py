@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, simhash, warc
+from . import fingerprint, langid, packing, repeats, simhash, warc
 
-MODULES = (fingerprint, langid, packing, simhash, warc)
+MODULES = (fingerprint, langid, packing, repeats, simhash, warc)
 
 
 def queries() -> dict:
