@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,47 +30,56 @@ from . import common
 CAPACITY = 4096
 END = 2
 SHARD_DOCS = 8192
-SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 VOCABULARY = "word_bpe_49k.json"
+LATIN = "\u0250"
+# The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class ChunkTokenizer:
-    """Ids of texts, word by word: the pre-tokenizer never crosses ASCII white space, so a word's ids
-    don't depend on its neighbours.  Remembers at most ``limit`` words."""
+class ChunkTokenizer(dict):
+    """Ids (little-endian uint32) of words, learned as they come: the pre-tokenizer never crosses ASCII
+    white space, so a word's ids don't depend on its neighbours.  Remembers two generations of at
+    most about ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    #: Punctuation that may be taken off the end of a word of letters: it is a piece of its own there.
+    TAIL = b".,;:!?)"
+
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.model, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain, rest = [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            (rest if "<|" in s or "|>" in s else plain).append((w, s))
-        for w, s in rest:
-            self.known[w] = np.array(self.model.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            ids = np.array(self.model.encode(SEPARATOR.join(s for _, s in part), add_special_tokens=False).ids, "<u4")
-            ends = np.r_[np.flatnonzero(ids == SEPARATOR_ID), len(ids)] * 4
-            raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = raw[at:end]
-                at = end + 4
+        super().__init__()
+        self.whole, self.limit, self.old = Tokenizer.from_file(path), limit, {}
+        self.piece = self.whole.model.tokenize
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.old.get(w)
+        if ids is None:
+            core = w.rstrip(self.TAIL)
+            s = core.decode("utf-8", "replace")
+            if s.isalpha() and max(s) < LATIN:
+                # Letters below U+0250 are one piece and in normal form: only case and the byte alphabet are left to do.
+                s = s.lower()
+                low = s.encode()
+                ids = self.get(low)
+                if ids is None:
+                    ids = self[low] = array("I", [t.id for t in self.piece(s if s.isascii() else low.decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
+                if len(core) < len(w):
+                    ids += self[w[len(core) :]]
+            else:
+                ids = array("I", self.whole.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+        self[w] = ids
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        words = [t.split() for t in texts]
-        missing = set().union(*words).difference(self.known)
-        if missing:
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, t.split())) for t in texts]
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
