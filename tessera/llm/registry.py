@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, packing, repeats, simhash, substrings, warc
+from . import fingerprint, langid, language_model, packing, repeats, simhash, substrings, warc
 
-MODULES = (fingerprint, langid, packing, repeats, simhash, substrings, warc)
+MODULES = (fingerprint, langid, language_model, packing, repeats, simhash, substrings, warc)
 
 
 def queries() -> dict:
