@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, language_model, packing, repeats, simhash, substrings, warc
+from . import decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, substrings, warc
 
-MODULES = (decontaminate, fingerprint, langid, language_model, packing, repeats, simhash, substrings, warc)
+MODULES = (decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, substrings, warc)
 
 
 def queries() -> dict:
