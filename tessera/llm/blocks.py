@@ -44,7 +44,7 @@ def chunks(texts: list[bytes], size: int):
         at = end
 
 
-def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.ndarray | None = None) -> pa.Table:
+def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.ndarray | None = None, send_keys: bool = True) -> pa.Table:
     order, bounds = common.split_by(common.mix(keys), shards)
     keys, docs = keys[order], docs[order]
     extra = extra[order] if extra is not None else None
@@ -52,7 +52,7 @@ def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[s], bounds[s + 1]
         who, many = common.runs(docs[a:b])
-        rows.append((s, block, who.tobytes(), many.astype("<u4").tobytes(), keys[a:b].tobytes(), b"" if extra is None else extra[a:b].tobytes()))
+        rows.append((s, block, who.tobytes(), many.astype("<u4").tobytes(), keys[a:b].tobytes() if send_keys else b"", b"" if extra is None else extra[a:b].tobytes()))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT, strict=True)], schema=_DEALT) if rows else _DEALT.empty_table()
 
 
@@ -65,7 +65,8 @@ class Shard:
         self.keys = join("keys", np.uint64)
         self.docs = np.repeat(join("docs", np.int64), join("counts", "<u4"))
         self.extra = join("extra", extra) if extra is not None else None
-        sizes = np.array([len(k.as_buffer()) // 8 for k in rows.column("keys")], np.int64)
+        column, each = ("keys", 8) if len(self.keys) or extra is None else ("extra", extra.itemsize)
+        sizes = np.array([len(k.as_buffer()) // each for k in rows.column(column)], np.int64)
         self.bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
     def answers(self, of: Callable[[int, int], bytes]) -> pa.Table:

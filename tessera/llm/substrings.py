@@ -114,10 +114,13 @@ def _compare(length: int, q: int, shards: int):
             rows["at"], rows["least"], rows["most"] = at + base, at - span[:, 1], at - span[:, 0]
             padded = np.r_[np.zeros(reach, np.uint8), raw, np.zeros(reach, np.uint8)]
             rows["around"] = np.lib.stride_tricks.sliding_window_view(padded, 2 * length - q)[at]
+            # Bytes of none of the anchor's strings are blanked, for the shuffle's compression.
+            column = np.arange(2 * length - q, dtype=np.uint8)
+            rows["around"] *= (column >= reach - rows["most"][:, None]) & (column < reach + length - rows["least"][:, None])
             keys.append(key[mine])
             owners.append(doc[mine])
             out.append(rows)
-        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate(keys), np.concatenate(owners), shards, np.concatenate(out))
+        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate(keys), np.concatenate(owners), shards, np.concatenate(out), send_keys=False)
 
     return run
 
@@ -140,9 +143,11 @@ def _covered(length: int, q: int):
 
     def run(rows: pa.Table) -> pa.Table:
         s = blocks.Shard(rows, kind)
-        strings = np.zeros(len(s.keys), np.uint64)  # a bit for each string before the anchor
-        order = np.argsort(s.keys, kind="stable")
-        keys = s.keys[order]
+        strings = np.zeros(len(s.extra), np.uint64)  # a bit for each string before the anchor
+        eight = lambda at: np.ascontiguousarray(s.extra["around"][:, at : at + 8]).view("<u8").reshape(-1)
+        keys = common.combine(eight(reach), eight(reach + q - 8), 3)  # the bucket is told by the bytes at the anchor
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         before = np.arange(reach, -1, -1)
         at = 0
@@ -158,7 +163,7 @@ def _covered(length: int, q: int):
             bits = np.zeros(len(which), np.uint64)
             np.bitwise_or.at(bits, row[late], np.uint64(1) << before[column[late]].astype(np.uint64))
             strings[which] = bits
-        answer = np.zeros(len(s.keys), np.dtype([("at", "<u4"), ("strings", "<u8")]))
+        answer = np.zeros(len(s.extra), np.dtype([("at", "<u4"), ("strings", "<u8")]))
         answer["at"], answer["strings"] = s.extra["at"], strings
         return s.answers(lambda a, b: answer[a:b][strings[a:b] > 0].tobytes())
 
