@@ -24,12 +24,12 @@ _ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("answer", pa
 NULL_ID = np.iinfo(np.int64).max
 
 
-def in_order(docs: pa.Table) -> tuple[list[int], list[bytes]]:
-    """doc_ids and texts of a block, always in the same order."""
+def in_order(docs: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
+    """doc_ids and texts of a block, always in the same order, and which rows they are."""
     ids = [NULL_ID if d is None else d for d in docs.column("doc_id").to_pylist()]
     texts = common.column_bytes(docs.column("text"))
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return [ids[i] for i in order], [texts[i] for i in order], order
 
 
 def chunks(texts: list[bytes], size: int):
@@ -44,28 +44,32 @@ def chunks(texts: list[bytes], size: int):
         at = end
 
 
-def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.ndarray | None = None, send_keys: bool = True) -> pa.Table:
+def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.ndarray | None = None, key_bytes: int = 8) -> pa.Table:
+    """Rows of DEALT.  Of each key ``key_bytes`` bytes are sent: 8, 6 where keys that agree there may be taken for equal, 0 where the extra tells the key."""
     order, bounds = common.split_by(common.mix(keys), shards)
-    keys, docs = keys[order], docs[order]
+    keys, docs = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes], docs[order]
     extra = extra[order] if extra is not None else None
     rows = []
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[s], bounds[s + 1]
         who, many = common.runs(docs[a:b])
-        rows.append((s, block, who.tobytes(), many.astype("<u4").tobytes(), keys[a:b].tobytes() if send_keys else b"", b"" if extra is None else extra[a:b].tobytes()))
+        rows.append((s, block, who.tobytes(), many.astype("<u4").tobytes(), keys[a:b].tobytes(), b"" if extra is None else extra[a:b].tobytes()))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT, strict=True)], schema=_DEALT) if rows else _DEALT.empty_table()
 
 
 class Shard:
     """What the blocks dealt to one shard."""
 
-    def __init__(self, rows: pa.Table, extra: np.dtype | None = None):
+    def __init__(self, rows: pa.Table, extra: np.dtype | None = None, key_bytes: int = 8):
         join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
         self.block, self.shard = rows.column("block").to_numpy(), rows.column("shard").to_numpy()
-        self.keys = join("keys", np.uint64)
+        sent = join("keys", np.uint8).reshape(-1, key_bytes or 8)
+        keys = np.zeros((len(sent), 8), np.uint8)
+        keys[:, : sent.shape[1]] = sent
+        self.keys = keys.reshape(-1).view("<u8")
         self.docs = np.repeat(join("docs", np.int64), join("counts", "<u4"))
         self.extra = join("extra", extra) if extra is not None else None
-        column, each = ("keys", 8) if len(self.keys) or extra is None else ("extra", extra.itemsize)
+        column, each = ("keys", key_bytes) if key_bytes else ("extra", extra.itemsize)
         sizes = np.array([len(k.as_buffer()) // each for k in rows.column(column)], np.int64)
         self.bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
@@ -77,7 +81,7 @@ class Shard:
 
 def least_doc(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry the least and the greatest document that has its key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys, d = keys[order], docs[order]
     first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     many = np.diff(np.r_[first, len(keys)])
@@ -89,8 +93,8 @@ def least_doc(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_bits(rows: pa.Table) -> pa.Table:
-    """Answers a bit for each key: whether two documents have it."""
-    s = Shard(rows)
+    """Answers a bit for each key, sent with 6 bytes: whether two documents have it."""
+    s = Shard(rows, key_bytes=6)
     low, high = least_doc(s.keys, s.docs)
     flags = low != high
     return s.answers(lambda a, b: np.packbits(flags[a:b]).tobytes() if flags[a:b].any() else b"")

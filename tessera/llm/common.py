@@ -63,11 +63,12 @@ def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -
     return max(1, math.ceil(total / each))
 
 
-def blocked(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, text as UTF-8 bytes (null: empty) and the block that a document belongs to."""
+def blocked(docs: DataFrame, blocks: int, rest: list[str] | None = None) -> DataFrame:
+    """doc_id, text as UTF-8 bytes (null: empty) and the block that a document belongs to; ``rest``: columns to carry along in a struct of that name."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []),
     ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
 
@@ -121,9 +122,9 @@ def column_bytes(column) -> list[bytes]:
 
 def split_by(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order that groups ``keys`` (uint64) by shard, and the bounds of the groups."""
-    shard = (keys % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    tagged = np.sort(keys % np.uint64(shards) << np.uint64(32) | np.arange(len(keys), dtype=np.uint64))
+    bounds = np.searchsorted(tagged, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
+    return (tagged & np.uint64(0xFFFFFFFF)).astype(np.int64), bounds
 
 
 def runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,5 +135,9 @@ def runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[at], np.diff(np.r_[at, len(doc)])
 
 
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(fn, schema)

@@ -48,7 +48,7 @@ def is_held_out(doc_id: int | None) -> bool:
 
 class Block:
     def __init__(self, docs: pa.Table):
-        self.ids, texts = blocks.in_order(docs)
+        self.ids, texts, _ = blocks.in_order(docs)
         self.ids = [None if d == blocks.NULL_ID else d for d in self.ids]
         self.held = np.array([is_held_out(d) for d in self.ids], bool)
         ids = common.hasher().ids
@@ -155,14 +155,14 @@ def _count(shards: int):
 class Filter:
     """Segments of the filter by shard; pairs of shards that it doesn't hold have level 0."""
 
-    def __init__(self, segments: list[tuple[int, bytes]], shards: int):
-        self.raw = np.frombuffer(b"".join(x for _, x in segments), np.uint8)
+    def __init__(self, sizes: list[tuple[int, int]], raw: bytes, shards: int):
+        """sizes: shard and bytes of the segments that stand in ``raw`` one after another."""
+        self.raw, self.shards = np.frombuffer(raw, np.uint8), shards
         self.bits, self.base = np.zeros(shards, np.uint64), np.zeros(shards, np.uint64)
         at = 0
-        for s, x in segments:
-            self.bits[s], self.base[s] = len(x) * 8, at * 8
-            at += len(x)
-        self.shards = shards
+        for s, n in sizes:
+            self.bits[s], self.base[s] = n * 8, at * 8
+            at += n
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         shard = (keys % np.uint64(self.shards)).astype(np.int64)
@@ -182,7 +182,7 @@ class Filter:
 
 def _score(filters, shards: int, tokens: int, types: int, first: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        b, f, number = Block(docs), Filter(filters.value, shards), docs.column("block")[0].as_py()
+        b, f, number = Block(docs), Filter(*filters.value, shards), docs.column("block")[0].as_py()
         words, at = np.unique(b.words, return_inverse=True)
         order, bounds = common.split_by(words, shards)
         counts = np.zeros(len(words))
@@ -226,7 +226,8 @@ def score(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES, round_bytes: i
     parts = None
     for k, held in enumerate(rounds):
         segments = counted.filter((F.col("block") == FILTER) & F.col("shard").between(held[0], held[-1])).select("shard", "answer").collect() if held else []
-        shared = spark.sparkContext.broadcast([(r["shard"], bytes(r["answer"])) for r in segments])
+        shared = spark.sparkContext.broadcast(([(r["shard"], len(r["answer"])) for r in segments], b"".join(r["answer"] for r in segments)))
+        del segments
         part = blocks.together(texts, answers, _score(shared, shards, total["n"], total["v"], k == 0), PART)
         parts = part if parts is None else parts.unionByName(part)
     if len(rounds) > 1:

@@ -125,7 +125,7 @@ class Block:
     """Words of a block's documents, windows and the keys that they are known by."""
 
     def __init__(self, docs: pa.Table, window: int):
-        self.ids, self.texts = blocks.in_order(docs)
+        self.ids, self.texts, self.rows = blocks.in_order(docs)
         self.window = window
         self.words = [t.split() for t in self.texts]
         self.starts = np.r_[0, np.cumsum([len(w) for w in self.words])].astype(np.int64)
@@ -155,7 +155,7 @@ def _ask(window: int, shards: int):
         if not docs.num_rows:
             return blocks._DEALT.empty_table()
         b = Block(docs, window).windows()
-        return blocks.deal(docs.column("block")[0].as_py(), b.asked, b.asked_doc, shards)
+        return blocks.deal(docs.column("block")[0].as_py(), b.asked, b.asked_doc, shards, key_bytes=6)
 
     return run
 

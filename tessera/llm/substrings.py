@@ -73,7 +73,7 @@ def _occurrence(length: int, q: int) -> np.dtype:
 
 class Block:
     def __init__(self, docs: pa.Table):
-        self.ids, self.texts = blocks.in_order(docs)
+        self.ids, self.texts, self.rows = blocks.in_order(docs)
         self.starts = np.r_[0, np.cumsum([len(t) for t in self.texts])].astype(np.int64)
 
     def parts(self, length: int, q: int):
@@ -92,7 +92,7 @@ def _ask(length: int, q: int, shards: int):
         if not docs.num_rows:
             return blocks._DEALT.empty_table()
         found = [(key, doc) for _, _, _, key, _, doc in Block(docs).parts(length, q)]
-        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found]), shards)
+        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found]), shards, key_bytes=6)
 
     return run
 
@@ -120,7 +120,7 @@ def _compare(length: int, q: int, shards: int):
             keys.append(key[mine])
             owners.append(doc[mine])
             out.append(rows)
-        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate(keys), np.concatenate(owners), shards, np.concatenate(out), send_keys=False)
+        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate(keys), np.concatenate(owners), shards, np.concatenate(out), key_bytes=0)
 
     return run
 
@@ -142,7 +142,7 @@ def _covered(length: int, q: int):
     kind, reach = _occurrence(length, q), length - q
 
     def run(rows: pa.Table) -> pa.Table:
-        s = blocks.Shard(rows, kind)
+        s = blocks.Shard(rows, kind, 0)
         strings = np.zeros(len(s.extra), np.uint64)  # a bit for each string before the anchor
         eight = lambda at: np.ascontiguousarray(s.extra["around"][:, at : at + 8]).view("<u8").reshape(-1)
         keys = common.combine(eight(reach), eight(reach + q - 8), 3)  # the bucket is told by the bytes at the anchor

@@ -58,7 +58,8 @@ def test_filter_gives_levels_and_few_false_ones():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 48, 20_000).astype(np.uint64)
     counts = rng.integers(1, 40, 20_000)
-    f = lm.Filter([(0, lm.segment(keys, counts))], 1)
+    raw = lm.segment(keys, counts)
+    f = lm.Filter([(0, len(raw))], raw, 1)
     assert (f.levels(keys) >= lm.level(counts)).all() and (f.levels(keys) == lm.level(counts)).mean() > 0.95
     assert (f.levels(rng.integers(0, 1 << 48, 20_000).astype(np.uint64)) > 0).mean() < 0.05
     assert lm.level(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
