@@ -11,7 +11,7 @@ this order, so
 
 1. lines with the same text are one line, the first;
 2. each line goes to the groups of its prefix words with its size, the place of the word and a
-   64-bit picture of its set; the length filter, the positional filter and the difference of the
+   128-bit picture of its set; the length filter, the positional filter and the difference of the
    pictures tell which lines of a group may have a similar one there;
 3. only those go to the same groups again with their whole sets, where Jaccard is verified, the
    closest in order first; a line that is removed is compared no further as the later one.
@@ -38,8 +38,9 @@ SIMILARITY, MIN_WORDS = 0.8, 3
 SLOTS, SLICES = 1 << 20, 32
 CHUNK = 400_000
 KEPT = "doc_id long, n_lines long, n_removed long, kept binary"
-_HASH = np.uint64((1 << 52) - 1)
-_PREFIX = np.dtype([("line", "<u4"), ("size", "<u4"), ("place", "<u4"), ("picture", "<u8")])
+#: Lines that are made into sets at once; from FULL words on a size isn't told.
+LINES, FULL = 1 << 12, 65_535
+_PREFIX = np.dtype([("line", "<u4"), ("size", "<u2"), ("place", "<u2"), ("picture", "<u8", 2)])
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4"), ("size", "<u4")])
 
 
@@ -53,8 +54,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         counts, ids = np.zeros(SLOTS, np.int64), common.hasher().ids
         for batch in batches:
-            for t in common.column_bytes(batch.column("text")):
-                np.add.at(counts, (ids(words_of(t)) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+            texts = common.column_bytes(batch.column("text"))
+            for a, b in blocks.chunks(texts, 8_000_000):
+                words = np.concatenate([ids(words_of(t)) for t in texts[a:b]])
+                counts += np.bincount((words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), common.binaries(np.split(counts, SLICES))], ["slice", "counts"])
 
@@ -76,7 +79,7 @@ class Block:
     """Lines of a block's documents, in order."""
 
     def __init__(self, docs: pa.Table):
-        self.ids, self.texts = blocks.in_order(docs)
+        self.ids, self.texts, self.rows = blocks.in_order(docs)
         self.lines = [t.split(b"\n") for t in self.texts]
         self.starts = np.r_[0, np.cumsum([len(x) for x in self.lines])].astype(np.int64)
         self.number = docs.column("block")[0].as_py() if docs.num_rows else 0
@@ -114,18 +117,37 @@ def _firsts(rows: pa.Table) -> pa.Table:
 
 
 def sets_of(lines: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of each line in order of rarity, one line after another, and where each line begins (and the end)."""
+    """The distinct words of each line in order of rarity (12 bits of code, 40 bits of hash), one line after another, and where each line begins (and the end).  At most LINES lines."""
     ids = common.hasher().ids
     words = [words_of(x) for x in lines]
-    line = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    line = np.repeat(np.arange(len(words), dtype=np.uint64), [len(w) for w in words])
     h = ids([w for part in words for w in part])
-    rank = codes[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(52) | h >> np.uint64(12)
-    order = np.argsort(rank)
-    order = order[np.argsort(line[order], kind="stable")]
-    line, rank = line[order], rank[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (rank[1:] != rank[:-1])] if len(line) else np.zeros(0, bool)
-    line, rank = line[new], rank[new]
-    return rank, np.searchsorted(line, np.arange(len(lines) + 1))
+    code = codes[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
+    key = np.sort(line << np.uint64(52) | code << np.uint64(40) | h >> np.uint64(24))
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+    starts = np.searchsorted(key, np.arange(len(lines) + 1, dtype=np.uint64) << np.uint64(52)) if len(lines) < LINES else np.r_[np.searchsorted(key, np.arange(len(lines), dtype=np.uint64) << np.uint64(52)), len(key)]
+    return key & np.uint64((1 << 52) - 1), starts
+
+
+def _lots(flat: list[bytes], which: np.ndarray):
+    """Bounds of runs of at most LINES lines of about CHUNK bytes."""
+    at = 0
+    while at < len(which):
+        end, n = at, 0
+        while end < len(which) and end - at < LINES and (end == at or n + len(flat[which[end]]) < CHUNK):
+            n += len(flat[which[end]])
+            end += 1
+        yield at, end
+        at = end
+
+
+def pictures(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits for each set: whether an odd number of its words fall on the bit.  Two pictures differ in no more bits than the sets differ in words."""
+    bit = np.uint64(1) << (rank & np.uint64(63))
+    half = (rank >> np.uint64(6) & np.uint64(1)).astype(bool)
+    zero = np.uint64(0)
+    return np.c_[np.bitwise_xor.reduceat(np.where(half, zero, bit), starts[:-1]), np.bitwise_xor.reduceat(np.where(half, bit, zero), starts[:-1])]
 
 
 def _prefixes(sizes: np.ndarray) -> np.ndarray:
@@ -166,12 +188,12 @@ def _offer(shared, shards: int):
         mine[np.frombuffer(b"".join(answers.column("answer").to_pylist()), "<u4")] = False
         mine = np.flatnonzero(mine)
         keys, extra = [], []
-        for lo, hi in blocks.chunks([b.flat[i] for i in mine.tolist()], CHUNK):
+        for lo, hi in _lots(b.flat, mine):
             rank, starts = sets_of([b.flat[i] for i in mine[lo:hi].tolist()], codes)
             line, key, place = keys_of(rank, starts)
-            picture = np.bitwise_or.reduceat(np.uint64(1) << (rank & np.uint64(63)), starts[:-1])
+            picture = pictures(rank, starts)
             rows = np.zeros(len(line), _PREFIX)
-            rows["line"], rows["size"], rows["place"], rows["picture"] = mine[lo:hi][line], np.diff(starts)[line], place, picture[line]
+            rows["line"], rows["size"], rows["place"], rows["picture"] = mine[lo:hi][line], np.minimum(np.diff(starts)[line], FULL), np.minimum(place, FULL), picture[line]
             keys.append(key)
             extra.append(rows)
         if not keys:
@@ -187,8 +209,9 @@ _ASKED = np.dtype([("key", "<u8"), ("line", "<u4")])
 def _may_match(rows: pa.Table) -> pa.Table:
     """Answers with the (key, line) that may have a similar line in the group of the key."""
     s = blocks.Shard(rows, _PREFIX)
-    order = np.lexsort((s.extra["size"], s.keys))
-    key, x = s.keys[order], s.extra[order]
+    named = common.mix(s.keys) & ~np.uint64(FULL)
+    order = np.argsort(named | s.extra["size"].astype(np.uint64))
+    key, x = named[order], s.extra[order]
     size, place, picture = x["size"].astype(np.int64), x["place"].astype(np.int64), x["picture"]
     n = len(key)
     flagged = np.zeros(n, bool)
@@ -200,8 +223,9 @@ def _may_match(rows: pa.Table) -> pa.Table:
         i = i[(key[i] == key[j]) & (size[i] >= SIMILARITY * size[j] - 1e-9)]  # sizes rise in a group
         j = i + d
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-9)
-        good = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need
-        good &= np.bitwise_count(picture[i] ^ picture[j]) <= size[i] + size[j] - 2 * need
+        good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        good &= np.bitwise_count(picture[i] ^ picture[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
+        good |= size[j] == FULL
         flagged[i[good]] = True
         flagged[j[good]] = True
         if good.any() or d == 1:  # a group of flagged lines only has nothing left to tell
@@ -224,8 +248,10 @@ def _show(shared, shards: int):
         b, codes = Block(docs), shared.value
         asked = np.frombuffer(b"".join(answers.column("answer").to_pylist()), _ASKED)
         lines, at = np.unique(asked["line"], return_inverse=True)
-        rank, starts = sets_of([b.flat[i] for i in lines.tolist()], codes)
-        docs_of, sizes = b.docs()[lines], np.diff(starts)
+        parts = [sets_of([b.flat[i] for i in lines[lo:hi].tolist()], codes) for lo, hi in _lots(b.flat, lines)]
+        rank, sizes = np.concatenate([r for r, _ in parts]), np.concatenate([np.diff(x) for _, x in parts])
+        starts = np.r_[0, np.cumsum(sizes)]
+        docs_of = b.docs()[lines]
         order, bounds = common.split_by(common.mix(asked["key"]), shards)
         out = []
         for s in np.flatnonzero(np.diff(bounds)).tolist():
@@ -303,21 +329,33 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         g = gone[s : s + len(lines)]
         removed.append(int(g.sum()))
         kept.append(b"\n".join(x for x, y in zip(lines, g.tolist(), strict=True) if not y) if removed[-1] else t)
-    return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_lines": pa.array([len(x) for x in b.lines], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
+    rest = {"rest": docs.column("rest").take(pa.array(b.rows, pa.int64()))} if "rest" in docs.column_names else {}
+    return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_lines": pa.array([len(x) for x in b.lines], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())} | rest)
 
 
-def dedup(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept (the remaining lines, UTF-8)."""
+def dedup(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES, rest: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept (the remaining lines, UTF-8); ``rest``: columns to carry along in a struct of that name."""
     common.prepare(docs.sparkSession)
     count = common.blocks_for(docs, each=block_bytes)
     shards = -(-count // 2)
     codes = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    texts = common.blocked(docs, count)
+    texts = common.blocked(docs, count, rest)
     repeats = common.grouped(common.grouped(texts, "block", _ask(shards), blocks.DEALT), "shard", _firsts, blocks.ANSWER)
     offers = blocks.together(texts, repeats, _offer(codes, shards), blocks.DEALT)
     shows = blocks.together(texts, common.grouped(offers, "shard", _may_match, blocks.ANSWER), _show(codes, shards), blocks.DEALT)
     similar = common.grouped(shows, "shard", _similar, blocks.ANSWER)
-    return blocks.together(texts, repeats.unionByName(similar), _remove, KEPT)
+    return blocks.together(texts, repeats.unionByName(similar), _remove, KEPT + (f", rest {docs.select(F.struct(*[F.col(f'`{c}`') for c in rest]).alias('s')).schema['s'].dataType.simpleString()}" if rest else ""))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents without those lines, their other columns as they are but for n_chars; a document that has lost all its words goes."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = dedup(docs, rest=rest).filter((F.col("n_removed") == 0) | F.col("kept").cast("string").rlike("[^ \t-\r]"))
+    text = F.col("kept").cast("string")
+    other = {c: F.col(f"rest.`{c}`") for c in rest}
+    if "n_chars" in other:
+        other["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(other["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return found.select([{"doc_id": F.col("doc_id"), "text": text, **other}[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
