@@ -217,6 +217,22 @@ def _scan(shared):
     return run
 
 
+def _drop(shared):
+    def run(batches):
+        index = Index(shared.value)
+        for batch in batches:
+            texts, bad = common.column_bytes(batch.column("__text")), np.zeros(batch.num_rows, bool)
+            for a, b in blocks.chunks(texts, CHUNK):
+                parts = [normalise(t)[0] for t in texts[a:b]]
+                starts = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
+                whole = np.concatenate([x for p in parts for x in (np.where(p == 0, 1, p).astype(np.uint8), np.zeros(1, np.uint8))])
+                for _, start, stop, _, _ in find(index, whole):
+                    bad[a + int(np.searchsorted(starts, (start + stop) // 2, "right")) - 1] = True
+            yield pa.RecordBatch.from_arrays([batch.column("__row").filter(pa.array(~bad))], ["__row"])
+
+    return run
+
+
 def slices(benchmark: DataFrame, size: int = SLICE_BYTES):
     """Passages of the benchmark, in lists of about ``size`` bytes; the rows stream through the driver."""
     out, held = [], 0
@@ -245,6 +261,16 @@ def regions(docs: DataFrame, benchmark: DataFrame, size: int = SLICE_BYTES) -> D
     return parts if parts is not None else spark.createDataFrame([], REGIONS)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
+    """The documents that hold no passage of the benchmark, as they are."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    for part in slices(benchmark, size):
+        rows = docs.select(F.struct("*").alias("__row"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
+        docs = rows.mapInArrow(_drop(spark.sparkContext.broadcast(part)), common.ddl(rows.select("__row"))).select("__row.*")
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regions(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     return found.drop("row")

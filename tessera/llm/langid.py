@@ -145,8 +145,16 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     texts = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, common.ddl(docs.select(*keep)) + ", lang_pred string, score double")
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, as they are; where no row has a label to learn from, those with a letter."""
+    model = fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    told = predict(docs.select(F.struct("*").alias("__row"), "text"), model, ("__row",))
+    return told.filter(F.col("lang_pred") != "und").select("__row.*")
 
 
 def held_out():

@@ -206,6 +206,24 @@ def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
     return prints.join(link(prints, radius), "fp")
 
 
+def clean(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, as it is: that with the least doc_id, of equal ones the one with the least text; of a group without ids one of each fingerprint."""
+    common.prepare(docs.sparkSession)
+    prints = common.cut(fingerprints(docs, words), "prints")
+    linked = link(prints, radius)
+    stay = linked.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct("text", *[F.col(f"`{c}`") for c in columns])
+    kept = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("__row"))
+    # Rows without an id: the fingerprint tells the group.
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if not nameless.isEmpty():
+        ids = nameless.withColumn("doc_id", F.xxhash64("text")).dropDuplicates(["doc_id"])
+        alone = fingerprints(ids, words).join(linked.filter(F.col("component_id").isNull()), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+        kept = kept.unionByName(ids.join(alone, "doc_id", "left_semi").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), row.alias("__row")))
+    return kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
