@@ -27,7 +27,7 @@ NULL_ID = np.iinfo(np.int64).max
 def in_order(docs: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
     """doc_ids and texts of a block, always in the same order, and which rows they are."""
     ids = [NULL_ID if d is None else d for d in docs.column("doc_id").to_pylist()]
-    texts = common.column_bytes(docs.column("text"))
+    texts = common.unpacked(docs.column("text"))
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order], order
 

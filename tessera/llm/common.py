@@ -64,37 +64,28 @@ def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -
 
 
 def blocked(docs: DataFrame, blocks: int, rest: list[str] | None = None) -> DataFrame:
-    """doc_id, text as UTF-8 bytes (null: empty) and the block that a document belongs to; ``rest``: columns to carry along in a struct of that name."""
-    return docs.select(
+    """doc_id, text (UTF-8, null: empty, compressed for the shuffle; ``unpacked`` reads it) and the block that a document belongs to; ``rest``: columns to carry along in a struct of that name."""
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []),
     ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    return rows.mapInArrow(_packed, ddl(rows))
 
 
-class WordHash(dict):
-    """64-bit hash of a word (XXH64), remembered; ``limit`` bounds the memory."""
+def _packed(batches):
+    import zstandard
 
-    def __init__(self, seed: int = 0, limit: int = 600_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array(map(compress, batch.column(at).to_pylist()), pa.binary()))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        self[word] = h
-        return h
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def unpacked(column) -> list[bytes]:
+    import zstandard
 
-
-_HASHERS: dict[int, WordHash] = {}
-
-
-def hasher(seed: int = 0) -> WordHash:
-    return _HASHERS.setdefault(seed, WordHash(seed))
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,6 +102,47 @@ def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(salt)))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 256
+
+
+def word_hashes(texts: list[bytes], lower: bool = False, each: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and how many each has.
+
+    Words are hashed eight bytes at a time, all words of about ``each`` bytes of text at once;
+    ``lower`` lower-cases A-Z."""
+    found, counts, at = [], np.zeros(len(texts), np.int64), 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < each):
+            size += len(texts[end])
+            end += 1
+        raw = np.frombuffer(b"\n".join([b"", *texts[at:end], b" " * 8]), np.uint8)
+        if lower:
+            raw = _LOWER[raw]
+        space = _SPACE[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, n = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        h = mix((eight[start] & _BYTES[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        left, done = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+        while len(left):
+            h[left] = mix(h[left] * np.uint64(0xC2B2AE3D27D4EB4F) + (eight[start[left] + done] & _BYTES[np.minimum(n[left] - done, 8)]))
+            done += 8
+            left = left[n[left] > done]
+        for i in np.flatnonzero(n > _LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + n[i]].tobytes())
+        found.append(h)
+        lengths = np.fromiter((len(t) + 1 for t in texts[at:end]), np.int64, end - at)
+        counts[at:end] = np.diff(np.searchsorted(start, np.r_[1, 1 + np.cumsum(lengths)]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
+
+
 def binaries(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 

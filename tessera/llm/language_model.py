@@ -51,11 +51,10 @@ class Block:
         self.ids, texts, _ = blocks.in_order(docs)
         self.ids = [None if d == blocks.NULL_ID else d for d in self.ids]
         self.held = np.array([is_held_out(d) for d in self.ids], bool)
-        ids = common.hasher().ids
-        words = [np.append(ids(t.lower().split()), END) for t in texts]
-        self.sizes = np.array([len(w) for w in words], np.int64)
+        words, counts = common.word_hashes(texts, lower=True)
+        self.sizes = counts + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.words = np.concatenate(words)
+        self.words = np.insert(words, np.cumsum(counts), END)
         self.before = np.r_[END, self.words[:-1]]  # texts end with END
         self.trains = np.repeat(~self.held, self.sizes)
 

@@ -37,6 +37,8 @@ from . import blocks, common
 SIMILARITY, MIN_WORDS = 0.8, 3
 SLOTS, SLICES = 1 << 20, 32
 CHUNK = 400_000
+#: Smaller blocks than elsewhere: lines are held as objects.
+BLOCK_BYTES = 4_000_000
 KEPT = "doc_id long, n_lines long, n_removed long, kept binary"
 #: Lines that are made into sets at once; from FULL words on a size isn't told.
 LINES, FULL = 1 << 12, 65_535
@@ -44,19 +46,15 @@ _PREFIX = np.dtype([("line", "<u4"), ("size", "<u2"), ("place", "<u2"), ("pictur
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4"), ("size", "<u4")])
 
 
-def words_of(line: bytes) -> list[bytes]:
-    return line.lower().split()
-
-
 def rarity(docs: DataFrame) -> np.ndarray:
     """A code from 0 to 4095 for each slot of the words' hashes that rises with how often they occur."""
 
     def count(batches):
-        counts, ids = np.zeros(SLOTS, np.int64), common.hasher().ids
+        counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             texts = common.column_bytes(batch.column("text"))
             for a, b in blocks.chunks(texts, 8_000_000):
-                words = np.concatenate([ids(words_of(t)) for t in texts[a:b]])
+                words, _ = common.word_hashes(texts[a:b], lower=True)
                 counts += np.bincount((words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), common.binaries(np.split(counts, SLICES))], ["slice", "counts"])
@@ -118,10 +116,8 @@ def _firsts(rows: pa.Table) -> pa.Table:
 
 def sets_of(lines: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words of each line in order of rarity (12 bits of code, 40 bits of hash), one line after another, and where each line begins (and the end).  At most LINES lines."""
-    ids = common.hasher().ids
-    words = [words_of(x) for x in lines]
-    line = np.repeat(np.arange(len(words), dtype=np.uint64), [len(w) for w in words])
-    h = ids([w for part in words for w in part])
+    h, counts = common.word_hashes(lines, lower=True)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
     code = codes[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
     key = np.sort(line << np.uint64(52) | code << np.uint64(40) | h >> np.uint64(24))
     if len(key):
@@ -163,17 +159,17 @@ def keys_of(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     key = rank[starts[line] + place]
     small = sizes[line] <= 3
     whole = np.add.reduceat(common.mix(rank), starts[:-1]) if len(rank) else np.zeros(0, np.uint64)
-    key[small] = common.mix(whole[line[small]] + np.uint64(3))
+    key[small] = common.mix(whole[line[small]] + np.uint64(3)) >> np.uint64(12)
     return line, key, place
 
 
-def _deal(number: int, keys: np.ndarray, shards: int, **columns) -> pa.Table:
+def _deal(number: int, keys: np.ndarray, shards: int, extra: np.ndarray) -> pa.Table:
+    """Rows of DEALT without documents; keys are 52 bits, of which the answers need all, so the 7 bytes that hold them are sent."""
     order, bounds = common.split_by(common.mix(keys), shards)
-    rows = {k: v[order] for k, v in columns.items()}
-    keys, out = keys[order], []
+    extra, keys, out = extra[order], keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], []
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         part = slice(bounds[s], bounds[s + 1])
-        out.append((s, number, rows["docs"][part].tobytes() if "docs" in rows else b"", b"", keys[part].tobytes(), rows["extra"][part].tobytes()))
+        out.append((s, number, b"", b"", keys[part].tobytes(), extra[part].tobytes()))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), blocks._DEALT, strict=True)], schema=blocks._DEALT) if out else blocks._DEALT.empty_table()
 
 
@@ -208,7 +204,7 @@ _ASKED = np.dtype([("key", "<u8"), ("line", "<u4")])
 
 def _may_match(rows: pa.Table) -> pa.Table:
     """Answers with the (key, line) that may have a similar line in the group of the key."""
-    s = blocks.Shard(rows, _PREFIX)
+    s = blocks.Shard(rows, _PREFIX, 7)
     named = common.mix(s.keys) & ~np.uint64(FULL)
     order = np.argsort(named | s.extra["size"].astype(np.uint64))
     key, x = named[order], s.extra[order]
@@ -333,11 +329,11 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_lines": pa.array([len(x) for x in b.lines], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())} | rest)
 
 
-def dedup(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES, rest: list[str] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: list[str] | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the remaining lines, UTF-8); ``rest``: columns to carry along in a struct of that name."""
     common.prepare(docs.sparkSession)
     count = common.blocks_for(docs, each=block_bytes)
-    shards = -(-count // 2)
+    shards = -(-count // 4)
     codes = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     texts = common.blocked(docs, count, rest)
     repeats = common.grouped(common.grouped(texts, "block", _ask(shards), blocks.DEALT), "shard", _firsts, blocks.ANSWER)

@@ -48,7 +48,7 @@ class ChunkTokenizer(dict):
     #: Punctuation that may be taken off the end of a word of letters: it is a piece of its own there.
     TAIL = b".,;:!?)"
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -127,17 +127,14 @@ class Block:
     def __init__(self, docs: pa.Table, window: int):
         self.ids, self.texts, self.rows = blocks.in_order(docs)
         self.window = window
-        self.words = [t.split() for t in self.texts]
-        self.starts = np.r_[0, np.cumsum([len(w) for w in self.words])].astype(np.int64)
+        self.words, counts = common.word_hashes(self.texts)
+        self.starts = np.r_[0, np.cumsum(counts)].astype(np.int64)
 
     def windows(self):
         at, whole, key = [], [], []
-        ids = common.hasher().ids
         for a, b in blocks.chunks(self.texts, CHUNK):
-            w = [x for x in self.words[a:b]]
-            words = np.concatenate([ids(x) for x in w]) if w else np.zeros(0, np.uint64)
-            doc = np.repeat(np.arange(a, b), [len(x) for x in w])
-            p, h, k = anchors(words, doc, self.window)
+            doc = np.repeat(np.arange(a, b), np.diff(self.starts[a : b + 1]))
+            p, h, k = anchors(self.words[self.starts[a] : self.starts[b]], doc, self.window)
             at.append(p + self.starts[a])
             whole.append(h)
             key.append(k)
@@ -188,7 +185,8 @@ def _remove(window: int):
         keep = np.cumsum(depth[:-1]) == 0
         removed = np.diff(np.r_[0, np.cumsum(~keep)][b.starts])
         kept = []
-        for words, s, n in zip(b.words, b.starts.tolist(), removed.tolist(), strict=False):
+        for text, s, n in zip(b.texts, b.starts.tolist(), removed.tolist(), strict=False):
+            words = text.split()
             kept.append(b" ".join(words if not n else [w for w, k in zip(words, keep[s : s + len(words)].tolist(), strict=True) if k]))
         return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_words": pa.array(np.diff(b.starts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 

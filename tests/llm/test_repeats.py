@@ -8,6 +8,16 @@ from tessera.llm import common, repeats
 from .helpers import documents
 
 
+def test_word_hashes():
+    texts = [b"", b" a  b\ta ", b"A\xc3\x89 " + b"x" * 300 + b" " + b"y" * 17, b"\n", b"a b" + b"z" * 8]
+    for size in (5, 10**6):
+        for lower in (False, True):
+            h, counts = common.word_hashes(texts, lower, size)
+            words = [w for t in texts for w in (t.lower() if lower else t).split()]
+            assert counts.tolist() == [len(t.split()) for t in texts] and len(h) == len(words)
+            assert len(set(h.tolist())) == len(set(words)) and len(set(zip(h.tolist(), words, strict=True))) == len(set(words))
+
+
 def brute(rows, window):
     first = {}
     split = [(d, (t or "").encode().split()) for d, t in rows]
