@@ -38,7 +38,7 @@ for _name, _filters, _where in (
     ("state_unknown_is_default", Filters(state="no such"), "state = 1"),
     ("state_rejected", Filters(state="rejected"), "state = 2"),
     ("state_all", Filters(state="all"), "true"),
-    ("id_ci", Filters(state="all", cve_id="  cve-1996-0000007 "), "lower(cve_id) = 'cve-1996-0000007'"),
+    ("id_ci", Filters(state="all", cve_id="  cve-2000-0000007 "), "lower(cve_id) = 'cve-2000-0000007'"),
     ("code_in", Filters(severity=[3, 4]), "state = 1 AND cvss_sev IN (3, 4)"),
     ("code_none", Filters(severity=[]), "state = 1"),
     ("code_version", Filters(cvss_version=[30, 31]), "state = 1 AND cvss_ver IN (30, 31)"),
@@ -52,13 +52,13 @@ for _name, _filters, _where in (
     ("range_year", Filters(year_from=1995, year_to=1997), 'state = 1 AND "year" BETWEEN 1995 AND 1997'),
     ("cna", Filters(cna=["customer#000000007", "Customer#000000010"]), "state = 1 AND cna_id IN (SELECT id FROM cna WHERE lower(name) IN ('customer#000000007', 'customer#000000010'))"),
     ("vendor_exists", Filters(vendor=["brand#12"]), f"state = 1 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#12')"),
-    ("product_exists", Filters(state="all", product=["Part 7", "part#7"]), f"EXISTS ({PROD_OF} AND lower(p.name) IN ('part 7', 'part#7'))"),
+    ("product_exists", Filters(state="all", product=["Small Ring", "red widget"]), f"EXISTS ({PROD_OF} AND lower(p.name) IN ('small ring', 'red widget'))"),
     ("cwe_exists", Filters(cwe=["7", "CWE-3"]), f"state = 1 AND EXISTS ({CWE_OF} AND w.cwe IN ('CWE-7', 'CWE-3'))"),
-    ("host_exists", Filters(host=["FRANCE", "germany"]), f"state = 1 AND EXISTS ({REF_OF} AND lower(h.name) IN ('france', 'germany'))"),
+    ("host_exists", Filters(host=["nation_3", "NATION_5"]), f"state = 1 AND EXISTS ({REF_OF} AND lower(h.name) IN ('nation_3', 'nation_5'))"),
     ("unresolved_false", Filters(vendor=["no such vendor"]), "false"),
     ("blank_names_no_clause", Filters(vendor=["  "], severity=[4]), "state = 1 AND cvss_sev = 4"),
     ("partial_resolution", Filters(vendor=["Brand#11", "no such"]), f"state = 1 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#11')"),
-    ("combined_and", Filters(severity=[4], vendor=["Brand#11"], host=["france"], score_min=50_000), f"state = 1 AND cvss_sev = 4 AND cvss_score >= 50000 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#11') AND EXISTS ({REF_OF} AND lower(h.name) = 'france')"),
+    ("combined_and", Filters(severity=[4], vendor=["Brand#11"], host=["nation_3"], score_min=50_000), f"state = 1 AND cvss_sev = 4 AND cvss_score >= 50000 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#11') AND EXISTS ({REF_OF} AND lower(h.name) = 'nation_3')"),
     ("overlay_listed", Filters(kev=[1]), f"state = 1 AND EXISTS ({KEV_OF})"),
     ("overlay_not_listed", Filters(kev=[0]), f"state = 1 AND NOT EXISTS ({KEV_OF})"),
     ("overlay_both", Filters(kev=[0, 1]), "state = 1"),
@@ -193,7 +193,7 @@ def _hosts(c):
     return refs.groupBy("host_id").agg(F.max("host").alias("host"), F.count_distinct("cve_id").alias("cves")).orderBy(F.desc("cves"), "host_id").limit(25).select("host", "cves")
 
 
-add("bq_point_lookup", lambda c: c.cve.filter("cve_id = 'CVE-1996-0000007'").select("cve_id", "year", "cvss_score", "cvss_vec"), "SELECT cve_id, \"year\", cvss_score, cvss_vec FROM cve WHERE cve_id = 'CVE-1996-0000007'")
+add("bq_point_lookup", lambda c: c.cve.filter("cve_id = 'CVE-2000-0000007'").select("cve_id", "year", "cvss_score", "cvss_vec"), "SELECT cve_id, \"year\", cvss_score, cvss_vec FROM cve WHERE cve_id = 'CVE-2000-0000007'")
 add("bq_severity_by_year", lambda c: _cve(c).filter("cvss_sev is not null").groupBy("year", "cvss_sev").agg(F.count("*").alias("cves")).orderBy(F.desc("year"), F.desc("cvss_sev")), 'SELECT "year", cvss_sev, count(*) cves FROM cve WHERE state = 1 AND cvss_sev IS NOT NULL GROUP BY 1, 2')
 add("bq_cna_year_cvss", lambda c: _cve(c).filter("cvss_score >= 70000").join(c.cna.selectExpr("id cna_id", "name cna"), "cna_id").groupBy("cna_id", "year").agg(F.max("cna").alias("cna"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "cna_id", "year").limit(50).select("cna", "year", "cves"), 'SELECT cna, "year", cves FROM (SELECT c.cna_id, max(n.name) cna, c."year", count(*) cves FROM cve c JOIN cna n ON n.id = c.cna_id WHERE c.state = 1 AND c.cvss_score >= 70000 GROUP BY c.cna_id, c."year") ORDER BY cves DESC, cna_id, "year" LIMIT 50')
 add("bq_vendor_severity_2y", lambda c: _links(c).join(_cve(c).filter(f"published >= {T1999}").select("id", "cvss_sev"), "id").groupBy("vendor_id", "product_id", "cvss_sev").agg(F.max("vendor").alias("vendor"), F.max("product").alias("product"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "product_id", F.asc_nulls_first("cvss_sev")).limit(100).select("vendor", "product", "cvss_sev", "cves"), f"SELECT vendor, product, cvss_sev, cves FROM (SELECT v.id v, p.id p, max(v.name) vendor, max(p.name) product, c.cvss_sev, count(*) cves FROM cve c JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id JOIN vendor v ON v.id = p.vendor_id WHERE c.state = 1 AND c.published >= {T1999} GROUP BY v.id, p.id, c.cvss_sev) ORDER BY cves DESC, p, cvss_sev NULLS FIRST LIMIT 100")
@@ -209,7 +209,7 @@ add("truth_critical_by_cna", lambda c: R.group(c, Filters(severity=[4]), "cna").
 add("truth_top_cwes", lambda c: R.group(c, Filters(), "cwe").select(F.col("label").alias("bucket"), "cves"), "SELECT w.cwe || ' — ' || max(w.descr) bucket, count(DISTINCT c.id) cves FROM cve c JOIN cve_cwe x ON x.cve_id = c.id JOIN cwe w ON w.id = x.cwe_id WHERE c.state = 1 GROUP BY w.id, w.cwe")
 add("truth_kev_by_year", lambda c: R.group(c, Filters(kev=[1]), "year").select("bucket", "cves"), f"SELECT {KEYS['year']} bucket, count(*) cves FROM cve c WHERE c.state = 1 AND EXISTS ({KEV_OF}) GROUP BY 1")
 add("truth_vendor_criticals", lambda c: R.count(c, Filters(vendor=["BRAND#12"], severity=[4])), f"SELECT count(DISTINCT c.id) matches FROM cve c WHERE c.state = 1 AND c.cvss_sev = 4 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#12')")
-add("truth_kev_listed", lambda c: R.detail(c, "cve-1996-0000007")["exists"].join(c.kev.selectExpr("cve_id id", "cve"), "id", "left").select("id", F.col("cve").isNotNull().cast("int").alias("listed")), "SELECT c.id, CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END listed FROM cve c LEFT JOIN kev k ON k.cve_id = c.id WHERE lower(c.cve_id) = 'cve-1996-0000007'")
+add("truth_kev_listed", lambda c: R.detail(c, "cve-2000-0000007")["exists"].join(c.kev.selectExpr("cve_id id", "cve"), "id", "left").select("id", F.col("cve").isNotNull().cast("int").alias("listed")), "SELECT c.id, CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END listed FROM cve c LEFT JOIN kev k ON k.cve_id = c.id WHERE lower(c.cve_id) = 'cve-2000-0000007'")
 add("truth_highest_score", lambda c: _cve(c).groupBy("cvss_score").agg(F.count("*").alias("n")).filter("cvss_score is not null").orderBy(F.desc("cvss_score")).limit(1).select(F.col("cvss_score").alias("top"), "n"), "SELECT max(cvss_score) top, count(*) n FROM cve WHERE state = 1 AND cvss_score = (SELECT max(cvss_score) FROM cve WHERE state = 1)")
 add("truth_share_of_latest", lambda c: _cve(c).filter("cvss_sev = 4").orderBy(F.desc_nulls_last("published"), F.desc("id")).limit(200).agg(F.round(F.sum(F.expr("case when cvss_score >= 150000 then 1 else 0 end")) / F.count("*"), 2).alias("share")), "SELECT round(sum(CASE WHEN cvss_score >= 150000 THEN 1 ELSE 0 END)::DOUBLE / count(*), 2) \"share\" FROM (SELECT cvss_score FROM cve WHERE state = 1 AND cvss_sev = 4 ORDER BY published DESC NULLS LAST, id DESC LIMIT 200)")
 
