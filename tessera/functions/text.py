@@ -58,7 +58,7 @@ def json_list(c: Column) -> Column:
 
 def notes(c: Column, most: int = 24, length: int = 512) -> Column:
     """Parts between semicolons with the first url of each."""
-    parts = F.slice(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != ""), 1, most)
+    parts = F.slice(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return F.transform(parts, lambda x: F.struct(F.substring(x, 1, length).alias("text"), F.nullif(F.regexp_extract(x, r"(?i)(https?://\S+)", 1), F.lit("")).alias("url")))
 
 
