@@ -32,8 +32,10 @@ from . import blocks, common
 FOLDS, HELD_FOLD = 7, 2
 MASS = 300.0
 PROBES, BITS = 8, 12
+#: Smaller blocks than elsewhere: a worker holds the broadcast part of the filter besides.
+BLOCK_BYTES = 4_000_000
 #: The most that is broadcast at a time.
-ROUND_BYTES = 128_000_000
+ROUND_BYTES = 64_000_000
 END = np.uint64(0x5EED5EED5EED5EED)
 
 COUNTED = "block int, shard int, answer binary, tokens long, types long"
@@ -205,7 +207,7 @@ def _score(filters, shards: int, tokens: int, types: int, first: bool):
     return run
 
 
-def score(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     common.prepare(spark)
@@ -224,9 +226,13 @@ def score(docs: DataFrame, block_bytes: int = common.BLOCK_BYTES, round_bytes: i
     answers = counted.filter("block >= 0").select("block", "shard", "answer")
     parts = None
     for k, held in enumerate(rounds):
-        segments = counted.filter((F.col("block") == FILTER) & F.col("shard").between(held[0], held[-1])).select("shard", "answer").collect() if held else []
-        shared = spark.sparkContext.broadcast(([(r["shard"], len(r["answer"])) for r in segments], b"".join(r["answer"] for r in segments)))
-        del segments
+        sizes_of, raw = [], bytearray()
+        if held:  # a segment at a time, so that the driver holds little more than the round
+            for r in counted.filter((F.col("block") == FILTER) & F.col("shard").between(held[0], held[-1])).select("shard", "answer").toLocalIterator():
+                sizes_of.append((r["shard"], len(r["answer"])))
+                raw += r["answer"]
+        shared = spark.sparkContext.broadcast((sizes_of, bytes(raw)))
+        del raw
         part = blocks.together(texts, answers, _score(shared, shards, total["n"], total["v"], k == 0), PART)
         parts = part if parts is None else parts.unionByName(part)
     if len(rounds) > 1:
