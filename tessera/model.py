@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from types import FunctionType
 
 from pyspark.sql import DataFrame
 
@@ -34,7 +35,9 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of one revision; kev is None until a catalog is loaded."""
+    """The tables of one revision; kev is None until a catalog is loaded.
+
+    A table may be given as a function, which is called when the table is first asked for."""
 
     cve: DataFrame
     cve_text: DataFrame
@@ -51,6 +54,13 @@ class Corpus:
     vtype: DataFrame
     kev: DataFrame | None = None
 
+    def __getattribute__(self, name: str):
+        value = object.__getattribute__(self, name)
+        if isinstance(value, FunctionType):
+            value = value()
+            object.__setattr__(self, name, value)
+        return value
+
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
 

@@ -9,21 +9,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import times
 from ..model import Corpus
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once, which spares a job each further time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus; a table's plan is made when it is first asked for."""
     t = lambda name: load(spark, sf_dir, name)
     key = F.col("o_orderkey")
     at = times.seconds("o_orderdate")
     severity = F.expr("case o_orderpriority when '1-URGENT' then 4 when '2-HIGH' then 3 when '3-MEDIUM' then 2 when '5-LOW' then 1 end")
-    cve = t("orders").select(
+    cve = lambda: t("orders").select(
         key.alias("id"),
         F.concat(F.lit("CVE-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(key.cast("string"), 7, "0")).alias("cve_id"),
         (F.lit(1990) + key % 12).cast("int").alias("year"),
@@ -40,24 +49,24 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         F.when(key % 3 != 2, key % 3).cast("int").alias("ssvc_auto"),
         F.when(key % 7 < 5, key % 2).cast("int").alias("ssvc_impact"),
     )
-    items, part, supplier = t("lineitem"), t("part"), t("supplier")
+    items, part, supplier = (lambda: t("lineitem")), (lambda: t("part")), (lambda: t("supplier"))
     order, brand = F.col("l_orderkey").alias("cve_id"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
     kev_key = F.col("o_orderkey")
     return Corpus(
-        cve=cve,
-        cve_text=t("documents").select(F.col("doc_id").alias("cve_id"), F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("descr"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reason")),
-        cve_cwe=items.select(order, (F.col("l_suppkey") % 20).alias("cwe_id")).distinct(),
-        cve_ref=items.select(order, F.col("l_suppkey").alias("url_id")).distinct(),
-        cve_prod=items.groupBy(order, F.col("l_partkey").alias("product_id")).agg(F.min(F.expr("case l_returnflag when 'A' then 1 when 'R' then 3 end")).cast("int").alias("default_status")),
-        cve_ver=items.select(order, F.col("l_partkey").alias("product_id"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("status"), F.col("l_linenumber").cast("string").alias("version"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date").cast("string")).alias("lt"), F.lit(None).cast("string").alias("lte"), (F.col("l_linenumber") % 3).cast("long").alias("vtype")),
-        cna=t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
-        cwe=supplier.select((F.col("s_suppkey") % 20).alias("id")).distinct().select("id", F.concat(F.lit("CWE-"), F.col("id").cast("string")).alias("cwe"), F.concat(F.lit("Weakness "), F.col("id").cast("string")).alias("descr")),
-        vendor=part.select(brand.alias("id"), F.col("p_brand").alias("name")).distinct(),
-        product=part.select(F.col("p_partkey").alias("id"), brand.alias("vendor_id"), F.col("p_name").alias("name")),
-        host=t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
-        url=supplier.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_nationkey").cast("long").alias("host_id")),
-        vtype=spark.createDataFrame([(0, "semver"), (1, "custom"), (2, "git")], "id long, name string"),
-        kev=t("orders").filter(kev_key % 7 == 0).select(
+        cve=lambda: cve(),
+        cve_text=lambda: t("documents").select(F.col("doc_id").alias("cve_id"), F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("descr"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reason")),
+        cve_cwe=lambda: items().select(order, (F.col("l_suppkey") % 20).alias("cwe_id")).distinct(),
+        cve_ref=lambda: items().select(order, F.col("l_suppkey").alias("url_id")).distinct(),
+        cve_prod=lambda: items().groupBy(order, F.col("l_partkey").alias("product_id")).agg(F.min(F.expr("case l_returnflag when 'A' then 1 when 'R' then 3 end")).cast("int").alias("default_status")),
+        cve_ver=lambda: items().select(order, F.col("l_partkey").alias("product_id"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("status"), F.col("l_linenumber").cast("string").alias("version"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date").cast("string")).alias("lt"), F.lit(None).cast("string").alias("lte"), (F.col("l_linenumber") % 3).cast("long").alias("vtype")),
+        cna=lambda: t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        cwe=lambda: supplier().select((F.col("s_suppkey") % 20).alias("id")).distinct().select("id", F.concat(F.lit("CWE-"), F.col("id").cast("string")).alias("cwe"), F.concat(F.lit("Weakness "), F.col("id").cast("string")).alias("descr")),
+        vendor=lambda: part().select(brand.alias("id"), F.col("p_brand").alias("name")).distinct(),
+        product=lambda: part().select(F.col("p_partkey").alias("id"), brand.alias("vendor_id"), F.col("p_name").alias("name")),
+        host=lambda: t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
+        url=lambda: supplier().select(F.col("s_suppkey").alias("id"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_nationkey").cast("long").alias("host_id")),
+        vtype=lambda: spark.sql("SELECT * FROM VALUES (0L, 'semver'), (1L, 'custom'), (2L, 'git') AS t(id, name)"),
+        kev=lambda: t("orders").filter(kev_key % 7 == 0).select(
             F.concat(F.lit("CVE-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(kev_key.cast("string"), 7, "0")).alias("cve"),
             F.when(kev_key % 35 != 0, kev_key).alias("cve_id"),
             F.lit("v").alias("vendor"),
