@@ -211,3 +211,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_recompression": query}
+ORACLES = {
+    "op2_recompression": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) i FROM w),
+g AS (SELECT *, string_agg(word, ' ') OVER n gram, count(*) OVER n size FROM p WINDOW n AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT gram, min(doc_id) least FROM g WHERE size = 13 GROUP BY 1),
+c AS (SELECT g.doc_id, g.i, g.word, max(CASE WHEN size = 13 AND least < g.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY g.doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) gone FROM g LEFT JOIN f ON f.gram = g.gram AND size = 13),
+d AS (SELECT doc_id, count(*) n, sum(gone)::BIGINT r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) kept FROM c GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT n_words, coalesce(r, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN d ON d.doc_id = w.doc_id"""
+}

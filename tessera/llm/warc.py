@@ -170,3 +170,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_warc": query}
+_GROUPS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+ORACLES = {
+    "op5_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h, max(page_id) OVER (PARTITION BY coalesce(html, '')) top FROM pages)
+SELECT page_id, strlen(html)::BIGINT payload_bytes, {_GROUPS} payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END record_type, CASE WHEN page_id < top THEN top END refers_to FROM p"""
+}
