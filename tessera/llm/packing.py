@@ -29,7 +29,7 @@ from . import common
 
 CAPACITY = 4096
 END = 2
-SHARD_DOCS = 8192
+SHARD_DOCS = 4096
 VOCABULARY = "word_bpe_49k.json"
 LATIN = "\u0250"
 # The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100 on.
