@@ -19,7 +19,7 @@ this order, so
 No step makes all pairs of a group: in a group of like lines the first comparison settles both.
 Lines of up to three words are only similar when equal, and are grouped by the whole set.
 
-Defined cases: a line of fewer than MIN_WORDS words always stays; a null text is one empty line;
+Defined cases: a line of fewer than MIN_WORDS words (one without a word) always stays; a null text is one empty line;
 null doc_ids come after all others, equal doc_ids in the order of their texts; an empty table gives
 no rows; further columns are ignored.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import blocks, common
 
-SIMILARITY, MIN_WORDS = 0.8, 3
+SIMILARITY, MIN_WORDS = 0.8, 1
 SLOTS, SLICES = 1 << 20, 32
 CHUNK = 400_000
 #: Smaller blocks than elsewhere: lines are held as objects.

@@ -77,3 +77,9 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     assert sorted(map(tuple, lines.query(spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    rows = [(1, "a\n\nb c\n今日は良い天気です。\nx y"), (2, "A\n\nc b\n今日は良い天気です。\nx z"), (3, "b c\n \na\nnew")]
+    got = {r.doc_id: bytes(r.kept).decode() for r in lines.dedup(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\nx z", 3: " \nnew"}
