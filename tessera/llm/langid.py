@@ -10,6 +10,12 @@ ridge regression; ``predict`` scores every whole text with two matrix products a
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a label that is null
 is never learned; with no labelled row at all every text is ``und``; ties go to the label that
 sorts first; repeated rows and further columns change nothing.
+
+``clean`` rejects by what the model was fitted on.  A text is not language where fewer of its
+4-grams are found in any training row than ``MARGIN`` of the least that pieces of about its length
+have, each held against the other training rows only, or where letters are fewer of its bytes than
+``LETTERS`` of the least that a whole training row has.  So a text like those that have a label always stays, a
+short one is rejected only if its like never occurs, and few or odd training rows reject little.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from . import common
 #: The bound of the sample: rows a label, labels, and the bytes that a sampled text is fitted on.
 PER_LANGUAGE, LANGUAGES, FIT_BYTES = 200, 64, 4_000
 LANDMARKS, RIDGE, N_MAX, BUCKETS = 160, 0.05, 4, 1 << 13
+#: What ``clean`` allows for below the training rows, slots for their 4-grams, and the lengths (in 4-grams) that limits are set for.
+MARGIN, LETTERS, SLOTS, LENGTHS = 0.8, 0.5, 1 << 24, tuple(1 << k for k in range(2, 12))
 FOLDS = 5
 
 # What bytes become before n-grams are taken: A-Z lower case, other ASCII but letters a blank.
@@ -100,6 +108,57 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     return (presence(texts) @ model.landmarks) @ model.weights + model.bias
 
 
+def slots_of(text: bytes) -> np.ndarray:
+    """The hashed 4-grams of a text, folded as for the kernel, at each place that has a byte other than a blank."""
+    raw = _FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
+    raw = raw[np.r_[True, (raw[1:] != 32) | (raw[:-1] != 32)]].astype(np.uint32)
+    if len(raw) < 4:
+        return np.zeros(0, np.int64)
+    code = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
+    return ((code * np.uint32(0x9E3779B1)) >> np.uint32(33 - SLOTS.bit_length())).astype(np.int64)
+
+
+def letter_share(text: bytes) -> float:
+    """Letters (all bytes beyond ASCII among them) of the bytes that are not white space."""
+    raw = np.frombuffer(b"".join(text.split()), np.uint8)
+    return float((_FOLD[raw] != 32).mean()) if len(raw) else 0.0
+
+
+@dataclass(frozen=True)
+class Limits:
+    known: np.ndarray  # a bit for each slot
+    shares: np.ndarray  # the least share of known 4-grams for each of LENGTHS
+    letters: float
+
+    def told(self, text: bytes) -> bool:
+        if letter_share(text) < self.letters:
+            return False
+        at = slots_of(text)
+        if len(at) < LENGTHS[0]:
+            return True
+        share = (self.known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).mean()
+        return bool(share >= self.shares[np.searchsorted(LENGTHS, len(at), "right") - 1])
+
+
+def limits(texts: list[bytes]) -> Limits:
+    """Set from the training rows: of each length, the least over all their pieces."""
+    rows = [slots_of(t) for t in texts]
+    slot, many = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True)
+    bits = np.zeros(SLOTS, bool)
+    bits[slot] = True
+    least = np.ones(len(LENGTHS))
+    for at in rows:
+        other = np.r_[0, np.cumsum(many[np.searchsorted(slot, at)] > 1)]
+        for k, n in enumerate(LENGTHS):
+            if len(at) >= n:
+                starts = np.arange(0, len(at) - n + 1, max(1, n // 4))
+                least[k] = min(least[k], ((other[starts + n] - other[starts]) / n).min())
+        if len(at) >= LENGTHS[0]:  # the row as a whole
+            k = int(np.searchsorted(LENGTHS, len(at), "right")) - 1
+            least[k] = min(least[k], other[-1] / len(at))
+    return Limits(np.packbits(bits), MARGIN * np.minimum.accumulate(least[::-1])[::-1], LETTERS * min(map(letter_share, texts)))
+
+
 def training_rows(docs: DataFrame, per_label: int = PER_LANGUAGE, labels: int = LANGUAGES) -> DataFrame:
     """The bounded sample: of the most frequent labels, the texts with the least hashes."""
     known = docs.filter(F.col("lang").isNotNull()).select("lang", "text")
@@ -115,25 +174,29 @@ def training_rows(docs: DataFrame, per_label: int = PER_LANGUAGE, labels: int =
     return drawn.withColumn("k", rank).filter(F.col("k") <= per_label).select("lang", "text")
 
 
-def fit(docs: DataFrame) -> Model | None:
+def drawn(docs: DataFrame) -> list[tuple[str, str]]:
     common.prepare(docs.sparkSession)
-    rows = sorted((r["lang"], r["text"]) for r in training_rows(docs).collect())
+    return sorted((r["lang"], r["text"]) for r in training_rows(docs).collect())
+
+
+def fit(docs: DataFrame) -> Model | None:
+    rows = drawn(docs)
     return fit_rows([t.encode() for _, t in rows], [x for x, _ in rows]) if rows else None
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, lang_pred and score (the logistic of the best label's lead over the second)."""
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), rule: Limits | None = None) -> DataFrame:
+    """The columns ``keep``, lang_pred and score (the logistic of the best label's lead over the second); what ``rule`` rejects is und."""
     spark = docs.sparkSession
     common.prepare(spark)
-    shared = spark.sparkContext.broadcast(model)  # landmarks x buckets: its size is fixed by the parameters
+    shared = spark.sparkContext.broadcast((model, rule))  # landmarks x buckets: its size is fixed by the parameters
 
     def run(batches):
-        m = shared.value
+        m, limit = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 texts = common.column_bytes(part.column("__text"))
-                letters = np.fromiter(map(has_letter, texts), bool, len(texts))
+                letters = np.fromiter((has_letter(t) and (limit is None or limit.told(t)) for t in texts), bool, len(texts))
                 label, score = ["und"] * len(texts), np.zeros(len(texts))
                 if m is not None and letters.any():
                     s = scores(m, texts).astype(np.float64)
@@ -149,11 +212,13 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, as they are; where no row has a label to learn from, those with a letter."""
-    model = fit(docs)
-    if model is None:
+    """The documents whose language can be told and that are like the training rows, as they are; where no row has a label to learn from, those with a letter."""
+    rows = drawn(docs)
+    if not rows:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = predict(docs.select(F.struct("*").alias("__row"), "text"), model, ("__row",))
+    texts = [t.encode() for _, t in rows]
+    model = fit_rows(texts, [x for x, _ in rows])
+    told = predict(docs.select(F.struct("*").alias("__row"), "text"), model, ("__row",), limits(texts))
     return told.filter(F.col("lang_pred") != "und").select("__row.*")
 
 

@@ -56,3 +56,14 @@ def test_lang_of_predicted_rows_and_long_texts_do_not_matter(spark):
     model = langid.fit(docs)
     long = documents(spark, ["und das die der " * 100_000, "of the is and " * 100_000])
     assert [r.lang_pred for r in langid.predict(long, model).orderBy("doc_id").collect()] == ["de", "en"]
+
+
+def test_clean_rejects_what_is_no_language_and_keeps_short_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    some = lambda letters, n: "".join(rng.choice(list(letters), n))
+    junk = ["12 34 a 56 78 ...", "x" + "0123456789 " * 50, some("abcdefghijklmnopqrstuvwxyz    ", 300), some("QWERTYasdfgh0123456789+/", 2_000), some("абвгдежзийклмн    ", 200), "zq" * 100, "→ ★ " * 40]
+    planted = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(junk)], table.schema)
+    got = {r.doc_id for r in langid.clean(table.unionByName(planted)).collect()}
+    assert got == {r.doc_id for r in table.filter(r"text rlike '\\p{L}'").collect()}
+    assert table.filter("length(text) < 60").count() > 0
