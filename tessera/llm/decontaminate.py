@@ -1,21 +1,23 @@
 """Benchmark passages in documents, found by the q-gram lemma and verified by banded alignment.
 
-Texts are normalised (A-Z lower case, runs of white space one blank).  An item is cut into passages
-of LENGTH bytes, a new one every STRIDE bytes (an item of MIN_ITEM to LENGTH bytes is one passage),
-so a leak of LENGTH + STRIDE - 1 bytes holds a whole passage.  A document has a passage if some
-region of it is at most ``budget`` edits away: BUDGET of the passage's length.
+Texts are normalised (A-Z lower case, runs of white space one blank).  The passages of an item are
+its LENGTH bytes from every byte on, so each excerpt of LENGTH bytes is one, whatever its offset;
+an item of Q to LENGTH bytes is one passage.  A document has a passage if some region of it is at
+most ``budget`` edits away: BUDGET of the passage's length, rounded down (none
+below 16 bytes, where an edit may leave no q-gram).  LENGTH is the shortest
+excerpt of a longer item that is looked for.
 
 A passage of m bytes and a region within k edits share at least m - q + 1 - k q of the q-grams of
 the passage, on diagonals that differ by at most k.  So a stretch of a document is left alone if it
-has fewer q-grams of any item; in the others, hits are counted in overlapping bands of 2 (k + 1)
-diagonals for each passage, and bands that reach the bound are aligned in the band.
+has fewer q-grams of any item; in the others, hits are laid in overlapping bands of 2 (k + 1)
+diagonals for each item, and the passages that have the bound of them in a band are aligned in it.
 
 The items are broadcast in slices of at most SLICE_BYTES, whatever their number.
 
 Result of ``regions``: a row for each item and region (overlapping ones of an item joined): doc_id,
 item_id, start and stop (bytes of the document's UTF-8), passages, edits (of the best one).
 
-Defined cases: null and empty texts have no region; items that are null or shorter than MIN_ITEM
+Defined cases: null and empty texts have no region; items that are null or shorter than Q
 bytes when normalised are not looked for; repeated rows give their regions once each; a null doc_id
 is kept; empty tables give no rows; further columns are ignored.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import blocks, common
 
 Q = 8  # a q-gram is a number of 8 bytes
-LENGTH, STRIDE, MIN_ITEM, BUDGET = 80, 20, 32, 0.08
+LENGTH, BUDGET = 80, 0.08
 SLICE_BYTES = 4_000_000
 CHUNK = 400_000
 REGIONS = "doc_id long, row long, item_id long, start long, stop long, passages long, edits long"
@@ -50,21 +52,21 @@ def normalise(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def budget(length: int) -> int:
-    return int(BUDGET * length)
+    return min(int(BUDGET * length), max(0, (length - Q) // Q))
 
 
 def bound(length: int) -> int:
     return max(1, length - Q + 1 - budget(length) * Q)
 
 
+def whole(items: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The items that are looked for, normalised."""
+    found = [(item, normalise(text)[0].tobytes().strip()) for item, text in items]
+    return [(item, text) for item, text in found if len(text) >= Q]
+
+
 def passages(items: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    out = []
-    for item, text in items:
-        text = normalise(text)[0].tobytes().strip()
-        if len(text) >= MIN_ITEM:
-            last = max(0, len(text) - LENGTH)
-            out += [(item, text[a : a + LENGTH]) for a in dict.fromkeys([*range(0, last, STRIDE), last])]
-    return out
+    return [(item, text[a : a + LENGTH]) for item, text in whole(items) for a in range(max(0, len(text) - LENGTH) + 1)]
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -72,29 +74,31 @@ def _eight(raw: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """q-grams of passages: where each occurs."""
+    """q-grams of normalised items: where each occurs."""
 
     def __init__(self, found: list[tuple[int, bytes]]):
         self.items, self.texts = [i for i, _ in found], [t for _, t in found]
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        self.bounds = np.array([bound(len(t)) for t in self.texts], np.int64)
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.lengths = np.minimum(self.sizes, LENGTH)  # of the passages
+        self.budgets = np.array([budget(n) for n in self.lengths.tolist()], np.int64)
+        self.bounds = np.array([bound(n) for n in self.lengths.tolist()], np.int64)
         grams = [np.frombuffer(t, np.uint8) for t in self.texts]
         code = np.concatenate([_eight(g) for g in grams]) if grams else np.zeros(0, np.uint64)
-        passage = np.repeat(np.arange(len(grams)), np.maximum(self.lengths - Q + 1, 0))
+        item = np.repeat(np.arange(len(grams)), np.maximum(self.sizes - Q + 1, 0))
         place = np.concatenate([np.arange(len(g) - Q + 1) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(code, kind="stable")
-        self.code, self.passage, self.place = code[order], passage[order], place[order]
+        self.code, self.item, self.place = code[order], item[order], place[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self._slot(self.code)] = True
         self.least = int(self.bounds.min()) if grams else 1
-        self.window = int((self.lengths + np.array([budget(n) for n in self.lengths], np.int64)).max()) - Q + 1 if grams else 1
+        self.window = int((self.lengths + self.budgets).max()) - Q + 1 if grams else 1
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
     def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, passage, place in the passage) of q-grams in stretches that have enough of them."""
+        """(place in the text, item, place in the item) of q-grams in stretches that have enough of them."""
         none = (np.zeros(0, np.int64),) * 3
         code = _eight(text)
         if not len(code) or not len(self.code):
@@ -108,7 +112,7 @@ class Index:
         if not many.sum():
             return none
         which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.repeat(at, many), self.passage[which], self.place[which]
+        return np.repeat(at, many), self.item[which], self.place[which]
 
     def _dense(self, at: np.ndarray) -> np.ndarray:
         """Of these places those that lie with ``least`` of them in some window."""
@@ -135,54 +139,76 @@ def align(patterns: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return cost.min(1), cost.argmin(1)
 
 
-def _verify(index: Index, text: np.ndarray, found: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(passage, start, stop, edits) of the bands that hold; found: passages, first: first diagonal of each band."""
+def _candidates(index: Index, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, start in the item, first diagonal of the band) of the passages that have enough hits in a band."""
+    band = (at - place + (1 << 36)) // (index.budgets[item] + 1)  # diagonals may be negative
+    key = item.astype(np.int64) << 37 | band
+    key, place = np.r_[key, key - 1], np.r_[place, place]
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    item = key >> 37
+    last = np.arange(len(key)) + index.bounds[item] - 1
+    full = np.flatnonzero(last < len(key))
+    last = last[full]
+    span = (index.lengths - Q)[item]
+    good = (key[last] == key[full]) & (place[last] - place[full] <= span[full])
+    full, last = full[good], last[good]
+    key, item = key[full], item[full]
+    low = np.maximum(place[last] - span[full], 0)
+    high = np.minimum(place[full], (index.sizes - index.lengths)[item])
+    # Both rise within a band: what the one before has had already is left out.
+    again = np.flatnonzero(key[1:] == key[:-1]) + 1
+    low[again] = np.maximum(low[again], high[again - 1] + 1)
+    many = np.maximum(high - low + 1, 0)
+    start = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item, band = np.repeat(item, many), np.repeat(key & ((1 << 37) - 1), many)
+    return item, start, band * (index.budgets[item] + 1) - (1 << 36) + start
+
+
+def _verify(index: Index, text: np.ndarray, found: np.ndarray, begin: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(item, start in the item, start, stop, edits) of the passages that hold; first: first diagonal of each band."""
     out = []
     by_length = defaultdict(list)
     padded_at = 4 * LENGTH
     padded = np.r_[np.zeros(padded_at, np.uint8), text, np.zeros(padded_at, np.uint8)]
-    for p, d in zip(found.tolist(), first.tolist(), strict=True):
-        m, k = len(index.texts[p]), budget(len(index.texts[p]))
-        at = text[max(0, d - k) : max(0, d + 2 * (k + 1) + k + m)].tobytes().find(index.texts[p])
+    for p, s, d in zip(found.tolist(), begin.tolist(), first.tolist(), strict=True):
+        m, k = int(index.lengths[p]), int(index.budgets[p])
+        pattern = index.texts[p][s : s + m]
+        at = text[max(0, d - k) : max(0, d + 2 * (k + 1) + k + m)].tobytes().find(pattern)
         if at >= 0:
-            out.append((p, max(0, d - k) + at, max(0, d - k) + at + m, 0))
+            out.append((p, s, max(0, d - k) + at, max(0, d - k) + at + m, 0))
         elif k:
-            by_length[m].append((p, d))
+            by_length[m].append((p, s, d, pattern))
     for m, rows in by_length.items():
         k = budget(m)
         width = 2 * (k + 1) + 2 * k
         for a in range(0, len(rows), 2_000):
             part = rows[a : a + 2_000]
-            patterns = np.array([np.frombuffer(index.texts[p], np.uint8) for p, _ in part])
-            texts = np.array([padded[padded_at + d - k : padded_at + d - k + m + width - 1] for _, d in part])
+            patterns = np.array([np.frombuffer(x, np.uint8) for *_, x in part])
+            texts = np.array([padded[padded_at + d - k : padded_at + d - k + m + width - 1] for _, _, d, _ in part])
             edits, end = align(patterns, texts)
             back, start = align(patterns[:, ::-1], texts[:, ::-1])
-            for (p, d), e, c, s in zip(part, edits.tolist(), end.tolist(), start.tolist(), strict=True):
+            for (p, s, d, _), e, c, x in zip(part, edits.tolist(), end.tolist(), start.tolist(), strict=True):
                 if e <= k:
-                    low, high = d - k + (width - 1 - s), d - k + c + m
-                    out.append((p, max(0, low), min(len(text), max(high, low + m - k)), e))
+                    low, high = d - k + (width - 1 - x), d - k + c + m
+                    out.append((p, s, max(0, low), min(len(text), max(high, low + m - k)), e))
     return out
 
 
 def find(index: Index, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(item, start, stop, passages, edits) in a normalised text, which zero bytes may divide."""
-    at, passage, place = index.hits(text)
+    """(item, start, stop, passages, edits) in a normalised text, which zero bytes may divide; no region goes over one."""
+    at, item, place = index.hits(text)
     if not len(at):
         return []
-    width = np.array([budget(n) + 1 for n in index.lengths], np.int64)[passage]
-    band = (at - place + (1 << 36)) // width  # diagonals may be negative
-    key = passage.astype(np.int64) << 37 | band
-    key, many = np.unique(np.r_[key, key - 1], return_counts=True)
-    passage = key >> 37
-    enough = many >= index.bounds[passage]
-    passage, band = passage[enough], key[enough] & ((1 << 37) - 1)
-    width = np.array([budget(n) + 1 for n in index.lengths], np.int64)[passage]
-    good = _verify(index, text, passage, band * width - (1 << 36)) if len(passage) else []
+    zeros = np.r_[-1, np.flatnonzero(text == 0), len(text)]
     by_item = defaultdict(list)
-    for p, start, stop, edits in good:
-        by_item[index.items[p]].append((start, stop, p, edits))
+    for p, s, start, stop, edits in _verify(index, text, *_candidates(index, at, item, place)):
+        part = int(np.searchsorted(zeros, (start + stop) // 2, "right"))
+        start, stop = max(start, int(zeros[part - 1]) + 1), min(stop, int(zeros[min(part, len(zeros) - 1)]))
+        if start < stop:
+            by_item[index.items[p], part].append((start, stop, (p, s), edits))
     out = []
-    for item, rows in by_item.items():
+    for (item, _), rows in by_item.items():
         rows.sort()
         joined: list[list] = []
         for start, stop, p, edits in rows:
@@ -204,8 +230,8 @@ def _scan(shared):
             for a, b in blocks.chunks(texts, CHUNK):
                 parts = [normalise(t) for t in texts[a:b]]
                 starts = np.r_[0, np.cumsum([len(p) + 1 for p, _ in parts])]
-                whole = np.concatenate([x for p, _ in parts for x in (np.where(p == 0, 1, p).astype(np.uint8), np.zeros(1, np.uint8))])
-                for item, start, stop, n, edits in find(index, whole):
+                joined = np.concatenate([x for p, _ in parts for x in (np.where(p == 0, 1, p).astype(np.uint8), np.zeros(1, np.uint8))])
+                for item, start, stop, n, edits in find(index, joined):
                     i = int(np.searchsorted(starts, (start + stop) // 2, "right")) - 1
                     place = parts[i][1]
                     start, stop = max(0, start - int(starts[i])), min(len(place), stop - int(starts[i]))
@@ -225,8 +251,8 @@ def _drop(shared):
             for a, b in blocks.chunks(texts, CHUNK):
                 parts = [normalise(t)[0] for t in texts[a:b]]
                 starts = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
-                whole = np.concatenate([x for p in parts for x in (np.where(p == 0, 1, p).astype(np.uint8), np.zeros(1, np.uint8))])
-                for _, start, stop, _, _ in find(index, whole):
+                joined = np.concatenate([x for p in parts for x in (np.where(p == 0, 1, p).astype(np.uint8), np.zeros(1, np.uint8))])
+                for _, start, stop, _, _ in find(index, joined):
                     bad[a + int(np.searchsorted(starts, (start + stop) // 2, "right")) - 1] = True
             yield pa.RecordBatch.from_arrays([batch.column("__row").filter(pa.array(~bad))], ["__row"])
 
@@ -234,11 +260,11 @@ def _drop(shared):
 
 
 def slices(benchmark: DataFrame, size: int = SLICE_BYTES):
-    """Passages of the benchmark, in lists of about ``size`` bytes; the rows stream through the driver."""
+    """Items of the benchmark, normalised, in lists of about ``size`` bytes; the rows stream through the driver."""
     out, held = [], 0
     rows = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull()).orderBy("item_id", "text")
     for item, text in rows.toLocalIterator():
-        more = passages([(item, text.encode())])
+        more = whole([(item, text.encode())])
         out += more
         held += sum(len(t) for _, t in more)
         if held >= size:

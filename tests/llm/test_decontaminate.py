@@ -89,3 +89,18 @@ def test_query_finds_planted_items_and_no_clean_document(spark):
     items = [dc.normalise(r.text.encode())[0].tobytes().strip() for r in common.table(spark, sf, "benchmark").collect()]
     want = {d for d, t in docs.items() if any(i in t for i in items)}
     assert {r.doc_id for r in dc.query(spark, sf).collect()} == want
+
+
+def test_excerpts_at_every_offset_and_short_items(spark):
+    """Against plain edits of the excerpt that was planted, not of passages()."""
+    rng = random.Random(4)
+    item = "".join(rng.choice("abcdefghij klmno") for _ in range(300)).replace("  ", "xy").strip()
+    short = ["What is the capital of Peru?", "Name 3 primes."]
+    docs = [item[a : a + 80] for a in range(len(item) - 79)]
+    docs += ["zz " * 30 + edit(rng, item[a : a + 80], 3) + " zz" * 30 for a in range(0, len(item) - 79, 7)]
+    n = len(docs)
+    docs += ["zz what  is the\ncapital of peru? zz", "zz what is teh capital of peru? zz", "so name 3 primes. zz", "zz what is the capital? zz", "name 4 primes.", item[:40] + "zz"]
+    bench = spark.createDataFrame([(0, item), (1, short[0]), (2, short[1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.regions(documents(spark, docs), bench).collect()}
+    assert got == {(i, 0) for i in range(n)} | {(n, 1), (n + 1, 1), (n + 2, 2)}
+    assert [r.doc_id for r in dc.clean(documents(spark, docs), bench).orderBy("doc_id").collect()] == [n + 3, n + 4, n + 5]
