@@ -1,9 +1,15 @@
 """Blocks of documents that ask shards of a key space, without a shuffle row for each key.
 
-Documents lie in blocks by a hash of doc_id; a block deals its keys (64-bit names of pieces of
-text) to shards in arrays, one row a block and shard; a shard sees all documents that have a key
-and answers each block in the order in which it asked.  The shuffle of the texts by block is the
-same subplan each time, which Spark runs once and reuses.
+Documents lie in blocks by a hash of doc_id and text; a block deals what it asks, each thing once,
+to shards in arrays, one row a block and shard; a shard sees what all blocks dealt to it and
+answers each block in the order in which it asked.  As a block names a thing once, however many of
+its documents have it, what a third of all documents have is one entry a block in its shard.  The
+shuffle of the texts by block, and that of each kind of answers, is the same subplan each time,
+which Spark runs once and reuses.
+
+Defined cases: a null text is empty; rows with the same id, or with none, lie in different blocks
+unless their texts are equal too, and are ordered by the hash; a block without answers, and a table
+without rows, give empty results.
 """
 
 from __future__ import annotations
@@ -13,12 +19,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
-DEALT = "shard int, block int, docs binary, counts binary, keys binary, extra binary"
 ANSWER = "block int, shard int, answer binary"
-_DEALT = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("answer", pa.binary())])
 #: Stands for a null doc_id: after all others.
 NULL_ID = np.iinfo(np.int64).max
@@ -27,11 +32,15 @@ NULL_ID = np.iinfo(np.int64).max
 def in_order(docs: pa.Table) -> tuple[list[int], list[bytes], list[int]]:
     """doc_ids and texts of a block, always in the same order, and which rows they are."""
     ids = [NULL_ID if d is None else d for d in docs.column("doc_id").to_pylist()]
-    texts = common.unpacked(docs.column("text"))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    texts, h = common.unpacked(docs.column("text")), docs.column("h").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], h[i], texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order], order
 
 
+def shown_ids(ids: list[int]) -> pa.Array:
+    return pa.array([None if d == NULL_ID else d for d in ids], pa.int64())
+
+
 def chunks(texts: list[bytes], size: int):
     """Bounds of runs of texts of about ``size`` bytes."""
     at = 0
@@ -44,73 +53,103 @@ def chunks(texts: list[bytes], size: int):
         at = end
 
 
-def deal(block: int, keys: np.ndarray, docs: np.ndarray, shards: int, extra: np.ndarray | None = None, key_bytes: int = 8) -> pa.Table:
-    """Rows of DEALT.  Of each key ``key_bytes`` bytes are sent: 8, 6 where keys that agree there may be taken for equal, 0 where the extra tells the key."""
-    order, bounds = common.split_by(common.mix(keys), shards)
-    keys, docs = keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :key_bytes], docs[order]
-    extra = extra[order] if extra is not None else None
+def empty(schema: str) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+
+def dealt(*names: str) -> str:
+    """The schema of ``deal`` with these columns."""
+    return "shard int, block int, n int" + "".join(f", {n} binary" for n in names)
+
+
+def deal(block: int, route: np.ndarray, shards: int, names: tuple[str, ...], *columns: np.ndarray) -> pa.Table:
+    """What is asked, in rows of ``dealt(*names)``: the columns (arrays with a row for each entry, or lists of bytes) cut up by the shard that ``route`` (uint64) tells."""
+    kinds = [pa.int32()] * 3 + [pa.binary()] * len(names)
+    schema = pa.schema(list(zip(["shard", "block", "n", *names], kinds, strict=True)))
+    order, bounds = common.split_by(common.mix(route), shards)
+    columns = [c if isinstance(c, list) else np.ascontiguousarray(c[order]) for c in columns]
     rows = []
     for s in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[s], bounds[s + 1]
-        who, many = common.runs(docs[a:b])
-        rows.append((s, block, who.tobytes(), many.astype("<u4").tobytes(), keys[a:b].tobytes(), b"" if extra is None else extra[a:b].tobytes()))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DEALT, strict=True)], schema=_DEALT) if rows else _DEALT.empty_table()
+        a, b = int(bounds[s]), int(bounds[s + 1])
+        rows.append((s, block, b - a, *[_bytes(c[a:b]) if isinstance(c, np.ndarray) else b"\n".join([c[i] for i in order[a:b].tolist()]) for c in columns]))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+
+
+def _bytes(x: np.ndarray) -> bytes:
+    return (np.packbits(x) if x.dtype == bool else x).tobytes()
+
+
+def _from(raw: bytes, n: int, kind) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if kind is bool else np.frombuffer(raw, kind)
 
 
 class Shard:
-    """What the blocks dealt to one shard."""
-
-    def __init__(self, rows: pa.Table, extra: np.dtype | None = None, key_bytes: int = 8):
-        join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-        self.block, self.shard = rows.column("block").to_numpy(), rows.column("shard").to_numpy()
-        sent = join("keys", np.uint8).reshape(-1, key_bytes or 8)
-        keys = np.zeros((len(sent), 8), np.uint8)
-        keys[:, : sent.shape[1]] = sent
-        self.keys = keys.reshape(-1).view("<u8")
-        self.docs = np.repeat(join("docs", np.int64), join("counts", "<u4"))
-        self.extra = join("extra", extra) if extra is not None else None
-        column, each = ("keys", key_bytes) if key_bytes else ("extra", extra.itemsize)
-        sizes = np.array([len(k.as_buffer()) // each for k in rows.column(column)], np.int64)
-        self.bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    """What the blocks dealt to one shard: a property for each column of a kind (dtype; bytes: a list)."""
+
+    def __init__(self, rows: pa.Table, **kinds):
+        sizes = rows.column("n").to_numpy().astype(np.int64)
+        self.block, self.shard, self.bounds = rows.column("block").to_pylist(), rows.column("shard").to_pylist(), np.r_[0, np.cumsum(sizes)]
+        self.of = np.repeat(np.arange(len(sizes)), sizes)  # the row that each entry came with
+        for name, kind in kinds.items():
+            raw = rows.column(name).to_pylist()
+            if kind is bytes:
+                value = [x for r in raw for x in r.split(b"\n")]
+            else:
+                parts = [_from(r, n, kind) for r, n in zip(raw, sizes.tolist(), strict=True)]
+                value = np.concatenate(parts) if parts else np.zeros(0, kind)
+            setattr(self, name, value)
 
     def answers(self, of: Callable[[int, int], bytes]) -> pa.Table:
         """``of(a, b)``: the answer to the entries from a to b; an empty one isn't sent."""
-        rows = [(b, s, x) for b, s, lo, hi in zip(self.block.tolist(), self.shard.tolist(), self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True) if (x := of(lo, hi))]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER) if rows else _ANSWER.empty_table()
-
-
-def least_doc(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry the least and the greatest document that has its key."""
-    order = np.argsort(keys)
-    sorted_keys, d = keys[order], docs[order]
-    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    many = np.diff(np.r_[first, len(keys)])
-    low, high = np.empty_like(docs), np.empty_like(docs)
-    if len(keys):
-        low[order] = np.repeat(np.minimum.reduceat(d, first), many)
-        high[order] = np.repeat(np.maximum.reduceat(d, first), many)
-    return low, high
-
-
-def shared_bits(rows: pa.Table) -> pa.Table:
-    """Answers a bit for each key, sent with 6 bytes: whether two documents have it."""
-    s = Shard(rows, key_bytes=6)
-    low, high = least_doc(s.keys, s.docs)
-    flags = low != high
-    return s.answers(lambda a, b: np.packbits(flags[a:b]).tobytes() if flags[a:b].any() else b"")
-
-
-def asked(keys: np.ndarray, shards: int, answers: pa.Table) -> np.ndarray:
-    """The bits of ``shared_bits`` for keys that were dealt, in their order."""
-    order, bounds = common.split_by(common.mix(keys), shards)
-    flags = np.zeros(len(keys), bool)
-    for s, bits in zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True):
-        a, b = bounds[s], bounds[s + 1]
-        flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-    out = np.zeros(len(keys), bool)
-    out[order] = flags
+        return answer_table((b, s, of(lo, hi)) for b, s, lo, hi in zip(self.block, self.shard, self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True))
+
+
+def answer_table(rows) -> pa.Table:
+    rows = [r for r in rows if r[2]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER) if rows else _ANSWER.empty_table()
+
+
+def read(answers: list[dict], route: np.ndarray, shards: int, kind) -> np.ndarray:
+    """The answers to what was dealt by ``route``, in its order; zero where a shard sent none."""
+    order, bounds = common.split_by(common.mix(route), shards)
+    width = np.dtype(kind).subdtype[1] if np.dtype(kind).subdtype else ()
+    out = np.zeros((len(route), *width), np.dtype(kind).base)
+    for a in answers:
+        lo, hi = bounds[a["shard"]], bounds[a["shard"] + 1]
+        out[order[lo:hi]] = np.frombuffer(a["answer"], kind) if kind is not bool else _from(a["answer"], int(hi - lo), bool)
     return out
 
 
-def together(docs: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fn, schema)
+def together(docs: DataFrame, count: int, answers: dict[str, DataFrame], fn: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
+    """``fn`` with the rows of each block and, for each kind of answers, the list of those to the block; ``count``: of blocks.  The answers to a block are small against its texts."""
+    names, nothing = list(answers), empty(schema)
+    rows = docs.sparkSession.range(count).select(F.col("id").cast("int").alias("block"))
+    for name in names:  # left joins keep the partitioning by block
+        rows = rows.join(answers[name].groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias(name)), "block", "left")
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if not texts.num_rows:  # a block that no document fell into
+            return nothing
+        lists = {n: (found.column(n)[0].as_py() if found.num_rows else None) or [] for n in names}
+        return fn(texts, lists)
+
+    return docs.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(run, schema)
+
+
+NAMED = ("keys", "many")
+
+
+def shared(hot: int):
+    """A shard function that answers a byte for each key (6 bytes, and a bit that tells whether two documents of the block have it): 0 if one document has it, 1 if more have, 2 if more than ``hot`` blocks have it."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        s = Shard(rows, keys=np.dtype(("u1", 6)), many=bool)
+        _, at, blocks = np.unique(common.large(s.keys), return_inverse=True, return_counts=True)
+        several = np.bincount(at, s.many, len(blocks)) > 0
+        told = np.where(blocks > hot, 2, np.where(several | (blocks > 1), 1, 0)).astype(np.uint8)[at] if len(at) else np.zeros(0, np.uint8)
+        return s.answers(lambda a, b: told[a:b].tobytes() if told[a:b].any() else b"")
+
+    return run

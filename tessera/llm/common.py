@@ -41,12 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """This application's folder below the one that driver and executors share; a temporary one only in local mode, where there is one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return f"{at.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +55,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table that ``cut`` wrote, once nothing will read it any more."""
+    _delete(df.sparkSession, df.cut_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has cut; results that read it can't be computed any more."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -> int:
@@ -64,12 +82,15 @@ def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -
 
 
 def blocked(docs: DataFrame, blocks: int, rest: list[str] | None = None) -> DataFrame:
-    """doc_id, text (UTF-8, null: empty, compressed for the shuffle; ``unpacked`` reads it) and the block that a document belongs to; ``rest``: columns to carry along in a struct of that name."""
+    """doc_id, text (UTF-8, null: empty, compressed for the shuffle; ``unpacked`` reads it), h (a hash of both) and the block that a document belongs to; ``rest``: columns to carry along in a struct of that name.
+
+    Blocks are ranges of h, so rows of one id, or of none, spread over all blocks, and the order of blocks is that of h."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    ).withColumn("h", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("block", F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(blocks), 32).cast("int"))
     return rows.mapInArrow(_packed, ddl(rows))
 
 
@@ -159,6 +180,46 @@ def split_by(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return (tagged & np.uint64(0xFFFFFFFF)).astype(np.int64), bounds
 
 
+def classes(lanes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of equal rows of ``lanes`` (uint64, one row each): the class of each row, of each class the row with the least ``doc``, and whether another doc has it too.
+
+    Rows are ordered by a hash and then compared; if rows of one hash differ, they are ordered by all they hold."""
+    n = len(lanes)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    h = np.zeros(n, np.uint64)
+    for k in range(lanes.shape[1]):
+        h = combine(h, lanes[:, k], k)
+    order = np.lexsort((doc, h))
+    same = h[order[1:]] == h[order[:-1]]
+    equal = (lanes[order[1:]] == lanes[order[:-1]]).all(axis=1)
+    if (same & ~equal).any():
+        order = np.lexsort((doc, *lanes.T))
+        equal = (lanes[order[1:]] == lanes[order[:-1]]).all(axis=1)
+    first = np.flatnonzero(np.r_[True, ~equal])
+    of = np.empty(n, np.int64)
+    of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, n]))
+    last = np.r_[first[1:], n] - 1
+    return of, order[first], doc[order[first]] != doc[order[last]]
+
+
+def lanes_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of uint64, padded with zeros."""
+    out = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    out[:, : rows.shape[1]] = rows
+    return out.view("<u8")
+
+
+def small(x: np.ndarray, size: int) -> np.ndarray:
+    """The low bytes of uint64 numbers, a row each."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+
+
+def large(x: np.ndarray) -> np.ndarray:
+    """The numbers of ``small``."""
+    return lanes_of(x).reshape(-1)
+
+
 def runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run-length coding: the value of each run of equal values, and its length."""
     if not len(doc):
@@ -172,4 +233,7 @@ def ddl(df: DataFrame) -> str:
 
 
 def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return df.groupBy(key).applyInArrow(fn, schema)
+    def run(rows: pa.Table) -> pa.Table:  # of one argument, whatever ``fn`` may take besides
+        return fn(rows)
+
+    return df.groupBy(key).applyInArrow(run, schema)

@@ -9,26 +9,30 @@ table of 2^20 slots of their hashes, which is small enough to broadcast), then b
 similar lines of a and b words share one of the first n - ceil(SIMILARITY n) + 1 words of each in
 this order, so
 
-1. lines with the same text are one line, the first;
+1. lines with the same text are one line, the first: a block asks for each of its distinct lines
+   once, by 128 bits of a hash;
 2. each line goes to the groups of its prefix words with its size, the place of the word and a
-   128-bit picture of its set; the length filter, the positional filter and the difference of the
+   64-bit picture of its set; the length filter, the positional filter and the difference of the
    pictures tell which lines of a group may have a similar one there;
-3. only those go to the same groups again with their whole sets, where Jaccard is verified, the
-   closest in order first; a line that is removed is compared no further as the later one.
+3. only those go to the same groups again, word for word, where Jaccard is verified, the closest in
+   order first; a line that is removed is compared no further as the later one.
 
 No step makes all pairs of a group: in a group of like lines the first comparison settles both.
 Lines of up to three words are only similar when equal, and are grouped by the whole set.
 
 Defined cases: a line of fewer than MIN_WORDS words (one without a word) always stays; a null text is one empty line;
-null doc_ids come after all others, equal doc_ids in the order of their texts; an empty table gives
-no rows; further columns are ignored.
+null doc_ids come after all others, rows of equal doc_ids in the order of a hash of their texts; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,13 +46,12 @@ BLOCK_BYTES = 4_000_000
 KEPT = "doc_id long, n_lines long, n_removed long, kept binary"
 #: Lines that are made into sets at once; from FULL words on a size isn't told.
 LINES, FULL = 1 << 12, 65_535
-_PREFIX = np.dtype([("line", "<u4"), ("size", "<u2"), ("place", "<u2"), ("picture", "<u8", 2)])
-_LINE = np.dtype([("doc", "<i8"), ("line", "<u4"), ("size", "<u4")])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """A code from 0 to 4095 for each slot of the words' hashes that rises with how often they occur."""
+    """A code from 0 to 4095 for each slot of the words' hashes that rises with how often they occur.
 
+    Each task has one vector of all slots; these are added up in two steps, the first over about the root of the number of tasks."""
     def count(batches):
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
@@ -57,61 +60,64 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 words, _ = common.word_hashes(texts[a:b], lower=True)
                 counts += np.bincount((words & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), common.binaries(np.split(counts, SLICES))], ["slice", "counts"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([math.isqrt(part)] * SLICES, pa.int32()), common.binaries(np.split(counts, SLICES))], ["slice", "part", "counts"])
 
     def add(rows: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return rows.select(["slice", "counts"])
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("counts"))
-        return pa.table({"slice": rows.column("slice")[:1], "counts": common.binaries([total])})
+        total = np.zeros(SLOTS // SLICES, np.int64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"slice": rows.column("slice")[:1], "part": rows.column("part")[:1], "counts": common.binaries([total])})
 
     texts = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    parts = common.grouped(texts.mapInArrow(count, "slice int, counts binary"), "slice", add, "slice int, counts binary").collect()
+    kind = "slice int, part int, counts binary"
+    parts = common.grouped(texts.mapInArrow(count, kind).withColumn("both", F.struct("slice", "part")), "both", add, kind)
     counts = np.zeros(SLOTS, np.int64)
-    for r in parts:
+    for r in common.grouped(parts, "slice", add, kind).collect():
         counts[r["slice"] * (SLOTS // SLICES) : (r["slice"] + 1) * (SLOTS // SLICES)] = np.frombuffer(bytes(r["counts"]), np.int64)
     return np.minimum(4095, np.log2(counts + 1) * 100).astype(np.uint16)
 
 
 class Block:
-    """Lines of a block's documents, in order."""
+    """Lines of a block's documents, in order; equal ones, but those without a word, have the place of the first."""
 
     def __init__(self, docs: pa.Table):
         self.ids, self.texts, self.rows = blocks.in_order(docs)
         self.lines = [t.split(b"\n") for t in self.texts]
         self.starts = np.r_[0, np.cumsum([len(x) for x in self.lines])].astype(np.int64)
-        self.number = docs.column("block")[0].as_py() if docs.num_rows else 0
+        self.number = docs.column("block")[0].as_py()
         self.flat = [x for part in self.lines for x in part]
+        known: dict[bytes, int] = {}
+        self.first = np.fromiter((known.setdefault(x, i) for i, x in enumerate(self.flat)), np.int64, len(self.flat))
+        # The distinct lines that are compared.
+        self.known = np.fromiter((i for x, i in known.items() if len(x.split(None, MIN_WORDS)) >= MIN_WORDS), np.int64)
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.array(self.ids, np.int64), np.diff(self.starts))
 
-    def long(self) -> np.ndarray:
-        return np.fromiter((len(x.split(None, MIN_WORDS)) >= MIN_WORDS for x in self.flat), bool, len(self.flat))
+
+_TEXT = ("name", "doc", "line")
 
 
 def _ask(shards: int):
     """Which lines are the first with their text?"""
 
     def run(docs: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return blocks._DEALT.empty_table()
         b = Block(docs)
-        at = np.flatnonzero(b.long())
-        keys = np.fromiter((xxhash.xxh64_intdigest(b.flat[i]) for i in at.tolist()), np.uint64, len(at))
-        return blocks.deal(b.number, keys, b.docs()[at], shards, at.astype("<u4"))
+        name = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b.flat[i]) for i in b.known.tolist()]), "<u8").reshape(-1, 2)
+        return blocks.deal(b.number, name[:, 0], shards, _TEXT, name, b.docs()[b.known], b.known.astype("<u4"))
 
     return run
 
 
 def _firsts(rows: pa.Table) -> pa.Table:
     """Answers with the lines that are not."""
-    s = blocks.Shard(rows, np.dtype("<u4"))
-    order = np.lexsort((s.extra, s.docs, s.keys))
-    keys = s.keys[order]
-    first = np.ones(len(keys), bool)
-    first[order[1:][keys[1:] == keys[:-1]]] = False
-    return s.answers(lambda a, b: s.extra[a:b][~first[a:b]].tobytes())
+    s = blocks.Shard(rows, name=np.dtype(("<u8", 2)), doc=np.dtype("<i8"), line=np.dtype("<u4"))
+    block = np.array(s.block, np.int64)[s.of]
+    order = np.lexsort((s.line, block, s.doc, s.name[:, 1], s.name[:, 0]))
+    first = np.ones(len(order), bool)
+    first[order[1:][(s.name[order[1:]] == s.name[order[:-1]]).all(axis=1)]] = False
+    return s.answers(lambda a, b: s.line[a:b][~first[a:b]].tobytes())
 
 
 def sets_of(lines: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,11 +145,8 @@ def _lots(flat: list[bytes], which: np.ndarray):
 
 
 def pictures(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """128 bits for each set: whether an odd number of its words fall on the bit.  Two pictures differ in no more bits than the sets differ in words."""
-    bit = np.uint64(1) << (rank & np.uint64(63))
-    half = (rank >> np.uint64(6) & np.uint64(1)).astype(bool)
-    zero = np.uint64(0)
-    return np.c_[np.bitwise_xor.reduceat(np.where(half, zero, bit), starts[:-1]), np.bitwise_xor.reduceat(np.where(half, bit, zero), starts[:-1])]
+    """64 bits for each set: whether an odd number of its words fall on the bit.  Two pictures differ in no more bits than the sets differ in words."""
+    return np.bitwise_xor.reduceat(np.uint64(1) << (rank & np.uint64(63)), starts[:-1]) if len(rank) else np.zeros(0, np.uint64)
 
 
 def _prefixes(sizes: np.ndarray) -> np.ndarray:
@@ -163,38 +166,32 @@ def keys_of(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return line, key, place
 
 
-def _deal(number: int, keys: np.ndarray, shards: int, extra: np.ndarray) -> pa.Table:
-    """Rows of DEALT without documents; keys are 52 bits, of which the answers need all, so the 7 bytes that hold them are sent."""
-    order, bounds = common.split_by(common.mix(keys), shards)
-    extra, keys, out = extra[order], keys[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], []
-    for s in np.flatnonzero(np.diff(bounds)).tolist():
-        part = slice(bounds[s], bounds[s + 1])
-        out.append((s, number, b"", b"", keys[part].tobytes(), extra[part].tobytes()))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), blocks._DEALT, strict=True)], schema=blocks._DEALT) if out else blocks._DEALT.empty_table()
+_OFFER = ("key", "line", "size", "place", "picture")
+
+
+def _lines(answers: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(a["answer"] for a in answers), "<u4")
 
 
 def _offer(shared, shards: int):
     """First lines to the groups of their prefix words."""
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return blocks._DEALT.empty_table()
+    def run(docs: pa.Table, found: dict) -> pa.Table:
         b, codes = Block(docs), shared.value
-        mine = b.long()
-        mine[np.frombuffer(b"".join(answers.column("answer").to_pylist()), "<u4")] = False
+        mine = np.zeros(len(b.flat), bool)
+        mine[b.known] = True
+        mine[_lines(found["repeats"])] = False
         mine = np.flatnonzero(mine)
-        keys, extra = [], []
+        out = []
         for lo, hi in _lots(b.flat, mine):
             rank, starts = sets_of([b.flat[i] for i in mine[lo:hi].tolist()], codes)
             line, key, place = keys_of(rank, starts)
-            picture = pictures(rank, starts)
-            rows = np.zeros(len(line), _PREFIX)
-            rows["line"], rows["size"], rows["place"], rows["picture"] = mine[lo:hi][line], np.minimum(np.diff(starts)[line], FULL), np.minimum(place, FULL), picture[line]
-            keys.append(key)
-            extra.append(rows)
-        if not keys:
-            return blocks._DEALT.empty_table()
-        return _deal(b.number, np.concatenate(keys), shards, extra=np.concatenate(extra))
+            short = lambda x: np.minimum(x, FULL).astype("<u2")
+            out.append((key, mine[lo:hi][line].astype("<u4"), short(np.diff(starts)[line]), short(place), pictures(rank, starts)[line]))
+        if not out:
+            out = [(np.zeros(0, np.uint64), *[np.zeros(0, t) for t in ("<u4", "<u2", "<u2", "<u8")])]
+        key, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+        return blocks.deal(b.number, key, shards, _OFFER, common.small(key, 7), *rest)  # keys have 52 bits
 
     return run
 
@@ -204,11 +201,11 @@ _ASKED = np.dtype([("key", "<u8"), ("line", "<u4")])
 
 def _may_match(rows: pa.Table) -> pa.Table:
     """Answers with the (key, line) that may have a similar line in the group of the key."""
-    s = blocks.Shard(rows, _PREFIX, 7)
-    named = common.mix(s.keys) & ~np.uint64(FULL)
-    order = np.argsort(named | s.extra["size"].astype(np.uint64))
-    key, x = named[order], s.extra[order]
-    size, place, picture = x["size"].astype(np.int64), x["place"].astype(np.int64), x["picture"]
+    s = blocks.Shard(rows, key=np.dtype(("u1", 7)), line=np.dtype("<u4"), size=np.dtype("<u2"), place=np.dtype("<u2"), picture=np.dtype("<u8"))
+    keys = common.large(s.key)
+    order = np.lexsort((s.size, keys))
+    key, picture = keys[order], s.picture[order]
+    size, place = s.size[order].astype(np.int64), s.place[order].astype(np.int64)
     n = len(key)
     flagged = np.zeros(n, bool)
     group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if n else np.zeros(0, np.int64)
@@ -220,7 +217,7 @@ def _may_match(rows: pa.Table) -> pa.Table:
         j = i + d
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-9)
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        good &= np.bitwise_count(picture[i] ^ picture[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
+        good &= np.bitwise_count(picture[i] ^ picture[j]) <= size[i] + size[j] - 2 * need
         good |= size[j] == FULL
         flagged[i[good]] = True
         flagged[j[good]] = True
@@ -231,47 +228,46 @@ def _may_match(rows: pa.Table) -> pa.Table:
     found = np.zeros(n, bool)
     found[order] = flagged
     out = np.zeros(n, _ASKED)
-    out["key"], out["line"] = s.keys, s.extra["line"]
+    out["key"], out["line"] = keys, s.line
     return s.answers(lambda a, b: out[a:b][found[a:b]].tobytes())
 
 
-def _show(shared, shards: int):
-    """The whole sets of those lines to the same groups."""
+_SHOW = ("key", "doc", "line", "which", "text")
 
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or not answers.num_rows:
-            return blocks._DEALT.empty_table()
-        b, codes = Block(docs), shared.value
-        asked = np.frombuffer(b"".join(answers.column("answer").to_pylist()), _ASKED)
-        lines, at = np.unique(asked["line"], return_inverse=True)
-        parts = [sets_of([b.flat[i] for i in lines[lo:hi].tolist()], codes) for lo, hi in _lots(b.flat, lines)]
-        rank, sizes = np.concatenate([r for r, _ in parts]), np.concatenate([np.diff(x) for _, x in parts])
-        starts = np.r_[0, np.cumsum(sizes)]
-        docs_of = b.docs()[lines]
+
+def _show(shards: int):
+    """Those lines to the same groups, word for word; a line goes to a shard once, for all its groups there."""
+
+    def run(docs: pa.Table, found: dict) -> pa.Table:
+        b = Block(docs)
+        asked = np.frombuffer(b"".join(a["answer"] for a in found["offers"]), _ASKED)
         order, bounds = common.split_by(common.mix(asked["key"]), shards)
-        out = []
+        lines, doc, rows = asked["line"].astype(np.int64), b.docs(), []
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             o = order[bounds[s] : bounds[s + 1]]
-            which = at[o]
-            head = np.zeros(len(o), _LINE)
-            head["doc"], head["line"], head["size"] = docs_of[which], lines[which], sizes[which]
-            n = sizes[which]
-            words = rank[np.repeat(starts[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            out.append((s, b.number, head.tobytes(), words.astype("<u4").tobytes(), asked["key"][o].tobytes(), (words >> np.uint64(32)).astype("<u1").tobytes()))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), blocks._DEALT, strict=True)], schema=blocks._DEALT)
+            own, which = np.unique(lines[o], return_inverse=True)
+            text = b"\n".join([b" ".join(dict.fromkeys(b.flat[i].lower().split())) for i in own.tolist()])
+            rows.append((s, b.number, len(o), asked["key"][o].tobytes(), doc[lines[o]].tobytes(), asked["line"][o].tobytes(), which.astype("<u4").tobytes(), text))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), nothing.schema, strict=True)], schema=nothing.schema) if rows else nothing
 
+    nothing = blocks.empty(blocks.dealt(*_SHOW))
     return run
 
 
 def _similar(rows: pa.Table) -> pa.Table:
     """Answers with the lines that have an earlier similar one."""
-    join = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), t)
-    keys, head = join("keys", np.uint64), join("docs", _LINE)
-    words = join("counts", "<u4").astype(np.uint64) | join("extra", "<u1").astype(np.uint64) << np.uint64(32)  # 40 bits of each word's hash
-    starts = np.r_[0, np.cumsum(head["size"])].astype(np.int64)
-    sizes = head["size"].astype(np.int64)
-    order = np.lexsort((head["line"], head["doc"], keys))
-    key = keys[order]
+    s = blocks.Shard(rows, key=np.dtype("<u8"), doc=np.dtype("<i8"), line=np.dtype("<u4"), which=np.dtype("<u4"))
+    names: dict[bytes, int] = {}
+    texts = [x.split(b"\n") for x in rows.column("text").to_pylist()]
+    sets = [[names.setdefault(w, len(names)) for w in x.split()] for part in texts for x in part]
+    text = (np.cumsum([0] + [len(x) for x in texts])[:-1])[s.of] + s.which  # the set of each entry
+    del texts
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.r_[0, np.cumsum(sizes)]
+    words = np.fromiter((w for x in sets for w in x), np.uint64, int(starts[-1]))
+    del sets
+    order = np.lexsort((s.line, np.array(s.block, np.int64)[s.of], s.doc, s.key))
+    key = s.key[order]
     n = len(key)
     gone = np.zeros(n, bool)  # by place in the order
     i, d = np.arange(n), 1
@@ -279,13 +275,12 @@ def _similar(rows: pa.Table) -> pa.Table:
         i = i[i + d < n]
         i = i[key[i] == key[i + d]]
         todo = i[~gone[i + d]]
-        a, b = order[todo], order[todo + d]
+        a, b = text[order[todo]], text[order[todo + d]]
         fit = np.minimum(sizes[a], sizes[b]) >= SIMILARITY * np.maximum(sizes[a], sizes[b]) - 1e-9
         todo, a, b = todo[fit], a[fit], b[fit]
-        for lo in range(0, len(a), 20_000):
-            same = _overlap(words, starts, a[lo : lo + 20_000], b[lo : lo + 20_000])
-            total = sizes[a[lo : lo + 20_000]] + sizes[b[lo : lo + 20_000]]
-            gone[todo[lo : lo + 20_000][same >= SIMILARITY * (total - same) - 1e-9] + d] = True
+        for lo, hi in _bounded(sizes[a] + sizes[b]):
+            same, total = _overlap(words, starts, a[lo:hi], b[lo:hi]), sizes[a[lo:hi]] + sizes[b[lo:hi]]
+            gone[todo[lo:hi][same >= SIMILARITY * (total - same) - 1e-9] + d] = True
         # A group is done when all but its first line are gone.
         left = np.flatnonzero(~gone)
         last = np.searchsorted(key[left], key[i], "right")
@@ -293,17 +288,14 @@ def _similar(rows: pa.Table) -> pa.Table:
         d += 1
     late = np.zeros(n, bool)
     late[order] = gone
-    return _answers(rows, head["line"], late)
+    return s.answers(lambda a, b: s.line[a:b][late[a:b]].tobytes())
 
 
-def _answers(rows: pa.Table, line: np.ndarray, late: np.ndarray) -> pa.Table:
-    out, at = [], 0
-    for b, s, k in zip(rows.column("block").to_pylist(), rows.column("shard").to_pylist(), rows.column("keys"), strict=True):
-        end = at + len(k.as_buffer()) // 8
-        if late[at:end].any():
-            out.append((b, s, line[at:end][late[at:end]].tobytes()))
-        at = end
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), blocks._ANSWER, strict=True)], schema=blocks._ANSWER) if out else blocks._ANSWER.empty_table()
+def _bounded(work: np.ndarray, most: int = 4_000_000):
+    """Bounds of runs of about so much work."""
+    lot = np.cumsum(work) // most
+    cuts = np.r_[0, np.flatnonzero(lot[1:] != lot[:-1]) + 1, len(work)]
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if len(work) else ()
 
 
 def _overlap(words: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -316,17 +308,23 @@ def _overlap(words: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray
     return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(a))
 
 
-def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _remove(docs: pa.Table, found: dict) -> pa.Table:
     b = Block(docs)
-    gone = np.zeros(len(b.flat), bool)
-    gone[np.frombuffer(b"".join(answers.column("answer").to_pylist()), "<u4")] = True
+    gone = b.first != np.arange(len(b.flat))  # equal to an earlier line of the block, or to one that goes
+    worded = np.zeros(len(b.flat), bool)
+    worded[b.known] = True
+    gone &= worded[b.first]
+    first = np.zeros(len(b.flat), bool)
+    first[_lines(found["repeats"])] = True
+    first[_lines(found["similar"])] = True
+    gone |= first[b.first]
     removed, kept = [], []
     for t, lines, s in zip(b.texts, b.lines, b.starts.tolist(), strict=False):
         g = gone[s : s + len(lines)]
         removed.append(int(g.sum()))
         kept.append(b"\n".join(x for x, y in zip(lines, g.tolist(), strict=True) if not y) if removed[-1] else t)
     rest = {"rest": docs.column("rest").take(pa.array(b.rows, pa.int64()))} if "rest" in docs.column_names else {}
-    return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_lines": pa.array([len(x) for x in b.lines], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())} | rest)
+    return pa.table({"doc_id": blocks.shown_ids(b.ids), "n_lines": pa.array([len(x) for x in b.lines], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())} | rest)
 
 
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: list[str] | None = None) -> DataFrame:
@@ -336,11 +334,13 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rest: list[str] | Non
     shards = -(-count // 4)
     codes = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     texts = common.blocked(docs, count, rest)
-    repeats = common.grouped(common.grouped(texts, "block", _ask(shards), blocks.DEALT), "shard", _firsts, blocks.ANSWER)
-    offers = blocks.together(texts, repeats, _offer(codes, shards), blocks.DEALT)
-    shows = blocks.together(texts, common.grouped(offers, "shard", _may_match, blocks.ANSWER), _show(codes, shards), blocks.DEALT)
-    similar = common.grouped(shows, "shard", _similar, blocks.ANSWER)
-    return blocks.together(texts, repeats.unionByName(similar), _remove, KEPT + (f", rest {docs.select(F.struct(*[F.col(f'`{c}`') for c in rest]).alias('s')).schema['s'].dataType.simpleString()}" if rest else ""))
+    repeats = common.grouped(common.grouped(texts, "block", _ask(shards), blocks.dealt(*_TEXT)), "shard", _firsts, blocks.ANSWER)
+    offered = blocks.together(texts, count, {"repeats": repeats}, _offer(codes, shards), blocks.dealt(*_OFFER))
+    offers = common.grouped(offered, "shard", _may_match, blocks.ANSWER)
+    shown = blocks.together(texts, count, {"offers": offers}, _show(shards), blocks.dealt(*_SHOW))
+    similar = common.grouped(shown, "shard", _similar, blocks.ANSWER)
+    kept = KEPT + (f", rest {docs.select(F.struct(*[F.col(f'`{c}`') for c in rest]).alias('s')).schema['s'].dataType.simpleString()}" if rest else "")
+    return blocks.together(texts, count, {"repeats": repeats, "similar": similar}, _remove, kept)
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -10,10 +10,20 @@ searches it and not to all workers, as together the trees grow with the corpus a
 A search leaves out subtrees that the query is joined with already, so a dense group costs no
 square of its size; what leaves a shard is a star for each of its groups, never all pairs.
 
+``clean`` keeps one document of each group of near-duplicates: documents are linked if their sets
+of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY.  At 0.8 fingerprints are about
+10 bits apart (3 more or less), so candidates come from a radius of NEAR_RADIUS in trees of those
+that agree on NEAR_AGREE of NEAR_BANDS bands, for each of NEAR_SEEDS independent fingerprints.  A
+tree offers a minimum spanning forest of what it has within the radius, and each edge is verified on
+the shingles of the whole texts before groups are made.  So a group costs as many verifications as it has members in
+a tree, not their square.  A link is lost where no tree has both, or where in all trees that have
+them the two are joined by closer pairs of which one fails.  Texts of one fingerprint are one group.
+
 Defined cases: a text that is null or has no word has fingerprint zero and is linked like any
 other; a text of fewer words than a shingle is one shingle; null doc_ids take part but are no
-component_id (null if a component has no other); repeated rows are equal copies; an empty table
-gives no rows; further columns are ignored.  doc_ids must lie below 2^62.
+component_id (null if a component has no other); repeated rows are equal copies; rows of one doc_id
+with unlike texts are linked with what their texts are like, not with each other; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,37 +40,59 @@ from . import common
 from .components import components
 
 SEED, WORDS, RADIUS, BANDS = 42, 4, 4, 6
+#: Of near-duplicates: words of a shingle, similarity, and what finds the candidates.
+NEAR_WORDS, SIMILARITY = 5, 0.8
+NEAR_RADIUS, NEAR_BANDS, NEAR_AGREE, NEAR_SEEDS = 14, 8, 2, 3
 #: Fingerprints that a shard holds on average.
 SHARD_ROWS = 300_000
-NO_ID = 1 << 62
+STEP = 200_000  # queries at a time
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Unsigned; the text is lower-cased (A-Z) here."""
+def hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle of a text, which is lower-cased (A-Z) here."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(found) - words + 1)
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    counts = bits.sum(axis=0, dtype=np.int32) if n < 4096 else sum(bits[k : k + 4096].sum(axis=0, dtype=np.int32) for k in range(0, n, 4096))
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)]), ">u8").astype(np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    n = len(found)
+    counts = np.zeros(64, np.int64)
+    for k in range(0, n, 4096):
+        part = found[k : k + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Unsigned."""
+    return majority(hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seeds: int = 1) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long); with more seeds also row (a hash of the text) and fp1 and so on, independent fingerprints of the same shingles."""
     common.prepare(docs.sparkSession)
+    names = ["fp", *[f"fp{k}" for k in range(1, seeds)]]
+    extra = ["row"] * (seeds > 1)
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in common.column_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.zeros((len(names), batch.num_rows), np.uint64)
+            for i, t in enumerate(common.column_bytes(batch.column("text"))):
+                h = hashes(t, words)
+                for k in range(seeds):
+                    found[k, i] = majority(common.mix(h + np.uint64(k)) if k else h)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ["doc_id", *extra]] + [pa.array(f.view(np.int64)) for f in found], ["doc_id", *extra, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = placed(docs).select(F.col("__id").alias("doc_id"), *[F.col("__row").alias(c) for c in extra], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in [*extra, *names]))
 
 
 def masks(radius: int = RADIUS, bands: int = BANDS) -> list[int]:
@@ -113,9 +145,8 @@ class Forest:
             np.minimum.at(low, self.parent[nodes], low[nodes])
             np.maximum.at(high, self.parent[nodes], high[nodes])
         found = [self.links]
-        step = 200_000
-        for a in range(0, n, step):
-            query = np.arange(a, min(n, a + step))
+        for a in range(0, n, STEP):
+            query = np.arange(a, min(n, a + STEP))
             node = self.root[query]
             while len(query):
                 open_ = (low[node] != label[query]) | (high[node] != label[query])
@@ -131,6 +162,78 @@ class Forest:
         return merged(n, np.concatenate(found))
 
 
+    def spanning(self) -> np.ndarray:
+        """Pairs within the radius that join all that are joined by any: the closest first, as many as there are places less groups."""
+        n = len(self.fp)
+        label, out = np.arange(n), []
+        whole = self.radius
+        for r in sorted({*range(0, whole, 4), whole}):
+            self.radius = r
+            # Until nothing new is found: what a wave finds is taken only where it joins two groups.
+            found = self._pairs(label, r)
+            if not len(found):
+                continue
+            d = np.bitwise_count(self.fp[found[:, 0]] ^ self.fp[found[:, 1]])
+            found = found[np.argsort(d, kind="stable")]
+            taken = kruskal(label, found)
+            out.append(taken)
+            label = merged(n, np.concatenate(out))
+        self.radius = whole
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+    def _pairs(self, label: np.ndarray, radius: int) -> np.ndarray:
+        """Pairs within the radius of different labels."""
+        n = len(self.fp)
+        low, high = label.copy(), label.copy()  # over whole subtrees
+        for nodes in self.levels[:0:-1]:
+            np.minimum.at(low, self.parent[nodes], low[nodes])
+            np.maximum.at(high, self.parent[nodes], high[nodes])
+        out = []
+        for a in range(0, n, STEP):
+            query = np.arange(a, min(n, a + STEP))
+            node = self.root[query]
+            while len(query):
+                open_ = (low[node] != label[query]) | (high[node] != label[query])
+                query, node = query[open_], node[open_]
+                d = np.bitwise_count(self.fp[query] ^ self.fp[node]).astype(np.int64)
+                near = (d <= radius) & (label[query] != label[node]) & (query > node)
+                if near.any():
+                    # Of those of a query the closest one to each group.
+                    out.append(closest(query[near], node[near], d[near], label))
+                lo = np.searchsorted(self.slot, node * 65 + np.maximum(d - radius, 0), "left")
+                hi = np.searchsorted(self.slot, node * 65 + np.minimum(d + radius, 64), "right")
+                many = hi - lo
+                query = np.repeat(query, many)
+                node = self.child[np.repeat(lo, many) + np.arange(len(query)) - np.repeat(np.cumsum(many) - many, many)]
+        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def closest(query: np.ndarray, node: np.ndarray, d: np.ndarray, label: np.ndarray) -> np.ndarray:
+    order = np.lexsort((d, label[node], query))
+    q, g = query[order], label[node[order]]
+    return np.c_[query, node][order[np.r_[True, (q[1:] != q[:-1]) | (g[1:] != g[:-1])]]]
+
+
+def kruskal(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of these pairs, in this order, those that join two groups."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            if up[x] in up:
+                up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        x, y = top(int(label[a])), top(int(label[b]))
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def merged(n: int, pairs: np.ndarray) -> np.ndarray:
     """Labels of connected components: the least index of each."""
     label = np.arange(n)
@@ -163,7 +266,7 @@ def _deal(shards: int, chosen: list[int]):
     return run
 
 
-def _search(radius: int, chosen: list[int]):
+def _search(radius: int, chosen: list[int], forest: bool = False):
     def run(rows: pa.Table) -> pa.Table:
         u, v = [], []
         choice = rows.column("choice").to_numpy() if rows.num_rows else np.zeros(0, np.int32)
@@ -178,25 +281,45 @@ def _search(radius: int, chosen: list[int]):
             same[1:] = key[1:] == key[:-1]
             same[:-1] |= same[1:]
             key, fp, vertex = key[same], fp[same], vertex[same]
-            label = Forest(key, fp, radius).groups()
-            joined = np.flatnonzero(label != np.arange(len(label)))
-            u.append(vertex[joined])
-            v.append(vertex[label[joined]])
+            trees = Forest(key, fp, radius)
+            if forest:
+                pairs = trees.spanning()
+            else:
+                label = trees.groups()
+                joined = np.flatnonzero(label != np.arange(len(label)))
+                pairs = np.c_[joined, label[joined]]
+            u.append(vertex[pairs[:, 0]])
+            v.append(vertex[pairs[:, 1]])
         return pa.table({"u": np.concatenate([*u, np.zeros(0, np.int64)]), "v": np.concatenate([*v, np.zeros(0, np.int64)])})
 
     return run
 
 
-def link(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """prints: doc_id, fp.  One row (fp, component_id) for each fingerprint."""
-    vertices = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))).alias("vertex")), "vertices")
-    chosen = masks(radius, bands)
+def search(vertices: DataFrame, column: str, radius: int, bands: int, agree: int, shard_rows: int, forest: bool = False) -> DataFrame:
+    """Links (u, v: fingerprints ``fp``) among the values of ``column``, which is ``fp`` or another fingerprint of the same texts."""
+    chosen = masks(bands - agree, bands)
     shards = max(1, -(-vertices.count() * len(chosen) // shard_rows))
-    dealt = vertices.mapInArrow(_deal(shards, chosen), "shard int, choice int, fps binary, vertices binary")
-    edges = common.grouped(dealt, "shard", _search(radius, chosen), "u long, v long")
-    roots = components(edges)
-    joined = vertices.join(roots, "vertex", "left")
-    return common.cut(joined.select("fp", F.coalesce("root", "vertex").alias("c")).select("fp", F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id")), "components")
+    dealt = vertices.select(F.col(column).alias("fp"), F.col("fp").alias("vertex")).mapInArrow(_deal(shards, chosen), "shard int, choice int, fps binary, vertices binary")
+    return common.grouped(dealt, "shard", _search(radius, chosen, forest), "u long, v long")
+
+
+def joined(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (fp, group: the least fingerprint linked with it, component_id) for each of ``vertices`` (fp, least: the least doc_id that has it): the least doc_id of all that it is linked with.
+
+    Components are of fingerprints; whose doc_ids they have is looked up afterwards, so rows of one doc_id link nothing."""
+    roots = common.cut(components(edges), "roots")  # of all but the roots themselves
+    own = roots.select("root").distinct().select(F.col("root").alias("vertex"), "root")
+    member = roots.unionByName(own)
+    least = member.join(vertices.select(F.col("fp").alias("vertex"), "least"), "vertex").groupBy("root").agg(F.min("least").alias("component_id"))
+    found = member.join(least, "root").select(F.col("vertex").alias("fp"), "root", "component_id")
+    out = vertices.join(found, "fp", "left")
+    return common.cut(out.select("fp", F.coalesce("root", "fp").alias("group"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
+
+
+def link(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """prints: doc_id, fp.  One row (fp, component_id) for each fingerprint; exact, as two fingerprints within the radius agree on bands - radius bands."""
+    vertices = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
+    return joined(vertices, search(vertices, "fp", radius, bands, bands - radius, shard_rows)).select("fp", "component_id")
 
 
 def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -206,22 +329,82 @@ def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
     return prints.join(link(prints, radius), "fp")
 
 
-def clean(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group, as it is: that with the least doc_id, of equal ones the one with the least text; of a group without ids one of each fingerprint."""
-    common.prepare(docs.sparkSession)
-    prints = common.cut(fingerprints(docs, words), "prints")
-    linked = link(prints, radius)
-    stay = linked.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("doc_id")).distinct()
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    row = F.struct("text", *[F.col(f"`{c}`") for c in columns])
-    kept = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("__row"))
-    # Rows without an id: the fingerprint tells the group.
-    nameless = docs.filter(F.col("doc_id").isNull())
-    if not nameless.isEmpty():
-        ids = nameless.withColumn("doc_id", F.xxhash64("text")).dropDuplicates(["doc_id"])
-        alone = fingerprints(ids, words).join(linked.filter(F.col("component_id").isNull()), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-        kept = kept.unionByName(ids.join(alone, "doc_id", "left_semi").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), row.alias("__row")))
-    return kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`") for c in docs.columns])
+# --- near-duplicates by similarity -------------------------------------------------------------------
+
+
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(hashes(text, words))
+
+
+def _sketches(words: int):
+    def run(batches):
+        for batch in batches:
+            found = [shingle_hashes(t, words).tobytes() for t in common.column_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], ["fp", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = same >= similarity * (len(x) + len(y) - same) - 1e-9
+            out = batch.select(["u", "v"]).filter(pa.array(keep))
+            if out.num_rows:
+                yield out
+
+    return run
+
+
+def similar(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, seeds: int = NEAR_SEEDS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Groups of documents whose shingles have a Jaccard similarity of ``similarity``: doc_id, row (a hash), fp of all rows, and fp, group, component_id of all fingerprints.
+
+    Candidates are fingerprints within a wide radius, of ``seeds`` independent ones, that agree on
+    NEAR_AGREE of NEAR_BANDS bands.  Each tree gives the least edges that join all that it has
+    within the radius, the closest first, and only those are verified on the whole texts."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    prints = common.cut(fingerprints(docs, words, seeds), "prints")
+    first = [F.min(F.struct("doc_id", "row")).alias("one")]
+    vertices = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("named"), *first, *[F.first(f"fp{k}").alias(f"fp{k}") for k in range(1, seeds)]).withColumn("one", F.coalesce("named", "one")).drop("named"), "vertices")
+    edges = None
+    for k in range(seeds):
+        found = search(vertices, f"fp{k}" if k else "fp", radius, NEAR_BANDS, NEAR_AGREE, shard_rows, forest=True)
+        edges = found if edges is None else edges.unionByName(found)
+    edges = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+    # The shingles of one text of each fingerprint that has a candidate.
+    wanted = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
+    chosen = vertices.join(wanted, "fp", "left_semi").select("fp", "one.doc_id", "one.row")
+    texts = placed(docs).select("__id", "__row", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    sketch = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["__id"]) & (chosen["row"] == texts["__row"])).select("fp", "text")
+    sketch = common.cut(sketch.mapInArrow(_sketches(words), "fp long, shingles binary").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
+    pairs = edges.join(sketch.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sketch.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    alike = common.cut(pairs.select("u", "v", "a", "b").mapInArrow(_alike(similarity), "u long, v long"), "alike")
+    return prints, joined(vertices, alike)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Documents with their id as a long and a hash that tells rows of one id apart."""
+    return docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def clean(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+    """One document of each group of near-duplicates, as it is: that with the least doc_id (null after all others), of equal ids the one with the least hash of its text, of equal rows one."""
+    prints, linked = similar(docs, words, similarity, radius)
+    # Rows of one id may be in several groups, so the group is named by its least row.
+    roots = linked.select("fp", "group")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stay = prints.join(roots, "fp").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("s_id"), F.col("first.row").alias("s_row")).distinct()
+    rows = placed(docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = rows.join(stay, rows["__id"].eqNullSafe(stay["s_id"]) & (rows["__row"] == stay["s_row"]), "left_semi")
+    # Rows that are equal in id and text are one document.
+    return kept.groupBy("__id", "__row").agg(F.min(F.struct(*columns)).alias("__kept")).select(*[F.col(f"__kept.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,21 @@ Every byte is covered that lies in a string of ``LENGTH`` bytes that also starts
 a smaller doc_id; covered bytes go.  Strings are judged on the input.
 
 The suffixes to be sorted are sparse.  Each string of ``LENGTH`` bytes has an anchor, the q-gram of
-least hash in it, so equal strings have the same anchor at the same place.  Anchors fall into
-q-gram buckets; buckets that only one document has are left alone.  The suffixes that start up to
-``LENGTH - Q`` bytes before the other anchors are refined, bucket by bucket: the bucket identifier
-of a suffix at depth 8 is its first 8 bytes; at depth 16 it is made of those at offsets 0 and 8, at
-depth 32 of the ones just made at offsets 0 and 16, and at full depth of those at 0 and
-``LENGTH - 32``; sorting on it leaves the suffixes that agree on all ``LENGTH`` bytes side by side.
-Identifiers are 64-bit hashes (equal strings, equal identifiers, whatever the shard).
+least hash in it, so equal strings have the same anchor at the same place.  Spark brings the
+anchors of one q-gram together: these are the initial buckets, in shards.  Buckets that only one
+document has are left alone.  For the others a block sends the bytes around each anchor, equal ones
+once, with the least document that has them.
+
+In a shard every place around an anchor has a bucket pointer: where, in the order of all the
+shard's suffixes by their first ``STEP`` bytes, the suffixes begin that agree with it there.  A
+bucket of more than one suffix is refined by sorting it on the pointers at a later offset; what
+comes out are smaller buckets whose pointers, updated at once, serve the next refinement at the
+next offset, so the depth doubles from one to the next.  Suffixes that are alone in their bucket,
+and places that no string of an anchor needs, are sorted no further.  At full depth a bucket is the
+suffixes that agree on all ``LENGTH`` bytes.  Bytes are compared throughout, never hashes.
+
+The strings of an anchor that more than ``HOT`` blocks have are dealt one by one, by a hash of all
+their bytes, so that no shard gathers the surroundings of a frequent q-gram.
 
 Defined cases: a null text is empty; null doc_ids come after all others, so that such a document
 loses what any other has and takes nothing from another null; rows of the same doc_id don't cover
@@ -26,10 +34,12 @@ from pyspark.sql import functions as F
 
 from . import blocks, common
 
-LENGTH, Q = 50, 16
+LENGTH, Q, STEP = 50, 16, 8
+HOT = 1_000
 CHUNK, PIECE = 250_000, 1 << 22
 ROWS = 8_192
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+_STATE = np.dtype([("at", "<u4"), ("entry", "<u4"), ("least", "u1")])
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -67,150 +77,229 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int = LENGTH, q: int =
     return at, gram[at], span
 
 
-def _occurrence(length: int, q: int) -> np.dtype:
-    return np.dtype([("at", "<u4"), ("least", "u1"), ("most", "u1"), ("around", "u1", 2 * length - q)])
+def _entry(length: int, q: int) -> np.dtype:
+    """Which strings of an anchor are meant (from least to most bytes before it), and the bytes around it."""
+    return np.dtype([("least", "u1"), ("most", "u1"), ("around", "u1", 2 * length - q)])
 
 
 class Block:
-    def __init__(self, docs: pa.Table):
-        self.ids, self.texts, self.rows = blocks.in_order(docs)
+    def __init__(self, docs: pa.Table, length: int, q: int):
+        self.ids, self.texts, _ = blocks.in_order(docs)
+        self.number, self.length, self.q = docs.column("block")[0].as_py(), length, q
         self.starts = np.r_[0, np.cumsum([len(t) for t in self.texts])].astype(np.int64)
-
-    def parts(self, length: int, q: int):
-        """For each run of texts: its bytes, where they begin in the block, and its anchors with their documents."""
-        ids = np.array(self.ids, np.int64)
+        self.parts, owner = [], np.array(self.ids, np.int64)
         for a, b in blocks.chunks(self.texts, CHUNK):
             raw = np.frombuffer(b"".join(self.texts[a:b]), np.uint8)
             base = int(self.starts[a])
             starts = self.starts[a : b + 1] - base
             at, key, span = anchors(raw, starts, length, q)
-            yield raw, base, at, key, span, ids[a + np.searchsorted(starts, at, "right") - 1]
+            self.parts.append((raw, base, at, key, span, owner[a + np.searchsorted(starts, at, "right") - 1]))
+        self.key, self.doc = (np.concatenate([x[k] for x in self.parts]) if self.parts else np.zeros(0, kind) for k, kind in ((3, np.uint64), (5, np.int64)))
+        # The distinct keys: which each anchor has, and whether two documents have it.
+        self.of, one, self.several = common.classes(self.key[:, None], self.doc)
+        self.keys = self.key[one]
+
+    def around(self, told: np.ndarray):
+        """Of the anchors that other documents have: where they stand in the block, their keys, documents and entries; of those told 2 for each string."""
+        kind, reach, out, k = _entry(self.length, self.q), self.length - self.q, [], 0
+        for raw, base, at, key, span, doc in self.parts:
+            mine, k = told[k : k + len(at)], k + len(at)
+            if not mine.any():
+                continue
+            padded = np.r_[np.zeros(reach, np.uint8), raw, np.zeros(reach, np.uint8)]
+            view = np.lib.stride_tricks.sliding_window_view(padded, 2 * self.length - self.q)
+            for hot in (False, True):
+                which = np.flatnonzero(mine == 1 + hot)
+                least, most = at[which] - span[which, 1], at[which] - span[which, 0]
+                if hot:
+                    many = most - least + 1
+                    which = np.repeat(which, many)
+                    least = most = np.repeat(least, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                rows = np.zeros(len(which), kind)
+                rows["least"], rows["most"], rows["around"] = least, most, view[at[which]]
+                # Bytes of none of the anchor's strings are blanked: they don't matter.
+                column = np.arange(2 * self.length - self.q, dtype=np.uint8)
+                rows["around"] *= (column >= reach - rows["most"][:, None]) & (column < reach + self.length - rows["least"][:, None])
+                keys = key[which]
+                if hot:
+                    keys = np.zeros(len(rows), np.uint64)
+                    for lane in common.lanes_of(rows.view(np.uint8).reshape(len(rows), kind.itemsize)).T:
+                        keys = common.combine(keys, lane, 11)
+                out.append((base + at[which], keys, doc[which], rows))
+        return [np.concatenate([x[k] for x in out]) for k in range(4)] if out else [np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, kind)]
 
 
 def _ask(length: int, q: int, shards: int):
     def run(docs: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return blocks._DEALT.empty_table()
-        found = [(key, doc) for _, _, _, key, _, doc in Block(docs).parts(length, q)]
-        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found]), shards, key_bytes=6)
+        b = Block(docs, length, q)
+        return blocks.deal(b.number, b.keys, shards, blocks.NAMED, common.small(b.keys, 6), b.several)
 
     return run
 
 
-def _compare(length: int, q: int, shards: int):
-    kind, reach = _occurrence(length, q), length - q
-
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows or not answers.num_rows:
-            return blocks._DEALT.empty_table()
-        found = list(Block(docs).parts(length, q))
-        flags = blocks.asked(np.concatenate([x[3] for x in found]), shards, answers)
-        keys, owners, out, k = [], [], [], 0
-        for raw, base, at, key, span, doc in found:
-            mine = flags[k : k + len(key)]
-            k += len(key)
-            at, span = at[mine], span[mine]
-            rows = np.zeros(len(at), kind)
-            rows["at"], rows["least"], rows["most"] = at + base, at - span[:, 1], at - span[:, 0]
-            padded = np.r_[np.zeros(reach, np.uint8), raw, np.zeros(reach, np.uint8)]
-            rows["around"] = np.lib.stride_tricks.sliding_window_view(padded, 2 * length - q)[at]
-            # Bytes of none of the anchor's strings are blanked, for the shuffle's compression.
-            column = np.arange(2 * length - q, dtype=np.uint8)
-            rows["around"] *= (column >= reach - rows["most"][:, None]) & (column < reach + length - rows["least"][:, None])
-            keys.append(key[mine])
-            owners.append(doc[mine])
-            out.append(rows)
-        return blocks.deal(docs.column("block")[0].as_py(), np.concatenate(keys), np.concatenate(owners), shards, np.concatenate(out), key_bytes=0)
+_SHOWN = ("entry", "doc", "state")
+
+
+def _show(length: int, q: int, shards: int):
+    """What is around the shared anchors, and for the block itself where they stand."""
+
+    def run(docs: pa.Table, found: dict) -> pa.Table:
+        b = Block(docs, length, q)
+        at, key, doc, rows = b.around(blocks.read(found["asked"], b.keys, shards, np.uint8)[b.of])
+        of, one, _ = common.classes(common.lanes_of(rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize)), doc)
+        least, route = doc[one], key[one]
+        dealt = blocks.deal(b.number, route, shards, _SHOWN, rows[one], least, np.zeros(len(one), np.uint8))
+        if not len(one):
+            return dealt
+        state = np.zeros(len(at), _STATE)
+        state["at"], state["entry"], state["least"] = at, of, doc == least[of]
+        # The state goes with the entries to a shard that sends it back as it is.
+        full = np.c_[rows["least"][one], rows["most"][one]]
+        own = pa.table([[b.number % shards] * 3, [b.number] * 3, [0, -1, -2], [b""] * 3, [b""] * 3, [state.tobytes(), route.astype("<u8").tobytes(), full.tobytes()]], schema=dealt.schema)
+        return pa.concat_tables([dealt, own])
 
     return run
 
 
-def refine(around: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Bucket identifiers at full depth of the suffixes that start 0 to length - q places before each anchor (columns from the furthest to the anchor)."""
+def refine(around: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
+    """Bucket pointers at full depth of the suffixes that are ``wanted`` (a mask over rows and columns of ``around``); equal pointers, equal strings of ``length`` bytes."""
     n, width = around.shape
-    flat = np.r_[np.ascontiguousarray(around).reshape(-1), np.zeros(8, np.uint8)]
-    pointer = np.ndarray((n, width - 7), "<u8", flat, strides=(width, 1))
-    depth = 8
+    steps, depth = [], STEP
     while depth < length:
-        step = min(depth, length - depth)
-        pointer = common.combine(pointer[:, : pointer.shape[1] - step], pointer[:, step:], depth)
-        depth += step
-    return pointer
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    # The places whose pointers a refinement reads: those it refines, and the later offsets.
+    needed = [wanted]
+    for step in reversed(steps):
+        last = needed[-1].copy()
+        last[:, step:] |= needed[-1][:, :-step]
+        needed.append(last)
+    needed.reverse()
+    flat = np.r_[np.ascontiguousarray(around).reshape(-1), np.zeros(STEP, np.uint8)]
+    place = np.flatnonzero(needed[0])
+    gram = np.ndarray((n * width,), "<u8", flat, strides=(1,))[place].byteswap()  # the order of the bytes
+    pointer = np.zeros(n * width, np.uint64)
+    place, head = _ordered(place, gram)
+    pointer[place] = head
+    for step, need in zip(steps, needed[1:], strict=True):
+        if not len(place):
+            break
+        # Buckets of one suffix are done.
+        alone = np.r_[head[1:] != head[:-1], True] & np.r_[True, head[1:] != head[:-1]]
+        place = place[~alone]
+        place = place[need.reshape(-1)[place]]
+        now = pointer[place]
+        place, order_head = _ordered(place, now << np.uint64(32) | pointer[place + step])
+        now = pointer[place]
+        bucket = np.flatnonzero(np.r_[True, now[1:] != now[:-1]]) if len(place) else place
+        start = np.repeat(bucket, np.diff(np.r_[bucket, len(place)])).astype(np.uint64)
+        head = now + order_head - start  # where in its old bucket the new one begins
+        pointer[place] = head
+    return pointer.reshape(n, width)
+
+
+def _ordered(place: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of ``by``, and for each where in that order the equal ones begin."""
+    order = np.argsort(by, kind="stable")
+    by = by[order]
+    first = np.flatnonzero(np.r_[True, by[1:] != by[:-1]]) if len(by) else order
+    return place[order], np.repeat(first, np.diff(np.r_[first, len(by)])).astype(np.uint64)
 
 
 def _covered(length: int, q: int):
-    kind, reach = _occurrence(length, q), length - q
+    """Answers a bit for each string shown: whether a document before the block's first with it has it."""
+    kind, reach = _entry(length, q), length - q
 
     def run(rows: pa.Table) -> pa.Table:
-        s = blocks.Shard(rows, kind, 0)
-        strings = np.zeros(len(s.extra), np.uint64)  # a bit for each string before the anchor
-        eight = lambda at: np.ascontiguousarray(s.extra["around"][:, at : at + 8]).view("<u8").reshape(-1)
-        keys = common.combine(eight(reach), eight(reach + q - 8), 3)  # the bucket is told by the bytes at the anchor
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        before = np.arange(reach, -1, -1)
+        n = rows.column("n").to_numpy()
+        back = [(b, k - 1, x) for b, k, x in zip(*(rows.filter(pa.array(n <= 0)).column(c).to_pylist() for c in ("block", "n", "state")), strict=True)]
+        rows = rows.filter(pa.array(n > 0))
+        if not rows.num_rows:
+            return blocks.answer_table(back)
+        s = blocks.Shard(rows, entry=kind, doc=np.dtype("<i8"))
+        strings = np.zeros(len(s.entry), np.uint64)  # a bit for each string before the anchor
+        gram = np.ascontiguousarray(s.entry["around"][:, reach : reach + q])
+        # Entries of one anchor lie together; an entry of a single string is told by the string.
+        bucket, _, _ = common.classes(common.lanes_of(gram), s.doc)
+        order = np.argsort(bucket, kind="stable")
+        heads = np.flatnonzero(np.r_[True, bucket[order[1:]] != bucket[order[:-1]]])
         at = 0
-        while at < len(keys):  # whole buckets, about ROWS suffix groups at a time
-            end = int(new[k]) if (k := np.searchsorted(new, at + ROWS, "left")) < len(new) else len(keys)
-            which = order[at:end]
-            at = end
-            x, docs = s.extra[which], s.docs[which]
-            has = (before[None] >= x["least"][:, None]) & (before[None] <= x["most"][:, None])
-            row, column = np.nonzero(has)
-            low, _ = blocks.least_doc(_pointers(x["around"], length, q)[row, column], docs[row])
-            late = low < docs[row]
-            bits = np.zeros(len(which), np.uint64)
-            np.bitwise_or.at(bits, row[late], np.uint64(1) << before[column[late]].astype(np.uint64))
-            strings[which] = bits
-        answer = np.zeros(len(s.extra), np.dtype([("at", "<u4"), ("strings", "<u8")]))
-        answer["at"], answer["strings"] = s.extra["at"], strings
-        return s.answers(lambda a, b: answer[a:b][strings[a:b] > 0].tobytes())
+        while at < len(order):  # whole buckets, about ROWS entries at a time
+            k = int(np.searchsorted(heads, at + ROWS))
+            end = int(heads[k]) if k < len(heads) else len(order)
+            which, at = order[at:end], end
+            strings[which] = _late(s.entry[which], s.doc[which], length, reach)
+        found = s.answers(lambda a, b: strings[a:b].astype("<u8").tobytes() if strings[a:b].any() else b"")
+        return pa.concat_tables([blocks.answer_table(back), found])
 
     return run
 
 
-def _pointers(around: np.ndarray, length: int, q: int) -> np.ndarray:
-    step = 1_024  # keeps the arrays of a step in the cache
-    return np.concatenate([refine(around[i : i + step], length, q) for i in range(0, len(around), step)])
-
-
-def _remove(length: int, q: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(docs)
-        found = np.frombuffer(b"".join(answers.column("answer").to_pylist()), np.dtype([("at", "<u4"), ("strings", "<u8")]))
-        depth = np.zeros(b.starts[-1] + 1, np.int32)
+def _late(entry: np.ndarray, doc: np.ndarray, length: int, reach: int) -> np.ndarray:
+    before = np.arange(reach, -1, -1)  # of the columns where strings start
+    wanted = np.zeros(entry["around"].shape, bool)
+    wanted[:, : reach + 1] = (before >= entry["least"][:, None]) & (before <= entry["most"][:, None])
+    row, column = np.nonzero(wanted)
+    pointer = refine(entry["around"], wanted, length)[row, column]
+    order = np.lexsort((doc[row], pointer))
+    first = np.flatnonzero(np.r_[True, pointer[order[1:]] != pointer[order[:-1]]])
+    least = np.empty(len(row), np.int64)
+    least[order] = np.repeat(doc[row[order[first]]], np.diff(np.r_[first, len(row)]))
+    late = np.flatnonzero(least < doc[row])
+    bits = np.zeros(len(entry), np.uint64)
+    np.bitwise_or.at(bits, row[late], np.uint64(1) << before[column[late]].astype(np.uint64))
+    return bits
+
+
+def _starts(answers: list[dict], shards: int):
+    """(at, strings) of the anchors with strings that go."""
+    own = {a["shard"]: a["answer"] for a in answers if a["shard"] < 0}
+    if not own:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    state, route, span = np.frombuffer(own[-1], _STATE), np.frombuffer(own[-2], "<u8"), np.frombuffer(own[-3], np.uint8).reshape(-1, 2).astype(np.uint64)
+    late = blocks.read([a for a in answers if a["shard"] >= 0], route, shards, np.dtype("<u8"))
+    one = np.uint64(1)
+    every = ((one << (span[:, 1] + one)) - one) & ~((one << span[:, 0]) - one)
+    # The block's first document with these bytes loses what came before it, the others lose all.
+    return state["at"].astype(np.int64), np.where(state["least"] > 0, late[state["entry"]], every[state["entry"]])
+
+
+def _remove(length: int, q: int, shards: int):
+    def run(docs: pa.Table, found: dict) -> pa.Table:
+        ids, texts, _ = blocks.in_order(docs)
+        starts = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+        at, strings = _starts(found["covered"], shards)
+        depth = np.zeros(starts[-1] + 1, np.int32)
         for o in range(length - q + 1):
-            start = found["at"][(found["strings"] >> np.uint64(o) & np.uint64(1)).astype(bool)].astype(np.int64) - o
+            start = at[(strings >> np.uint64(o) & np.uint64(1)).astype(bool)] - o
             # A string starts at most once, so plain indexing counts right.
             depth[start] += 1
             depth[start + length] -= 1
         gone = np.cumsum(depth[:-1]) > 0
         kept, removed, spans = [], [], []
-        for i, t in enumerate(b.texts):
-            g = gone[b.starts[i] : b.starts[i + 1]]
+        for i, t in enumerate(texts):
+            g = gone[starts[i] : starts[i + 1]]
             n = int(g.sum())
             removed.append(n)
             spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0)
             kept.append(np.frombuffer(t, np.uint8)[~g].tobytes() if n else t)
-        return pa.table({"doc_id": pa.array([None if d == blocks.NULL_ID else d for d in b.ids], pa.int64()), "n_bytes": pa.array(np.diff(b.starts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": blocks.shown_ids(ids), "n_bytes": pa.array(np.diff(starts), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     return run
 
 
-def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, block_bytes: int = common.BLOCK_BYTES) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, block_bytes: int = common.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept (the remaining bytes, which need not be whole characters)."""
-    if not 8 <= q <= 16 or not q < length <= q + 63:
-        raise ValueError("q must be 8 to 16, and length q + 1 to q + 63")
+    if not 8 <= q <= 16 or not q < length <= q + 62:
+        raise ValueError("q must be 8 to 16, and length q + 1 to q + 62")
     common.prepare(docs.sparkSession)
     count = common.blocks_for(docs, each=block_bytes)
     shards = count
     texts = common.blocked(docs, count)
-    asked = common.grouped(texts, "block", _ask(length, q, shards), blocks.DEALT)
-    shared = common.grouped(asked, "shard", blocks.shared_bits, blocks.ANSWER)
-    compared = blocks.together(texts, shared, _compare(length, q, shards), blocks.DEALT)
-    covered = common.grouped(compared, "shard", _covered(length, q), blocks.ANSWER)
-    return blocks.together(texts, covered, _remove(length, q), KEPT)
+    asked = common.grouped(common.grouped(texts, "block", _ask(length, q, shards), blocks.dealt(*blocks.NAMED)), "shard", blocks.shared(hot), blocks.ANSWER)
+    shown = blocks.together(texts, count, {"asked": asked}, _show(length, q, shards), blocks.dealt(*_SHOWN))
+    covered = common.grouped(shown, "shard", _covered(length, q), blocks.ANSWER)
+    return blocks.together(texts, count, {"covered": covered}, _remove(length, q, shards), KEPT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,3 +307,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_substrings": query}
+ORACLES = {
+    "op8_substrings": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, ''))::BIGINT n FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) g FROM d, LATERAL (SELECT unnest(range(n - 49)) i)),
+f AS (SELECT g, min(doc_id) least FROM s GROUP BY 1),
+c AS (SELECT doc_id, i FROM s JOIN f USING (g) WHERE least < doc_id),
+-- Strings that start at most 50 apart cover one run of bytes.
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END new FROM c)),
+spans AS (SELECT doc_id, run, min(i) a, max(i) + 50 b FROM r GROUP BY 1, 2),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) last FROM spans),
+k AS (SELECT gaps.doc_id, sum(b - a)::BIGINT gone, count(*) spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) front, max(b) stop FROM gaps JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n n_bytes, coalesce(gone, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(stop, 0) + 1))) kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+}

@@ -1,15 +1,24 @@
 import hashlib
 import random
+import struct
 
 import pytest
+import xxhash
 
 from tessera.llm import common, lines
 
 from .helpers import documents
 
 
+def text_hash(row):
+    """Rows of one id come in the order of Spark's xxhash64 of id and text."""
+    seed = 42 if row[0] is None else xxhash.xxh64_intdigest(struct.pack("<q", row[0]), 42)
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), seed)
+    return h - (1 << 64) * (h >> 63)
+
+
 def brute(rows):
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode()))
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, text_hash(r)))
     seen, out = [], []
     for d, t in rows:
         parts = (t or "").encode().split(b"\n")

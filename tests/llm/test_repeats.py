@@ -40,19 +40,56 @@ def digest(df):
     return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in df.collect()), key=str)
 
 
-def test_symbols_inside_equal_strings_are_equal():
+def rewritten(docs, rounds):
+    """The last round's symbols of each document, with names that a dictionary gives to what two documents have."""
+    found = [repeats.Symbols(w >> np.uint64(25) | repeats.WORD, np.zeros(len(w), np.int64)) for w in docs]
+    for r in range(rounds):
+        asked = [s.rewrite(r) for s in found]
+        pairs = [set(zip(x.tolist(), y.tolist(), strict=True)) for _, x, y in asked]
+        names = {p: i * rounds + r + 1 for i, p in enumerate(sorted(pairs[0] & pairs[1]))}
+        for s, (at, x, y) in zip(found, asked, strict=True):
+            s.name[at] = [names.get(p, 0) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    return found
+
+
+def test_windows_of_equal_strings_are_known_by_the_same_key():
     rng = random.Random(1)
     np.seterr(over="ignore")
-    for _ in range(60):
-        core = [rng.randrange(3 if rng.random() < 0.5 else 50) for _ in range(30)]
-        found = []
-        for _ in range(2):
-            left, right = ([rng.randrange(4) for _ in range(rng.randrange(20))] for _ in "ab")
-            words = common.mix(np.array(left + core + right, np.uint64))
-            at, whole, key = repeats.anchors(words, np.zeros(len(words), np.int64), 13)
-            mine = (at >= len(left)) & (at <= len(left) + 30 - 13)
-            found.append((whole[mine].tolist(), key[mine].tolist()))
-        assert found[0] == found[1]
+    known = symbols = 0
+    for _ in range(80):
+        core = [rng.randrange(3 if rng.random() < 0.5 else 50) for _ in range(30)] if rng.random() < 0.8 else [7] * 400 + list(range(20))
+        sides = [[[rng.randrange(4) for _ in range(rng.randrange(20))] for _ in "ab"] for _ in "cd"]
+        docs = [common.mix(np.array(left + core + right, np.uint64)) for left, right in sides]
+        keys = []
+        for words, s, (left, _) in zip(docs, rewritten(docs, 2), sides, strict=True):
+            at, key = repeats.anchors(s, words, np.zeros(len(words), np.int64), 13)
+            inner = {a - len(left): k for a, k in zip(at.tolist(), key.tolist(), strict=True) if len(left) <= a <= len(left) + len(core) - 13}
+            assert sorted(inner) == list(range(len(core) - 12))
+            keys.append(inner)
+            known, symbols = known + len(set(inner.values())), symbols + len(inner)
+        assert keys[0] == keys[1]
+    assert known < symbols / 2
+
+
+def test_a_symbol_of_one_document_rules_its_windows_out():
+    words = [common.mix(np.arange(a, a + 60, dtype=np.uint64)) for a in (0, 1000)]
+    for w, s in zip(words, rewritten(words, 2), strict=True):
+        assert (s.name[(s.end - s.start) > 1] == 0).all() and (s.end - s.start > 1).any()
+        at, _ = repeats.anchors(s, w, np.zeros(60, np.int64), 13)
+        assert len(at) < 40
+
+
+def test_windows_are_compared_by_their_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    at, doc = np.arange(0, 390, 3), rng.integers(0, 9, 130)
+    want = [any(doc[j] < doc[i] and (words[at[i] : at[i] + 5] == words[at[j] : at[j] + 5]).all() for j in range(130)) for i in range(130)]
+    assert repeats._late(words, at, doc, 5).tolist() == want
+    monkeypatch.setattr(repeats, "LOT", 7)
+    assert repeats._late(words, at, doc, 5).tolist() == want
+    monkeypatch.setattr(repeats, "window_hashes", lambda w, n: np.zeros(len(w), np.uint64))
+    monkeypatch.setattr(common, "combine", lambda a, b, salt: np.zeros(len(a), np.uint64))
+    assert repeats._late(words, at, doc, 5).tolist() == want
 
 
 def test_against_brute_force(spark):
@@ -65,9 +102,9 @@ def test_against_brute_force(spark):
             words += [rng.choice("abcdefghij") for _ in range(rng.randrange(12))]
             words += rng.choice(passages) if rng.random() < 0.7 else ["run"] * rng.randrange(30)
         rows.append((rng.randrange(10**6) * 7 - 10**6, rng.choice([" ", "\n", " \t "]).join(words)))
-    rows += [(5, None), (6, ""), (None, " ".join(passages[0] * 2)), (None, "x y z " * 9), (40, rows[3][1]), (40, rows[3][1]), (41, "é " * 20_000)]
-    for window, size in ((13, 600), (13, 10**9), (3, 2000)):
-        assert digest(repeats.remove(documents(spark, rows), window, size)) == brute(rows, window)
+    rows += [(5, None), (6, ""), (None, " ".join(passages[0] * 2)), (None, "x y z " * 9), (40, rows[3][1]), (40, rows[3][1]), (41, "é " * 20_000), (42, "x " * 255 + "é " * 300)] + [(None, f"{passages[1]} {i}".replace("'", "")) for i in range(40)]
+    for window, size, hot in ((13, 600, 1000), (13, 10**9, 1000), (3, 2000, 1000), (13, 600, 1)):
+        assert digest(repeats.remove(documents(spark, rows), window, size, hot=hot)) == brute(rows, window)
 
 
 def test_empty_table(spark):

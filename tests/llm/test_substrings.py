@@ -58,15 +58,20 @@ def test_a_very_long_text_is_taken_in_pieces(monkeypatch):
 
 def test_refined_buckets_are_the_classes_of_whole_strings():
     rng = np.random.default_rng(2)
-    around = rng.integers(97, 99, (40, 84)).astype(np.uint8)
-    around[20:] = around[:20]
-    around[20:, 60] += 1
-    got = substrings.refine(around, 50, 16)
-    names = {}
-    for i in range(40):
-        for j in range(35):
-            assert names.setdefault(around[i, j : j + 50].tobytes(), got[i, j]) == got[i, j]
-    assert len(set(names.values())) == len(names)
+    for length, width in ((50, 84), (20, 32), (33, 50), (9, 12)):
+        around = rng.integers(97, 99, (40, width)).astype(np.uint8)
+        around[20:] = around[:20]
+        around[20:, width * 2 // 3] += 1
+        around[5:9] = 97
+        wanted = np.zeros((40, width), bool)
+        wanted[:, : width - length + 1] = rng.random((40, width - length + 1)) < 0.8
+        got = substrings.refine(around, wanted, length)
+        names = {}
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            assert names.setdefault(around[i, j : j + length].tobytes(), got[i, j]) == got[i, j]
+        assert len(set(names.values())) == len(names)
+        # Buckets follow one another in the order of their strings.
+        assert [names[x] for x in sorted(names)] == sorted(names.values())
 
 
 def test_against_brute_force(spark):
@@ -80,8 +85,9 @@ def test_against_brute_force(spark):
             t += text(rng.randrange(40)) + (rng.choice(passages) if rng.random() < 0.7 else "ab" * rng.randrange(60))
         rows.append((rng.randrange(10**6) * 7 - 10**6, t))
     rows += [(5, None), (6, ""), (None, passages[0] * 2), (None, "xyz" * 30), (40, rows[3][1]), (40, rows[3][1]), (41, "é" * 30_000), (42, "a" * 50), (43, "a" * 49)]
-    for length, q, size in ((50, 16, 1500), (50, 16, 10**9), (20, 8, 3000)):
-        assert digest(substrings.remove(documents(spark, rows), length, q, size)) == brute(rows, length)
+    rows += [(None, f"{i} {passages[1]} {i}") for i in range(40)]
+    for length, q, size, hot in ((50, 16, 1500, 1000), (50, 16, 10**9, 1000), (20, 8, 3000, 1000), (50, 16, 1500, 1)):
+        assert digest(substrings.remove(documents(spark, rows), length, q, size, hot)) == brute(rows, length)
 
 
 def test_empty_tables(spark):
