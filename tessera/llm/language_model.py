@@ -2,16 +2,21 @@
 
 Counts of words are exact; counts of word pairs are quantised on a log scale and kept in a Bloom
 filter: a pair seen c times is entered with each of the levels 1 to 1 + log2(c), and its count is
-read back by probing level after level until one is missing.  A text's probability is the product
-over its tokens w, each after its predecessor h, of
+read back by probing level after level until one is missing.  A level stands for its least count,
+so what a context's successors are given is never more than it was seen.  A text's probability is
+the product over its tokens w, each after its predecessor h, of
 
-    (c(h, w) + MASS * p(w)) / (c(h) + MASS),    p(w) = (c(w) + 1) / (N + V + 1)
+    (c(h, w) + MASS * p(w)) / (c(h) + MASS + noise),    p(w) = (c(w) + 1) / (N + V + 1)
 
-with c(h, w) from the filter, never above c(h) or c(w); the first token follows an end.
+with c(h, w) from the filter, never above c(h) or c(w); the first token follows an end.  ``noise``
+is what pairs that were never seen, but that the filter takes for seen, add to a context: the
+filter's rate of false answers, measured by how full it is, times V.  So the probabilities of what
+may follow a context come to one at most, but for chance in which pairs are taken for seen.
 
 The filter grows with the corpus.  It is cut by key into segments; as many segments as fit into
-ROUND_BYTES are broadcast at a time, so what is broadcast is bounded, and further segments take
-further rounds, whose parts of the sums are added.
+ROUND_BYTES are broadcast at a time.  Further segments take further rounds, each of which writes
+its parts of the sums to the shared folder before its broadcast is destroyed, so neither the driver
+nor a worker holds more than a round.
 
 Defined cases: a null text is empty, so it is the end token alone; a null doc_id is not held out;
 repeated rows count as often as they occur; without training tokens the base score is zero; an
@@ -21,6 +26,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from . import blocks, common
 
 FOLDS, HELD_FOLD = 7, 2
 MASS = 300.0
-PROBES, BITS = 8, 12
+PROBES, BITS = 9, 14
 #: Smaller blocks than elsewhere: a worker holds the broadcast part of the filter besides.
 BLOCK_BYTES = 4_000_000
 #: The most that is broadcast at a time.
@@ -64,36 +70,22 @@ class Block:
         return common.combine(self.before, self.words, 17) >> np.uint64(16)
 
 
-def _pack(keys: np.ndarray) -> np.ndarray:
-    """48-bit keys as rows of 6 bytes."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+_DEALT = ("keys", "counts")
 
 
 def _deal(shards: int):
     """Words of a block with how often they are trained on go to shards 0 to shards - 1, trained pairs to those above."""
 
     def run(docs: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return blocks._DEALT.empty_table()
-        b, rows, number = Block(docs), [], docs.column("block")[0].as_py()
+        b = Block(docs)
+        number = docs.column("block")[0].as_py()
         words, at = np.unique(b.words, return_inverse=True)
         counts = np.bincount(at, b.trains, len(words)).astype("<u8")
-        order, bounds = common.split_by(words, shards)
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            o = order[bounds[s] : bounds[s + 1]]
-            rows.append((s, number, b"", b"", words[o].tobytes(), counts[o].tobytes()))
-        pairs, counts = np.unique(b.pairs()[b.trains], return_counts=True)
-        order, bounds = common.split_by(pairs, shards)
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            o = order[bounds[s] : bounds[s + 1]]
-            rows.append((shards + s, number, b"", b"", _pack(pairs[o]).tobytes(), counts[o].astype("<u4").tobytes()))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), blocks._DEALT, strict=True)], schema=blocks._DEALT)
+        pairs, many = np.unique(b.pairs()[b.trains], return_counts=True)
+        of_words = blocks.deal(number, words, shards, _DEALT, words, counts)
+        of_pairs = blocks.deal(number, pairs, shards, _DEALT, common.small(pairs, 6), many.astype("<u4"))
+        above = pa.array(of_pairs.column("shard").to_numpy() + shards, pa.int32())
+        return pa.concat_tables([of_words, of_pairs.set_column(0, of_words.schema.field("shard"), above)])
 
     return run
 
@@ -104,9 +96,8 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """What a level stands for: the geometric mean of its least and greatest count."""
-    low = np.exp2(levels - 1.0)
-    return np.where(levels > 0, np.sqrt(low * (2 * low - 1)), 0.0)
+    """What a level stands for: its least count."""
+    return np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
 
 
 def bit_places(keys: np.ndarray, levels: np.ndarray, probe: int, bits: np.ndarray | int) -> np.ndarray:
@@ -132,22 +123,23 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 def _count(shards: int):
+    """Answers with the counts of words; rows of FILTER have a segment, how many of its bits are set and how many there are."""
+
     def run(rows: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return _COUNTED.empty_table()
         shard = rows.column("shard")[0].as_py()
-        asked, extra = rows.column("keys").to_pylist(), rows.column("extra").to_pylist()
         if shard < shards:
-            keys = np.frombuffer(b"".join(asked), np.uint64)
-            words, at = np.unique(keys, return_inverse=True)
-            total = np.bincount(at, np.frombuffer(b"".join(extra), "<u8"), len(words)).astype("<u8")
-            answer, ends = total[at], np.cumsum([len(a) // 8 for a in asked])
-            out = [(b, shard, answer[e - len(a) // 8 : e].tobytes(), 0, 0) for b, a, e in zip(rows.column("block").to_pylist(), asked, ends.tolist(), strict=True)]
+            s = blocks.Shard(rows, keys=np.dtype("<u8"), counts=np.dtype("<u8"))
+            words, at = np.unique(s.keys, return_inverse=True)
+            total = np.bincount(at, s.counts, len(words)).astype("<u8")
+            answer = total[at]
+            out = [(b, shard, answer[lo:hi].tobytes(), 0, 0) for b, lo, hi in zip(s.block, s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)]
             out.append((TOTAL, shard, b"", int(total.sum()), int((total > 0).sum())))
         else:
-            pairs, at = np.unique(_unpack(b"".join(asked)), return_inverse=True)
-            counts = np.bincount(at, np.frombuffer(b"".join(extra), "<u4"), len(pairs))
-            out = [(FILTER, shard - shards, segment(pairs, counts), 0, 0)]
+            s = blocks.Shard(rows, keys=np.dtype(("u1", 6)), counts=np.dtype("<u4"))
+            pairs, at = np.unique(common.large(s.keys), return_inverse=True)
+            raw = segment(pairs, np.bincount(at, s.counts, len(pairs)))
+            full = int(np.bitwise_count(np.frombuffer(raw, np.uint8)).sum())
+            out = [(FILTER, shard - shards, raw, full, 8 * len(raw))]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
 
     return run
@@ -166,7 +158,7 @@ class Filter:
             at += n
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        shard = (keys % np.uint64(self.shards)).astype(np.int64)
+        shard = (common.mix(keys) % np.uint64(self.shards)).astype(np.int64)
         bits, base = self.bits[shard], self.base[shard]
         out = np.zeros(len(keys), np.int64)
         left, at = np.flatnonzero(bits), 1
@@ -181,23 +173,24 @@ class Filter:
         return out
 
 
-def _score(filters, shards: int, tokens: int, types: int, first: bool):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def parts_of(seen: np.ndarray, p: np.ndarray, context: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of a token's probability in two parts: as if its pair had not been seen, and what its count adds."""
+    smooth = MASS * p
+    return np.log10(smooth / (context + MASS + noise)), np.log10((seen + smooth) / smooth)
+
+
+def _score(filters, shards: int, tokens: int, types: int, noise: float, first: bool):
+    def run(docs: pa.Table, found: dict) -> pa.Table:
         b, f, number = Block(docs), Filter(*filters.value, shards), docs.column("block")[0].as_py()
         words, at = np.unique(b.words, return_inverse=True)
-        order, bounds = common.split_by(words, shards)
-        counts = np.zeros(len(words))
-        for s, raw in zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True):
-            counts[order[bounds[s] : bounds[s + 1]]] = np.frombuffer(raw, "<u8")
+        counts = blocks.read(found["words"], words, shards, np.dtype("<u8")).astype(np.float64)
         mine = counts[at]
         context = np.r_[counts[np.searchsorted(words, END)], mine[:-1]]
         p = (mine + 1) / (tokens + types + 1)
         pairs, which = np.unique(b.pairs(), return_inverse=True)
         seen = np.minimum(count_of(f.levels(pairs))[which], np.minimum(context, mine))
-        smooth = MASS * p
-        part = np.log10((seen + smooth) / smooth)
-        if first:
-            part += np.log10(smooth / (context + MASS))
+        unseen, more = parts_of(seen, p, context, noise)
+        part = more + unseen if first else more
         total = lambda x: np.add.reduceat(x, b.starts)
         zero = np.zeros(len(b.ids))
         columns = [np.full(len(b.ids), number), np.arange(len(b.ids)), b.ids, b.held, b.sizes, total((mine > 0).astype(np.int64)), total(np.log10(p)) if first else zero, total(part)]
@@ -213,8 +206,11 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = RO
     common.prepare(spark)
     shards = common.blocks_for(docs, each=block_bytes)
     texts = common.blocked(docs, shards)
-    counted = common.cut(common.grouped(common.grouped(texts, "block", _deal(shards), blocks.DEALT), "shard", _count(shards), COUNTED), "counts")
-    total = counted.filter(F.col("block") == TOTAL).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    counted = common.cut(common.grouped(common.grouped(texts, "block", _deal(shards), blocks.dealt(*_DEALT)), "shard", _count(shards), COUNTED), "counts")
+    sums = lambda what: counted.filter(F.col("block") == what).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    total, filled = sums(TOTAL), sums(FILTER)
+    false = (filled["n"] / filled["v"]) ** PROBES if filled["v"] else 0.0
+    noise = total["v"] * false / max(1 - 2 * false, 0.5)  # a false answer at one level is followed by one at the next as rarely
     sizes = sorted((r["shard"], r["size"]) for r in counted.filter(F.col("block") == FILTER).select("shard", F.octet_length("answer").alias("size")).collect())
     rounds, size = [[]], 0
     for s, n in sizes:
@@ -224,7 +220,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = RO
         rounds[-1].append(s)
         size += n
     answers = counted.filter("block >= 0").select("block", "shard", "answer")
-    parts = None
+    parts = []
     for k, held in enumerate(rounds):
         sizes_of, raw = [], bytearray()
         if held:  # a segment at a time, so that the driver holds little more than the round
@@ -233,11 +229,15 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = RO
                 raw += r["answer"]
         shared = spark.sparkContext.broadcast((sizes_of, bytes(raw)))
         del raw
-        part = blocks.together(texts, answers, _score(shared, shards, total["n"], total["v"], k == 0), PART)
-        parts = part if parts is None else parts.unionByName(part)
+        part = blocks.together(texts, shards, {"words": answers}, _score(shared, shards, total["n"], total["v"], noise, k == 0), PART)
+        if len(rounds) > 1:  # a round at a time
+            part = common.cut(part, "scores")
+            shared.destroy()
+        parts.append(part)
+    out = reduce(DataFrame.unionByName, parts)
     if len(rounds) > 1:
-        parts = parts.groupBy("block", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")], F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+        out = out.groupBy("block", "row").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")], F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,31 @@ def test_filter_gives_levels_and_few_false_ones():
     assert (f.levels(keys) >= lm.level(counts)).all() and (f.levels(keys) == lm.level(counts)).mean() > 0.95
     assert (f.levels(rng.integers(0, 1 << 48, 20_000).astype(np.uint64)) > 0).mean() < 0.05
     assert lm.level(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
-    assert (lm.level(lm.count_of(np.arange(1, 20)) + 1e-9) == np.arange(1, 20)).all() and lm.count_of(np.zeros(1)) == 0
+    assert (lm.level(lm.count_of(np.arange(1, 20))) == np.arange(1, 20)).all() and lm.count_of(np.zeros(1)) == 0
+
+
+def test_probabilities_after_a_context_come_to_one_at_most():
+    """Over the whole vocabulary and an unknown word, for frequent and rare contexts, with what the filter takes for seen by mistake."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 1 << 60, 3_000).astype(np.uint64)
+    text = words[np.minimum(rng.zipf(1.3, 60_000), 3_000) - 1]
+    text[:18] = np.tile(np.r_[words[2_999], words[[2_998] * 2], words[2_999], words[[2_997] * 2]], 3)
+    counts = dict(zip(*(x.tolist() for x in np.unique(text, return_counts=True)), strict=True))
+    key = lambda h, w: common.combine(h, w, 17) >> np.uint64(16)
+    pairs, many = np.unique(key(text[:-1], text[1:]), return_counts=True)
+    raw = lm.segment(pairs, many)
+    f = lm.Filter([(0, len(raw))], raw, 1)
+    false = (np.bitwise_count(np.frombuffer(raw, np.uint8)).sum() / (8 * len(raw))) ** lm.PROBES
+    known = np.array(list(counts), np.uint64)
+    c = np.array([*counts.values(), 0.0])
+    p = (c + 1) / (c.sum() + len(known) + 1)
+    masses = []
+    for h in [*known[np.argsort(-c[:-1])[:20]], *known[:200]]:
+        context = float(counts[int(h)])
+        seen = np.r_[np.minimum(lm.count_of(f.levels(key(np.full(len(known), h), known))), np.minimum(context, c[:-1])), 0]
+        a, b = lm.parts_of(seen, p, np.full(len(p), context), len(known) * false)
+        masses.append(float((10 ** (a + b)).sum()))
+    assert max(masses) < 1.05 and np.mean(masses) < 1.005 and min(masses) > 0.5
 
 
 def test_no_training_rows_and_empty_tables(spark):
