@@ -12,7 +12,7 @@ the passage, on diagonals that differ by at most k.  So a stretch of a document
 has fewer q-grams of any item; in the others, hits are laid in overlapping bands of 2 (k + 1)
 diagonals for each item, and the passages that have the bound of them in a band are aligned in it.
 
-The items are broadcast in slices of at most SLICE_BYTES, whatever their number.
+The items are broadcast in slices of at most SLICE_BYTES, whatever their number, one at a time.
 
 Result of ``regions``: a row for each item and region (overlapping ones of an item joined): doc_id,
 item_id, start and stop (bytes of the document's UTF-8), passages, edits (of the best one).
@@ -37,7 +37,9 @@ Q = 8  # a q-gram is a number of 8 bytes
 LENGTH, BUDGET = 80, 0.08
 SLICE_BYTES = 4_000_000
 CHUNK = 400_000
-REGIONS = "doc_id long, row long, item_id long, start long, stop long, passages long, edits long"
+#: Hits that are looked at together, and bytes of an item (longer ones in parts).
+MOST, ITEM_BYTES = 2_000_000, 4_096
+REGIONS = "doc_id long, item_id long, start long, stop long, passages long, edits long"
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -65,6 +67,11 @@ def whole(items: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return [(item, text) for item, text in found if len(text) >= Q]
 
 
+def parts_of(found: list[tuple[int, bytes]], size: int) -> list[tuple[int, bytes]]:
+    """Long items in parts that have all their passages, so that what one gives is bounded."""
+    return [(item, text[a : a + size + LENGTH - 1]) for item, text in found for a in range(0, max(1, len(text) - LENGTH + 1), size)]
+
+
 def passages(items: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return [(item, text[a : a + LENGTH]) for item, text in whole(items) for a in range(max(0, len(text) - LENGTH) + 1)]
 
@@ -77,6 +84,7 @@ class Index:
     """q-grams of normalised items: where each occurs."""
 
     def __init__(self, found: list[tuple[int, bytes]]):
+        found = parts_of(found, ITEM_BYTES)
         self.items, self.texts = [i for i, _ in found], [t for _, t in found]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.lengths = np.minimum(self.sizes, LENGTH)  # of the passages
@@ -97,20 +105,43 @@ class Index:
     def _slot(code: np.ndarray) -> np.ndarray:
         return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of q-grams in stretches that have enough of them."""
-        none = (np.zeros(0, np.int64),) * 3
+    def hits(self, text: np.ndarray, most: int):
+        """(place in the text, item, place in the item) of q-grams in stretches that have enough of them.
+
+        In lots of about ``most`` hits: parts of the text that overlap by a window, and of these, if
+        one window has more, parts of the items; every region lies whole in a lot."""
         code = _eight(text)
         if not len(code) or not len(self.code):
-            return none
+            return
         maybe = self.maybe[self._slot(code)]
         at = self._dense(np.flatnonzero(maybe))
         at = at[self.code[np.minimum(np.searchsorted(self.code, code[at]), len(self.code) - 1)] == code[at]]
         at = self._dense(at)
         low, high = np.searchsorted(self.code, code[at], "left"), np.searchsorted(self.code, code[at], "right")
-        many = high - low
-        if not many.sum():
-            return none
+        total = np.r_[0, np.cumsum(high - low)]
+        begin = 0
+        while begin < len(at):
+            end = max(int(np.searchsorted(total, total[begin] + most, "right")) - 1, begin + 1)
+            stop = max(end, int(np.searchsorted(at, at[end - 1] + self.window)))  # what a region that begins here may reach
+            lot, first, last = at[begin:stop], low[begin:stop], high[begin:stop]
+            begin = end
+            many = last - first
+            if many.sum() <= 4 * most:
+                yield self._expanded(lot, first, many)
+                continue
+            # Postings of a q-gram come in the order of their items.
+            step = max(1, len(self.items) * 2 * most // int(many.sum()))
+            for i in range(0, len(self.items), step):
+                a = first + self._before(first, last, i)
+                b = first + self._before(first, last, i + step)
+                if (b > a).any():
+                    yield self._expanded(lot, a, b - a)
+
+    def _before(self, first: np.ndarray, last: np.ndarray, item: int) -> np.ndarray:
+        """How many postings of each q-gram are of items before this one."""
+        return np.array([np.searchsorted(self.item[a:b], item) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.int64)
+
+    def _expanded(self, at: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         return np.repeat(at, many), self.item[which], self.place[which]
 
@@ -197,12 +228,14 @@ def _verify(index: Index, text: np.ndarray, found: np.ndarray, begin: np.ndarray
 
 def find(index: Index, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(item, start, stop, passages, edits) in a normalised text, which zero bytes may divide; no region goes over one."""
-    at, item, place = index.hits(text)
-    if not len(at):
-        return []
+    held = {}  # of what lots have in common, the best region of each passage and end
+    for lot in index.hits(text, MOST):
+        if len(lot[0]):
+            for p, s, start, stop, edits in _verify(index, text, *_candidates(index, *lot)):
+                held[p, s, start, stop] = min(edits, held.get((p, s, start, stop), edits))
     zeros = np.r_[-1, np.flatnonzero(text == 0), len(text)]
     by_item = defaultdict(list)
-    for p, s, start, stop, edits in _verify(index, text, *_candidates(index, at, item, place)):
+    for (p, s, start, stop), edits in held.items():
         part = int(np.searchsorted(zeros, (start + stop) // 2, "right"))
         start, stop = max(start, int(zeros[part - 1]) + 1), min(stop, int(zeros[min(part, len(zeros) - 1)]))
         if start < stop:
@@ -226,7 +259,6 @@ def _scan(shared):
         index = Index(shared.value)
         for batch in batches:
             texts, ids, rows = common.column_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), []
-            names = batch.column("row").to_pylist()
             for a, b in blocks.chunks(texts, CHUNK):
                 parts = [normalise(t) for t in texts[a:b]]
                 starts = np.r_[0, np.cumsum([len(p) + 1 for p, _ in parts])]
@@ -236,9 +268,9 @@ def _scan(shared):
                     place = parts[i][1]
                     start, stop = max(0, start - int(starts[i])), min(len(place), stop - int(starts[i]))
                     if start < stop:
-                        rows.append((ids[a + i], names[a + i], item, int(place[start]), int(place[stop - 1]) + 1, n, edits))
+                        rows.append((ids[a + i], item, int(place[start]), int(place[stop - 1]) + 1, n, edits))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "row", "item_id", "start", "stop", "passages", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "start", "stop", "passages", "edits"])
 
     return run
 
@@ -277,12 +309,14 @@ def slices(benchmark: DataFrame, size: int = SLICE_BYTES):
 def regions(docs: DataFrame, benchmark: DataFrame, size: int = SLICE_BYTES) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
-    if "row" not in docs.columns:
-        docs = docs.withColumn("row", F.lit(0))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("row").cast("long").alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    parts = None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    parts = last = None
     for part in slices(benchmark, size):
-        found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(part)), REGIONS)
+        if last is not None:
+            parts = common.cut(parts, "regions")
+            last.destroy()
+        last = spark.sparkContext.broadcast(part)
+        found = texts.mapInArrow(_scan(last), REGIONS)
         parts = found if parts is None else parts.unionByName(found)
     return parts if parts is not None else spark.createDataFrame([], REGIONS)
 
@@ -291,15 +325,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = SLICE_BYTES) -> Dat
     """The documents that hold no passage of the benchmark, as they are."""
     spark = docs.sparkSession
     common.prepare(spark)
+    last = None
     for part in slices(benchmark, size):
+        if last is not None:  # one slice at a time is held by the driver and the workers
+            docs = common.cut(docs, "clean")
+            last.destroy()
+        last = spark.sparkContext.broadcast(part)
         rows = docs.select(F.struct("*").alias("__row"), F.coalesce("text", F.lit("")).cast("binary").alias("__text"))
-        docs = rows.mapInArrow(_drop(spark.sparkContext.broadcast(part)), common.ddl(rows.select("__row"))).select("__row.*")
+        docs = rows.mapInArrow(_drop(last), common.ddl(rows.select("__row"))).select("__row.*")
     return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regions(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
-    return found.drop("row")
+    return found
 
 
 QUERIES = {"op10_decontamination": query}

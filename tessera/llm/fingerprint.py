@@ -2,10 +2,12 @@
 
 A closed syncmer is a run of ``K`` bytes whose least inner run of ``S`` bytes (by hash) stands at
 its first or last place.  Whether a run is chosen depends on its own bytes alone, so an anchor
-survives any edit that doesn't touch it.  A fingerprint keeps the ``SIZE`` chosen runs with the
-least hashes and where each first stands; two fingerprints are as alike as the share of the least
-hashes of their union that both have at consistent places (the offsets differ by the same amount,
-give or take ``TOLERANCE`` bytes).
+survives any edit that doesn't touch it.  A fingerprint keeps the chosen runs whose hashes lie below
+a share 1 / ``PART`` of all hashes, or the ``SIZE`` with the least ones where that are more, and
+where each first stands; so it grows with the text, and both rules say of the union of two texts
+what they would keep of it.  Two fingerprints are as alike as the share of these hashes of their
+union that both have at consistent places (the offsets differ by the same amount, give or take
+``TOLERANCE`` bytes).
 
 ``edited`` walks documents in descending doc_id, each with the next one, in one range-wise shuffle:
 bounds are approximate quantiles of doc_id, and the first document of each range is also sent to
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, S, SIZE, TOLERANCE = 16, 5, 48, 16
+PART = 16
+BELOW = (1 << 32) // PART
 #: Ranges of doc_id: about RANGE_BYTES of text each, at most MAX_RANGES of them (rows stream through a range, so a larger one needs no more memory).
 RANGE_BYTES, MAX_RANGES, FAN = 2_000_000, 16_384, 128
 CHUNK = 300_000
@@ -68,7 +73,7 @@ def _anchors(texts: list[bytes]) -> list[Print]:
         bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
         name, place = (key & np.uint64(0xFFFFFFFF)).tolist(), place.tolist()
         for i, (a, b, s) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), starts.tolist(), strict=False)):
-            b = min(b, a + SIZE)
+            b = min(b, max(a + SIZE, bisect_left(name, BELOW, a, b)))
             out[i] = (name[a:b], [p - s for p in place[a:b]])
     return [p if p[0] or not t else ([xxhash.xxh32_intdigest(t)], [0]) for p, t in zip(out, texts, strict=True)]
 
@@ -101,7 +106,8 @@ def likeness(a: Print, b: Print) -> float:
 
 
 def likeness_at(a: Print, b: Print) -> float:
-    union = sorted({*a[0], *b[0]})[:SIZE]
+    union = sorted({*a[0], *b[0]})
+    union = union[: max(SIZE, bisect_left(union, BELOW))]
     places, last = dict(zip(*a, strict=True)), union[-1]
     shift = sorted(places[h] - p for h, p in zip(*b, strict=True) if h <= last and h in places)
     best = low = 0

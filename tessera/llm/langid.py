@@ -2,10 +2,16 @@
 
 Texts are compared by the blended spectrum presence kernel: the share of byte n-grams of 1 to
 ``N_MAX`` bytes (ASCII letters lower-cased; digits and ASCII punctuation as blanks, runs of blanks
-as one) that two texts have in common, normalised by the geometric mean of how many each has.
-``fit`` draws a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each of at most
-``LANGUAGES`` labels), takes some of them as Nyström landmarks and solves a one-versus-rest kernel
-ridge regression; ``predict`` scores every whole text with two matrix products a batch.
+as one) that two texts have in common, normalised by the geometric mean of how many each has.  A
+text of more than ``PIECE`` bytes is the mean of its pieces, so long texts are told by all they
+have and on the same scale as short ones.  ``fit`` draws a bounded sample of labelled rows (of each
+label at most ``PER_LABEL``, of all together at most ``ROWS`` or one a label), takes some of them as
+Nyström landmarks and solves a one-versus-rest kernel ridge regression; ``predict`` scores every
+whole text with two matrix products a batch.
+
+The sample of a label are the texts with the least hashes among its distinct texts that have a
+letter, so copies don't drive out others; every label that has such a text is learned.  A sampled
+text is used whole, or if it is longer than SPANS pieces by SPANS pieces from all over it.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a label that is null
 is never learned; with no labelled row at all every text is ``und``; ties go to the label that
@@ -30,12 +36,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The bound of the sample: rows a label, labels, and the bytes that a sampled text is fitted on.
-PER_LANGUAGE, LANGUAGES, FIT_BYTES = 200, 64, 4_000
+#: The bound of the sample: rows a label, rows in all (one a label at least), and the pieces that a longer text is sampled by.
+PER_LABEL, ROWS, SPANS = 200, 6_400, 16
+PIECE = 4_000
 LANDMARKS, RIDGE, N_MAX, BUCKETS = 160, 0.05, 4, 1 << 13
 #: What ``clean`` allows for below the training rows, slots for their 4-grams, and the lengths (in 4-grams) that limits are set for.
 MARGIN, LETTERS, SLOTS, LENGTHS = 0.8, 0.5, 1 << 24, tuple(1 << k for k in range(2, 12))
 FOLDS = 5
+LOT = 128  # pieces whose rows are made at a time
 
 # What bytes become before n-grams are taken: A-Z lower case, other ASCII but letters a blank.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -59,40 +67,52 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
+def pieces(texts: list[bytes], size: int = PIECE) -> tuple[list[bytes], np.ndarray]:
+    """Texts cut into pieces of about the same length, and which text each is of."""
+    out, of = [], []
+    for i, t in enumerate(texts):
+        n = max(1, -(-len(t) // size))
+        cuts = [len(t) * k // n for k in range(n + 1)]
+        out += [t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        of += [i] * n
+    return out, np.array(of, np.int64)
+
+
 def presence(texts: list[bytes]) -> np.ndarray:
-    """One row a text: which hashed n-grams it has, divided by the root of how many."""
+    """One row a text: which hashed n-grams it has, divided by the root of how many; of a long one the mean over its pieces."""
+    parts, of = pieces(texts)
+    out = np.zeros((len(texts), BUCKETS), np.float32)
+    for at in range(0, len(parts), LOT):
+        np.add.at(out, of[at : at + LOT], _presence(parts[at : at + LOT]))
+    return out / np.bincount(of, minlength=len(texts)).astype(np.float32)[:, None]
+
+
+def _presence(texts: list[bytes]) -> np.ndarray:
     out = np.zeros((len(texts), BUCKETS), np.float32)
     flat = out.reshape(-1)
     # Texts stand one after another with a blank between; an n-gram belongs to the text that it starts in.
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < 400_000):
-            size += len(texts[end]) + 1
-            end += 1
-        raw = _FOLD[np.frombuffer(b" ".join(texts[at:end]) + b" ", np.uint8)]
-        row = np.repeat(np.arange(at, end), [len(t) + 1 for t in texts[at:end]])
-        keep = np.r_[True, (raw[1:] != 32) | (raw[:-1] != 32)]
-        raw, base = raw[keep].astype(np.uint32), row[keep] * BUCKETS
-        code = np.zeros(len(raw), np.uint32)
-        for n in range(1, N_MAX + 1):
-            m = len(raw) - n + 1
-            if m <= 0:
-                break
-            code = code[:m] * np.uint32(257) + raw[n - 1 :] + np.uint32(1)
-            h = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
-            same = base[:m] == base[n - 1 :] if n > 1 else slice(None)
-            flat[(base[:m] + h)[same]] = 1
-        at = end
+    raw = _FOLD[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    keep = np.r_[True, (raw[1:] != 32) | (raw[:-1] != 32)]
+    raw, base = raw[keep].astype(np.uint32), row[keep] * BUCKETS
+    code = np.zeros(len(raw), np.uint32)
+    for n in range(1, N_MAX + 1):
+        m = len(raw) - n + 1
+        if m <= 0:
+            break
+        code = code[:m] * np.uint32(257) + raw[n - 1 :] + np.uint32(1)
+        h = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+        same = base[:m] == base[n - 1 :] if n > 1 else slice(None)
+        flat[(base[:m] + h)[same]] = 1
     return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
 
-def fit_rows(texts: list[bytes], labels: list[str]) -> Model:
+def fit_rows(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS) -> Model:
     names = tuple(sorted(set(labels)))
-    x = presence([t[:FIT_BYTES] for t in texts])
+    x = presence(texts)
     y = np.where(np.array(labels)[:, None] == np.array(names)[None], 1.0, -1.0)
     rng = np.random.default_rng(7)
-    marks = np.concatenate([rng.permutation(np.flatnonzero(y[:, j] > 0))[: max(1, LANDMARKS // len(names))] for j in range(len(names))])
+    marks = np.concatenate([rng.permutation(np.flatnonzero(y[:, j] > 0))[: max(1, landmarks // len(names))] for j in range(len(names))])
     z = x[marks]
     value, vector = np.linalg.eigh((z @ z.T).astype(np.float64))
     root = vector / np.sqrt(np.maximum(value, 1e-6))  # K_zz^(-1/2)
@@ -159,19 +179,22 @@ def limits(texts: list[bytes]) -> Limits:
     return Limits(np.packbits(bits), MARGIN * np.minimum.accumulate(least[::-1])[::-1], LETTERS * min(map(letter_share, texts)))
 
 
-def training_rows(docs: DataFrame, per_label: int = PER_LANGUAGE, labels: int = LANGUAGES) -> DataFrame:
-    """The bounded sample: of the most frequent labels, the texts with the least hashes."""
-    known = docs.filter(F.col("lang").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(labels).collect()}
-    if not counts:
-        return known.limit(0)
-    # Such a share of each label's rows that enough are left, then the least hashes of those: only they are ordered, copies once.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (4 * per_label + 200) / n))])
+def training_rows(docs: DataFrame, per_label: int = PER_LABEL, rows: int = ROWS) -> DataFrame:
+    """The bounded sample: of each label, the distinct texts with a letter whose hashes are least."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    distinct = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not distinct:
+        return known.select("lang", "text").limit(0)
+    each = max(1, min(per_label, rows // len(distinct)))
+    # Of each label so many of the least hashes that enough are left, and only those are ordered.
+    share = F.create_map(*[F.lit(x) for k, n in distinct.items() for x in (k, min(1.0, (4 * each + 200) / n))])
     part = F.abs(F.col("h") % 1_000_003) / 1_000_003
-    drawn = known.filter(F.col("lang").isin(list(counts))).withColumn("h", F.xxhash64("text")).filter(part <= F.element_at(share, F.col("lang")))
-    drawn = drawn.filter(F.col("text").rlike(r"\p{L}")).select("lang", "h", F.substring("text", 1, FIT_BYTES).alias("text")).dropDuplicates(["lang", "h"])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return drawn.withColumn("k", rank).filter(F.col("k") <= per_label).select("lang", "text")
+    least = known.select("lang", "h").filter(part <= F.element_at(share, F.col("lang"))).distinct()
+    chosen = least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(part, "h"))).filter(F.col("k") <= each).select("lang", "h")
+    size, many = PIECE, SPANS
+    spans = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.substr(F.col("text"), (1 + F.floor(i * (F.length("text") - size) / (many - 1))).cast("int"), F.lit(size))))
+    text = F.when(F.length("text") > size * many, spans).otherwise(F.col("text"))
+    return known.join(chosen, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min(text).alias("text")).select("lang", "text")
 
 
 def drawn(docs: DataFrame) -> list[tuple[str, str]]:

@@ -11,12 +11,12 @@ ids (little-endian uint32), doc_tokens, sequence_id and offset.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is packed like any other;
 repeated rows are packed as often as they occur; an empty table gives no rows; further columns are
-ignored.  Nothing is padded.  Shards hold about ``SHARD_DOCS`` documents, whatever the size of the table.
+ignored.  Nothing is padded.  Shards are made by a hash of a piece's document, place and ids, so rows
+without an id spread over all of them.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 from array import array
 
@@ -29,7 +29,8 @@ from . import common
 
 CAPACITY = 4096
 END = 2
-SHARD_DOCS = 4096
+#: Bytes of text whose pieces a shard holds on average.
+SHARD_BYTES = 8_000_000
 VOCABULARY = "word_bpe_49k.json"
 LATIN = "\u0250"
 # The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100 on.
@@ -60,9 +61,10 @@ class ChunkTokenizer(dict):
         if ids is None:
             core = w.rstrip(self.TAIL)
             s = core.decode("utf-8", "replace")
-            if s.isalpha() and max(s) < LATIN:
-                # Letters below U+0250 are one piece and in normal form: only case and the byte alphabet are left to do.
-                s = s.lower()
+            low = s.lower()
+            if s.isalpha() and max(s) < LATIN and max(low) < LATIN:
+                # Letters below U+0250, in lower case too, are one piece and in normal form: only case and the byte alphabet are left to do.
+                s = low
                 low = s.encode()
                 ids = self.get(low)
                 if ids is None:
@@ -206,12 +208,12 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     common.prepare(docs.sparkSession)
-    shards = max(1, math.ceil(docs.count() / shard_docs))
+    shards = common.blocks_for(docs, each=shard_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     pieces = texts.mapInArrow(_cut_documents(vocabulary, capacity, end), PIECES)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int"))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int"))
     return common.grouped(pieces, "shard", _pack_shard(capacity), PACKED)
 
 

@@ -10,9 +10,9 @@ Files are written by Spark's text writer, which puts a line feed after each valu
 ends with the header of a one-byte skippable frame, whose content that line feed is.
 
 Defined cases: null html is an empty payload; a null page_id never is referred to and is a
-response; rows with the page_id and the payload of a response are responses as well; an empty
-table makes no archive; further columns are ignored.  An archive of too few records for a
-dictionary has none.
+response; rows with the page_id and the payload of a response are responses as well and have its
+record id (others have their own); an empty table makes no archive; further columns are ignored.
+An archive of too few records to train a dictionary on has the beginning of them as one.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _record(page_id, url, length: int, sha1: str, top, html: bytes | None) -> by
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if top is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:{f'page:{page_id}:{digest}' if page_id is not None else f'uuid:{uuid.uuid4()}'}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -59,7 +59,7 @@ def _record(page_id, url, length: int, sha1: str, top, html: bytes | None) -> by
     if top is None:
         body += html or b""
     else:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{top}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{top}:{digest}>"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -69,13 +69,13 @@ def archive(records: list[bytes], level: int = LEVEL) -> bytes:
     import zstandard
 
     step = max(1, sum(min(len(r), SAMPLE_EACH) for r in records) // SAMPLE_BYTES)
-    dictionary, out = None, []
+    sample = [r[:SAMPLE_EACH] for r in records[::step]]
     try:
-        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:SAMPLE_EACH] for r in records[::step]], k=512, d=8)
-        raw = dictionary.as_bytes()
-        out.append(struct.pack("<II", SKIPPABLE_DICTIONARY, len(raw)) + raw)
-    except zstandard.ZstdError:
-        pass
+        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=512, d=8)
+    except zstandard.ZstdError:  # too few records to learn from: the beginning of the sample itself, as content
+        dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = dictionary.as_bytes()
+    out = [struct.pack("<II", SKIPPABLE_DICTIONARY, len(raw)) + raw]
     compress = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True).compress
     out += map(compress, records)
     return b"".join(out) + struct.pack("<II", SKIPPABLE_END, 1)
@@ -104,7 +104,7 @@ def parse(content: bytes):
         dictionary = zstandard.ZstdCompressionDict(content[8 : 8 + struct.unpack_from("<I", content, 4)[0]])
     reader = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(io.BytesIO(content), read_across_frames=True)
     text = io.BufferedReader(reader, 1 << 20)
-    number = lambda s: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", s or "")) else None
+    number = lambda s: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+):", s or "")) else None
     while (line := text.readline()) :
         if line != b"WARC/1.1\r\n":
             raise ValueError(f"not a WARC record: {line[:40]!r}")

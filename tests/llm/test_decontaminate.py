@@ -77,6 +77,29 @@ def test_lemma_bound_and_alignment():
             assert [(x[0], x[4]) for x in found] == [(1, k)] and found[0][1] >= 54 and found[0][2] <= 66 + len(t)
 
 
+def test_hits_in_lots_and_items_in_parts_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    item = words(rng, 120).encode()
+    items = [(1, b"a" * 300), (2, item), (3, b"ab" * 60), (4, item[200:330])]
+    texts = [b"a" * 700, item[100:400] + b"a" * 90, b"ba" * 200, words(rng, 300).encode() + item[250:340], b"x" * 79 + b"a" * 79]
+    find = lambda: [dc.find(dc.Index(dc.whole(items)), np.frombuffer(t, np.uint8)) for t in texts]
+    regions = lambda found: [sorted({(i, a, b, e) for i, a, b, _, e in f}) for f in found]
+    want = regions(find())
+    assert all(want)
+    monkeypatch.setattr(dc, "MOST", 60)
+    assert regions(find()) == want
+    monkeypatch.setattr(dc, "ITEM_BYTES", 50)
+    got = regions(find())
+    assert [{i for i, *_ in f} for f in got] == [{i for i, *_ in f} for f in want]
+
+
+def test_extra_columns_with_any_name(spark):
+    bench = spark.createDataFrame([(1, "a passage of the benchmark that is long enough to be looked for")], "item_id long, text string")
+    docs = documents(spark, ["xx a passage of the benchmark that is long enough to be looked for", "none"]).selectExpr("*", "'x' row", "'y' rest", "'z' shard", "1 range", "'q' h")
+    assert [r.doc_id for r in dc.regions(docs, bench).collect()] == [0]
+    assert dc.clean(docs, bench).collect() == docs.filter("doc_id = 1").collect()
+
+
 def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a passage of the benchmark that is long enough to be looked for")], "item_id long, text string")
     assert dc.regions(documents(spark, []), bench).count() == 0

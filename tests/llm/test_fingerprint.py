@@ -27,7 +27,7 @@ def brute(text):
 def test_anchors_are_the_closed_syncmers(texts):
     for text, (names, places) in zip(texts, fp.prints(texts), strict=True):
         chosen = brute(text)
-        assert names == sorted(set(names)) and len(names) <= fp.SIZE
+        assert names == sorted(set(names))
         if chosen:
             first = {}
             for i in chosen:
@@ -55,6 +55,14 @@ def test_likeness():
     assert fp.likeness(([], []), ([], [])) == 1 and fp.likeness(([], []), pa) == 0
 
 
+def full_likeness(a, b):
+    """By all syncmers of both texts."""
+    x, y = ({t[i : i + fp.K]: i for i in reversed(brute(t))} for t in (a, b))
+    shift = sorted(x[g] - y[g] for g in x if g in y)
+    best = max((sum(0 <= s - t <= fp.TOLERANCE for s in shift) for t in shift), default=0)
+    return best / max(1, len({*x, *y}))
+
+
 def expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
     out = []
@@ -76,6 +84,20 @@ def test_edited_against_a_plain_walk(spark):
         assert sorted(map(tuple, got), key=str) == expected(rows)
 
 
+def test_likeness_is_near_that_of_all_syncmers():
+    """The error of the kept share, by length: what the README states."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    for n, most in ((300, 0.15), (2_000, 0.15), (20_000, 0.08)):
+        errors = []
+        for share in (0.1, 0.4, 0.8):
+            a, b = (" ".join(word() for _ in range(n // 5)).encode()[:n] for _ in "ab")
+            b = a[: int(n * share)] + b[int(n * share) :]
+            errors.append(abs(fp.likeness(*fp.prints([a, b])) - full_likeness(a, b)))
+        print(n, errors)
+        assert max(errors) <= most
+
+
 def test_few_rows(spark):
     assert fp.edited(documents(spark, [])).count() == 0
     for rows in ([(3, "only one row")], [(3, None)], [(None, "x")]):

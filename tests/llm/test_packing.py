@@ -44,10 +44,37 @@ def test_a_filling_is_the_closest_to_capacity():
     assert next(packing.fillings({7: 1, 6: 1, 4: 1}, 12))[1] == {7: 1, 4: 1}
 
 
+def test_every_letter_below_the_short_cut():
+    letters = [chr(c) for c in range(0x80, 0x260)]
+    texts = [f(c) for c in letters for f in (str, "ab{}cd".format, "{}x".format, "Stra{}e.".format, "A{}".format)]
+    got = packing.tokenizer("word_bpe_49k.json").encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t)[:-1] for t in texts]
+
+
+def test_each_filling_is_the_best_of_all_subsets():
+    rng = random.Random(8)
+    for _ in range(150):
+        capacity = rng.randrange(6, 40)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 11))]
+        counts = {n: lengths.count(n) for n in lengths}
+        left = dict(counts)
+        for times, use in packing.fillings(counts, capacity):
+            flat = [n for n, k in left.items() for _ in range(k)]
+            flat.remove(max(flat))
+            first = max(left)
+            sums = {0}
+            for n in flat:
+                sums |= {x + n for x in sums if x + n <= capacity - first}
+            assert use[first] >= 1 and sum(n * k for n, k in use.items()) == first + max(sums)
+            assert times >= 1 and all(left[n] >= k * times for n, k in use.items())
+            left = {n: left[n] - times * use.get(n, 0) for n in left if left[n] > times * use.get(n, 0)}
+        assert not left and not counts
+
+
 def test_round_trip(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "Ánd", "of,", "x9"]) for _ in range(rng.choice([0, 3, 900, 5000, 9000]))) for _ in range(40)] + ["", None, "a\u0000b <|endoftext|> c"]
-    got = packing.digest(packing.pack(documents(spark, texts), shard_docs=16)).collect()
+    got = packing.digest(packing.pack(documents(spark, texts), shard_bytes=60_000)).collect()
     by = {}
     for r in sorted(got, key=lambda r: (r.doc_id, r.start)):
         ids = ids_of(texts[r.doc_id] or "")

@@ -42,6 +42,8 @@ def test_threshold_empty_table_and_small_archives(spark, tmp_path):
     warc.write(pages, f"{tmp_path}/w", min_payload=3)
     got = {r.page_id: r.refers_to for r in warc.read(spark, f"{tmp_path}/w").collect()}
     assert got == {1: None, 2: None, 3: 4, 4: None}
+    small = warc.archive([warc._record(1, "u", 2, "00" * 20, None, b"aa")])
+    assert small[:4] == b"\x5d\x2a\x4d\x18" and [r[0] for r in warc.parse(small + b"\n")] == [1]
     warc.write(pages.limit(0), f"{tmp_path}/e")
     assert warc.read(spark, f"{tmp_path}/e").count() == 0
 
