@@ -74,16 +74,27 @@ def deal(block: int, route: np.ndarray, shards: int, names: tuple[str, ...], *co
     rows = []
     for s in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = int(bounds[s]), int(bounds[s + 1])
-        rows.append((s, block, b - a, *[_bytes(c[a:b]) if isinstance(c, np.ndarray) else b"\n".join([c[i] for i in order[a:b].tolist()]) for c in columns]))
+        rows.append((s, block, b - a, *[pack(c[a:b]) if isinstance(c, np.ndarray) else b"\n".join([c[i] for i in order[a:b].tolist()]) for c in columns]))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    return (np.packbits(x) if x.dtype == bool else x).tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """An array for the shuffle: bits eight to a byte; numbers byte by byte, all first bytes together, then all second ones, which compresses better."""
+    if x.dtype == bool:
+        return np.packbits(x).tobytes()
+    size = x[:1].nbytes
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if 1 < size <= 8 else x.tobytes()
 
 
-def _from(raw: bytes, n: int, kind) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if kind is bool else np.frombuffer(raw, kind)
+def unpack(raw: bytes, n: int, kind) -> np.ndarray:
+    """The n items that ``pack`` made ``raw`` of."""
+    if kind is bool:
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+    kind = np.dtype(kind)
+    if not 1 < kind.itemsize <= 8:
+        return np.frombuffer(raw, kind)
+    rows = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T)
+    return rows if kind.subdtype and kind.base == np.uint8 else rows.view(kind.base).reshape(n, *kind.shape) if kind.subdtype else rows.view(kind).reshape(n)
 
 
 class Shard:
@@ -98,8 +109,8 @@ class Shard:
             if kind is bytes:
                 value = [x for r in raw for x in r.split(b"\n")]
             else:
-                parts = [_from(r, n, kind) for r, n in zip(raw, sizes.tolist(), strict=True)]
-                value = np.concatenate(parts) if parts else np.zeros(0, kind)
+                parts = [unpack(r, n, kind) for r, n in zip(raw, sizes.tolist(), strict=True)]
+                value = np.concatenate(parts) if parts else unpack(b"", 0, kind)
             setattr(self, name, value)
 
     def answers(self, of: Callable[[int, int], bytes]) -> pa.Table:
@@ -113,13 +124,12 @@ def answer_table(rows) -> pa.Table:
 
 
 def read(answers: list[dict], route: np.ndarray, shards: int, kind) -> np.ndarray:
-    """The answers to what was dealt by ``route``, in its order; zero where a shard sent none."""
+    """The answers (made by ``pack``) to what was dealt by ``route``, in its order; zero where a shard sent none."""
     order, bounds = common.split_by(common.mix(route), shards)
-    width = np.dtype(kind).subdtype[1] if np.dtype(kind).subdtype else ()
-    out = np.zeros((len(route), *width), np.dtype(kind).base)
+    out = np.zeros((len(route), *np.dtype(kind).shape), np.dtype(kind).base)
     for a in answers:
-        lo, hi = bounds[a["shard"]], bounds[a["shard"] + 1]
-        out[order[lo:hi]] = np.frombuffer(a["answer"], kind) if kind is not bool else _from(a["answer"], int(hi - lo), bool)
+        lo, hi = int(bounds[a["shard"]]), int(bounds[a["shard"] + 1])
+        out[order[lo:hi]] = unpack(a["answer"], hi - lo, kind)
     return out
 
 

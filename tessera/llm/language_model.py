@@ -132,7 +132,7 @@ def _count(shards: int):
             words, at = np.unique(s.keys, return_inverse=True)
             total = np.bincount(at, s.counts, len(words)).astype("<u8")
             answer = total[at]
-            out = [(b, shard, answer[lo:hi].tobytes(), 0, 0) for b, lo, hi in zip(s.block, s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)]
+            out = [(b, shard, blocks.pack(answer[lo:hi]), 0, 0) for b, lo, hi in zip(s.block, s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True)]
             out.append((TOTAL, shard, b"", int(total.sum()), int((total > 0).sum())))
         else:
             s = blocks.Shard(rows, keys=np.dtype(("u1", 6)), counts=np.dtype("<u4"))

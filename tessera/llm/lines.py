@@ -12,7 +12,7 @@ this order, so
 1. lines with the same text are one line, the first: a block asks for each of its distinct lines
    once, by 128 bits of a hash;
 2. each line goes to the groups of its prefix words with its size, the place of the word and a
-   64-bit picture of its set; the length filter, the positional filter and the difference of the
+   128-bit picture of its set; the length filter, the positional filter and the difference of the
    pictures tell which lines of a group may have a similar one there;
 3. only those go to the same groups again, word for word, where Jaccard is verified, the closest in
    order first; a line that is removed is compared no further as the later one.
@@ -145,8 +145,10 @@ def _lots(flat: list[bytes], which: np.ndarray):
 
 
 def pictures(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64 bits for each set: whether an odd number of its words fall on the bit.  Two pictures differ in no more bits than the sets differ in words."""
-    return np.bitwise_xor.reduceat(np.uint64(1) << (rank & np.uint64(63)), starts[:-1]) if len(rank) else np.zeros(0, np.uint64)
+    """128 bits for each set: whether an odd number of its words fall on the bit.  Two pictures differ in no more bits than the sets differ in words."""
+    bit, half = np.uint64(1) << (rank & np.uint64(63)), (rank >> np.uint64(6) & np.uint64(1)).astype(bool)
+    both = [np.where(half == side, bit, np.uint64(0)) for side in (False, True)]
+    return np.stack([np.bitwise_xor.reduceat(x, starts[:-1]) if len(rank) else x for x in both], axis=1)
 
 
 def _prefixes(sizes: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def _offer(shared, shards: int):
             short = lambda x: np.minimum(x, FULL).astype("<u2")
             out.append((key, mine[lo:hi][line].astype("<u4"), short(np.diff(starts)[line]), short(place), pictures(rank, starts)[line]))
         if not out:
-            out = [(np.zeros(0, np.uint64), *[np.zeros(0, t) for t in ("<u4", "<u2", "<u2", "<u8")])]
+            out = [(np.zeros(0, np.uint64), *[np.zeros(0, t) for t in ("<u4", "<u2", "<u2", ("<u8", 2))])]
         key, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
         return blocks.deal(b.number, key, shards, _OFFER, common.small(key, 7), *rest)  # keys have 52 bits
 
@@ -201,7 +203,7 @@ _ASKED = np.dtype([("key", "<u8"), ("line", "<u4")])
 
 def _may_match(rows: pa.Table) -> pa.Table:
     """Answers with the (key, line) that may have a similar line in the group of the key."""
-    s = blocks.Shard(rows, key=np.dtype(("u1", 7)), line=np.dtype("<u4"), size=np.dtype("<u2"), place=np.dtype("<u2"), picture=np.dtype("<u8"))
+    s = blocks.Shard(rows, key=np.dtype(("u1", 7)), line=np.dtype("<u4"), size=np.dtype("<u2"), place=np.dtype("<u2"), picture=np.dtype(("<u8", 2)))
     keys = common.large(s.key)
     order = np.lexsort((s.size, keys))
     key, picture = keys[order], s.picture[order]
@@ -217,7 +219,7 @@ def _may_match(rows: pa.Table) -> pa.Table:
         j = i + d
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-9)
         good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        good &= np.bitwise_count(picture[i] ^ picture[j]) <= size[i] + size[j] - 2 * need
+        good &= np.bitwise_count(picture[i] ^ picture[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
         good |= size[j] == FULL
         flagged[i[good]] = True
         flagged[j[good]] = True

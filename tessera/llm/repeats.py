@@ -38,6 +38,8 @@ from . import blocks, common
 
 WINDOW, ROUNDS = 13, 2
 HOT = 1_000
+#: Smaller blocks than elsewhere: the symbols of all rounds are held at once.
+BLOCK_BYTES = 4_000_000
 KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 WORD = np.uint64(1) << np.uint64(39)  # names of words lie from here on, others below
 LONGEST = 254  # of a run; longer ones are cut
@@ -204,7 +206,7 @@ def _name(shards: int, rounds: int, number: int):
         if len(name) and name.max() >= 1 << 39:
             raise OverflowError("more names than 39 bits can tell")
         names = np.where(several, name, 0).astype(np.uint64)[of]
-        return s.answers(lambda a, b: common.small(names[a:b], 5).tobytes() if names[a:b].any() else b"")
+        return s.answers(lambda a, b: blocks.pack(common.small(names[a:b], 5)) if names[a:b].any() else b"")
 
     return run
 
@@ -347,11 +349,11 @@ def _gone(answers: list[dict], shards: int):
         yield (np.repeat(part["first"].astype(np.int64), n) + step)[gone]
 
 
-def remove(docs: DataFrame, window: int = WINDOW, block_bytes: int = common.BLOCK_BYTES, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by blanks, UTF-8)."""
     common.prepare(docs.sparkSession)
     count = common.blocks_for(docs, each=block_bytes)
-    shards = -(-count // 2)
+    shards = count
     texts = common.blocked(docs, count)
     names: dict[str, DataFrame] = {}
     for r in range(rounds):

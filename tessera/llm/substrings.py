@@ -39,7 +39,6 @@ HOT = 1_000
 CHUNK, PIECE = 250_000, 1 << 22
 ROWS = 8_192
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-_STATE = np.dtype([("at", "<u4"), ("entry", "<u4"), ("least", "u1")])
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -137,26 +136,26 @@ def _ask(length: int, q: int, shards: int):
     return run
 
 
-_SHOWN = ("entry", "doc", "state")
+_SHOWN = ("entry", "doc")
+
+
+def _entries(b: Block, found: dict, shards: int):
+    """Of the shared anchors: where they stand, their documents and rows, which entry each is of, and of each entry the row that stands for it and its key, in the order of their places."""
+    at, key, doc, rows = b.around(blocks.read(found["asked"], b.keys, shards, np.uint8)[b.of])
+    of, one, _ = common.classes(common.lanes_of(rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize)), doc)
+    order = np.argsort(one)
+    place = np.empty(len(one), np.int64)
+    place[order] = np.arange(len(one))
+    return at, doc, rows, place[of], one[order], key[one[order]]
 
 
 def _show(length: int, q: int, shards: int):
-    """What is around the shared anchors, and for the block itself where they stand."""
+    """What is around the shared anchors, equal surroundings once, with the least document that has them."""
 
     def run(docs: pa.Table, found: dict) -> pa.Table:
         b = Block(docs, length, q)
-        at, key, doc, rows = b.around(blocks.read(found["asked"], b.keys, shards, np.uint8)[b.of])
-        of, one, _ = common.classes(common.lanes_of(rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize)), doc)
-        least, route = doc[one], key[one]
-        dealt = blocks.deal(b.number, route, shards, _SHOWN, rows[one], least, np.zeros(len(one), np.uint8))
-        if not len(one):
-            return dealt
-        state = np.zeros(len(at), _STATE)
-        state["at"], state["entry"], state["least"] = at, of, doc == least[of]
-        # The state goes with the entries to a shard that sends it back as it is.
-        full = np.c_[rows["least"][one], rows["most"][one]]
-        own = pa.table([[b.number % shards] * 3, [b.number] * 3, [0, -1, -2], [b""] * 3, [b""] * 3, [state.tobytes(), route.astype("<u8").tobytes(), full.tobytes()]], schema=dealt.schema)
-        return pa.concat_tables([dealt, own])
+        _, doc, rows, _, one, route = _entries(b, found, shards)
+        return blocks.deal(b.number, route, shards, _SHOWN, rows[one], doc[one])
 
     return run
 
@@ -211,11 +210,6 @@ def _covered(length: int, q: int):
     kind, reach = _entry(length, q), length - q
 
     def run(rows: pa.Table) -> pa.Table:
-        n = rows.column("n").to_numpy()
-        back = [(b, k - 1, x) for b, k, x in zip(*(rows.filter(pa.array(n <= 0)).column(c).to_pylist() for c in ("block", "n", "state")), strict=True)]
-        rows = rows.filter(pa.array(n > 0))
-        if not rows.num_rows:
-            return blocks.answer_table(back)
         s = blocks.Shard(rows, entry=kind, doc=np.dtype("<i8"))
         strings = np.zeros(len(s.entry), np.uint64)  # a bit for each string before the anchor
         gram = np.ascontiguousarray(s.entry["around"][:, reach : reach + q])
@@ -229,8 +223,7 @@ def _covered(length: int, q: int):
             end = int(heads[k]) if k < len(heads) else len(order)
             which, at = order[at:end], end
             strings[which] = _late(s.entry[which], s.doc[which], length, reach)
-        found = s.answers(lambda a, b: strings[a:b].astype("<u8").tobytes() if strings[a:b].any() else b"")
-        return pa.concat_tables([blocks.answer_table(back), found])
+        return s.answers(lambda a, b: blocks.pack(strings[a:b]) if strings[a:b].any() else b"")
 
     return run
 
@@ -251,24 +244,16 @@ def _late(entry: np.ndarray, doc: np.ndarray, length: int, reach: int) -> np.nda
     return bits
 
 
-def _starts(answers: list[dict], shards: int):
-    """(at, strings) of the anchors with strings that go."""
-    own = {a["shard"]: a["answer"] for a in answers if a["shard"] < 0}
-    if not own:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    state, route, span = np.frombuffer(own[-1], _STATE), np.frombuffer(own[-2], "<u8"), np.frombuffer(own[-3], np.uint8).reshape(-1, 2).astype(np.uint64)
-    late = blocks.read([a for a in answers if a["shard"] >= 0], route, shards, np.dtype("<u8"))
-    one = np.uint64(1)
-    every = ((one << (span[:, 1] + one)) - one) & ~((one << span[:, 0]) - one)
-    # The block's first document with these bytes loses what came before it, the others lose all.
-    return state["at"].astype(np.int64), np.where(state["least"] > 0, late[state["entry"]], every[state["entry"]])
-
-
 def _remove(length: int, q: int, shards: int):
     def run(docs: pa.Table, found: dict) -> pa.Table:
-        ids, texts, _ = blocks.in_order(docs)
-        starts = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-        at, strings = _starts(found["covered"], shards)
+        b = Block(docs, length, q)
+        at, doc, rows, entry, one, route = _entries(b, found, shards)
+        late = blocks.read(found["covered"], route, shards, np.dtype("<u8"))[entry]
+        bit = np.uint64(1)
+        every = ((bit << (rows["most"].astype(np.uint64) + bit)) - bit) & ~((bit << rows["least"].astype(np.uint64)) - bit)
+        # The block's first document with these bytes loses what came before it, the others lose all.
+        strings = np.where(doc == doc[one][entry], late, every)
+        ids, texts, starts = b.ids, b.texts, b.starts
         depth = np.zeros(starts[-1] + 1, np.int32)
         for o in range(length - q + 1):
             start = at[(strings >> np.uint64(o) & np.uint64(1)).astype(bool)] - o
@@ -299,7 +284,7 @@ def remove(docs: DataFrame, length: int = LENGTH, q: int = Q, block_bytes: int =
     asked = common.grouped(common.grouped(texts, "block", _ask(length, q, shards), blocks.dealt(*blocks.NAMED)), "shard", blocks.shared(hot), blocks.ANSWER)
     shown = blocks.together(texts, count, {"asked": asked}, _show(length, q, shards), blocks.dealt(*_SHOWN))
     covered = common.grouped(shown, "shard", _covered(length, q), blocks.ANSWER)
-    return blocks.together(texts, count, {"covered": covered}, _remove(length, q, shards), KEPT)
+    return blocks.together(texts, count, {"asked": asked, "covered": covered}, _remove(length, q, shards), KEPT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
