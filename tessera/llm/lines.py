@@ -249,7 +249,7 @@ def _show(shards: int):
             o = order[bounds[s] : bounds[s + 1]]
             own, which = np.unique(lines[o], return_inverse=True)
             text = b"\n".join([b" ".join(dict.fromkeys(b.flat[i].lower().split())) for i in own.tolist()])
-            rows.append((s, b.number, len(o), asked["key"][o].tobytes(), doc[lines[o]].tobytes(), asked["line"][o].tobytes(), which.astype("<u4").tobytes(), text))
+            rows.append((s, b.number, len(o), *map(blocks.pack, (asked["key"][o], doc[lines[o]], asked["line"][o], which.astype("<u4"))), text))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), nothing.schema, strict=True)], schema=nothing.schema) if rows else nothing
 
     nothing = blocks.empty(blocks.dealt(*_SHOW))
