@@ -10,10 +10,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that show nothing or turn the direction of text, and leads that a spreadsheet reads as a formula.
-CONTROLS = r"[\u0000-\u001F\u007F-\u009F؜‎‏‪-‮⁦-⁩]+"
-INVISIBLE = r"[­​-‍⁠-⁤﻿]"
-TAGS = r"[\x{E0000}-\x{E007F}]"
+# Control and direction characters, characters that show nothing, and leads that a spreadsheet reads as a formula.
+CONTROLS = r"[\u0000-\u001F\u007F-\u009F\u202A-\u202E\u2066-\u2069]+"
+INVISIBLE = r"[\u061C\u200B-\u200F\u2028\u2029\u202F\u2060-\u2064\uFEFF\x{E0000}-\x{E007F}]"
 FORMULA = r"^[=+\-@\t\r]"
 CVE_ID = {"corpus": r"^CVE-\d{4}-\d{4,19}$", "catalog": r"^CVE-\d{4}-\d{4,12}$"}
 
@@ -24,21 +23,32 @@ def strip_controls(c: Column) -> Column:
 
 
 def strip_invisible(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(strip_controls(c), INVISIBLE, ""), TAGS, "")
+    """For text that a model reads: each character besides that shows nothing becomes a blank, too."""
+    return F.regexp_replace(strip_controls(c), INVISIBLE, " ")
+
+
+def _guarded(c: Column) -> Column:
+    return F.when(c.rlike(FORMULA), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def csv_field(c: Column) -> Column:
-    """Always quoted, quotes doubled, and an apostrophe before what would be a formula; null is empty."""
-    c = F.coalesce(c, F.lit(""))
-    guarded = F.when(c.rlike(FORMULA), F.concat(F.lit("'"), c)).otherwise(c)
+    """On one line, always quoted, quotes doubled, and an apostrophe before what would be a formula; null is empty."""
+    guarded = _guarded(strip_controls(F.coalesce(c, F.lit(""))))
     return F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def sheet_cell(c: Column) -> Column:
-    """A cell for a spreadsheet: on one line, numbers as they are, formulas guarded."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\t\r\n]+", " ")
-    number = c.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
-    return F.when(~number & c.rlike(FORMULA), F.concat(F.lit("'"), c)).otherwise(c)
+def sheet_cell(c: Column, number: bool = False) -> Column:
+    """A cell for a spreadsheet: on one line, formulas guarded; a column of numbers is as it is."""
+    c = F.coalesce(c, F.lit(""))
+    return c if number else _guarded(strip_controls(c))
+
+
+def storable(c: Column) -> Column:
+    """Whether raw JSON has no escape of half a character (an unpaired surrogate), which no text can hold."""
+    escape = r"(?<!\\)(?:\\\\)*\\u"
+    high, low = r"[dD][89abAB][0-9a-fA-F]{2}", r"[dD][c-fC-F][0-9a-fA-F]{2}"
+    pairs = F.regexp_replace(c, rf"({escape}){high}\\u{low}", "")
+    return ~F.coalesce(pairs.rlike(rf"{escape}[dD][89a-fA-F][0-9a-fA-F]{{2}}"), F.lit(False))
 
 
 def host(url: Column) -> Column:

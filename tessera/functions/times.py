@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import math
 import re
 
 from pyspark.sql import Column
@@ -101,14 +102,53 @@ def coarsen(first: dt.date, last: dt.date, grain: str, cap: int) -> str:
     return next((g for g in order[order.index(grain) :] if span(first, last, g) <= cap), "year")
 
 
+# After how many seconds the corpus is stale, the catalog of exploited records is, and a copy syncs by itself.
+STALE, KEV_STALE, AUTO_SYNC = 2 * DAY, 8 * DAY, DAY // 2
+
+
 def age_phrase(seconds_ago: float) -> str:
-    """How long ago in the largest unit that fits."""
-    for unit, size in (("day", DAY), ("hour", 3600), ("minute", 60)):
-        if seconds_ago >= size:
-            n = int(seconds_ago // size)
-            return f"{n} {unit}{'s' * (n != 1)} ago"
-    return "just now"
+    """How old in hours or days."""
+    if seconds_ago < 3_600:
+        return "less than an hour old"
+    unit, size = ("hour", 3_600) if seconds_ago < DAY else ("day", DAY)
+    n = int(seconds_ago // size)
+    return f"{n} {unit}{'s' * (n != 1)} old"
+
 
+def is_stale(seconds_ago: float, limit: float = STALE) -> bool:
+    return seconds_ago > limit
 
-def is_stale(seconds_ago: float, limit_days: float = 2) -> bool:
-    return seconds_ago > limit_days * DAY
+
+def freshness(generated, now: float, limit: float = STALE) -> dict | None:
+    """Age in seconds (none below zero), the moment, the phrase and whether it is stale; None if there is no usable time."""
+    if isinstance(generated, bool) or not isinstance(generated, (int, float)) or not math.isfinite(generated) or generated <= 0:
+        return None
+    age = max(0.0, now - generated)
+    return {"age": age, "iso": dt.datetime.fromtimestamp(generated, dt.UTC).isoformat(), "phrase": age_phrase(age), "stale": is_stale(age, limit)}
+
+
+def months_before(day: dt.date, n: int) -> dt.date:
+    """The same day n months before, or the last one of a shorter month."""
+    at = day.year * 12 + day.month - 1 - n
+    return dt.date(at // 12, at % 12 + 1, min(day.day, calendar.monthrange(at // 12, at % 12 + 1)[1]))
+
+
+def presets(bounds: tuple[dt.date, dt.date] | None, today: dt.date) -> list[tuple[str, str, dt.date | None, dt.date | None]]:
+    """key, label, first and last day of the shortcuts that touch the days there are, cut to them."""
+    day = dt.timedelta(days=1)
+    wanted = [
+        ("30d", "Last 30 days", today - 29 * day, today),
+        ("90d", "Last 90 days", today - 89 * day, today),
+        ("12m", "Last 12 months", months_before(today, 12) + day, today),
+        ("24m", "Last 24 months", months_before(today, 24) + day, today),
+        ("ytd", "Year to date", today.replace(month=1, day=1), today),
+        ("prev-year", str(today.year - 1), dt.date(today.year - 1, 1, 1), dt.date(today.year - 1, 12, 31)),
+    ]
+    low, high = bounds or (dt.date.min, dt.date.max)
+    return [("all", "All time", None, None)] + [(k, label, max(a, low), min(b, high)) for k, label, a, b in wanted if a <= high and b >= low]
+
+
+def quick_ranges(today: dt.date) -> list[tuple[str, str, dt.date | None]]:
+    """key, label and first day of the ranges that end with the data."""
+    years = [(f"{n}y", f"{n} yr", years_back(today, n)) for n in (10, 5, 2, 1)]
+    return [("all", "All time", None), *years, ("ytd", "YTD", today.replace(month=1, day=1))]

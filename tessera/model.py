@@ -35,9 +35,9 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of one revision; kev is None until a catalog is loaded.
+    """The tables of one revision; kev is None until a catalog is loaded, postings until the texts are indexed.
 
-    A table may be given as a function, which is called when the table is first asked for."""
+    A table may be given as a function, which is called when the table is asked for and should then give the same DataFrame each time."""
 
     cve: DataFrame
     cve_text: DataFrame
@@ -53,16 +53,19 @@ class Corpus:
     url: DataFrame
     vtype: DataFrame
     kev: DataFrame | None = None
+    postings: DataFrame | None = None
 
     def __getattribute__(self, name: str):
         value = object.__getattribute__(self, name)
-        if isinstance(value, FunctionType):
-            value = value()
-            object.__setattr__(self, name, value)
-        return value
+        return value() if isinstance(value, FunctionType) else value
+
+    def having(self, **changed) -> Corpus:
+        """The corpus with other tables; those that weren't asked for yet stay so."""
+        return Corpus(**({f.name: object.__getattribute__(self, f.name) for f in fields(self)} | changed))
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+        """The tables of the data model; the index is none of them."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "postings" and getattr(self, f.name) is not None}
 
 
 class CatalogMissing(RuntimeError):

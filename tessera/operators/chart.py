@@ -58,6 +58,19 @@ def capped(cells: DataFrame, dimension: str, most: int = SERIES_SHOWN) -> tuple[
     return shown, order.agg(F.coalesce(F.sum((F.col("place") > most).cast("long")), F.lit(0)).alias("dropped_series"))
 
 
+def rows_shown(cells: DataFrame, dimension: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """The cells of the rows that are shown, with the place of each row, and one row telling how many are not.
+
+    Rows keep the order of the report: time and codes in their own, identities by size."""
+    d = D.dim(dimension)
+    totals = cells.groupBy("bucket").agg(F.sum("cves").alias("total"))
+    first = [F.desc("total")] if d.kind == D.IDENTITY else [F.asc_nulls_first(D.order_of(d, F.col("bucket")))]
+    placed = totals.withColumn("place", F.row_number().over(Window.orderBy(*first, F.asc_nulls_first("bucket"))))  # a report has few rows
+    kept = placed.filter(F.col("place") <= most).select(F.col("bucket").alias("keep"), "place")
+    shown = cells.join(F.broadcast(kept), F.col("bucket").eqNullSafe(F.col("keep"))).drop("keep")
+    return shown, placed.agg(F.coalesce(F.sum((F.col("place") > most).cast("long")), F.lit(0)).alias("dropped_rows"))
+
+
 def matrix(cells: DataFrame, series: list | None = None) -> DataFrame:
     """A row for each bucket and a column for each series, zero where there is no cell.  Known series spare a pass."""
     named = cells.withColumn("s", F.coalesce(F.col("series").cast("string"), F.lit("null")))

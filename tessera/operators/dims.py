@@ -16,16 +16,20 @@ TIME, CODE, FIXED, IDENTITY = "time", "code", "fixed", "identity"
 
 @dataclass(frozen=True)
 class Dim:
+    """join: the link or overlay that the key comes from; names: bucket and label of each identity; listed: whether a bucket without a name is left out."""
+
     name: str
     kind: str
     key: Callable[[], Column]
-    label: Callable[[], Column] | None = None  # else the key as text
     order: Callable[[Column], Column] | None = None  # of the key
     join: str | None = None
+    names: Callable[[Corpus], DataFrame] | None = None
+    listed: bool = True
 
-    def columns(self, bucket: str, label: str) -> list[Column]:
-        text = self.label() if self.label else self.key().cast("string")
-        return [self.key().alias(bucket), text.alias(label)]
+    @property
+    def multiplies(self) -> bool:
+        """Whether a record can be in more than one bucket."""
+        return self.join in MULTIPLYING
 
 
 def _version_order(key: Column) -> Column:
@@ -51,8 +55,17 @@ def _ransomware_order(key: Column) -> Column:
     return F.when(key == RANSOMWARE_KNOWN, 0).when(key == RANSOMWARE_UNKNOWN, 1).when(key == RANSOMWARE_NOT_LISTED, 2).otherwise(99)
 
 
-def _named(key: str, name: str) -> tuple[Callable[[], Column], Callable[[], Column]]:
-    return lambda: F.col(key), lambda: F.col(name)
+def _names(table: str, label: str = "name") -> Callable[[Corpus], DataFrame]:
+    return lambda corpus: getattr(corpus, table).select(F.col("id").alias("bucket"), F.col(label).alias("label"))
+
+
+def _products(corpus: Corpus) -> DataFrame:
+    vendor = corpus.vendor.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name"))
+    return corpus.product.join(vendor, "vendor_id").select(F.col("id").alias("bucket"), F.concat("vendor_name", F.lit(" / "), "name").alias("label"))
+
+
+def _weaknesses(corpus: Corpus) -> DataFrame:
+    return corpus.cwe.select(F.col("id").alias("bucket"), F.concat("cwe", F.lit(" \u2014 "), "descr").alias("label"))
 
 
 DIMS = {
@@ -70,15 +83,15 @@ DIMS = {
         Dim("kev", FIXED, _member, order=lambda key: 1 - key, join="kev"),
         Dim("kevRansomware", FIXED, _ransomware, order=_ransomware_order, join="kev"),
         Dim("state", CODE, lambda: F.col("state")),
-        Dim("cna", IDENTITY, *_named("cna_id", "cna_name"), join="cna"),
-        Dim("vendor", IDENTITY, *_named("vendor_id", "vendor_name"), join="prod"),
-        Dim("product", IDENTITY, lambda: F.col("product_id"), lambda: F.concat("vendor_name", F.lit(" / "), "product_name"), join="prod"),
-        Dim("cwe", IDENTITY, lambda: F.col("cwe_id"), lambda: F.concat("cwe_name", F.lit(" — "), "cwe_descr"), join="cwe"),
-        Dim("host", IDENTITY, *_named("host_id", "host_name"), join="ref"),
+        Dim("cna", IDENTITY, lambda: F.col("cna_id"), names=_names("cna"), listed=False),
+        Dim("vendor", IDENTITY, lambda: F.col("vendor_id"), join="vendor", names=_names("vendor")),
+        Dim("product", IDENTITY, lambda: F.col("product_id"), join="product", names=_products),
+        Dim("cwe", IDENTITY, lambda: F.col("cwe_id"), join="cwe", names=_weaknesses),
+        Dim("host", IDENTITY, lambda: F.col("host_id"), join="host", names=_names("host")),
     )
 }
 #: Joins that can give a record more than one row.
-MULTIPLYING = {"prod", "cwe", "ref"}
+MULTIPLYING = {"vendor", "product", "cwe", "host"}
 
 
 def dim(name: str) -> Dim:
@@ -92,35 +105,69 @@ def order_of(d: Dim, key: Column) -> Column:
 
 
 def join(corpus: Corpus, records: DataFrame, group: str) -> DataFrame:
-    """Records with the columns of a join group.  Which side to broadcast is left to Spark, which knows the sizes."""
+    """Records with the columns of the overlay or of their assigner.  Which side to broadcast is left to Spark, which knows the sizes."""
     if group == "kev":
         kev = corpus.kev.filter(F.col("cve_id").isNotNull()).select(F.col("cve_id").alias("id"), F.col("cve").alias("kev_cve"), F.col("ransomware").alias("kev_ransomware"))
         return records.join(kev, "id", "left")
-    if group == "cna":
-        return records.join(corpus.cna.select(F.col("id").alias("cna_id"), F.col("name").alias("cna_name")), "cna_id", "left")
-    if group == "prod":
-        product = corpus.product.select(F.col("id").alias("product_id"), "vendor_id", F.col("name").alias("product_name"))
-        vendor = corpus.vendor.select(F.col("id").alias("vendor_id"), F.col("name").alias("vendor_name"))
-        links = corpus.cve_prod.select(F.col("cve_id").alias("id"), "product_id")
-        return records.join(links, "id").join(product, "product_id").join(vendor, "vendor_id")
+    return records.join(corpus.cna.select(F.col("id").alias("cna_id"), F.col("name").alias("cna_name")), "cna_id", "left")
+
+
+def links(corpus: Corpus, group: str) -> DataFrame:
+    """id of a record and the keys of what it is linked with: ids only, names come later."""
+    if group == "product":
+        return corpus.cve_prod.select(F.col("cve_id").alias("id"), "product_id")
+    if group == "vendor":
+        return corpus.cve_prod.select(F.col("cve_id").alias("id"), "product_id").join(corpus.product.select(F.col("id").alias("product_id"), "vendor_id"), "product_id")
     if group == "cwe":
-        cwe = corpus.cwe.select(F.col("id").alias("cwe_id"), F.col("cwe").alias("cwe_name"), F.col("descr").alias("cwe_descr"))
-        return records.join(corpus.cve_cwe.select(F.col("cve_id").alias("id"), "cwe_id"), "id").join(cwe, "cwe_id")
-    if group == "ref":
-        url = corpus.url.select(F.col("id").alias("url_id"), "host_id")
-        host = corpus.host.select(F.col("id").alias("host_id"), F.col("name").alias("host_name"))
-        return records.join(corpus.cve_ref.select(F.col("cve_id").alias("id"), "url_id"), "id").join(url, "url_id").join(host, "host_id")
+        return corpus.cve_cwe.select(F.col("cve_id").alias("id"), "cwe_id")
+    if group == "host":
+        return corpus.cve_ref.select(F.col("cve_id").alias("id"), "url_id").join(corpus.url.select(F.col("id").alias("url_id"), "host_id"), "url_id").select("id", "host_id")
     raise ValueError(group)
 
 
-def joined(corpus: Corpus, records: DataFrame, dims: list[Dim]) -> DataFrame:
-    """Each join group once, so that vendor and product on two axes come from one link."""
-    for group in dict.fromkeys(d.join for d in dims if d.join):
-        records = join(corpus, records, group)
-    return records
+def placed(corpus: Corpus, records: DataFrame, dims: dict[str, Dim], tops: dict[str, DataFrame] | None = None) -> DataFrame:
+    """id and a column for the key of each of ``dims``; each link is joined once, so vendor and product on two axes come from one.
+
+    ``tops``: buckets (a column ``top``) that an axis is narrowed to before it is joined with others."""
+    groups = list(dict.fromkeys(d.join for d in dims.values() if d.join))
+    if "vendor" in groups and "product" in groups:
+        groups.remove("product")  # vendor's links have the product too
+    if "kev" in groups:
+        records = join(corpus, records, "kev")
+    out = {n: d.key().alias(n) for n, d in dims.items() if not d.multiplies}
+    rows = records.select("id", *out.values())
+    for group in groups:
+        if group == "kev":
+            continue
+        mine = {n: d for n, d in dims.items() if d.join == group or (d.multiplies and d.join not in groups)}
+        link = links(corpus, group).select("id", *[d.key().alias(n) for n, d in mine.items()])
+        for n in mine:
+            if tops and n in tops:
+                link = narrowed(link, n, tops[n])
+        rows = rows.join(link, "id")
+    return rows
+
+
+def narrowed(rows: DataFrame, name: str, top: DataFrame) -> DataFrame:
+    """Rows whose bucket is one of ``top``, which has at most as many rows as an axis may show."""
+    return rows.join(F.broadcast(top), F.col(name).eqNullSafe(F.col("top")), "left_semi")
 
 
 def counted(dims: list[Dim]) -> Column:
-    """Records: counted once each where a join may repeat them."""
-    many = any(d.join in MULTIPLYING for d in dims)
-    return (F.count_distinct("id") if many else F.count("*")).alias("cves")
+    """Records: counted once each where a link may repeat them."""
+    return (F.count_distinct("id") if any(d.multiplies for d in dims) else F.count("*")).alias("cves")
+
+
+def known(corpus: Corpus, counts: DataFrame, d: Dim, name: str = "bucket") -> DataFrame:
+    """Counts of the buckets that have a name, where one is asked for."""
+    if not (d.names and d.listed):
+        return counts
+    return counts.join(d.names(corpus).select(F.col("bucket").alias(name)), name, "left_semi")
+
+
+def labelled(corpus: Corpus, rows: DataFrame, d: Dim, bucket: str = "bucket", label: str = "label") -> DataFrame:
+    """The rows of a bounded result with the label of each bucket."""
+    if not d.names:
+        return rows.withColumn(label, F.col(bucket).cast("string"))
+    names = d.names(corpus).select(F.col("bucket").alias(bucket), F.col("label").alias(label))
+    return rows.join(names, bucket, "left")

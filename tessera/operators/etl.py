@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times
 from ..model import SEVERITIES, Corpus
+from ..sources.store import written
 
 # Shape of a raw record and the codes of its words.
 _METRIC = "struct<baseScore: string, baseSeverity: string, vectorString: string>"
@@ -38,12 +39,17 @@ def _code(c: Column, words: dict[str, int], otherwise=None) -> Column:
 
 
 def parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """raw: path, text.  Records (path, r) and what was skipped (path, reason): not JSON, no usable id, or an id that an earlier path has."""
-    rows = raw.select("path", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"), F.get_json_object("text", "$.cveMetadata").isNotNull().alias("is_record"))
-    rows = rows.withColumn("id", F.upper(F.trim("r.cveMetadata.cveId")))
-    bad = F.when(~F.coalesce("is_record", F.lit(False)), "not a record").when(~F.coalesce(T.is_cve_id(F.col("id")), F.lit(False)), "no usable id")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", bad.isNull()).orderBy("path"))).withColumn("reason", F.when(bad.isNotNull(), bad).when(F.col("n") > 1, "id seen before"))
-    return rows.filter("reason is null").select("path", "id", "r"), rows.filter("reason is not null").select("path", "reason")
+    """raw: path, text.  Records (path, id, r) and what was skipped (path, reason): not JSON, text that can't be stored, no usable id, or an id that an earlier path has.
+
+    Only rows with an id meet others of the same id, by path, as raw text; what has none is judged alone.  A record is parsed once, where it stays."""
+    rows = raw.select("path", "text", F.get_json_object("text", "$.cveMetadata").isNotNull().alias("is_record"), F.upper(F.trim(F.get_json_object("text", "$.cveMetadata.cveId"))).alias("id"))
+    usable = F.coalesce(T.is_cve_id(F.col("id")), F.lit(False))
+    reason = F.when(~F.coalesce("is_record", F.lit(False)), "not a record").when(~T.storable(F.col("text")), "text that can't be stored").when(~usable, "no usable id")
+    rows = rows.withColumn("reason", reason)
+    first = rows.filter("reason is null").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path")))
+    good = first.filter("n = 1").select("path", "id", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"))
+    skipped = rows.filter("reason is not null").select("path", "reason")
+    return good, skipped.unionByName(first.filter("n > 1").select("path", F.lit("id seen before").alias("reason")))
 
 
 def _score(c: Column) -> Column:
@@ -59,53 +65,61 @@ def _stated(point: str, words: dict[str, int]):
     return lambda option: _code(F.element_at(option, point), words)
 
 
-def cvss_pick(containers: Column) -> Column:
-    """The best-preferred version's first metric over the containers in order: struct(ver, score, sev, vec); null if none has a score."""
-    metrics = F.flatten(F.transform(containers, lambda c: c["metrics"]))
+def cvss_pick(metrics: Column) -> dict[str, Column]:
+    """Of each version, by preference, the first metric with a score; ``cvss_best`` takes the first of these."""
+    return {f"cvss{version}": F.get(F.filter(F.transform(metrics, _field(name)), _has_score), 0) for name, version in VERSIONS}
+
+
+def _has_score(x: Column) -> Column:
+    return _score(x["baseScore"]).isNotNull()
+
+
+def cvss_best() -> Column:
+    """ver, metric over the columns of ``cvss_pick``; null if there is none."""
     best = None
-    for name, version in VERSIONS:
-        found = F.filter(F.transform(metrics, _field(name)), lambda x: x.isNotNull() & _score(x["baseScore"]).isNotNull())
-        first = F.get(found, 0)
-        pick = F.when(F.size(found) > 0, F.struct(F.lit(version).alias("ver"), _score(first["baseScore"]).alias("score"), _code(first["baseSeverity"], SEVERITIES).alias("sev"), first["vectorString"].alias("vec")))
+    for _, version in VERSIONS:
+        metric = F.col(f"cvss{version}")
+        pick = F.when(metric.isNotNull(), F.struct(F.lit(version).alias("ver"), metric.alias("metric")))
         best = pick if best is None else F.coalesce(best, pick)
     return best
 
 
-def ssvc_merge(containers: Column) -> dict[str, Column]:
+def ssvc_merge(options: Column) -> dict[str, Column]:
     """Each decision point from the first container, in order, that states it in words that are known."""
-    metrics = F.flatten(F.transform(containers, lambda c: c["metrics"]))
-    options = F.flatten(F.transform(F.filter(metrics, lambda m: m["other"]["type"] == "ssvc"), lambda m: m["other"]["content"]["options"]))
-    out = {}
-    for point, words in SSVC.items():
-        codes = F.filter(F.transform(options, _stated(point, words)), lambda x: x.isNotNull())
-        out[point] = F.get(codes, 0)
-    return out
+    names = {"Exploitation": "ssvc_expl", "Automatable": "ssvc_auto", "Technical Impact": "ssvc_impact"}
+    return {names[point]: F.get(F.filter(F.transform(options, _stated(point, words)), lambda x: x.isNotNull()), 0) for point, words in SSVC.items()}
+
+
+def _gathered(containers: Column, field: str) -> Column:
+    """All elements of a list field over containers, in order, without nulls."""
+    return F.filter(F.flatten(F.filter(F.transform(containers, _field(field)), lambda x: x.isNotNull())), lambda x: x.isNotNull())
 
 
 def normalized(records: DataFrame) -> DataFrame:
-    """One projection a record: scalars, and lists of products, versions, references and weaknesses in canonical order."""
+    """One projection a record: scalars, and lists of products, versions, references and weaknesses in canonical order.
+
+    In steps, each of which names what the next ones read more than once, so nothing is worked out twice."""
     cna, adp = F.col("r.containers.cna"), F.coalesce(F.col("r.containers.adp"), F.array().cast(f"array<{_CONTAINER}>".replace("\n", " ")))
-    own_first = F.filter(F.concat(F.array(cna), adp), lambda c: c.isNotNull())
-    own_last = F.filter(F.concat(adp, F.array(cna)), lambda c: c.isNotNull())
-    keep = lambda c, field: F.filter(F.flatten(F.transform(c, lambda x: F.coalesce(x[field], F.array()))), lambda x: x.isNotNull())
-    metrics = F.transform(own_first, lambda c: c.withField("metrics", F.coalesce(c["metrics"], F.array())))
-    metrics_last = F.transform(own_last, lambda c: c.withField("metrics", F.coalesce(c["metrics"], F.array())))
-    cvss, ssvc, meta = cvss_pick(metrics), ssvc_merge(metrics_last), F.col("r.cveMetadata")
-    affected = F.filter(keep(F.array(cna), "affected"), lambda a: (F.trim(a["vendor"]) != "") & (F.trim(a["product"]) != ""))
-    pair = lambda a: F.struct(F.trim(a["vendor"]).alias("vendor"), F.trim(a["product"]).alias("product"))
-    rank = lambda a: _code(a["defaultStatus"], STATUSES)
-    order = lambda c: F.when(c == 1, 0).when(c == 3, 1).when(c == 2, 2)
-    pairs = F.array_distinct(F.transform(affected, pair))
-
-    def product(p):
-        states = F.filter(F.transform(F.filter(affected, lambda a: pair(a) == p), lambda a: order(rank(a))), lambda x: x.isNotNull())
-        least = F.array_min(states)
-        return F.struct(p["vendor"].alias("vendor"), p["product"].alias("product"), F.when(least == 0, 1).when(least == 1, 3).when(least == 2, 2).alias("default_status"))
-
-    versions = F.flatten(F.transform(affected, lambda a: F.transform(F.coalesce(a["versions"], F.array()), lambda v: F.struct(F.trim(a["vendor"]).alias("vendor"), F.trim(a["product"]).alias("product"), _code(v["status"], STATUSES, 0).alias("status"), v["version"].alias("version"), v["lessThan"].alias("lt"), v["lessThanOrEqual"].alias("lte"), v["versionType"].alias("vtype")))))
-    weaknesses = F.filter(F.flatten(F.transform(keep(own_first, "problemTypes"), lambda p: F.coalesce(p["descriptions"], F.array()))), lambda d: d["cweId"].isNotNull())
-    urls = F.filter(F.transform(keep(own_first, "references"), lambda x: F.trim(x["url"])), lambda u: u.isNotNull() & (u != ""))
-    return records.select(
+    present = lambda x: F.filter(x, lambda c: c.isNotNull())
+    step = records.select("id", F.col("r.cveMetadata").alias("meta"), cna.alias("cna"), present(F.concat(F.array(cna), adp)).alias("own_first"), present(F.concat(adp, F.array(cna))).alias("own_last"))
+    usable = lambda a: (F.trim(a["vendor"]) != "") & (F.trim(a["product"]) != "")
+    ssvc = F.filter(_gathered(F.col("own_last"), "metrics"), lambda m: m["other"]["type"] == "ssvc")
+    step = step.select(
+        "id",
+        "meta",
+        "cna",
+        _gathered(F.col("own_first"), "metrics").alias("metrics"),
+        F.flatten(F.filter(F.transform(ssvc, lambda m: m["other"]["content"]["options"]), lambda x: x.isNotNull())).alias("options"),
+        F.transform(F.filter(_gathered(F.array("cna"), "affected"), usable), _named).alias("affected"),
+        _gathered(F.col("own_first"), "problemTypes").alias("problems"),
+        _gathered(F.col("own_first"), "references").alias("links"),
+    )
+    step = step.withColumns({**cvss_pick(F.col("metrics")), **ssvc_merge(F.col("options")), "pairs": F.array_distinct(F.transform("affected", lambda a: F.struct(a["vendor"].alias("vendor"), a["product"].alias("product"))))})
+    step = step.withColumn("cvss", cvss_best())
+    weaknesses = F.filter(F.flatten(F.filter(F.transform("problems", _field("descriptions")), lambda x: x.isNotNull())), lambda d: d["cweId"].isNotNull())
+    urls = F.filter(F.transform("links", lambda x: F.trim(x["url"])), lambda u: u.isNotNull() & (u != ""))
+    meta, metric = F.col("meta"), F.col("cvss.metric")
+    return step.select(
         F.col("id").alias("cve_id"),
         F.regexp_extract("id", r"^CVE-(\d{4})", 1).cast("int").alias("year"),
         _code(meta["state"], STATES, 0).alias("state"),
@@ -113,12 +127,42 @@ def normalized(records: DataFrame) -> DataFrame:
         times.iso_seconds(meta["datePublished"]).alias("published"),
         times.iso_seconds(meta["dateUpdated"]).alias("updated"),
         times.iso_seconds(meta["dateReserved"]).alias("reserved"),
-        cvss["ver"].alias("cvss_ver"), cvss["score"].alias("cvss_score"), cvss["sev"].alias("cvss_sev"), cvss["vec"].alias("cvss_vec"),
-        ssvc["Exploitation"].alias("ssvc_expl"), ssvc["Automatable"].alias("ssvc_auto"), ssvc["Technical Impact"].alias("ssvc_impact"),
-        T.english(F.coalesce(cna["descriptions"], F.array())).alias("descr"), cna["title"].alias("title"), T.english(F.coalesce(cna["rejectedReasons"], F.array())).alias("reason"),
-        F.sort_array(F.transform(pairs, product)).alias("products"), F.sort_array(versions).alias("versions"), F.sort_array(F.array_distinct(urls)).alias("refs"),
+        F.col("cvss.ver").alias("cvss_ver"),
+        _score(metric["baseScore"]).alias("cvss_score"),
+        _code(metric["baseSeverity"], SEVERITIES).alias("cvss_sev"),
+        metric["vectorString"].alias("cvss_vec"),
+        "ssvc_expl",
+        "ssvc_auto",
+        "ssvc_impact",
+        T.english(F.coalesce(F.col("cna.descriptions"), F.array())).alias("descr"),
+        F.col("cna.title").alias("title"),
+        T.english(F.coalesce(F.col("cna.rejectedReasons"), F.array())).alias("reason"),
+        F.sort_array(F.transform("pairs", _product)).alias("products"),
+        F.sort_array(F.flatten(F.transform("affected", _versions))).alias("versions"),
+        F.sort_array(F.array_distinct(urls)).alias("refs"),
         F.sort_array(F.array_distinct(F.transform(weaknesses, lambda d: F.struct(F.upper(F.trim(d["cweId"])).alias("cwe"), d["description"].alias("descr"))))).alias("cwes"),
-    )
+    )
+
+
+def _named(a: Column) -> Column:
+    """An affected product: names trimmed, its status as its place in DEFAULT_ORDER."""
+    code = _code(a["defaultStatus"], STATUSES)
+    place = F.when(code == 1, 0).when(code == 3, 1).when(code == 2, 2)
+    return F.struct(F.trim(a["vendor"]).alias("vendor"), F.trim(a["product"]).alias("product"), place.alias("place"), a["versions"].alias("versions"))
+
+
+def _product(p: Column) -> Column:
+    """The gravest status that any statement about a product has."""
+    least = F.array_min(F.transform(F.filter("affected", lambda a: (a["vendor"] == p["vendor"]) & (a["product"] == p["product"])), lambda a: a["place"]))
+    status = F.when(least == 0, 1).when(least == 1, 3).when(least == 2, 2)
+    return F.struct(p["vendor"].alias("vendor"), p["product"].alias("product"), status.alias("default_status"))
+
+
+def _versions(a: Column) -> Column:
+    def version(v: Column) -> Column:
+        return F.struct(a["vendor"].alias("vendor"), a["product"].alias("product"), _code(v["status"], STATUSES, 0).alias("status"), v["version"].alias("version"), v["lessThan"].alias("lt"), v["lessThanOrEqual"].alias("lte"), v["versionType"].alias("vtype"))
+
+    return F.transform(F.coalesce(a["versions"], F.array()), version)
 
 
 def content_hash(projection: DataFrame, id_column: str = "cve_id") -> DataFrame:
@@ -127,11 +171,20 @@ def content_hash(projection: DataFrame, id_column: str = "cve_id") -> DataFrame:
     return projection.select(id_column, F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 16).alias("hash"))
 
 
+#: New ids that one task ranks, on average.
+RANKED = 250_000
+
+
 def number(keys: DataFrame, key: str, start: int) -> DataFrame:
     """key, id: ids from start + 1 in the order of md5(key), without an order over all rows in one task.
 
-    Rows are ranked within the buckets of two digits; the buckets' sizes, at most 256 rows, give each its offset."""
-    named = keys.select(key, F.md5(F.col(key).cast("string")).alias("__h")).withColumn("__b", F.substring("__h", 1, 2))
+    Rows are ranked within buckets of the hash's first digits, as many as leave about RANKED rows to a
+    bucket; the buckets' sizes, at most 65,536 rows, give each its offset."""
+    digits = 1
+    rows = keys.count()
+    while rows > RANKED * 16**digits and digits < 4:
+        digits += 1
+    named = keys.select(key, F.md5(F.col(key).cast("string")).alias("__h")).withColumn("__b", F.substring("__h", 1, digits))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = named.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", before.alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
@@ -171,15 +224,17 @@ class Marks:
 def _interned(seed: Corpus | None, table: str, keys: DataFrame, marks: Marks, name: str = "name") -> DataFrame:
     old = getattr(seed, table) if seed else None
     high = max(marks.high.get(table, 0), high_water(old) if old is not None else 0)
-    out = intern(old.select("id", F.col(name).alias("key")) if old is not None else None, keys, "key", high)
+    out = written(intern(old.select("id", F.col(name).alias("key")) if old is not None else None, keys, "key", high), f"ids-{table}")
     marks.high[table] = high + out.filter("fresh").count()
     return out.select("id", F.col("key").alias(name))
 
 
 def build(projection: DataFrame, seed: Corpus | None = None, marks: Marks | None = None) -> tuple[Corpus, Marks]:
-    """The star schema of these projections; ids come from the seed where it has the key."""
+    """The star schema of these projections; ids come from the seed where it has the key.
+
+    The projections, and the ids of each lookup, are written once: everything else reads them."""
     marks = Marks(dict(marks.high)) if marks else Marks()
-    p = projection
+    p = written(projection, "projection")
     cna = _interned(seed, "cna", p.select(F.col("cna").alias("key")), marks)
     products = p.select("cve_id", F.explode("products").alias("x")).select("cve_id", "x.*")
     versions = p.select("cve_id", F.explode("versions").alias("x")).select("cve_id", "x.*")
@@ -197,13 +252,13 @@ def build(projection: DataFrame, seed: Corpus | None = None, marks: Marks | None
     key = F.concat_ws("\u0000", F.col("vendor_id").cast("string"), F.col("product"))
     old = seed.product.select("id", F.concat_ws("\u0000", F.col("vendor_id").cast("string"), F.col("name")).alias("key")) if seed else None
     high = max(marks.high.get("product", 0), high_water(seed.product) if seed else 0)
-    ids = intern(old, named.select(key.alias("key")), "key", high)
+    ids = written(intern(old, named.select(key.alias("key")), "key", high), "ids-product")
     marks.high["product"] = high + ids.filter("fresh").count()
     product = named.withColumn("key", key).join(ids.select("id", "key"), "key").select("id", "vendor_id", F.col("product").alias("name"))
     # Records.
     old = seed.cve.select("id", F.col("cve_id").alias("key")) if seed else None
     high = max(marks.high.get("cve", 0), high_water(seed.cve) if seed else 0)
-    ids = intern(old, p.select(F.col("cve_id").alias("key")), "key", high)
+    ids = written(intern(old, p.select(F.col("cve_id").alias("key")), "key", high), "ids-cve")
     marks.high["cve"] = high + ids.filter("fresh").count()
     ids = ids.select(F.col("id"), F.col("key").alias("cve_id"))
     rows = p.join(ids, "cve_id").join(cna.select(F.col("id").alias("cna_id"), F.col("name").alias("cna")), "cna", "left")

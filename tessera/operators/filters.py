@@ -134,7 +134,7 @@ def conditions(filters: Filters) -> list[Column]:
     if filters.state != "all":
         out.append(F.col("state") == (REJECTED if filters.state == "rejected" else PUBLISHED))
     if (filters.cve_id or "").strip():
-        out.append(F.lower("cve_id") == filters.cve_id.strip().lower())
+        out.append(F.col("cve_id") == filters.cve_id.strip().upper())  # as identifiers are kept, so that the files' statistics serve
     out += [c for axis, column in CODE_AXES.items() if (c := codes_in(column, getattr(filters, axis))) is not None]
     out += _range("cvss_score", filters.score_min, filters.score_max)
     for name in ("published", "updated", "year"):

@@ -7,13 +7,14 @@ Ties are broken by the bucket (or the id), so results are the same on every run.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CatalogMissing, Corpus
 from . import dims as D
-from .filters import Filters, matching, require_kev
+from .filters import Filters, matching, require_kev, unmatched
 
 # The caps of the surface.
 ROWS_DEFAULT, ROWS_MAX, OFFSET_MAX = 500, 5_000, 1_000_000
@@ -70,13 +71,28 @@ def rows(corpus: Corpus, filters: Filters, limit=None, offset=0, sort: str | Non
     return page.orderBy(*_sorted(page, sort)).select(*out)
 
 
+@dataclass(frozen=True)
+class Found:
+    """What a search gives: a list or groups, how many records match, and the names that the corpus doesn't have, by axis."""
+
+    rows: DataFrame
+    matches: DataFrame | None
+    unmatched: dict[str, DataFrame]
+
+
+def search(corpus: Corpus, filters: Filters, by: str | None = None, limit=None, offset=0, sort: str | None = None, counted: bool = True) -> Found:
+    found = group(corpus, filters, by, limit) if by else rows(corpus, filters, limit, offset, sort)
+    names = {a: unmatched(corpus, a, getattr(filters, a)) for a in ("cna", "vendor", "product", "cwe", "host") if getattr(filters, a)}
+    return Found(found, count(corpus, filters) if counted else None, names)
+
+
 def count(corpus: Corpus, filters: Filters) -> DataFrame:
     return matching(corpus, filters).agg(F.count("*").alias("matches"))
 
 
-def _buckets(corpus: Corpus, records: DataFrame, d: D.Dim, bucket: str = "bucket", label: str = "label") -> DataFrame:
-    grouped = D.joined(corpus, records, [d]).select("id", *d.columns(bucket, label)).groupBy(bucket).agg(D.counted([d]), F.max(label).alias(label))
-    return grouped.select(bucket, label, "cves")
+def _buckets(corpus: Corpus, records: DataFrame, d: D.Dim) -> DataFrame:
+    counts = D.placed(corpus, records, {"bucket": d}).groupBy("bucket").agg(D.counted([d]))
+    return D.known(corpus, counts, d)
 
 
 def _largest(d: D.Dim, bucket: str) -> list[Column]:
@@ -92,21 +108,29 @@ def group(corpus: Corpus, filters: Filters, dimension: str, limit=None) -> DataF
     if d.kind == D.TIME:
         kept = counts.orderBy(F.desc_nulls_last("bucket")).limit(n + 1)
         place = F.row_number().over(Window.orderBy(F.desc_nulls_last("bucket")))  # over n + 1 rows
-        return kept.withColumn("place", place).orderBy(F.col("place") > n, F.asc_nulls_first("bucket")).drop("place")
+        kept = kept.withColumn("place", place).orderBy(F.col("place") > n, F.asc_nulls_first("bucket"))
+        return D.labelled(corpus, kept, d).select("bucket", "label", "cves")
     if d.kind == D.FIXED:
         order = [F.asc(D.order_of(d, F.col("bucket"))), F.asc_nulls_first("bucket")]
     elif dimension == "state":
         order = [F.desc_nulls_last("bucket")]
     else:
         order = [F.desc("cves"), F.asc_nulls_first("bucket")]
-    return counts.orderBy(*order).limit(n + 1)
+    kept = counts.orderBy(*order).limit(n + 1)
+    return D.labelled(corpus, kept, d).orderBy(*order).select("bucket", "label", "cves") if d.names else D.labelled(corpus, kept, d).select("bucket", "label", "cves")
+
+
+def _top(corpus: Corpus, counts: DataFrame, d: D.Dim, name: str, n: int) -> DataFrame:
+    return D.known(corpus, counts, d, name).orderBy(*_largest(d, name)).limit(n).select(F.col(name).alias("top"))
 
 
 def cross(corpus: Corpus, filters: Filters, by: str, series: str | None, rows=None, series_limit=None) -> DataFrame:
     """bucket, label, series, series_label, cves.
 
-    Each axis is narrowed to its largest (latest) buckets over its own joins; these are at most GROUPS
-    and SERIES rows, so they are broadcast to pick the cells."""
+    Each axis is narrowed to its largest (latest) buckets over its own links; these are at most GROUPS
+    and SERIES rows, so they are broadcast to pick the cells.  Where a record is in one bucket of the
+    other axis only, an axis' counts are the sums of the cells, which are then counted once for all;
+    where it may be in several, links are narrowed before they are joined with one another."""
     if series is None:
         return group(corpus, filters, by, rows)
     if by == series:
@@ -114,20 +138,28 @@ def cross(corpus: Corpus, filters: Filters, by: str, series: str | None, rows=No
     require_kev(corpus, filters, by, series)
     a, b = D.dim(by), D.dim(series)
     n, m = clamp(rows, GROUPS, GROUPS), clamp(series_limit, SERIES, SERIES)
-    cells = min(n * m, CELLS)
+    cap = min(n * m, CELLS)
     records = matching(corpus, filters)
-    top = _buckets(corpus, records, a).orderBy(*_largest(a, "bucket")).limit(n).select(F.col("bucket").alias("top"))
-    top_series = _buckets(corpus, records, b).orderBy(*_largest(b, "bucket")).limit(m).select(F.col("bucket").alias("top_series"))
-    both = D.joined(corpus, records, [a, b]).select("id", *a.columns("bucket", "label"), *b.columns("series", "series_label"))
-    both = both.join(F.broadcast(top), F.col("bucket").eqNullSafe(F.col("top")), "left_semi").join(F.broadcast(top_series), F.col("series").eqNullSafe(F.col("top_series")), "left_semi")
-    table = both.groupBy("bucket", "series").agg(D.counted([a, b]), F.max("label").alias("label"), F.max("series_label").alias("series_label"))
+    axes = {"bucket": a, "series": b}
+    alone = lambda name, d: D.placed(corpus, records, {name: d}).groupBy(name).agg(D.counted([d]))
+    if a.multiplies and b.multiplies:
+        tops = {"bucket": _top(corpus, alone("bucket", a), a, "bucket", n), "series": _top(corpus, alone("series", b), b, "series", m)}
+        cells = D.placed(corpus, records, axes, tops).groupBy("bucket", "series").agg(D.counted([a, b]))
+    else:
+        every = D.placed(corpus, records, axes).groupBy("bucket", "series").agg(D.counted([a, b]))
+        summed = lambda name: every.groupBy(name).agg(F.sum("cves").alias("cves"))
+        # An axis whose buckets all records have is counted by itself if the other one's links leave records out.
+        tops = {"bucket": _top(corpus, alone("bucket", a) if b.multiplies else summed("bucket"), a, "bucket", n), "series": _top(corpus, alone("series", b) if a.multiplies else summed("series"), b, "series", m)}
+        cells = D.narrowed(D.narrowed(every, "bucket", tops["bucket"]), "series", tops["series"].select(F.col("top")))
     if a.kind == D.IDENTITY:
-        table = table.withColumn("total", F.sum("cves").over(Window.partitionBy("bucket")))
+        cells = cells.withColumn("total", F.sum("cves").over(Window.partitionBy("bucket")))
         order = [F.desc("total"), F.asc_nulls_first("bucket")]
     else:
         order = [F.asc_nulls_first(D.order_of(a, F.col("bucket"))), F.asc_nulls_first("bucket")]
     order += [F.desc("cves"), F.asc_nulls_first("series")] if b.kind == D.IDENTITY else [F.asc_nulls_first(D.order_of(b, F.col("series"))), F.asc_nulls_first("series")]
-    return table.orderBy(*order).limit(cells + 1).select("bucket", "label", "series", "series_label", "cves")
+    kept = cells.orderBy(*order).limit(cap + 1)
+    table = D.labelled(corpus, D.labelled(corpus, kept, a), b, "series", "series_label")
+    return (table.orderBy(*order) if a.names or b.names else table).select("bucket", "label", "series", "series_label", "cves")
 
 
 def coverage(corpus: Corpus) -> DataFrame:
@@ -140,7 +172,8 @@ def coverage(corpus: Corpus) -> DataFrame:
 
 
 def _one(corpus: Corpus, cve_id: str) -> DataFrame:
-    return corpus.cve.filter(F.lower("cve_id") == cve_id.strip().lower()).limit(1)
+    # Identifiers are kept in upper case, so the argument is put in it and the filter reaches the files.
+    return corpus.cve.filter(F.col("cve_id") == cve_id.strip().upper()).limit(1)
 
 
 def detail(corpus: Corpus, cve_id: str) -> dict[str, DataFrame]:

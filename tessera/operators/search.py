@@ -1,23 +1,32 @@
 """Full-text search over descriptions and names.
 
-Tokens are runs of letters and digits, lower-cased, without accents.  ``restrict`` matches on token
-arrays computed on the fly; ``postings`` builds an inverted index that can be kept by document.
+Tokens are runs of letters and digits, lower-cased, without accents (the marks of a letter's
+canonical decomposition).  ``postings`` is an inverted index: a row for each token of a field of a
+document, with its places.  ``keep`` writes it in ranges of the token, so the rows of a word, or of
+all words with a beginning, are a few row groups that Parquet's statistics find, and the rows of a
+frequent word are spread over many files.  ``find`` answers words, phrases, beginnings and their
+conjunction from the index alone; where a corpus has none, ``search`` goes through the texts.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Corpus
 
-# Accented Latin letters and what they are without the accent.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
-_TOKEN = re.compile(r'"([^"]*)"(\*)?|([\w][\w\-]*)(\*)?')
+# Letters below U+2000 that are a plain letter with marks, by the rule of canonical decomposition.
+_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+ACCENTED = "".join(c for c, d in _PARTS.items() if d != c and c == c.lower() and all(unicodedata.category(x) == "Mn" for x in d[1:]) and unicodedata.category(d[0]) != "Mn")
+PLAIN = "".join(_PARTS[c][0] for c in ACCENTED)
+_TOKEN = re.compile(r'"([^"]*)"|([\w][\w\-]*)(\*)?')
+FIELDS = ("descr", "title")
+INDEX = "term string, doc long, field string, places array<int>"
 
 
 @dataclass(frozen=True)
@@ -29,73 +38,120 @@ class Term:
 
 
 def fold(text: str) -> list[str]:
-    plain = text.lower().translate(str.maketrans(ACCENTED, PLAIN))
-    return [w for w in re.split(r"[\W_]+", plain) if w]
+    plain = "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+    return [w for w in re.split(r"[\W_]+", unicodedata.normalize("NFC", plain)) if w]
 
 
 def parse(text: str) -> list[Term] | None:
-    """Terms that must all match; None if the text has no word."""
+    """Terms that must all match; None if the text has no word.  A star makes a beginning of a bare word, not of a quoted one."""
     out = []
     for m in _TOKEN.finditer(text):
-        words = fold(m[1] if m[1] is not None else m[3])
+        words = fold(m[1] if m[1] is not None else m[2])
         if words:
-            out.append(Term(tuple(words), bool(m[2] or m[4])))
+            out.append(Term(tuple(words), bool(m[3])))
     return out or None
 
 
 def plain(column: Column) -> Column:
-    return F.translate(F.lower(column), ACCENTED, PLAIN)
+    return F.regexp_replace(F.translate(F.lower(column), ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def tokens(column: Column) -> Column:
     return F.filter(F.split(plain(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def matches(term: Term, columns: list[Column]) -> Column:
-    """Whether one of the columns has the term."""
-    found = None
-    for c in columns:
-        text = F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-        wanted = " " + " ".join(term.words) + ("" if term.prefix else " ")
-        hit = F.instr(text, wanted) > 0
-        found = hit if found is None else found | hit
-    return found
-
-
 def search(table: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Rows of the table that have every term, each in any of the columns; none for a text without words."""
+    """Rows of the table that have every term, each in any of the columns; none for a text without words.  Reads all texts, each once."""
     terms = parse(text)
     if terms is None:
         return table.filter(F.lit(False))
+    padded = [F.concat(F.lit(" "), F.array_join(tokens(F.col(c)), " "), F.lit(" ")) for c in columns]
+    names = [f"__tokens{i}" for i in range(len(columns))]
+    rows = table.withColumns(dict(zip(names, padded, strict=True)))
     for term in terms:
-        table = table.filter(matches(term, [F.col(c) for c in columns]))
-    return table
+        wanted = " " + " ".join(term.words) + ("" if term.prefix else " ")
+        rows = rows.filter(reduce(lambda a, b: a | b, [F.instr(F.col(n), wanted) > 0 for n in names]))
+    return rows.drop(*names)
 
 
 def restrict(corpus: Corpus, records: DataFrame, text: str) -> DataFrame:
-    hits = search(corpus.cve_text, text, ["descr", "title"]).select(F.col("cve_id").alias("id"))
-    return records.join(hits, "id", "left_semi")
+    """Records that have every term of the text, by the corpus' index if it has one."""
+    if corpus.postings is not None:
+        hits = find(corpus.postings, text)
+    else:
+        hits = search(corpus.cve_text, text, list(FIELDS)).select(F.col("cve_id").alias("doc"))
+    return records.join(hits.select(F.col("doc").alias("id")), "id", "left_semi")
 
 
 def type_ahead(table: DataFrame, text: str, limit: int = 25) -> DataFrame:
     return search(table, text, ["name"]).select("id", "name").orderBy("name", "id").limit(limit)
 
 
+# --- the index ---------------------------------------------------------------------------------------
+
+
 def postings(table: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """term, doc, field, places of each token."""
-    parts = [table.select(F.col(id_column).alias("doc"), F.lit(c).alias("field"), F.posexplode(tokens(F.col(c))).alias("place", "term")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("term", "doc", "field").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    """term, doc, field, places of each token: one pass over the texts."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c)).alias("tokens")) for c in columns])
+    each = table.select(F.col(id_column).alias("doc"), F.explode(fields).alias("f")).select("doc", "f.field", F.posexplode("f.tokens").alias("place", "term"))
+    return each.groupBy("term", "doc", "field").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def lookup(index: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents that have all words, from postings: only those words' rows are read."""
-    wanted = sorted({w for t in terms for w in fold(t)})
-    if not wanted:
+def keep(index: DataFrame, path: str, files: int | None = None) -> DataFrame:
+    """Write an index in the order of its terms and read it back."""
+    ordered = index.repartitionByRange(files, "term", "doc") if files else index.repartitionByRange("term", "doc")
+    ordered.sortWithinPartitions("term", "doc", "field").write.option("parquet.block.size", 8 << 20).parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
+def _begins(term: str) -> Column:
+    return F.col("term").startswith(term)
+
+
+def find(index: DataFrame, text: str) -> DataFrame:
+    """doc of the documents that have every term, each in any field.
+
+    Only the rows of the terms' words are read; a document's rows meet once, where the places of a
+    phrase's words are laid over one another."""
+    terms = parse(text)
+    if terms is None:
         return index.select("doc").filter(F.lit(False))
-    return index.filter(F.col("term").isin(wanted)).groupBy("doc").agg(F.count_distinct("term").alias("n")).filter(F.col("n") == len(wanted)).select("doc")
+    exact = sorted({w for t in terms for w in t.words[: len(t.words) - t.prefix]})
+    begun = sorted({t.words[-1] for t in terms if t.prefix})
+    wanted = [F.col("term").isin(exact)] * bool(exact) + [_begins(w) for w in begun]
+    rows = index.filter(reduce(lambda a, b: a | b, wanted))
+    if all(len(t.words) == 1 for t in terms):
+        hit = [F.max(_begins(t.words[0]) if t.prefix else F.col("term") == t.words[0]).alias(f"t{i}") for i, t in enumerate(terms)]
+        return _having(rows.groupBy("doc").agg(*hit), len(terms))
+    # Of each word of each term its places in a field, then whether they follow one another.
+    place = {}
+    for i, t in enumerate(terms):
+        for k, w in enumerate(t.words):
+            mine = _begins(w) if t.prefix and k == len(t.words) - 1 else F.col("term") == w
+            place[f"p{i}_{k}"] = F.flatten(F.collect_list(F.when(mine, F.col("places"))))
+    fields = rows.groupBy("doc", "field").agg(*[c.alias(n) for n, c in place.items()])
+
+    def follows(i: int, t: Term) -> Column:
+        at = F.col(f"p{i}_0")
+        for k in range(1, len(t.words)):
+            at = F.array_intersect(at, F.transform(F.col(f"p{i}_{k}"), _back(k)))
+        return F.max(F.size(at) > 0).alias(f"t{i}")
+
+    return _having(fields.groupBy("doc").agg(*[follows(i, t) for i, t in enumerate(terms)]), len(terms))
+
+
+def _back(k: int):
+    return lambda x: x - k
+
+
+def _having(flags: DataFrame, terms: int) -> DataFrame:
+    return flags.filter(reduce(lambda a, b: a & b, [F.col(f"t{i}") for i in range(terms)])).select("doc")
+
+
+def lookup(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Documents that have all words, from postings."""
+    words = [w for t in terms for w in fold(t)]
+    return find(index, " ".join(words))
 
 
 def maintain(index: DataFrame, changed: DataFrame, gone: DataFrame, id_column: str, columns: list[str]) -> DataFrame:

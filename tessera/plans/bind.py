@@ -7,27 +7,65 @@ documents are their texts.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import times
 from ..model import Corpus
+from ..operators import search
+from ..sources import store
 
 
-_SCHEMAS: dict[str, StructType] = {}
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the files once, which spares a job each further time."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+#: By application and folder: the bound tables as written.
+_BOUND: dict[tuple[str, str], dict[str, DataFrame]] = {}
+#: How each table is laid out: the column that its files are ranges of, if its readers look for ranges.
+ORDER = {"cve": "cve_id", "cve_cwe": "cve_id", "cve_ref": "cve_id", "cve_prod": "cve_id", "cve_ver": "cve_id", "cve_text": "cve_id"}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is made and written when it is first asked for."""
+    held = _BOUND.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    if name not in held:
+        held[name] = store.written(make(), name)
+    return held[name]
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus; a table's plan is made when it is first asked for."""
+    """The corpus as it is after a load: each table, and the index of the texts, is written when it is first asked for and read from there on."""
+    held = _BOUND.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    source = views(spark, sf_dir)
+
+    def table(name: str):
+        def get() -> DataFrame:
+            if name not in held:
+                df = getattr(source, name)
+                path = f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/{name}"
+                if name in ORDER:
+                    df = df.repartitionByRange(ORDER[name]).sortWithinPartitions(ORDER[name])
+                df.write.parquet(path)
+                held[name] = spark.read.schema(df.schema).parquet(path)
+            return held[name]
+
+        return get
+
+    def postings() -> DataFrame:
+        if "postings" not in held:
+            index = search.postings(table("cve_text")(), "cve_id", list(search.FIELDS))
+            held["postings"] = search.keep(index, f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/postings")
+        return held["postings"]
+
+    return Corpus(**{f.name: table(f.name) for f in fields(Corpus) if f.name != "postings"}, postings=postings)
+
+
+def views(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The binding itself; a table's plan is made when it is asked for."""
     t = lambda name: load(spark, sf_dir, name)
     key = F.col("o_orderkey")
     at = times.seconds("o_orderdate")

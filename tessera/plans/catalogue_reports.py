@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import NOT_ASSESSED
 from ..operators import reports as R
-from ..operators.dims import DIMS, IDENTITY, MULTIPLYING, TIME
+from ..operators.dims import DIMS, IDENTITY, TIME
 from ..operators.filters import Filters, matching
 from .bind import corpus, oracle
 
@@ -82,13 +82,27 @@ ORACLES["flt_text"] = oracle(f"{HITS}\nSELECT c.id, c.cve_id, c.cvss_score FROM
 LIST = "SELECT c.cve_id cve, c.state, c.published, c.updated, c.cvss_ver, c.cvss_score, c.cvss_sev, n.name cna, substr(t.descr, 1, 400) description FROM cve c LEFT JOIN cna n ON n.id = c.cna_id LEFT JOIN cve_text t ON t.cve_id = c.id WHERE {0} ORDER BY {1} LIMIT {2} OFFSET {3}"
 add("rows_published", lambda c: R.rows(c, Filters()), LIST.format("state = 1", "published DESC NULLS LAST, c.id DESC", 501, 0))
 add("rows_updated", lambda c: R.rows(c, Filters(), 50, 0, "updated"), LIST.format("state = 1", "updated DESC NULLS LAST, c.id DESC", 51, 0))
-add("rows_score_nulls_last", lambda c: R.rows(c, Filters(state="all", published_from=T1998), 5_000, 0, "score"), LIST.format(f"published >= {T1998}", "cvss_score DESC NULLS LAST, c.id DESC", 5001, 0))
+add(
+    "rows_score_nulls_last",
+    lambda c: R.rows(c, Filters(state="all", published_from=T1998), 5_000, 0, "score"),
+    LIST.format(f"published >= {T1998}", "cvss_score DESC NULLS LAST, c.id DESC", 5001, 0),
+)
 add("rows_cve", lambda c: R.rows(c, Filters(state="all", cvss_version=[4]), 100, 0, "cve"), LIST.format("cvss_ver = 4", "c.cve_id DESC", 101, 0))
 add("rows_offset", lambda c: R.rows(c, Filters(), 20, 1000, "no such sort"), LIST.format("state = 1", "published DESC NULLS LAST, c.id DESC", 21, 1000))
-add("rows_full_kev", lambda c: R.rows(c, Filters(severity=[4]), 300, 0, "score", full=True, kev=True), """SELECT c.cve_id cve, c.state, c.published, c.updated, c.cvss_ver, c.cvss_score, c.cvss_sev, n.name cna, t.descr description, t.title, t.reason, c.cvss_vec, c.reserved, c.ssvc_expl, c.ssvc_auto, c.ssvc_impact,
-CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END kev_listed, k.added kev_added, k.due kev_due, CASE WHEN k.cve IS NULL THEN '' WHEN k.ransomware = 1 THEN 'Known' WHEN k.ransomware = 0 THEN 'Unknown (per CISA)' ELSE 'not stated by CISA' END kev_ransomware, k.name kev_name, k.action kev_action
-FROM cve c LEFT JOIN cna n ON n.id = c.cna_id LEFT JOIN cve_text t ON t.cve_id = c.id LEFT JOIN kev k ON k.cve_id = c.id WHERE state = 1 AND cvss_sev = 4 ORDER BY cvss_score DESC NULLS LAST, c.id DESC LIMIT 301""")
-add("count_matches", lambda c: R.count(c, Filters(severity=[1, 2], kev=[1])), f"SELECT count(*) matches FROM cve c WHERE state = 1 AND cvss_sev IN (1, 2) AND EXISTS ({KEV_OF})")
+add(
+    "rows_full_kev",
+    lambda c: R.rows(c, Filters(severity=[4]), 300, 0, "score", full=True, kev=True),
+    """SELECT c.cve_id cve, c.state, c.published, c.updated, c.cvss_ver, c.cvss_score, c.cvss_sev, n.name cna, t.descr description, t.title, t.reason, c.cvss_vec, c.reserved, c.ssvc_expl, c.ssvc_auto, c.ssvc_impact,
+CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END kev_listed, k.added kev_added, k.due kev_due,
+CASE WHEN k.cve IS NULL THEN '' WHEN k.ransomware = 1 THEN 'Known' WHEN k.ransomware = 0 THEN 'Unknown (per CISA)' ELSE 'not stated by CISA' END kev_ransomware, k.name kev_name, k.action kev_action
+FROM cve c LEFT JOIN cna n ON n.id = c.cna_id LEFT JOIN cve_text t ON t.cve_id = c.id LEFT JOIN kev k ON k.cve_id = c.id
+WHERE state = 1 AND cvss_sev = 4 ORDER BY cvss_score DESC NULLS LAST, c.id DESC LIMIT 301""",
+)
+add(
+    "count_matches",
+    lambda c: R.count(c, Filters(severity=[1, 2], kev=[1])),
+    f"SELECT count(*) matches FROM cve c WHERE state = 1 AND cvss_sev IN (1, 2) AND EXISTS ({KEV_OF})",
+)
 
 # --- groups and cross-tabs -----------------------------------------------------------------------
 _MOMENT = "make_timestamp(c.published * 1000000)"
@@ -105,6 +119,7 @@ JOINS = {
     "prod": "JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id JOIN vendor v ON v.id = p.vendor_id",
     "cwe": "JOIN cve_cwe cx ON cx.cve_id = c.id JOIN cwe w ON w.id = cx.cwe_id", "ref": "JOIN cve_ref r ON r.cve_id = c.id JOIN url u ON u.id = r.url_id JOIN host h ON h.id = u.host_id",
 }
+JOIN_OF = {"kev": "kev", "kevRansomware": "kev", "cna": "cna", "vendor": "prod", "product": "prod", "cwe": "cwe", "host": "ref"}
 ORDERS = {
     "cvssVersion": "CASE {0} WHEN 2 THEN 0 WHEN 30 THEN 1 WHEN 31 THEN 2 WHEN 4 THEN 3 ELSE CASE WHEN {0} IS NULL THEN 5 ELSE 4 END END",
     "ssvcExpl": "coalesce({0}, 99)", "ssvcAuto": "coalesce({0}, 99)", "ssvcImpact": "coalesce({0}, 99)", "kev": "1 - {0}",
@@ -117,11 +132,11 @@ def _label(d):
 
 
 def _from(*dims):
-    return "FROM cve c " + " ".join(JOINS[g] for g in dict.fromkeys(DIMS[d].join for d in dims if DIMS[d].join))
+    return "FROM cve c " + " ".join(JOINS[g] for g in dict.fromkeys(JOIN_OF[d] for d in dims if d in JOIN_OF))
 
 
 def _count(*dims):
-    return "count(DISTINCT c.id)" if any(DIMS[d].join in MULTIPLYING for d in dims) else "count(*)"
+    return "count(DISTINCT c.id)" if any(JOIN_OF.get(d) in ("prod", "cwe", "ref") for d in dims) else "count(*)"
 
 
 def group_sql(d, where, limit):
@@ -150,7 +165,11 @@ for _d in DIMS:
 add("grp_all_states", partial(R.group, filters=Filters(state="all"), dimension="state"), group_sql("state", "true", 400))
 add("grp_time_cap_recent", partial(R.group, filters=Filters(), dimension="month", limit=12), group_sql("month", "c.state = 1", 12))
 add("grp_limit_topk", partial(R.group, filters=Filters(severity=[4]), dimension="product", limit=10), group_sql("product", "c.state = 1 AND cvss_sev = 4", 10))
-add("grp_filtered_by_vendor", partial(R.group, filters=Filters(vendor=["Brand#11"]), dimension="product"), group_sql("product", f"c.state = 1 AND EXISTS ({PROD_OF.replace(' p ', ' p1 ').replace('p.', 'p1.').replace(' v ', ' v1 ').replace('v.', 'v1.')} AND lower(v1.name) = 'brand#11')", 400))
+add(
+    "grp_filtered_by_vendor",
+    partial(R.group, filters=Filters(vendor=["Brand#11"]), dimension="product"),
+    group_sql("product", f"c.state = 1 AND EXISTS ({PROD_OF.replace(' p ', ' p1 ').replace('p.', 'p1.').replace(' v ', ' v1 ').replace('v.', 'v1.')} AND lower(v1.name) = 'brand#11')", 400),
+)
 for _a, _b, _f, _w, _n, _m in (
     ("month", "severity", Filters(), "c.state = 1", 400, 24),
     ("week", "severity", Filters(), "c.state = 1", 52, 24),
@@ -193,28 +212,108 @@ def _hosts(c):
     return refs.groupBy("host_id").agg(F.max("host").alias("host"), F.count_distinct("cve_id").alias("cves")).orderBy(F.desc("cves"), "host_id").limit(25).select("host", "cves")
 
 
-add("bq_point_lookup", lambda c: c.cve.filter("cve_id = 'CVE-2000-0000007'").select("cve_id", "year", "cvss_score", "cvss_vec"), "SELECT cve_id, \"year\", cvss_score, cvss_vec FROM cve WHERE cve_id = 'CVE-2000-0000007'")
-add("bq_severity_by_year", lambda c: _cve(c).filter("cvss_sev is not null").groupBy("year", "cvss_sev").agg(F.count("*").alias("cves")).orderBy(F.desc("year"), F.desc("cvss_sev")), 'SELECT "year", cvss_sev, count(*) cves FROM cve WHERE state = 1 AND cvss_sev IS NOT NULL GROUP BY 1, 2')
-add("bq_cna_year_cvss", lambda c: _cve(c).filter("cvss_score >= 70000").join(c.cna.selectExpr("id cna_id", "name cna"), "cna_id").groupBy("cna_id", "year").agg(F.max("cna").alias("cna"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "cna_id", "year").limit(50).select("cna", "year", "cves"), 'SELECT cna, "year", cves FROM (SELECT c.cna_id, max(n.name) cna, c."year", count(*) cves FROM cve c JOIN cna n ON n.id = c.cna_id WHERE c.state = 1 AND c.cvss_score >= 70000 GROUP BY c.cna_id, c."year") ORDER BY cves DESC, cna_id, "year" LIMIT 50')
-add("bq_vendor_severity_2y", lambda c: _links(c).join(_cve(c).filter(f"published >= {T1999}").select("id", "cvss_sev"), "id").groupBy("vendor_id", "product_id", "cvss_sev").agg(F.max("vendor").alias("vendor"), F.max("product").alias("product"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "product_id", F.asc_nulls_first("cvss_sev")).limit(100).select("vendor", "product", "cvss_sev", "cves"), f"SELECT vendor, product, cvss_sev, cves FROM (SELECT v.id v, p.id p, max(v.name) vendor, max(p.name) product, c.cvss_sev, count(*) cves FROM cve c JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id JOIN vendor v ON v.id = p.vendor_id WHERE c.state = 1 AND c.published >= {T1999} GROUP BY v.id, p.id, c.cvss_sev) ORDER BY cves DESC, p, cvss_sev NULLS FIRST LIMIT 100")
-add("bq_product_drilldown", _drilldown, "SELECT product, cves FROM (SELECT p.id, max(p.name) product, count(*) cves FROM cve_prod cp JOIN product p ON p.id = cp.product_id JOIN cve c ON c.id = cp.cve_id WHERE c.state = 1 AND p.vendor_id = (SELECT p2.vendor_id FROM cve_prod cp2 JOIN product p2 ON p2.id = cp2.product_id GROUP BY 1 ORDER BY count(*) DESC, p2.vendor_id LIMIT 1) GROUP BY p.id) ORDER BY cves DESC, id LIMIT 25")
-add("bq_cwe_top", lambda c: c.cve_cwe.join(_cve(c).selectExpr("id cve_id"), "cve_id").groupBy("cwe_id").agg(F.count("*").alias("cves")).join(c.cwe.selectExpr("id cwe_id", "cwe", "descr"), "cwe_id").orderBy(F.desc("cves"), "cwe_id").limit(25).select("cwe", "descr", "cves"), "SELECT cwe, descr, cves FROM (SELECT w.id, max(w.cwe) cwe, max(w.descr) descr, count(*) cves FROM cve_cwe x JOIN cwe w ON w.id = x.cwe_id JOIN cve c ON c.id = x.cve_id WHERE c.state = 1 GROUP BY w.id) ORDER BY cves DESC, id LIMIT 25")
-add("bq_reference_hosts", _hosts, "SELECT host, cves FROM (SELECT h.id, max(h.name) host, count(DISTINCT r.cve_id) cves FROM cve_ref r JOIN url u ON u.id = r.url_id JOIN host h ON h.id = u.host_id GROUP BY h.id) ORDER BY cves DESC, id LIMIT 25")
+add(
+    "bq_point_lookup",
+    lambda c: c.cve.filter("cve_id = 'CVE-2000-0000007'").select("cve_id", "year", "cvss_score", "cvss_vec"),
+    "SELECT cve_id, \"year\", cvss_score, cvss_vec FROM cve WHERE cve_id = 'CVE-2000-0000007'",
+)
+add(
+    "bq_severity_by_year",
+    lambda c: _cve(c).filter("cvss_sev is not null").groupBy("year", "cvss_sev").agg(F.count("*").alias("cves")).orderBy(F.desc("year"), F.desc("cvss_sev")),
+    'SELECT "year", cvss_sev, count(*) cves FROM cve WHERE state = 1 AND cvss_sev IS NOT NULL GROUP BY 1, 2',
+)
+add(
+    "bq_cna_year_cvss",
+    lambda c: _cve(c).filter("cvss_score >= 70000").join(c.cna.selectExpr("id cna_id", "name cna"), "cna_id").groupBy("cna_id", "year").agg(F.max("cna").alias("cna"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "cna_id", "year").limit(50).select("cna", "year", "cves"),
+    '''SELECT cna, "year", cves FROM (SELECT c.cna_id, max(n.name) cna, c."year", count(*) cves FROM cve c JOIN cna n ON n.id = c.cna_id
+WHERE c.state = 1 AND c.cvss_score >= 70000 GROUP BY c.cna_id, c."year") ORDER BY cves DESC, cna_id, "year" LIMIT 50''',
+)
+add(
+    "bq_vendor_severity_2y",
+    lambda c: _links(c).join(_cve(c).filter(f"published >= {T1999}").select("id", "cvss_sev"), "id").groupBy("vendor_id", "product_id", "cvss_sev").agg(F.max("vendor").alias("vendor"), F.max("product").alias("product"), F.count("*").alias("cves")).orderBy(F.desc("cves"), "product_id", F.asc_nulls_first("cvss_sev")).limit(100).select("vendor", "product", "cvss_sev", "cves"),
+    f"""SELECT vendor, product, cvss_sev, cves FROM (SELECT v.id v, p.id p, max(v.name) vendor, max(p.name) product, c.cvss_sev, count(*) cves FROM cve c
+JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id JOIN vendor v ON v.id = p.vendor_id
+WHERE c.state = 1 AND c.published >= {T1999} GROUP BY v.id, p.id, c.cvss_sev) ORDER BY cves DESC, p, cvss_sev NULLS FIRST LIMIT 100""",
+)
+add(
+    "bq_product_drilldown",
+    _drilldown,
+    """SELECT product, cves FROM (SELECT p.id, max(p.name) product, count(*) cves FROM cve_prod cp JOIN product p ON p.id = cp.product_id
+JOIN cve c ON c.id = cp.cve_id WHERE c.state = 1 AND p.vendor_id = (SELECT p2.vendor_id FROM cve_prod cp2 JOIN product p2 ON p2.id = cp2.product_id
+GROUP BY 1 ORDER BY count(*) DESC, p2.vendor_id LIMIT 1) GROUP BY p.id) ORDER BY cves DESC, id LIMIT 25""",
+)
+add(
+    "bq_cwe_top",
+    lambda c: c.cve_cwe.join(_cve(c).selectExpr("id cve_id"), "cve_id").groupBy("cwe_id").agg(F.count("*").alias("cves")).join(c.cwe.selectExpr("id cwe_id", "cwe", "descr"), "cwe_id").orderBy(F.desc("cves"), "cwe_id").limit(25).select("cwe", "descr", "cves"),
+    """SELECT cwe, descr, cves FROM (SELECT w.id, max(w.cwe) cwe, max(w.descr) descr, count(*) cves FROM cve_cwe x JOIN cwe w ON w.id = x.cwe_id
+JOIN cve c ON c.id = x.cve_id WHERE c.state = 1 GROUP BY w.id) ORDER BY cves DESC, id LIMIT 25""",
+)
+add(
+    "bq_reference_hosts",
+    _hosts,
+    """SELECT host, cves FROM (SELECT h.id, max(h.name) host, count(DISTINCT r.cve_id) cves FROM cve_ref r JOIN url u ON u.id = r.url_id
+JOIN host h ON h.id = u.host_id GROUP BY h.id) ORDER BY cves DESC, id LIMIT 25""",
+)
 
 _WORD = "CASE c.cvss_sev WHEN 0 THEN 'NONE' WHEN 1 THEN 'LOW' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'HIGH' WHEN 4 THEN 'CRITICAL' ELSE '(not scored)' END"
 _word = lambda: F.expr(_WORD.replace("c.cvss_sev", "series")).alias("series")
-add("truth_severity_over_time", lambda c: R.cross(c, Filters(), "month", "severity").select("bucket", _word(), "cves"), f"SELECT {KEYS['month']} bucket, {_WORD} series, count(*) cves FROM cve c WHERE c.state = 1 GROUP BY 1, 2")
-add("truth_vendor_product_severity", lambda c: R.cross(c, Filters(published_from=T1999), "product", "severity").select(F.col("label").alias("bucket"), _word(), "cves"), f"{cross_sql('product', 'severity', f'c.state = 1 AND c.published >= {T1999}').replace('SELECT bucket, label, series, series_label, cves FROM cells', f'SELECT label AS bucket, {_WORD.replace('c.cvss_sev', 'series')} series, cves FROM (SELECT *, series s2 FROM cells)')}".replace("sum(cves) OVER (PARTITION BY bucket) DESC", "sum(cves) OVER (PARTITION BY bucket) DESC"))
-add("truth_critical_by_cna", lambda c: R.group(c, Filters(severity=[4]), "cna").filter("bucket is not null").select(F.col("label").alias("bucket"), "cves"), f"SELECT label AS bucket, cves FROM ({group_sql('cna', 'c.state = 1 AND cvss_sev = 4', 400)}) WHERE bucket IS NOT NULL")
-add("truth_top_cwes", lambda c: R.group(c, Filters(), "cwe").select(F.col("label").alias("bucket"), "cves"), "SELECT w.cwe || ' — ' || max(w.descr) bucket, count(DISTINCT c.id) cves FROM cve c JOIN cve_cwe x ON x.cve_id = c.id JOIN cwe w ON w.id = x.cwe_id WHERE c.state = 1 GROUP BY w.id, w.cwe")
-add("truth_kev_by_year", lambda c: R.group(c, Filters(kev=[1]), "year").select("bucket", "cves"), f"SELECT {KEYS['year']} bucket, count(*) cves FROM cve c WHERE c.state = 1 AND EXISTS ({KEV_OF}) GROUP BY 1")
-add("truth_vendor_criticals", lambda c: R.count(c, Filters(vendor=["BRAND#12"], severity=[4])), f"SELECT count(DISTINCT c.id) matches FROM cve c WHERE c.state = 1 AND c.cvss_sev = 4 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#12')")
-add("truth_kev_listed", lambda c: R.detail(c, "cve-2000-0000007")["exists"].join(c.kev.selectExpr("cve_id id", "cve"), "id", "left").select("id", F.col("cve").isNotNull().cast("int").alias("listed")), "SELECT c.id, CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END listed FROM cve c LEFT JOIN kev k ON k.cve_id = c.id WHERE lower(c.cve_id) = 'cve-2000-0000007'")
-add("truth_highest_score", lambda c: _cve(c).groupBy("cvss_score").agg(F.count("*").alias("n")).filter("cvss_score is not null").orderBy(F.desc("cvss_score")).limit(1).select(F.col("cvss_score").alias("top"), "n"), "SELECT max(cvss_score) top, count(*) n FROM cve WHERE state = 1 AND cvss_score = (SELECT max(cvss_score) FROM cve WHERE state = 1)")
-add("truth_share_of_latest", lambda c: _cve(c).filter("cvss_sev = 4").orderBy(F.desc_nulls_last("published"), F.desc("id")).limit(200).agg(F.round(F.sum(F.expr("case when cvss_score >= 150000 then 1 else 0 end")) / F.count("*"), 2).alias("share")), "SELECT round(sum(CASE WHEN cvss_score >= 150000 THEN 1 ELSE 0 END)::DOUBLE / count(*), 2) \"share\" FROM (SELECT cvss_score FROM cve WHERE state = 1 AND cvss_sev = 4 ORDER BY published DESC NULLS LAST, id DESC LIMIT 200)")
+add(
+    "truth_severity_over_time",
+    lambda c: R.cross(c, Filters(), "month", "severity").select("bucket", _word(), "cves"),
+    f"SELECT {KEYS['month']} bucket, {_WORD} series, count(*) cves FROM cve c WHERE c.state = 1 GROUP BY 1, 2",
+)
+add(
+    "truth_vendor_product_severity",
+    lambda c: R.cross(c, Filters(published_from=T1999), "product", "severity").select(F.col("label").alias("bucket"), _word(), "cves"),
+    f"{cross_sql('product', 'severity', f'c.state = 1 AND c.published >= {T1999}').replace('SELECT bucket, label, series, series_label, cves FROM cells', f'SELECT label AS bucket, {_WORD.replace('c.cvss_sev', 'series')} series, cves FROM (SELECT *, series s2 FROM cells)')}".replace("sum(cves) OVER (PARTITION BY bucket) DESC", "sum(cves) OVER (PARTITION BY bucket) DESC"),
+)
+add(
+    "truth_critical_by_cna",
+    lambda c: R.group(c, Filters(severity=[4]), "cna").filter("bucket is not null").select(F.col("label").alias("bucket"), "cves"),
+    f"SELECT label AS bucket, cves FROM ({group_sql('cna', 'c.state = 1 AND cvss_sev = 4', 400)}) WHERE bucket IS NOT NULL",
+)
+add(
+    "truth_top_cwes",
+    lambda c: R.group(c, Filters(), "cwe").select(F.col("label").alias("bucket"), "cves"),
+    """SELECT w.cwe || ' — ' || max(w.descr) bucket, count(DISTINCT c.id) cves FROM cve c JOIN cve_cwe x ON x.cve_id = c.id JOIN cwe w ON w.id = x.cwe_id
+WHERE c.state = 1 GROUP BY w.id, w.cwe""",
+)
+add(
+    "truth_kev_by_year",
+    lambda c: R.group(c, Filters(kev=[1]), "year").select("bucket", "cves"),
+    f"SELECT {KEYS['year']} bucket, count(*) cves FROM cve c WHERE c.state = 1 AND EXISTS ({KEV_OF}) GROUP BY 1",
+)
+add(
+    "truth_vendor_criticals",
+    lambda c: R.count(c, Filters(vendor=["BRAND#12"], severity=[4])),
+    f"SELECT count(DISTINCT c.id) matches FROM cve c WHERE c.state = 1 AND c.cvss_sev = 4 AND EXISTS ({PROD_OF} AND lower(v.name) = 'brand#12')",
+)
+add(
+    "truth_kev_listed",
+    lambda c: R.detail(c, "cve-2000-0000007")["exists"].join(c.kev.selectExpr("cve_id id", "cve"), "id", "left").select("id", F.col("cve").isNotNull().cast("int").alias("listed")),
+    """SELECT c.id, CASE WHEN k.cve IS NULL THEN 0 ELSE 1 END listed FROM cve c LEFT JOIN kev k ON k.cve_id = c.id WHERE lower(c.cve_id) = 'cve-2000-0000007'""",
+)
+add(
+    "truth_highest_score",
+    lambda c: _cve(c).groupBy("cvss_score").agg(F.count("*").alias("n")).filter("cvss_score is not null").orderBy(F.desc("cvss_score")).limit(1).select(F.col("cvss_score").alias("top"), "n"),
+    "SELECT max(cvss_score) top, count(*) n FROM cve WHERE state = 1 AND cvss_score = (SELECT max(cvss_score) FROM cve WHERE state = 1)",
+)
+add(
+    "truth_share_of_latest",
+    lambda c: _cve(c).filter("cvss_sev = 4").orderBy(F.desc_nulls_last("published"), F.desc("id")).limit(200).agg(F.round(F.sum(F.expr("case when cvss_score >= 150000 then 1 else 0 end")) / F.count("*"), 2).alias("share")),
+    """SELECT round(sum(CASE WHEN cvss_score >= 150000 THEN 1 ELSE 0 END)::DOUBLE / count(*), 2) "share" FROM (SELECT cvss_score FROM cve
+WHERE state = 1 AND cvss_sev = 4 ORDER BY published DESC NULLS LAST, id DESC LIMIT 200)""",
+)
 
 # --- extents and details -----------------------------------------------------------------------------
-add("coverage_extents", R.coverage, 'SELECT a.*, k.* FROM (SELECT count(*) records, min(published) published_min, max(published) published_max, min(updated) updated_min, max(updated) updated_max, min("year") year_min, max("year") year_max FROM cve) a, (SELECT count(*) kev_records, min(added_at) kev_added_min, max(added_at) kev_added_max, min(due_at) kev_due_min, max(due_at) kev_due_max, sum(CASE WHEN cve_id IS NULL THEN 1 ELSE 0 END)::BIGINT kev_unmatched FROM kev) k')
+add(
+    "coverage_extents",
+    R.coverage,
+    '''SELECT a.*, k.*
+FROM (SELECT count(*) records, min(published) published_min, max(published) published_max, min(updated) updated_min, max(updated) updated_max, min("year") year_min, max("year") year_max
+FROM cve) a, (SELECT count(*) kev_records, min(added_at) kev_added_min, max(added_at) kev_added_max, min(due_at) kev_due_min, max(due_at) kev_due_max, sum(CASE WHEN cve_id IS NULL THEN 1 ELSE 0 END)::BIGINT kev_unmatched
+FROM kev) k''',
+)
 _ID = "lower(c.cve_id) = (SELECT lower(cve_id) FROM cve WHERE id = 7)"
 
 
@@ -226,9 +325,33 @@ def _part(name):
     return query
 
 
-add("detail_record", _part("record"), f'SELECT c.cve_id, c.state, c."year", c.published, c.updated, c.cvss_ver, c.cvss_score, c.cvss_sev, c.cvss_vec, n.name cna, t.descr, t.title, t.reason, c.reserved, c.ssvc_expl, c.ssvc_auto, c.ssvc_impact FROM cve c LEFT JOIN cna n ON n.id = c.cna_id LEFT JOIN cve_text t ON t.cve_id = c.id WHERE {_ID}')
+add(
+    "detail_record",
+    _part("record"),
+    f'''SELECT c.cve_id, c.state, c."year", c.published, c.updated, c.cvss_ver, c.cvss_score, c.cvss_sev, c.cvss_vec, n.name cna, t.descr, t.title, t.reason, c.reserved, c.ssvc_expl, c.ssvc_auto, c.ssvc_impact
+FROM cve c LEFT JOIN cna n ON n.id = c.cna_id LEFT JOIN cve_text t ON t.cve_id = c.id WHERE {_ID}''',
+)
 add("detail_cwes", _part("cwes"), f"SELECT w.cwe, w.descr FROM cve c JOIN cve_cwe x ON x.cve_id = c.id JOIN cwe w ON w.id = x.cwe_id WHERE {_ID}")
-add("detail_products", _part("products"), f"SELECT v.name vendor, p.name product, cp.default_status FROM cve c JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id LEFT JOIN vendor v ON v.id = p.vendor_id WHERE {_ID}")
-add("detail_versions", _part("versions"), f"SELECT v.name vendor, p.name product, cv.status, cv.version, cv.lt, cv.lte, t.name vtype, cp.default_status FROM cve c JOIN cve_ver cv ON cv.cve_id = c.id LEFT JOIN product p ON p.id = cv.product_id LEFT JOIN vendor v ON v.id = p.vendor_id LEFT JOIN vtype t ON t.id = cv.vtype LEFT JOIN cve_prod cp ON cp.cve_id = c.id AND cp.product_id = cv.product_id WHERE {_ID}")
-add("detail_refs", _part("refs"), f"SELECT u.url, h.name host FROM cve c JOIN cve_ref r ON r.cve_id = c.id JOIN url u ON u.id = r.url_id LEFT JOIN host h ON h.id = u.host_id WHERE {_ID}")
-add("detail_kev", lambda c: _part("kev")(c).drop("cwes"), f"SELECT k.added, k.due, k.name, k.descr, k.action, k.ransomware, k.notes, k.vendor, k.product FROM cve c JOIN kev k ON k.cve_id = c.id WHERE {_ID}")
+add(
+    "detail_products",
+    _part("products"),
+    f"""SELECT v.name vendor, p.name product, cp.default_status FROM cve c JOIN cve_prod cp ON cp.cve_id = c.id JOIN product p ON p.id = cp.product_id LEFT
+JOIN vendor v ON v.id = p.vendor_id WHERE {_ID}""",
+)
+add(
+    "detail_versions",
+    _part("versions"),
+    f"""SELECT v.name vendor, p.name product, cv.status, cv.version, cv.lt, cv.lte, t.name vtype, cp.default_status FROM cve c
+JOIN cve_ver cv ON cv.cve_id = c.id LEFT JOIN product p ON p.id = cv.product_id LEFT JOIN vendor v ON v.id = p.vendor_id LEFT
+JOIN vtype t ON t.id = cv.vtype LEFT JOIN cve_prod cp ON cp.cve_id = c.id AND cp.product_id = cv.product_id WHERE {_ID}""",
+)
+add(
+    "detail_refs",
+    _part("refs"),
+    f"""SELECT u.url, h.name host FROM cve c JOIN cve_ref r ON r.cve_id = c.id JOIN url u ON u.id = r.url_id LEFT JOIN host h ON h.id = u.host_id WHERE {_ID}""",
+)
+add(
+    "detail_kev",
+    lambda c: _part("kev")(c).drop("cwes"),
+    f"SELECT k.added, k.due, k.name, k.descr, k.action, k.ransomware, k.notes, k.vendor, k.product FROM cve c JOIN kev k ON k.cve_id = c.id WHERE {_ID}",
+)

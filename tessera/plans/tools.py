@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import multiprocessing
+import subprocess
+import sys
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
@@ -151,25 +152,29 @@ def describe(answer: guard.Answer, rows: int = MOST_ROWS) -> str:
     return "\n".join(lines)
 
 
-def _compute(code: str, columns, rows, pipe) -> None:
-    log: list[str] = []
-    scope = {"columns": columns, "rows": rows, "data": [dict(zip(columns, r, strict=False)) for r in rows], "log": lambda *a: log.append(" ".join(map(str, a))) if len(log) < COMPUTE_LOG else None}
-    try:
-        body = "def __body():\n" + "\n".join("    " + x for x in code.splitlines() or ["pass"])
-        exec(body, scope)
-        pipe.send(("ok", json.dumps(scope["__body"](), default=str)[:MOST_TEXT], log))
-    except Exception as e:
-        pipe.send(("error", f"{type(e).__name__}: {e}"[:MOST_TEXT], log))
+_RUNNER = """
+import json, sys
+code, columns, rows, most_log, most = json.loads(sys.stdin.read())
+log = []
+scope = {"columns": columns, "rows": [tuple(r) for r in rows], "data": [dict(zip(columns, r)) for r in rows], "log": lambda *a: log.append(" ".join(map(str, a))) if len(log) < most_log else None}
+try:
+    exec("def __body():\\n" + "\\n".join("    " + x for x in code.splitlines() or ["pass"]), scope)
+    out = ["ok", json.dumps(scope["__body"](), default=str)[:most], log]
+except Exception as e:
+    out = ["error", f"{type(e).__name__}: {e}"[:most], log]
+sys.__stdout__.write("\\n" + json.dumps(out))
+"""
 
 
 def compute(code: str, last: guard.Answer | None, seconds: float = COMPUTE_SECONDS) -> tuple[str, str, list[str]]:
-    """Run a function body over the last result in a process of its own, with a deadline.
+    """Run a function body over the last result in a process of its own, with a deadline and without the driver's environment.
 
     This is no security boundary: it keeps runaway code off the driver, not hostile code out."""
-    here, there = multiprocessing.Pipe(False)
-    p = multiprocessing.get_context("fork").Process(target=_compute, args=(code, last.columns if last else [], last.rows if last else [], there), daemon=True)
-    p.start()
+    given = json.dumps([code, last.columns if last else [], last.rows if last else [], COMPUTE_LOG, MOST_TEXT], default=str)
     try:
-        return here.recv() if here.poll(seconds) else ("error", "it took too long", [])
-    finally:
-        p.kill()
+        done = subprocess.run([sys.executable, "-I", "-c", _RUNNER], input=given, capture_output=True, text=True, timeout=seconds, env={}, check=False)
+        return tuple(json.loads(done.stdout.rpartition("\n")[2]))
+    except subprocess.TimeoutExpired:
+        return "error", "it took too long", []
+    except ValueError:
+        return "error", "it gave no result", []

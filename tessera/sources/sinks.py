@@ -15,6 +15,7 @@ from ..operators import reports
 from ..operators.filters import Filters
 
 EXPORT_MOST = 50_000
+NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}
 
 
 def csv_lines(df: DataFrame) -> DataFrame:
@@ -51,21 +52,25 @@ def json_text(df: DataFrame, about: dict) -> Iterator[str]:
 
 def sheet_rows(df: DataFrame) -> DataFrame:
     """line: cells between tabs."""
-    return df.select(F.concat_ws("\t", *[T.sheet_cell(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("line"))
+    return df.select(F.concat_ws("\t", *[_cell(c, t) for c, t in df.dtypes]).alias("line"))
+
+
+def _cell(name: str, kind: str) -> Column:
+    return T.sheet_cell(F.col(f"`{name}`").cast("string"), kind.split("(")[0] in NUMBERS)
 
 
 def html_rows(df: DataFrame) -> DataFrame:
-    def cell(c: str) -> Column:
-        x = T.sheet_cell(F.col(f"`{c}`").cast("string"))
+    def cell(c: str, kind: str) -> Column:
+        x = _cell(c, kind)
         for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
             x = F.replace(x, F.lit(a), F.lit(b))
         return F.concat(F.lit("<td>"), x, F.lit("</td>"))
 
-    return df.select(F.concat(F.lit("<tr>"), *[cell(c) for c in df.columns], F.lit("</tr>")).alias("line"))
+    return df.select(F.concat(F.lit("<tr>"), *[cell(c, t) for c, t in df.dtypes], F.lit("</tr>")).alias("line"))
 
 
 def records(corpus: Corpus, filters: Filters, sort: str | None = None, most: int = EXPORT_MOST) -> DataFrame:
-    """All matching records in order, up to the cap; how many there are tells ``reports.count``."""
+    """All matching records in order, up to the cap; ``export`` tells besides how many there are."""
     found = reports.matching(corpus, filters)
     page = found.orderBy(*reports._sorted(found, sort)).limit(most)
     text = corpus.cve_text.select(F.col("cve_id").alias("id"), "descr", "title", "reason")
@@ -73,6 +78,13 @@ def records(corpus: Corpus, filters: Filters, sort: str | None = None, most: int
     return page.orderBy(*reports._sorted(page, sort)).select(F.col("cve_id").alias("cve"), "state", "published", "updated", "cvss_ver", "cvss_score", "cvss_sev", F.col("cna_name").alias("cna"), F.col("descr").alias("description"), "title", "reason")
 
 
+def export(corpus: Corpus, filters: Filters, about: dict[str, str] | None = None, sort: str | None = None, most: int = EXPORT_MOST) -> Iterator[str]:
+    """A CSV file of the matching records piece by piece, whose preamble tells how many match and how many are given."""
+    total = reports.count(corpus, filters).first()["matches"]
+    told = {"records": f"{min(total, most)} of {total}"} | ({"truncated": f"the first {most}"} if total > most else {})
+    yield from csv_text(records(corpus, filters, sort, most), (about or {}) | told)
+
+
 def cells(cross: DataFrame, two_axes: bool, cap: int = reports.CELLS) -> DataFrame:
     """Labels and counts of a report; refuses two axes whose cells were cut."""
     if two_axes and len(cross.take(cap + 1)) > cap:

@@ -8,13 +8,18 @@ record is absent.  Revisions are directories of tables; a pointer written last m
 from __future__ import annotations
 
 import json
+import uuid
 from collections import deque
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Corpus
+from ..model import SCHEMAS, Corpus
+from ..operators import search
+from ..operators.etl import fingerprint
+from ..sources import store
 
 LOOKUPS = ("cna", "cwe", "vendor", "product", "host", "url", "vtype")
 LINKS = ("cve_text", "cve_cwe", "cve_ref", "cve_prod", "cve_ver")
@@ -81,7 +86,7 @@ def moved(before: DataFrame, after: DataFrame) -> DataFrame:
 def extract(before: Corpus, after: Corpus, changes: DataFrame, start: int, end: int, floors: dict[str, int]) -> Delta:
     """What leads from one revision to the next; floors: the high-water marks of the first."""
     upsert = changes.filter("kind <> 'deleted'").select("cve_id")
-    cve = after.cve.join(upsert, "cve_id", "left_semi")
+    cve = after.cve.join(upsert, "cve_id", "left_semi").select(after.cve.columns)
     ids = cve.select(F.col("id").alias("cve_id"))
     lookups = {}
     for name in LOOKUPS:
@@ -106,21 +111,42 @@ def closure(delta: Delta, held: Corpus | None) -> DataFrame:
     return out
 
 
+#: Columns that a row must have, and those of the links that make a row the same as another.
+NEEDED = {"cve": ("id", "cve_id", "state"), "cve_text": ("cve_id",), "cve_cwe": ("cve_id", "cwe_id"), "cve_ref": ("cve_id", "url_id"), "cve_prod": ("cve_id", "product_id"), "cve_ver": ("cve_id", "product_id"), "cna": ("id", "name"), "cwe": ("id", "cwe"), "vendor": ("id", "name"), "product": ("id", "vendor_id", "name"), "host": ("id", "name"), "url": ("id", "url"), "vtype": ("id", "name")}
+LINK_KEYS = {"cve_text": ("cve_id",), "cve_cwe": ("cve_id", "cwe_id"), "cve_ref": ("cve_id", "url_id"), "cve_prod": ("cve_id", "product_id")}
+MOST_ID = 64
+
+
 def problems(delta: Delta) -> DataFrame:
     """What is wrong with a delta by itself: problem, key."""
     cve = delta.tables["cve"]
+    told = lambda df, problem, key: df.select(F.lit(problem).alias("problem"), F.col(key).cast("string").alias("key"))
+    twice = lambda df, *key: df.groupBy(*key).count().filter("count > 1")
     parts = [
-        cve.groupBy("cve_id").count().filter("count > 1").select(F.lit("record twice").alias("problem"), F.col("cve_id").alias("key")),
-        cve.join(delta.gone, "cve_id", "left_semi").select(F.lit("both changed and deleted"), "cve_id"),
-        cve.filter(~F.col("cve_id").rlike(r"^CVE-\d{4}-\d{4,55}$") | (F.col("id") < 1) | (F.col("id") > MOST_INT)).select(F.lit("identifier out of bounds"), "cve_id"),
+        told(twice(cve, "cve_id"), "record twice", "cve_id"),
+        told(twice(cve, "id"), "record id twice", "id"),
+        told(twice(delta.gone, "cve_id"), "deleted twice", "cve_id"),
+        told(cve.join(delta.gone, "cve_id", "left_semi"), "both changed and deleted", "cve_id"),
+        told(cve.filter(~F.col("cve_id").rlike(r"^CVE-\d{4}-\d{4,55}$") | (F.length("cve_id") > MOST_ID) | (F.col("id") < 1) | (F.col("id") > MOST_INT)), "identifier out of bounds", "cve_id"),
     ]
+    for name, t in (delta.lookups | delta.tables).items():
+        key = "id" if "id" in t.columns else "cve_id"
+        missing = [F.col(c).isNull() for c in NEEDED[name]]
+        parts.append(told(t.filter(_any(missing)), f"{name} lacks a value", key))
+        numbers = [c for c, kind in t.dtypes if kind in ("bigint", "int") and (c == "id" or c.endswith("_id"))]
+        if name != "cve":
+            parts.append(told(t.filter(_any([(F.col(c) < 1) | (F.col(c) > MOST_INT) for c in numbers])), f"{name} out of bounds", key))
     for name, t in delta.lookups.items():
-        parts.append(t.groupBy("id").count().filter("count > 1").select(F.lit(f"{name} twice"), F.col("id").cast("string")))
-        parts.append(t.filter((F.col("id") < 1) | (F.col("id") > MOST_INT)).select(F.lit(f"{name} out of bounds"), F.col("id").cast("string")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        parts.append(told(twice(t, "id"), f"{name} twice", "id"))
+    for name, columns in LINK_KEYS.items():
+        parts.append(told(twice(delta.tables[name], *columns), f"{name} twice", "cve_id"))
+    for name in LINKS:  # links come with their record
+        parts.append(told(delta.tables[name].select("cve_id").distinct().join(cve.select(F.col("id").alias("cve_id")), "cve_id", "left_anti"), f"{name} of no record here", "cve_id"))
+    return reduce(DataFrame.union, parts)
+
+
+def _any(conditions: list) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def pairing(delta: Delta, held: Corpus) -> DataFrame:
@@ -155,7 +181,9 @@ def apply(held: Corpus, delta: Delta) -> Corpus:
         out[name] = table.join(ids.withColumnRenamed("id", "cve_id"), "cve_id", "left_anti").select(table.columns).unionByName(delta.tables[name].select(table.columns))
     if held.kev is not None:  # the overlay follows the records' ids
         out["kev"] = resolve(held.kev, out["cve"])
-    return replace(held, **out)
+    if held.postings is not None:  # and so does the index
+        out["postings"] = search.maintain(held.postings, delta.tables["cve_text"], ids.withColumnRenamed("id", "cve_id"), "cve_id", list(search.FIELDS))
+    return held.having(**out)
 
 
 def resolve(kev: DataFrame, cve: DataFrame) -> DataFrame:
@@ -165,40 +193,179 @@ def resolve(kev: DataFrame, cve: DataFrame) -> DataFrame:
 
 # --- revisions on disk -------------------------------------------------------------------------------
 
+#: What files of a table are ranges of.
+LAYOUT = {"cve": ("cve_id",), "postings": ("term", "doc")} | {n: ("cve_id",) for n in LINKS}
+
 
 def save(corpus: Corpus, path: str, rev: int) -> None:
-    """Write a revision beside the others, then let the pointer name it."""
-    spark = corpus.cve.sparkSession
-    for name, df in corpus.tables().items():
-        df.write.mode("overwrite").parquet(f"{path}/rev={rev}/{name}")
-    spark.createDataFrame([(json.dumps({"rev": rev}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    """Write a revision into a folder of its own, sorted and without repeated links, then let the pointer name it.
+
+    The pointer is replaced by a rename, so there is a current revision at any time, and a run that
+    breaks off leaves nothing but a folder that no pointer names."""
+    spark, at = corpus.cve.sparkSession, f"rev={rev}-{uuid.uuid4().hex}"
+    tables = corpus.tables() | ({"postings": corpus.postings} if corpus.postings is not None else {})
+    for name, df in tables.items():
+        if name in LINK_KEYS:
+            df = df.dropDuplicates(list(LINK_KEYS[name]))
+        order = LAYOUT.get(name)
+        (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(f"{path}/{at}/{name}")
+    store.put(spark, f"{path}/current", json.dumps({"rev": rev, "at": at, "tables": sorted(tables)}))
+
+
+def _pointer(spark: SparkSession, path: str) -> dict:
+    text = store.get(spark, f"{path}/current")
+    if text is None:
+        raise Refused(f"nothing is current at {path}")
+    return json.loads(text)
 
 
 def current(spark: SparkSession, path: str) -> int:
-    return json.loads(spark.read.text(f"{path}/current").first()["value"])["rev"]
+    return _pointer(spark, path)["rev"]
 
 
 def load(spark: SparkSession, path: str, rev: int | None = None) -> Corpus:
-    rev = current(spark, path) if rev is None else rev
-    out = {}
-    for f in fields(Corpus):
-        try:
-            out[f.name] = spark.read.parquet(f"{path}/rev={rev}/{f.name}")
-        except Exception as e:
-            if f.name != "kev" or "PATH_NOT_FOUND" not in str(e):
-                raise
-    return Corpus(**out)
+    """The current revision; with ``rev`` it must be that one."""
+    pointer = _pointer(spark, path)
+    if rev is not None and rev != pointer["rev"]:
+        raise Refused(f"revision {pointer['rev']} is current, not {rev}")
+    return Corpus(**{n: spark.read.parquet(f"{path}/{pointer['at']}/{n}") for n in pointer["tables"]})
+
+
+def tidy(spark: SparkSession, path: str) -> list[str]:
+    """Delete the folders of revisions that the pointer doesn't name: older ones and those of runs that broke off."""
+    keep = _pointer(spark, path)["at"]
+    gone = [n for n in store.names(spark, path) if n.startswith("rev=") and n != keep]
+    for n in gone:
+        store.delete(spark, f"{path}/{n}")
+    return gone
+
+
+ENVELOPE = {"from", "to", "generated", "tables"}
 
 
 def write_delta(delta: Delta, path: str) -> None:
-    at = f"{path}/from={delta.start}/to={delta.end}"
+    """The tables of a delta, and last the envelope that tells each one's columns, rows and digest; a delta that has an envelope is never written again."""
+    spark, at = delta.gone.sparkSession, f"{path}/from={delta.start}/to={delta.end}"
+    if store.exists(spark, f"{at}/envelope"):
+        raise Refused(f"the delta {delta.start}-{delta.end} is published already")
+    told = {}
     for name, df in (delta.lookups | delta.tables | {"gone": delta.gone}).items():
-        df.write.mode("errorifexists").parquet(f"{at}/{name}")
+        df = df.select([F.col(c.split()[0]).cast(c.split()[1]) for c in shape(name).split(", ")])
+        df.write.mode("overwrite").parquet(f"{at}/{name}")
+        back = spark.read.schema(df.schema).parquet(f"{at}/{name}")
+        told[name] = {"columns": back.columns, "rows": back.count(), "digest": fingerprint(back)}
+    store.put(spark, f"{at}/envelope", json.dumps({"from": delta.start, "to": delta.end, "generated": delta.about.get("generated", 0), "tables": told}))
+
+
+def shape(name: str) -> str:
+    return "cve_id string" if name == "gone" else SCHEMAS[name]
+
+
+def validate(envelope, start: int, end: int) -> dict:
+    """The envelope, once it is exactly what one may be."""
+    if not isinstance(envelope, dict) or set(envelope) != ENVELOPE:
+        raise Refused("the envelope has keys too many or too few")
+    for key, least in (("from", 0), ("to", 1), ("generated", 0)):
+        value = envelope[key]
+        if not isinstance(value, int) or isinstance(value, bool) or not least <= value <= MOST_INT:
+            raise Refused(f"the envelope's {key} is no revision or time")
+    if (envelope["from"], envelope["to"]) != (start, end):
+        raise Refused("the envelope is another delta's")
+    tables = envelope["tables"]
+    if not isinstance(tables, dict) or set(tables) != {*LOOKUPS, "cve", *LINKS, "gone"}:
+        raise Refused("the delta has tables too many or too few")
+    for name, told in tables.items():
+        if not isinstance(told, dict) or set(told) != {"columns", "rows", "digest"} or told["columns"] != [c.split()[0] for c in shape(name).split(", ")]:
+            raise Refused(f"{name} has columns too many, too few or in another order")
+    return envelope
 
 
 def read_delta(spark: SparkSession, path: str, start: int, end: int) -> Delta:
-    read = lambda n: spark.read.parquet(f"{path}/from={start}/to={end}/{n}")
-    return Delta(start, end, {n: read(n) for n in LOOKUPS}, {n: read(n) for n in ("cve", *LINKS)}, read("gone"))
+    """The delta, once its envelope is valid and each table is what the envelope says."""
+    at = f"{path}/from={start}/to={end}"
+    text = store.get(spark, f"{at}/envelope")
+    if text is None:
+        raise Refused(f"no delta leads from {start} to {end}")
+    try:
+        envelope = validate(json.loads(text), start, end)
+    except json.JSONDecodeError as e:
+        raise Refused(f"the envelope isn't JSON: {e}") from None
+    out = {}
+    for name, told in envelope["tables"].items():
+        found = spark.read.parquet(f"{at}/{name}")
+        if [f"{c} {t}" for c, t in found.dtypes] != [f"{c} {t}" for c, t in spark.createDataFrame([], shape(name)).dtypes]:
+            raise Refused(f"{name} has columns too many, too few or of another type")
+        if found.count() != told["rows"] or fingerprint(found) != told["digest"]:
+            raise Refused(f"{name} isn't what the envelope says")
+        out[name] = found
+    return Delta(start, end, {n: out[n] for n in LOOKUPS}, {n: out[n] for n in ("cve", *LINKS)}, out["gone"], {"generated": envelope["generated"]})
+
+
+# --- publishing, once ---------------------------------------------------------------------------------
+
+
+def begin(spark: SparkSession, path: str, start: int, end: int, generated: int, floors: dict[str, int], changes: DataFrame) -> dict:
+    """Pin what a run is about to publish, before it publishes anything; a run that is pinned already must be finished first."""
+    if store.exists(spark, f"{path}/pending"):
+        raise Refused("a run is pending: resume it first")
+    at = f"{path}/changes-{uuid.uuid4().hex}"
+    changes.write.parquet(at)
+    pending = {"from": start, "to": end, "generated": generated, "floors": floors, "changes": at}
+    store.put(spark, f"{path}/pending", json.dumps(pending))
+    return pending
+
+
+def resume(spark: SparkSession, path: str, before: Corpus, after: Corpus, deltas: str) -> int | None:
+    """Finish the pending run from its pin: the delta unless it is out already, then the revision, then the pin goes.  None if nothing is pending.
+
+    Run again after a crash at any point, it publishes the same delta, as the pin holds all that decides it."""
+    text = store.get(spark, f"{path}/pending")
+    if text is None:
+        return None
+    pin = json.loads(text)
+    start, end = pin["from"], pin["to"]
+    if not store.exists(spark, f"{deltas}/from={start}/to={end}/envelope"):
+        delta = extract(before, after, spark.read.parquet(pin["changes"]), start, end, pin["floors"])
+        write_delta(Delta(delta.start, delta.end, delta.lookups, delta.tables, delta.gone, {"generated": pin["generated"]}), deltas)
+    if not store.exists(spark, f"{path}/current") or current(spark, path) < end:
+        save(after, path, end)
+    store.delete(spark, f"{path}/pending")
+    store.delete(spark, pin["changes"])
+    return end
+
+
+# --- lineage of ids -------------------------------------------------------------------------------------
+
+
+def ledger(spark: SparkSession, path: str) -> dict:
+    """What was published: the id space's token, and by revision the fingerprint of its ids."""
+    return json.loads(store.get(spark, f"{path}/ledger") or '{"token": null, "space": {}}')
+
+
+def record(spark: SparkSession, path: str, token: str, rev: int, prints: dict[str, str]) -> None:
+    held = ledger(spark, path)
+    if held["space"].get(str(rev), prints) != prints:
+        raise Refused(f"revision {rev} is recorded with other ids")
+    store.put(spark, f"{path}/ledger", json.dumps({"token": token, "space": held["space"] | {str(rev): prints}}))
+
+
+def check_lineage(held: dict, token: str | None, published: bool, seed_rev: int | None = None, seed: dict[str, str] | None = None, adopt: bool = False) -> None:
+    """Refuse a corpus whose ids aren't those that the copies out there have.
+
+    ``published``: whether anything is published; ``seed``: fingerprints of the corpus it was built from."""
+    if not token:
+        raise Refused("the corpus doesn't tell its id space")
+    if held["token"] and held["token"] != token:
+        raise Refused(f"the ids are of space {token}, those published of {held['token']}")
+    if not held["token"] and published and not adopt:
+        raise Refused("what is published doesn't tell its id space: adopt this one expressly")
+    if seed_rev is None or seed is None:
+        return
+    at = held["space"].get(str(seed_rev))
+    if at is None and held["space"]:
+        raise Refused(f"nothing is recorded of the ids of revision {seed_rev}")
+    if at is not None and at != seed:
+        raise Refused(f"the corpus continues another revision {seed_rev} than the one published")
 
 
 def sync(spark: SparkSession, copy: str, deltas: str, edges: list[tuple[int, int]], head: int) -> list[int]:
@@ -249,7 +416,29 @@ def retained(revisions: list[int], keep: int, protected: int | None = None) -> l
     return sorted({*sorted(revisions)[-keep:], *([protected] if protected in revisions else [])})
 
 
+def rotation(snapshots: list[int], deltas: list[tuple[int, int]], generations: int = 2, protected: int | None = None) -> tuple[list[int], list[tuple[int, int]], int]:
+    """Snapshots and deltas to keep, and the floor: the oldest revision that is still served.
+
+    Deltas that begin below the floor serve no copy any more; one from the floor on stays even if a snapshot overtakes it."""
+    kept = retained(snapshots, generations, protected)
+    floor = min(kept, default=0)
+    return kept, sorted(e for e in deltas if e[0] >= floor), floor
+
+
 def promotable(corpus: Corpus, rev: int, head: int, notice: str) -> list[str]:
     """Why a staged copy may not become current; nothing if it may."""
-    missing = [f.name for f in fields(Corpus) if f.name != "kev" and getattr(corpus, f.name) is None]
-    return [*(f"table {n} is missing" for n in missing), *(["no notice"] * (not notice.strip())), *(["revision beyond the head"] * (rev > head or rev < 1)), *(["no record"] * (not missing and corpus.cve.limit(1).count() == 0))]
+    missing = [f.name for f in fields(Corpus) if f.name not in ("kev", "postings") and getattr(corpus, f.name) is None]
+    unlike = []
+    for name in SCHEMAS:
+        df = None if name in missing else getattr(corpus, name)
+        if df is not None and df.dtypes != df.sparkSession.createDataFrame([], SCHEMAS[name]).dtypes:
+            unlike.append(f"table {name} has other columns")
+    return [*(f"table {n} is missing" for n in missing), *unlike, *(["no notice"] * (not notice.strip())), *(["revision beyond the head"] * (rev > head or rev < 1)), *(["no record"] * (not missing and not unlike and corpus.cve.limit(1).count() == 0))]
+
+
+def hosted(corpus: Corpus, path: str, rev: int) -> Corpus:
+    """A copy for a server that only reads: all tables, the overlay and the index of the texts, made once and published as one revision."""
+    if corpus.postings is None:
+        corpus = corpus.having(postings=search.postings(corpus.cve_text, "cve_id", list(search.FIELDS)))
+    save(corpus, path, rev)
+    return load(corpus.cve.sparkSession, path, rev)

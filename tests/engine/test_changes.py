@@ -122,6 +122,34 @@ def test_bad_deltas_are_refused(step):
         C.cross_check(records=(1, 2))
 
 
+def test_a_run_that_breaks_off_leaves_the_current_revision(spark, tmp_path, step):
+    one, two, _, delta = step
+    copy, deltas = f"{tmp_path}/copy", f"{tmp_path}/deltas"
+    C.save(one, copy, 1)
+    broken = two.having(host=two.host.selectExpr("raise_error('lost') id", "name"))
+    with pytest.raises(Exception, match="lost"):
+        C.save(broken, copy, 2)
+    assert C.current(spark, copy) == 1 and by_name(C.load(spark, copy)) == by_name(one)
+    assert len(C.tidy(spark, copy)) == 1 and by_name(C.load(spark, copy)) == by_name(one)
+    # A table that isn't what the envelope says is refused before anything is applied.
+    C.write_delta(delta, deltas)
+    with pytest.raises(C.Refused):
+        C.write_delta(delta, deltas)
+    spark.createDataFrame([("CVE-2026-9999",)], "cve_id string").write.mode("append").parquet(f"{deltas}/from=1/to=2/gone")
+    with pytest.raises(C.Refused, match="gone isn't"):
+        C.sync(spark, copy, deltas, [(1, 2)], 2)
+    assert C.current(spark, copy) == 1
+
+
+def test_the_index_follows_a_delta(spark, step):
+    from tessera.operators import search
+
+    one, two, _, delta = step
+    index = lambda c: search.postings(c.cve_text, "cve_id", list(search.FIELDS))
+    after = C.apply(one.having(postings=index(one)), delta)
+    assert search.drift(after.postings, index(after)).count() == 0
+
+
 def test_sync_plans():
     assert C.plan_sync([(1, 2), (2, 3)], 1, 3) == [(1, 2), (2, 3)]
     assert C.plan_sync([(1, 3), (1, 2), (2, 4)], 1, 4) == [(1, 2), (2, 4)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import times
-from tessera.operators import budget, catalog, chart
+from tessera.operators import budget, catalog, chart, search
 from tessera.operators import reports as R
 from tessera.operators.filters import Filters
 from tessera.plans import guard, report, tools
@@ -24,21 +24,45 @@ def one(spark, column, value):
 
 
 def test_text_functions(spark):
-    assert one(spark, T.strip_controls, "a\u0000‮b\nc") == "a b c" and one(spark, T.strip_invisible, "a​b") == "ab"
+    assert one(spark, T.strip_controls, "a\u0000\u202eb\nc\u200e\u061c") == "a b c\u200e\u061c"
+    assert one(spark, T.strip_invisible, "a\u200bb\u2028\u202f\U000e0041c") == "a b   c"
     assert one(spark, T.csv_field, '=1+"x"') == "\"'=1+\"\"x\"\"\"" and one(spark, T.csv_field, None) == '""'
-    assert one(spark, T.sheet_cell, "-5.2") == "-5.2" and one(spark, T.sheet_cell, "-x\ty") == "'-x y"
+    assert one(spark, T.csv_field, "a\r\nb") == '"a b"' and one(spark, T.csv_field, "\u0001=cmd") == '" =cmd"'
+    assert one(spark, T.sheet_cell, "-x\ty") == "'-x y" and one(spark, T.sheet_cell, "-5.2") == "'-5.2"
+    assert one(spark, lambda c: T.sheet_cell(c, True), "-5.2") == "-5.2"
     assert one(spark, T.host, "HTTPS://u@Ex.org:8/p?q") == "u@ex.org:8" and one(spark, T.host, "javascript:x") == ""
     assert one(spark, T.safe_url, "javascript:alert(1)") is None and one(spark, T.safe_url, "http://a/b") == "http://a/b"
     assert one(spark, T.json_list, "[\"a\"]") == ["a"] and one(spark, T.json_list, "{") == []
     assert [tuple(x) for x in one(spark, T.notes, "a; see https://x/y now ;;")] == [("a", None), ("see https://x/y now", "https://x/y")]
     assert one(spark, times.day_seconds, "2024-02-30") is None and one(spark, times.day_seconds, "1969-12-31") == -86_400
     assert one(spark, times.iso_seconds, "2024-01-01T00:00:00Z") == 1_704_067_200 and one(spark, times.iso_seconds, "x") is None
+    slash = chr(92)
+    for text, good in (("plain", True), ("{s}ud83d{s}ude00", True), ("{s}ud83d x", False), ("{s}ude00", False), ("{s}{s}ud83d", True), ("{s}{s}{s}ud83d", False), ("{s}u00e9", True)):
+        assert one(spark, T.storable, text.replace("{s}", slash)) is good, text
+
+
+def test_search_terms():
+    term = search.Term
+    assert search.parse('"a b"* c*') == [term(("a", "b")), term(("c",), True)] and search.parse("!! --") is None
+    assert search.fold("\u00c9l e\u0301t\u00e9 Vi\u1ec7t \u03ac \u010d\u017e") == ["el", "ete", "viet", "\u03b1", "cz"]
+
+
+def test_index_finds_what_the_texts_have(spark, tmp_path):
+    rows = [(1, "The quick brown fox", "on the hill"), (2, "quick, brown foxes e\u0301t\u00e9", None), (3, None, "brown quick"), (4, "the the quick-brown", "x")]
+    table = spark.createDataFrame(rows, "cve_id long, descr string, title string")
+    index = search.keep(search.postings(table, "cve_id", ["descr", "title"]), str(tmp_path / "i"), 3)
+    for text in ("quick", "the hill", '"quick brown"', "quick-brown", "fox*", '"the quick"', '"quick brown fox"', "brown fo*", "ete", "\u00c9T\u00c9", "the-the*", '"hill the"', "nothing", "!!"):
+        want = {r.cve_id for r in search.search(table, text, ["descr", "title"]).collect()}
+        assert {r.doc for r in search.find(index, text).collect()} == want, text
+    plan = index.filter("term = 'quick'")._jdf.queryExecution().toString()
+    assert "EqualTo(term,quick)" in plan
 
 
 def test_driver_functions():
     assert times.lenient_day("2025-02", True) == dt.date(2025, 2, 28) and times.lenient_day("20250304") == dt.date(2025, 3, 4) and times.lenient_day("2025-13") is None
     assert times.span(dt.date(2024, 1, 1), dt.date(2024, 1, 8), "week") == 2 and times.coarsen(dt.date(2000, 1, 1), dt.date(2024, 1, 1), "week", 300) == "month"
-    assert times.years_back(dt.date(2024, 2, 29), 1) == dt.date(2023, 2, 27) and times.age_phrase(90_000) == "1 day ago" and times.is_stale(3 * 86_400)
+    assert times.years_back(dt.date(2024, 2, 29), 1) == dt.date(2023, 2, 27) and times.age_phrase(90_000) == "1 day old" and times.is_stale(3 * 86_400)
+    assert times.freshness(100, 50)["age"] == 0 and not times.freshness(1, 5 * 86_400, times.KEV_STALE)["stale"] and times.freshness(None, 1) is None
     assert T.short_count(1_234_000) == "1.2M" and T.nice_ticks(7)[-1] >= 7 and T.slug("A b/c!") == "a-b-c" and T.inline("a = ? and b = '?'", ["o'x"]) == "a = 'o''x' and b = '?'"
 
 
@@ -63,9 +87,18 @@ def test_guard(spark, corpus):
     assert guard.run(spark, corpus, "SELECT id FROM cve", rows=2).truncated
     big = guard.run(spark, corpus, "SELECT repeat('x', 100) FROM cve", chars=150)
     assert len(big.rows) == 1 and big.overflowed
+    assert guard.run(spark, corpus, "SELECT x FROM (SELECT array(1, 2) a) LATERAL VIEW explode(a) t AS x").rows == [(1,), (2,)]
+    assert guard.run(spark, corpus, "SELECT x FROM cve LATERAL VIEW OUTER posexplode(array(id)) t AS p, x WHERE x = 3").rows == [(3,)]
+    assert guard.run(spark, corpus, "SELECT a.id, b.id FROM cve a JOIN cve b ON a.id = b.id ORDER BY a.id").rows[0] == (1, 1)
+    wide = guard.run(spark, corpus, "SELECT collect_list(descr) l, map('a', 'b') m, named_struct('x', 1) s, encode('abc', 'UTF-8') b FROM cve_text", cell=40)
+    assert [len(x) for x in wide.rows[0]] == [40, 9, 7, 6]
+    some = guard.run(spark, corpus, "SELECT repeat('x', 100) t FROM cve ORDER BY id", chars=250)
+    assert len(some.rows) == 2 and some.truncated and some.overflowed
     for bad in (
         "DROP TABLE cve", "INSERT INTO cve SELECT * FROM cve", "SELECT * FROM text.`/etc/hostname`", "SELECT java_method('java.lang.System', 'nanoTime')", "SELECT (SELECT reflect('java.lang.System', 'nanoTime'))",
         "SET a=b", "CREATE TEMP VIEW v AS SELECT 1", "EXPLAIN SELECT 1", "SHOW TABLES", "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM cve WHERE EXISTS (SELECT 1 FROM secret)", "CACHE TABLE cve", "WITH t AS (SELECT * FROM secret) SELECT 1 FROM t",
+        "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.dir')", "SELECT * FROM IDENTIFIER('cve')", "SELECT try_reflect('java.lang.System', 'nanoTime')", "SELECT input_file_name() FROM cve", "SELECT raise_error('x')", "SELECT * FROM sql_keywords()",
+        "SELECT * FROM read_files('/etc')", "SELECT system.builtin.java_method('java.lang.System', 'nanoTime')", "SELECT current_user()", "SELECT x FROM (SELECT 1 a) LATERAL VIEW reflect('a', 'b') t AS x", "EXECUTE IMMEDIATE 'SELECT 1'", "BEGIN SELECT 1; END", "TABLE secret", "SELECT nope(1)",
     ):
         with pytest.raises(guard.Denied):
             guard.run(spark, corpus, bad)
