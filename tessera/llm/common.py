@@ -220,6 +220,11 @@ def large(x: np.ndarray) -> np.ndarray:
     return lanes_of(x).reshape(-1)
 
 
+def shard_of(route: np.ndarray, shards: int) -> np.ndarray:
+    """The shard that ``split_by`` of the mixed ``route`` puts each entry in."""
+    return (mix(route) % np.uint64(shards)).astype("<u4")
+
+
 def runs(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run-length coding: the value of each run of equal values, and its length."""
     if not len(doc):

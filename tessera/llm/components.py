@@ -13,30 +13,39 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return common.cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    least = common.cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+    out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return _then(out.distinct(), "large", least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = common.cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     again = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return again.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return _then(again.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small", least)
+
+
+def _then(out: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """Written, and with it what only this step has read deleted."""
+    out = common.cut(out, name)
+    for df in used:
+        common.drop_cut(df)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v long.  One row (vertex, root) for each vertex but the roots; a root is the least vertex of its component."""
+    """edges: u, v long.  One row (vertex, root) for each vertex but the roots; a root is the least vertex of its component.
+
+    Repeated edges, edges to oneself and either direction are one; no edges, no rows."""
     edges = common.cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
-        large = common.cut(_large_star(edges).distinct(), "large")
-        edges = common.cut(_small_star(large), "small")
+        large = _large_star(edges)
+        common.drop_cut(edges)
+        edges = _small_star(large)
+        common.drop_cut(large)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == tuple(now):
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))

@@ -44,7 +44,6 @@ KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 WORD = np.uint64(1) << np.uint64(39)  # names of words lie from here on, others below
 LONGEST = 254  # of a run; longer ones are cut
 LOT = 1 << 18  # windows that are compared at a time
-_ENTRY = np.dtype([("first", "<u4"), ("windows", "<u4"), ("entry", "<u4"), ("least", "u1")])
 
 
 class Symbols:
@@ -243,11 +242,10 @@ def _show(window: int, shards: int, rounds: int):
         np.minimum.at(least, entry, doc)
         head = np.zeros(len(known), np.int64)
         head[entry] = np.arange(len(entry))
-        state = np.zeros(len(entry), _ENTRY)
-        state["first"], state["windows"], state["entry"], state["least"] = first, many, entry, doc == least[entry]
         dealt = blocks.deal(b.number, key[head], shards, _SHOWN, list(known), least, np.zeros(len(known), np.uint8))
         # The state goes with the entries to a shard that sends it back as it is.
-        own = pa.table([[b.number % shards] * 2, [b.number] * 2, [0, -1], [b""] * 2, [b""] * 2, [state.tobytes(), key[head].astype("<u8").tobytes()]], schema=dealt.schema)
+        state = _state(first, many, entry, doc == least[entry]), blocks.pack(common.shard_of(key[head], shards))
+        own = pa.table([[b.number % shards] * 2, [b.number] * 2, [0, -1], [b""] * 2, [b""] * 2, list(state)], schema=dealt.schema)
         return pa.concat_tables([dealt, own])
 
     return run
@@ -264,6 +262,19 @@ def _split(b: Block, hot: np.ndarray):
 STATE, ROUTE = -1, -2  # instead of a shard
 
 
+def _state(first: np.ndarray, many: np.ndarray, entry: np.ndarray, least: np.ndarray) -> bytes:
+    """Runs of windows: first window and how many, which entry they are, and whether their document is the entry's least one.  Differences are small numbers, which compress."""
+    step = lambda x: np.diff(x.astype("<u4"), prepend=np.uint32(0))
+    return b"".join([*map(blocks.pack, (step(first), many.astype("<u4"), step(entry))), least.astype("u1").tobytes()])
+
+
+def _runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 13
+    first, many, entry = (blocks.unpack(raw[4 * n * k : 4 * n * (k + 1)], n, "<u4") for k in range(3))
+    whole = lambda x: np.cumsum(x, dtype=np.uint32).astype(np.int64)
+    return whole(first), many.astype(np.int64), whole(entry), np.frombuffer(raw, np.uint8, n, 12 * n)
+
+
 def _covered(window: int):
     """Answers a bit for each window shown: whether a document before the block's first with it has it."""
 
@@ -328,10 +339,12 @@ def _gone(answers: list[dict], shards: int):
     own = {a["shard"]: a["answer"] for a in answers if a["shard"] < 0}
     if not own:
         return
-    route, state = np.frombuffer(own[ROUTE], "<u8"), np.frombuffer(own[STATE], _ENTRY)
-    many = np.zeros(len(route), np.int64)
-    many[state["entry"]] = state["windows"]
-    order, bounds = common.split_by(common.mix(route), shards)
+    first, windows, of, least = _runs(own[STATE])
+    shard = blocks.unpack(own[ROUTE], len(own[ROUTE]) // 4, "<u4")
+    many = np.zeros(len(shard), np.int64)
+    many[of] = windows
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     bits = np.zeros(int(many.sum()), bool)
     begin = np.cumsum(many) - many
     for a in answers:
@@ -340,13 +353,13 @@ def _gone(answers: list[dict], shards: int):
             n = many[entry]
             where = np.repeat(begin[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             bits[where] = np.unpackbits(np.frombuffer(a["answer"], np.uint8), count=len(where)).astype(bool)
-    for lo in range(0, len(state), LOT):
-        part = state[lo : lo + LOT]
-        n = part["windows"].astype(np.int64)
+    for lo in range(0, len(first), LOT):
+        part = slice(lo, lo + LOT)
+        n = windows[part]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         # The block's first document with these words loses what came before it, the others lose all.
-        gone = np.repeat(part["least"] == 0, n) | bits[np.repeat(begin[part["entry"]], n) + step]
-        yield (np.repeat(part["first"].astype(np.int64), n) + step)[gone]
+        gone = np.repeat(least[part] == 0, n) | bits[np.repeat(begin[of[part]], n) + step]
+        yield (np.repeat(first[part], n) + step)[gone]
 
 
 def remove(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS, hot: int = HOT) -> DataFrame:
