@@ -361,3 +361,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_lines": query}
+ORACLES = {
+    "op3_lines": r"""WITH l AS (SELECT doc_id, unnest(t) line, generate_subscripts(t, 1) i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) t FROM documents)),
+k AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS place, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) s FROM l),
+f AS (SELECT *, row_number() OVER (ORDER BY first) id FROM (SELECT s, len(s) n, min(place) first FROM k WHERE len(s) > 0 GROUP BY s)),
+w AS (SELECT id, n, unnest(s) word FROM f),
+d AS (SELECT word, count(*) df FROM w GROUP BY 1),
+r AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY df, word) rank FROM w JOIN d USING (word)),
+p AS (SELECT id, n, word FROM r WHERE rank <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.id x, b.id y FROM p a JOIN p b ON b.word = a.word AND b.id < a.id WHERE a.n >= 0.8 * b.n - 1e-9 AND b.n >= 0.8 * a.n - 1e-9),
+v AS (SELECT x, y FROM c JOIN w a ON a.id = x JOIN w b ON b.id = y AND b.word = a.word GROUP BY x, y, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+-- Sets are numbered by their first line, so a lesser number is an earlier line.
+e AS (SELECT f.s, f.first, count(y) > 0 late FROM f LEFT JOIN v ON x = id GROUP BY ALL),
+g AS (SELECT doc_id, i, line, coalesce(late OR first < place, false) gone FROM k LEFT JOIN e ON e.s = k.s)
+SELECT doc_id, count(*) n_lines, sum(gone::INT)::BIGINT n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) kept_sha256 FROM g GROUP BY 1"""
+}
