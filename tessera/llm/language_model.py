@@ -16,7 +16,8 @@ may follow a context come to one at most, but for chance in which pairs are take
 The filter grows with the corpus.  It is cut by key into segments; as many segments as fit into
 ROUND_BYTES are broadcast at a time.  Further segments take further rounds, each of which writes
 its parts of the sums to the shared folder before its broadcast is destroyed, so neither the driver
-nor a worker holds more than a round.
+nor a worker holds more than a round.  Rounds read documents with the counts of their tokens from a
+table, so a round costs another pass over the texts but no shuffle of them.
 
 Defined cases: a null text is empty, so it is the end token alone; a null doc_id is not held out;
 repeated rows count as often as they occur; without training tokens the base score is zero; an
@@ -42,6 +43,7 @@ PROBES, BITS = 9, 14
 BLOCK_BYTES = 4_000_000
 #: The most that is broadcast at a time.
 ROUND_BYTES = 64_000_000
+CHUNK = 1_500_000  # bytes of text that are scored at a time
 END = np.uint64(0x5EED5EED5EED5EED)
 
 COUNTED = "block int, shard int, answer binary, tokens long, types long"
@@ -54,22 +56,30 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_FOLD
 
 
-class Block:
-    def __init__(self, docs: pa.Table):
-        self.ids, texts, _ = blocks.in_order(docs)
-        self.ids = [None if d == blocks.NULL_ID else d for d in self.ids]
-        self.held = np.array([is_held_out(d) for d in self.ids], bool)
+class Tokens:
+    """The tokens of texts, one text after another, each ended by END, and what stands before each."""
+
+    def __init__(self, texts: list[bytes]):
         words, counts = common.word_hashes(texts, lower=True)
         self.sizes = counts + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.words = np.insert(words, np.cumsum(counts), END)
         self.before = np.r_[END, self.words[:-1]]  # texts end with END
-        self.trains = np.repeat(~self.held, self.sizes)
 
     def pairs(self) -> np.ndarray:
         return common.combine(self.before, self.words, 17) >> np.uint64(16)
 
 
+class Block(Tokens):
+    def __init__(self, docs: pa.Table):
+        ids, self.texts, _ = blocks.in_order(docs)
+        self.number = docs.column("block")[0].as_py()
+        self.ids = [None if d == blocks.NULL_ID else d for d in ids]
+        self.held = np.array([is_held_out(d) for d in self.ids], bool)
+        super().__init__(self.texts)
+        self.trains = np.repeat(~self.held, self.sizes)
+
+
 _DEALT = ("keys", "counts")
 
 
@@ -78,7 +88,7 @@ def _deal(shards: int):
 
     def run(docs: pa.Table) -> pa.Table:
         b = Block(docs)
-        number = docs.column("block")[0].as_py()
+        number = b.number
         words, at = np.unique(b.words, return_inverse=True)
         counts = np.bincount(at, b.trains, len(words)).astype("<u8")
         pairs, many = np.unique(b.pairs()[b.trains], return_counts=True)
@@ -179,23 +189,46 @@ def parts_of(seen: np.ndarray, p: np.ndarray, context: np.ndarray, noise: float)
     return np.log10(smooth / (context + MASS + noise)), np.log10((seen + smooth) / smooth)
 
 
-def _score(filters, shards: int, tokens: int, types: int, noise: float, first: bool):
+PREPARED = "block int, row int, doc_id long, held_out boolean, text binary, counts binary"
+
+
+def _prepare(shards: int):
+    """Each document with how often each of its tokens is trained on: all that a round needs of it."""
+
     def run(docs: pa.Table, found: dict) -> pa.Table:
-        b, f, number = Block(docs), Filter(*filters.value, shards), docs.column("block")[0].as_py()
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        b = Block(docs)
         words, at = np.unique(b.words, return_inverse=True)
-        counts = blocks.read(found["words"], words, shards, np.dtype("<u8")).astype(np.float64)
-        mine = counts[at]
-        context = np.r_[counts[np.searchsorted(words, END)], mine[:-1]]
-        p = (mine + 1) / (tokens + types + 1)
-        pairs, which = np.unique(b.pairs(), return_inverse=True)
-        seen = np.minimum(count_of(f.levels(pairs))[which], np.minimum(context, mine))
-        unseen, more = parts_of(seen, p, context, noise)
-        part = more + unseen if first else more
-        total = lambda x: np.add.reduceat(x, b.starts)
-        zero = np.zeros(len(b.ids))
-        columns = [np.full(len(b.ids), number), np.arange(len(b.ids)), b.ids, b.held, b.sizes, total((mine > 0).astype(np.int64)), total(np.log10(p)) if first else zero, total(part)]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), columns, kinds, strict=True)})
+        mine = blocks.read(found["words"], words, shards, np.dtype("<u8"))[at]
+        counts = [compress(blocks.pack(mine[lo : lo + n])) for lo, n in zip(b.starts.tolist(), b.sizes.tolist(), strict=True)]
+        columns = [np.full(len(b.ids), b.number), np.arange(len(b.ids)), b.ids, b.held, list(map(compress, b.texts)), counts]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "row", "doc_id", "held_out", "text", "counts"), columns, kinds, strict=True)})
+
+    return run
+
+
+def _score(filters, shards: int, tokens: int, types: int, noise: float, first: bool):
+    def run(batches):
+        f = Filter(*filters.value, shards)
+        for whole in batches:
+            texts, counts = common.unpacked(whole.column("text")), common.unpacked(whole.column("counts"))
+            for a, z in blocks.chunks(texts, CHUNK):
+                t, batch = Tokens(texts[a:z]), whole.slice(a, z - a)
+                mine = np.concatenate([blocks.unpack(c, n, "<u8") for c, n in zip(counts[a:z], t.sizes.tolist(), strict=True)]).astype(np.float64)
+                context = np.r_[mine[-1], mine[:-1]]  # a text ends with END, which is what the first token follows
+                p = (mine + 1) / (tokens + types + 1)
+                pairs, which = np.unique(t.pairs(), return_inverse=True)
+                seen = np.minimum(count_of(f.levels(pairs))[which], np.minimum(context, mine))
+                unseen, more = parts_of(seen, p, context, noise)
+                total = lambda x, starts=t.starts: np.add.reduceat(x, starts)
+                zero = np.zeros(z - a)
+                columns = [t.sizes, total((mine > 0).astype(np.int64)), total(np.log10(p)) if first else zero, total(more + unseen if first else more)]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                keep = ["block", "row", "doc_id", "held_out"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*keep, "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -220,6 +253,8 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = RO
         rounds[-1].append(s)
         size += n
     answers = counted.filter("block >= 0").select("block", "shard", "answer")
+    # The rounds read this, without another shuffle.
+    prepared = common.cut(blocks.together(texts, shards, {"words": answers}, _prepare(shards), PREPARED), "prepared")
     parts = []
     for k, held in enumerate(rounds):
         sizes_of, raw = [], bytearray()
@@ -229,7 +264,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, round_bytes: int = RO
                 raw += r["answer"]
         shared = spark.sparkContext.broadcast((sizes_of, bytes(raw)))
         del raw
-        part = blocks.together(texts, shards, {"words": answers}, _score(shared, shards, total["n"], total["v"], noise, k == 0), PART)
+        part = prepared.mapInArrow(_score(shared, shards, total["n"], total["v"], noise, k == 0), PART)
         if len(rounds) > 1:  # a round at a time
             part = common.cut(part, "scores")
             shared.destroy()
