@@ -90,36 +90,55 @@ def views(spark: SparkSession, sf_dir: str) -> Corpus:
     items, part, supplier = (lambda: t("lineitem")), (lambda: t("part")), (lambda: t("supplier"))
     order, brand = F.col("l_orderkey").alias("cve_id"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
     kev_key = F.col("o_orderkey")
+    text = lambda: t("documents").select(
+        F.col("doc_id").alias("cve_id"),
+        F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("descr"),
+        F.col("source").alias("title"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reason"),
+    )
+    status = F.min(F.expr("case l_returnflag when 'A' then 1 when 'R' then 3 end")).cast("int").alias("default_status")
+    versions = lambda: items().select(
+        order,
+        F.col("l_partkey").alias("product_id"),
+        F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("status"),
+        F.col("l_linenumber").cast("string").alias("version"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date").cast("string")).alias("lt"),
+        F.lit(None).cast("string").alias("lte"),
+        (F.col("l_linenumber") % 3).cast("long").alias("vtype"),
+    )
+    weaknesses = lambda: supplier().select((F.col("s_suppkey") % 20).alias("id")).distinct()
+    named = lambda df, prefix, name: df.withColumn(name, F.concat(F.lit(prefix), F.col("id").cast("string")))
+    overlay = lambda: t("orders").filter(kev_key % 7 == 0).select(
+        F.concat(F.lit("CVE-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(kev_key.cast("string"), 7, "0")).alias("cve"),
+        F.when(kev_key % 35 != 0, kev_key).alias("cve_id"),
+        F.lit("v").alias("vendor"),
+        F.lit("p").alias("product"),
+        F.concat(F.lit("n"), kev_key.cast("string")).alias("name"),
+        F.lit("d").alias("descr"),
+        F.lit("patch").alias("action"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 10), "yyyy-MM-dd").alias("added"),
+        (at + 10 * 86_400).alias("added_at"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 31), "yyyy-MM-dd").alias("due"),
+        (at + 31 * 86_400).alias("due_at"),
+        F.expr("case o_orderkey % 3 when 0 then 1 when 1 then 0 end").cast("int").alias("ransomware"),
+        F.lit("note; https://example.org/n").alias("notes"),
+        F.array(F.lit("CWE-1")).alias("cwes"),
+    )
     return Corpus(
         cve=lambda: cve(),
-        cve_text=lambda: t("documents").select(F.col("doc_id").alias("cve_id"), F.when(F.col("doc_id") % 23 != 0, F.col("text")).alias("descr"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reason")),
+        cve_text=lambda: text(),
         cve_cwe=lambda: items().select(order, (F.col("l_suppkey") % 20).alias("cwe_id")).distinct(),
         cve_ref=lambda: items().select(order, F.col("l_suppkey").alias("url_id")).distinct(),
-        cve_prod=lambda: items().groupBy(order, F.col("l_partkey").alias("product_id")).agg(F.min(F.expr("case l_returnflag when 'A' then 1 when 'R' then 3 end")).cast("int").alias("default_status")),
-        cve_ver=lambda: items().select(order, F.col("l_partkey").alias("product_id"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("status"), F.col("l_linenumber").cast("string").alias("version"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_shipdate").cast("date").cast("string")).alias("lt"), F.lit(None).cast("string").alias("lte"), (F.col("l_linenumber") % 3).cast("long").alias("vtype")),
+        cve_prod=lambda: items().groupBy(order, F.col("l_partkey").alias("product_id")).agg(status),
+        cve_ver=lambda: versions(),
         cna=lambda: t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
-        cwe=lambda: supplier().select((F.col("s_suppkey") % 20).alias("id")).distinct().select("id", F.concat(F.lit("CWE-"), F.col("id").cast("string")).alias("cwe"), F.concat(F.lit("Weakness "), F.col("id").cast("string")).alias("descr")),
+        cwe=lambda: named(named(weaknesses(), "CWE-", "cwe"), "Weakness ", "descr"),
         vendor=lambda: part().select(brand.alias("id"), F.col("p_brand").alias("name")).distinct(),
         product=lambda: part().select(F.col("p_partkey").alias("id"), brand.alias("vendor_id"), F.col("p_name").alias("name")),
         host=lambda: t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")),
-        url=lambda: supplier().select(F.col("s_suppkey").alias("id"), F.concat(F.lit("https://example.org/"), F.col("s_suppkey").cast("string")).alias("url"), F.col("s_nationkey").cast("long").alias("host_id")),
+        url=lambda: named(supplier().select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("host_id")), "https://example.org/", "url").select("id", "url", "host_id"),
         vtype=lambda: spark.sql("SELECT * FROM VALUES (0L, 'semver'), (1L, 'custom'), (2L, 'git') AS t(id, name)"),
-        kev=lambda: t("orders").filter(kev_key % 7 == 0).select(
-            F.concat(F.lit("CVE-"), F.date_format("o_orderdate", "yyyy"), F.lit("-"), F.lpad(kev_key.cast("string"), 7, "0")).alias("cve"),
-            F.when(kev_key % 35 != 0, kev_key).alias("cve_id"),
-            F.lit("v").alias("vendor"),
-            F.lit("p").alias("product"),
-            F.concat(F.lit("n"), kev_key.cast("string")).alias("name"),
-            F.lit("d").alias("descr"),
-            F.lit("patch").alias("action"),
-            F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 10), "yyyy-MM-dd").alias("added"),
-            (at + 10 * 86_400).alias("added_at"),
-            F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 31), "yyyy-MM-dd").alias("due"),
-            (at + 31 * 86_400).alias("due_at"),
-            F.expr("case o_orderkey % 3 when 0 then 1 when 1 then 0 end").cast("int").alias("ransomware"),
-            F.lit("note; https://example.org/n").alias("notes"),
-            F.array(F.lit("CWE-1")).alias("cwes"),
-        ),
+        kev=lambda: overlay(),
     )
 
 
