@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..model import CVSS_VERSIONS, LISTED, NOT_LISTED, RANSOMWARE_KNOWN, RANSOMWARE_NOT_LISTED, RANSOMWARE_UNKNOWN, Corpus
+from ..model import CVSS_VERSIONS, LISTED, NOT_LISTED, RANSOMWARE_KNOWN, RANSOMWARE_NOT_LISTED, RANSOMWARE_UNKNOWN, SEVERITIES, Corpus
 
 TIME, CODE, FIXED, IDENTITY = "time", "code", "fixed", "identity"
 
 
 @dataclass(frozen=True)
 class Dim:
-    """join: the link or overlay that the key comes from; names: bucket and label of each identity; listed: whether a bucket without a name is left out."""
+    """join: the link or overlay that the key comes from; names: bucket and label of each identity; listed: whether a bucket without a name is left out.
+
+    most: how many buckets there can be by the codes of the data model, absence included; an axis that may show so many needs no narrowing."""
 
     name: str
     kind: str
@@ -25,6 +27,7 @@ class Dim:
     join: str | None = None
     names: Callable[[Corpus], DataFrame] | None = None
     listed: bool = True
+    most: int | None = None
 
     @property
     def multiplies(self) -> bool:
@@ -75,14 +78,14 @@ DIMS = {
         Dim("quarter", TIME, times.quarter_of),
         Dim("month", TIME, times.month_of),
         Dim("week", TIME, times.week_of),
-        Dim("severity", CODE, lambda: F.col("cvss_sev")),
-        Dim("cvssVersion", FIXED, lambda: F.col("cvss_ver"), order=_version_order),
-        Dim("ssvcExpl", FIXED, lambda: F.col("ssvc_expl"), order=_absent_last),
-        Dim("ssvcAuto", FIXED, lambda: F.col("ssvc_auto"), order=_absent_last),
-        Dim("ssvcImpact", FIXED, lambda: F.col("ssvc_impact"), order=_absent_last),
-        Dim("kev", FIXED, _member, order=lambda key: 1 - key, join="kev"),
-        Dim("kevRansomware", FIXED, _ransomware, order=_ransomware_order, join="kev"),
-        Dim("state", CODE, lambda: F.col("state")),
+        Dim("severity", CODE, lambda: F.col("cvss_sev"), most=len(SEVERITIES) + 1),
+        Dim("cvssVersion", FIXED, lambda: F.col("cvss_ver"), order=_version_order, most=len(CVSS_VERSIONS) + 1),
+        Dim("ssvcExpl", FIXED, lambda: F.col("ssvc_expl"), order=_absent_last, most=4),
+        Dim("ssvcAuto", FIXED, lambda: F.col("ssvc_auto"), order=_absent_last, most=3),
+        Dim("ssvcImpact", FIXED, lambda: F.col("ssvc_impact"), order=_absent_last, most=3),
+        Dim("kev", FIXED, _member, order=lambda key: 1 - key, join="kev", most=2),
+        Dim("kevRansomware", FIXED, _ransomware, order=_ransomware_order, join="kev", most=4),
+        Dim("state", CODE, lambda: F.col("state"), most=2),
         Dim("cna", IDENTITY, lambda: F.col("cna_id"), names=_names("cna"), listed=False),
         Dim("vendor", IDENTITY, lambda: F.col("vendor_id"), join="vendor", names=_names("vendor")),
         Dim("product", IDENTITY, lambda: F.col("product_id"), join="product", names=_products),

@@ -141,16 +141,19 @@ def cross(corpus: Corpus, filters: Filters, by: str, series: str | None, rows=No
     cap = min(n * m, CELLS)
     records = matching(corpus, filters)
     axes = {"bucket": a, "series": b}
-    alone = lambda name, d: D.placed(corpus, records, {name: d}).groupBy(name).agg(D.counted([d]))
+    # Code axes that may show all their codes aren't narrowed.
+    narrow = {name: k for name, d, k in (("bucket", a, n), ("series", b, m)) if d.most is None or d.most > k}
+    alone = lambda name: D.placed(corpus, records, {name: axes[name]}).groupBy(name).agg(D.counted([axes[name]]))
     if a.multiplies and b.multiplies:
-        tops = {"bucket": _top(corpus, alone("bucket", a), a, "bucket", n), "series": _top(corpus, alone("series", b), b, "series", m)}
+        tops = {name: _top(corpus, alone(name), axes[name], name, k) for name, k in narrow.items()}
         cells = D.placed(corpus, records, axes, tops).groupBy("bucket", "series").agg(D.counted([a, b]))
     else:
-        every = D.placed(corpus, records, axes).groupBy("bucket", "series").agg(D.counted([a, b]))
-        summed = lambda name: every.groupBy(name).agg(F.sum("cves").alias("cves"))
-        # An axis whose buckets all records have is counted by itself if the other one's links leave records out.
-        tops = {"bucket": _top(corpus, alone("bucket", a) if b.multiplies else summed("bucket"), a, "bucket", n), "series": _top(corpus, alone("series", b) if a.multiplies else summed("series"), b, "series", m)}
-        cells = D.narrowed(D.narrowed(every, "bucket", tops["bucket"]), "series", tops["series"].select(F.col("top")))
+        cells = every = D.placed(corpus, records, axes).groupBy("bucket", "series").agg(D.counted([a, b]))
+        for name, k in narrow.items():
+            # An axis whose buckets all records have is counted by itself if the other one's links leave records out.
+            other = b if name == "bucket" else a
+            counts = alone(name) if other.multiplies else every.groupBy(name).agg(F.sum("cves").alias("cves"))
+            cells = D.narrowed(cells, name, _top(corpus, counts, axes[name], name, k))
     if a.kind == D.IDENTITY:
         cells = cells.withColumn("total", F.sum("cves").over(Window.partitionBy("bucket")))
         order = [F.desc("total"), F.asc_nulls_first("bucket")]
