@@ -191,6 +191,8 @@ def training_rows(docs: DataFrame, per_label: int = PER_LABEL, rows: int = ROWS)
     part = F.abs(F.col("h") % 1_000_003) / 1_000_003
     least = known.select("lang", "h").filter(part <= F.element_at(share, F.col("lang"))).distinct()
     chosen = least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(part, "h"))).filter(F.col("k") <= each).select("lang", "h")
+    if len(distinct) <= rows:  # then these are at most ``rows`` rows, which go to the texts; beyond, Spark decides
+        chosen = F.broadcast(chosen)
     size, many = PIECE, SPANS
     spans = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.substr(F.col("text"), (1 + F.floor(i * (F.length("text") - size) / (many - 1))).cast("int"), F.lit(size))))
     text = F.when(F.length("text") > size * many, spans).otherwise(F.col("text"))
