@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import delete, shared_dir
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bytes of text that one block of documents holds on average, and the rows that Arrow sends at once.
@@ -40,16 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below the one that driver and executors share; a temporary one only in local mode, where there is one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
-    return f"{at.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -62,17 +53,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the table that ``cut`` wrote, once nothing will read it any more."""
-    _delete(df.sparkSession, df.cut_at)
+    delete(df.sparkSession, df.cut_at)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all that this application has cut; results that read it can't be computed any more."""
-    _delete(spark, shared_dir(spark))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    delete(spark, shared_dir(spark))
 
 
 def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -> int:
