@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, substrings, warc
+from . import chat, decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, spelling, substrings, warc, whitening
 
-MODULES = (decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, substrings, warc)
+MODULES = (decontaminate, fingerprint, langid, language_model, lines, packing, repeats, simhash, substrings, warc, spelling, whitening, chat)
 
 
 def queries() -> dict:
