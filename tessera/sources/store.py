@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,6 +49,22 @@ def put(spark: SparkSession, path: str, text: str) -> None:
     context.rename(beside, at, options)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that isn't there yet, whole or not at all; False if another writer was first."""
+    at, fs = path_of(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    put(spark, beside, text)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at, spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError:
+        delete(spark, beside)
+        if fs.exists(at):
+            return False
+        raise
+    return True
+
+
 def get(spark: SparkSession, path: str) -> str | None:
     """The text of a small file; None if there is none."""
     at, fs = path_of(spark, path)
