@@ -33,9 +33,15 @@ SCHEMAS = {
 }
 
 
+#: What is made of the tables and kept beside them.
+DERIVED = ("postings", "bits")
+#: What bitmaps are made of.
+LINKED = {"cve_prod", "cve_cwe", "cve_ref", "product", "url"}
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of one revision; kev is None until a catalog is loaded, postings until the texts are indexed.
+    """The tables of one revision; kev is None until a catalog is loaded, postings until the texts are indexed, bits (bitmaps by axis) until they are made.
 
     A table may be given as a function, which is called when the table is asked for and should then give the same DataFrame each time."""
 
@@ -54,18 +60,25 @@ class Corpus:
     vtype: DataFrame
     kev: DataFrame | None = None
     postings: DataFrame | None = None
+    bits: dict[str, DataFrame] | None = None
 
     def __getattribute__(self, name: str):
         value = object.__getattribute__(self, name)
         return value() if isinstance(value, FunctionType) else value
 
     def having(self, **changed) -> Corpus:
-        """The corpus with other tables; those that weren't asked for yet stay so."""
-        return Corpus(**({f.name: object.__getattribute__(self, f.name) for f in fields(self)} | changed))
+        """The corpus with other tables; those that weren't asked for yet stay so.  Bitmaps go with the links that they were made of."""
+        stale = {"bits": None} if LINKED & set(changed) else {}
+        return Corpus(**({f.name: object.__getattribute__(self, f.name) for f in fields(self)} | stale | changed))
+
+    def made(self, name: str) -> bool:
+        """Whether a table is there, without asking for it."""
+        value = object.__getattribute__(self, name)
+        return value is not None and not isinstance(value, FunctionType)
 
     def tables(self) -> dict[str, DataFrame]:
-        """The tables of the data model; the index is none of them."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "postings" and getattr(self, f.name) is not None}
+        """The tables of the data model; the index and the bitmaps are none of them."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in DERIVED and getattr(self, f.name) is not None}
 
 
 class CatalogMissing(RuntimeError):

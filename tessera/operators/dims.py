@@ -156,9 +156,17 @@ def narrowed(rows: DataFrame, name: str, top: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(top), F.col(name).eqNullSafe(F.col("top")), "left_semi")
 
 
+def repeats(dims: list[Dim]) -> bool:
+    """Whether a record may be in one bucket (or cell) by several links: by its products in a vendor, by its references in a host.
+
+    Links are unique, so a record is in a product or a weakness once."""
+    names = {d.name for d in dims}
+    return "host" in names or ("vendor" in names and "product" not in names)
+
+
 def counted(dims: list[Dim]) -> Column:
     """Records: counted once each where a link may repeat them."""
-    return (F.count_distinct("id") if any(d.multiplies for d in dims) else F.count("*")).alias("cves")
+    return (F.count_distinct("id") if repeats(dims) else F.count("*")).alias("cves")
 
 
 def known(corpus: Corpus, counts: DataFrame, d: Dim, name: str = "bucket") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CatalogMissing, Corpus
+from . import bitmaps as B
 from . import dims as D
 from .filters import Filters, matching, require_kev, unmatched
 
@@ -91,7 +92,10 @@ def count(corpus: Corpus, filters: Filters) -> DataFrame:
 
 
 def _buckets(corpus: Corpus, records: DataFrame, d: D.Dim) -> DataFrame:
-    counts = D.placed(corpus, records, {"bucket": d}).groupBy("bucket").agg(D.counted([d]))
+    if B.usable(corpus, [d]):
+        counts = B.counted(B.placed(corpus, records, d, "bucket", B.packed(records)), "bucket")
+    else:
+        counts = D.placed(corpus, records, {"bucket": d}).groupBy("bucket").agg(D.counted([d]))
     return D.known(corpus, counts, d)
 
 
@@ -128,9 +132,10 @@ def cross(corpus: Corpus, filters: Filters, by: str, series: str | None, rows=No
     """bucket, label, series, series_label, cves.
 
     Each axis is narrowed to its largest (latest) buckets over its own links; these are at most GROUPS
-    and SERIES rows, so they are broadcast to pick the cells.  Where a record is in one bucket of the
-    other axis only, an axis' counts are the sums of the cells, which are then counted once for all;
-    where it may be in several, links are narrowed before they are joined with one another."""
+    and SERIES rows, so they are broadcast to pick the cells.  Axes that are kept as bitmaps are
+    narrowed, met and counted as such.  Of others, where a record is in one bucket of the other axis
+    only, an axis' counts are the sums of the cells, which are then counted once for all; where it may
+    be in several, links are narrowed before they are joined with one another."""
     if series is None:
         return group(corpus, filters, by, rows)
     if by == series:
@@ -144,7 +149,14 @@ def cross(corpus: Corpus, filters: Filters, by: str, series: str | None, rows=No
     # Code axes that may show all their codes aren't narrowed.
     narrow = {name: k for name, d, k in (("bucket", a, n), ("series", b, m)) if d.most is None or d.most > k}
     alone = lambda name: D.placed(corpus, records, {name: axes[name]}).groupBy(name).agg(D.counted([axes[name]]))
-    if a.multiplies and b.multiplies:
+    if B.usable(corpus, [a, b]):
+        found, sides = B.packed(records), {}
+        for name, d in axes.items():
+            sides[name] = B.placed(corpus, records, d, name, found)
+            if name in narrow:
+                sides[name] = D.narrowed(sides[name], name, _top(corpus, B.counted(sides[name], name), d, name, narrow[name]))
+        cells = B.counted(B.meet(sides["bucket"], sides["series"], "bucket", "series"), "bucket", "series")
+    elif a.multiplies and b.multiplies:
         tops = {name: _top(corpus, alone(name), axes[name], name, k) for name, k in narrow.items()}
         cells = D.placed(corpus, records, axes, tops).groupBy("bucket", "series").agg(D.counted([a, b]))
     else:

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..model import Corpus
-from ..operators import search
+from ..model import DERIVED, Corpus
+from ..operators import bitmaps, search
 from ..sources import store
 
 
@@ -61,7 +61,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
             held["postings"] = search.keep(index, f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/postings")
         return held["postings"]
 
-    return Corpus(**{f.name: table(f.name) for f in fields(Corpus) if f.name != "postings"}, postings=postings)
+    def bits() -> dict[str, DataFrame]:
+        if "bits" not in held:
+            tables = Corpus(**{f.name: table(f.name) for f in fields(Corpus) if f.name not in DERIVED})
+            at = f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}"
+            made = {}
+            for name in bitmaps.AXES:
+                if bitmaps.dense(tables, name):
+                    df = bitmaps.axis(tables, name)
+                    df.repartitionByRange("chunk").sortWithinPartitions("chunk", "bucket").write.parquet(f"{at}/{name}")
+                    made[name] = spark.read.schema(df.schema).parquet(f"{at}/{name}")
+            held["bits"] = made
+        return held["bits"]
+
+    return Corpus(**{f.name: table(f.name) for f in fields(Corpus) if f.name not in DERIVED}, postings=postings, bits=bits)
 
 
 def views(spark: SparkSession, sf_dir: str) -> Corpus:

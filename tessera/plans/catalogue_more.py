@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ def folder(spark) -> str:
     return f"{store.shared_dir(spark)}/try-{uuid.uuid4().hex}"
 
 
+def half_up(number: str) -> float:
+    """Two places, a half away from zero, as SQL rounds."""
+    return float(Decimal(number).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
 def refused(act) -> str:
     """Why something isn't done; empty if it is."""
     try:
@@ -241,14 +247,14 @@ add("search_matches", lambda c: R.search(c, _ASKED).matches, f"SELECT count(*) m
 add("search_names", lambda c: R.search(c, _ASKED, counted=False).unmatched["vendor"], "SELECT 'nobody' name_key")
 
 
-def _answer(c, tool, args):
-    a = tools.run(c.cve.sparkSession, c, tools.parse_call(tool, args))
-    return c.cve.sparkSession.createDataFrame([(str(r[0]), int(r[-1])) for r in a.rows], "bucket string, cves long")
+def _call(c, tool, args):
+    """What a tool answers from, as Spark has it."""
+    return tools.frame(c, tools.parse_call(tool, args)).select("bucket", "cves")
 
 
 add(
     "tool_aggregate",
-    lambda c: _answer(c, "aggregate", {"rows": "year", "severity": "critical"}),
+    lambda c: _call(c, "aggregate", {"rows": "year", "severity": "critical"}),
     f"SELECT bucket, cves FROM ({group_sql('year', 'c.state = 1 AND cvss_sev = 4', 400)})",
 )
 told(
@@ -361,9 +367,9 @@ told(
     "share double",
     lambda c: [
         (
-            float(
+            half_up(
                 tools.compute(
-                    "return round(sum(d['cvss_score'] >= 150000 for d in data) / len(data), 2)",
+                    "return sum(d['cvss_score'] >= 150000 for d in data) / len(data)",
                     guard.run(c.cve.sparkSession, c, "SELECT cvss_score FROM cve WHERE state = 1 AND cvss_sev = 4 AND cvss_score IS NOT NULL ORDER BY published DESC NULLS LAST, id DESC LIMIT 200"),
                 )[1]
             ),

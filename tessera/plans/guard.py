@@ -18,20 +18,25 @@ from ..model import Corpus
 
 #: Of an answer: rows, characters of a cell, characters in all, and seconds that the query may take.
 MOST_ROWS, MOST_CELL, MOST_CHARS, SECONDS = 1_000, 1 << 20, 8_000_000, 60
+#: Of what it may cost: bytes that it reads, by what is known of the files, and bytes of the smaller side of a join without equal keys.
+MOST_READ, MOST_NESTED = 1 << 40, 16 << 10
 #: Of a statement.
 MOST_SQL, MOST_ARGS, MOST_ARG = 65_536, 1_000, 65_536
 # The same for a query that comes from outside.
-HOSTED = {"rows": 20_000, "chars": 8_000_000, "seconds": 4.0}
+HOSTED = {"rows": 20_000, "chars": 8_000_000, "seconds": 4.0, "read": 16 << 30}
 
 # Nodes of a parsed query.
 NODES = set("""
 Project Filter Aggregate Join Sort GlobalLimit LocalLimit Limit Offset Distinct Deduplicate Union Intersect Except UnresolvedRelation UnresolvedWith SubqueryAlias
 UnresolvedSubqueryColumnAliases OneRowRelation LocalRelation UnresolvedInlineTable UnresolvedHaving Generate Window WithWindowDefinition UnresolvedTableValuedFunction UnresolvedTVFAliases
-Pivot Unpivot LateralJoin Sample Tail Expand GroupingSets UnionLoop UnresolvedOrdinal Rebalance ResolvedHint UnresolvedHint ParameterizedQuery NamedParametersQuery PosParameterizedQuery NameParameterizedQuery
+Pivot Unpivot LateralJoin Sample Tail Expand GroupingSets UnionLoop UnresolvedOrdinal Rebalance ResolvedHint UnresolvedHint ParameterizedQuery NamedParametersQuery PosParameterizedQuery NameParameterizedQuery PipeOperator
 """.split())
 # Groups of built-in functions that only work on their arguments, and functions of other groups that do.
-GROUPS = {"agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "date_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs"}
-FUNCTIONS = {"typeof", "equal_null", "uuid", "coalesce", "if", "ifnull", "nvl", "nvl2", "nullif", "nullifzero", "zeroifnull"}
+GROUPS = {"agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs"}
+FUNCTIONS = set("""
+typeof equal_null uuid coalesce if ifnull nvl nvl2 nullif nullifzero zeroifnull bitmap_bit_position bitmap_bucket_number bitmap_count hll_sketch_estimate hll_union
+theta_sketch_estimate theta_union theta_intersection theta_difference approx_top_k_estimate
+""".split())
 TABLE_FUNCTIONS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "range", "json_tuple", "variant_explode", "variant_explode_outer"}
 # Expressions of an analysed plan that reach beyond the data.
 BEYOND = {"CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "PythonUDF", "ScalaUDF", "PythonUDAF", "RaiseError", "AssertTrue"}
@@ -126,6 +131,35 @@ def inspect_analysed(plan) -> None:
                 raise Denied(f"no such function here: {_kind(e)}")
 
 
+@dataclass(frozen=True)
+class Cost:
+    """What Spark expects of an optimised plan: bytes read, and of each join without equal keys the bytes of its smaller side."""
+
+    read: int
+    nested: list[int]
+
+
+def cost(df: DataFrame) -> Cost:
+    keys = df.sparkSession._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    read, nested = 0, []
+    for node, _ in _walk(df._jdf.queryExecution().optimizedPlan()):
+        size = lambda n: int(str(n.stats().sizeInBytes()))
+        if not node.children().size():
+            read += size(node)
+        elif _kind(node) == "Join" and keys.unapply(node).isEmpty():
+            nested.append(min(size(node.left()), size(node.right())))
+    return Cost(read, nested)
+
+
+def afford(df: DataFrame, read: int = MOST_READ, nested: int = MOST_NESTED) -> None:
+    """Raises Denied, before any job runs, for a query that reads too much or pairs rows of two tables of which neither is small."""
+    told = cost(df)
+    if told.read > read:
+        raise Denied(f"the query would read {told.read} bytes, {told.read - read} too many")
+    if any(n > nested for n in told.nested):
+        raise Denied("the query would pair all rows of two tables: join them by equal keys")
+
+
 @dataclass(frozen=True)
 class Answer:
     columns: list[str]
@@ -162,11 +196,12 @@ def _bounded(c: Column, kind: str, most: int) -> Column:
     return c
 
 
-def run(spark: SparkSession, corpus: Corpus, sql: str, args: dict | None = None, rows: int = MOST_ROWS, chars: int = MOST_CHARS, seconds: float = SECONDS, cell: int = MOST_CELL) -> Answer:
-    """At most ``rows`` rows and about ``chars`` characters (the first row always), within the time.
+def run(spark: SparkSession, corpus: Corpus, sql: str, args: dict | None = None, rows: int = MOST_ROWS, chars: int = MOST_CHARS, seconds: float = SECONDS, cell: int = MOST_CELL, read: int = MOST_READ) -> Answer:
+    """At most ``rows`` rows and about ``chars`` characters (the first row always), within the time; refused if the plan would cost too much.
 
     Spark cuts the cells and adds up their sizes, so no more than that reaches the driver."""
     df = frame(spark, corpus, sql, args)
+    afford(df, read)
     names, kinds = df.columns, [t for _, t in df.dtypes]
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     cut = plain.limit(rows + 1).select([_bounded(F.col(f"c{i}"), t, cell).alias(f"c{i}") for i, t in enumerate(kinds)])

@@ -7,7 +7,7 @@ import subprocess
 import sys
 from dataclasses import fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import times
 from ..model import SEVERITIES, Corpus
@@ -107,15 +107,20 @@ def _missing(k):
     raise BadCall(f"{k} is needed")
 
 
+def frame(corpus: Corpus, call: dict) -> DataFrame:
+    """What a call that counts or lists records answers from."""
+    if call["tool"] == "aggregate":
+        require_kev(corpus, call["filters"], call["rows"], call["series"])
+        return reports.cross(corpus, call["filters"], call["rows"], call["series"], call["limit"])
+    return reports.rows(corpus, call["filters"], call["limit"] or MOST_ROWS, 0, call["sort"])
+
+
 def run(spark: SparkSession, corpus: Corpus, call: dict, last: guard.Answer | None = None):
     """What a parsed call gives: an Answer, or tables by name for a record's detail."""
     answer = _answer
     tool = call["tool"]
-    if tool == "aggregate":
-        require_kev(corpus, call["filters"], call["rows"], call["series"])
-        return answer(reports.cross(corpus, call["filters"], call["rows"], call["series"], call["limit"]), MOST_CELLS)
-    if tool == "search_records":
-        return answer(reports.rows(corpus, call["filters"], call["limit"] or MOST_ROWS, 0, call["sort"]), MOST_ROWS)
+    if tool in ("aggregate", "search_records"):
+        return answer(frame(corpus, call), MOST_CELLS if tool == "aggregate" else MOST_ROWS)
     if tool == "cve_detail":
         return {k: answer(df, 50) for k, df in reports.detail(corpus, call["cve"]).items()}
     if tool == "kev_lookup":

@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SCHEMAS, Corpus
-from ..operators import search
+from ..model import DERIVED, SCHEMAS, Corpus
+from ..operators import bitmaps, search
 from ..operators.etl import fingerprint
 from ..sources import store
 
@@ -183,7 +183,8 @@ def apply(held: Corpus, delta: Delta) -> Corpus:
         out["kev"] = resolve(held.kev, out["cve"])
     if held.postings is not None:  # and so does the index
         out["postings"] = search.maintain(held.postings, delta.tables["cve_text"], ids.withColumnRenamed("id", "cve_id"), "cve_id", list(search.FIELDS))
-    return held.having(**out)
+    after = held.having(**out)
+    return after.having(bits=bitmaps.maintain(held.bits, after, ids)) if held.made("bits") else after
 
 
 def resolve(kev: DataFrame, cve: DataFrame) -> DataFrame:
@@ -427,7 +428,7 @@ def rotation(snapshots: list[int], deltas: list[tuple[int, int]], generations: i
 
 def promotable(corpus: Corpus, rev: int, head: int, notice: str) -> list[str]:
     """Why a staged copy may not become current; nothing if it may."""
-    missing = [f.name for f in fields(Corpus) if f.name not in ("kev", "postings") and getattr(corpus, f.name) is None]
+    missing = [f.name for f in fields(Corpus) if f.name not in ("kev", *DERIVED) and getattr(corpus, f.name) is None]
     unlike = []
     for name in SCHEMAS:
         df = None if name in missing else getattr(corpus, name)
