@@ -11,19 +11,24 @@ A search leaves out subtrees that the query is joined with already, so a dense g
 square of its size; what leaves a shard is a star for each of its groups, never all pairs.
 
 ``clean`` keeps one document of each group of near-duplicates: documents are linked if their sets
-of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY.  At 0.8 fingerprints are about
-10 bits apart (3 more or less), so candidates come from a radius of NEAR_RADIUS in trees of those
-that agree on NEAR_AGREE of NEAR_BANDS bands, for each of NEAR_SEEDS independent fingerprints.  A
-tree offers a minimum spanning forest of what it has within the radius, and each edge is verified on
-the shingles of the whole texts before groups are made.  So a group costs as many verifications as it has members in
-a tree, not their square.  A link is lost where no tree has both, or where in all trees that have
-them the two are joined by closer pairs of which one fails.  Texts of one fingerprint are one group.
+of NEAR_WORDS-word shingles have a Jaccard similarity of SIMILARITY.  A vertex is a distinct set of
+shingles, and its NEAR_SEEDS independent fingerprints are of the distinct shingles, so a line that
+is repeated over and over decides no more bits than another.  At 0.8 two fingerprints differ in about
+10 of 64 bits (3 more or less).  Candidates are those within NEAR_RADIUS bits in the tree of one of
+the NEAR_BANDS bands of one of the fingerprints; a tree offers a minimum spanning forest of what it
+has within the radius, so a group costs as many candidates as it has members in a tree, not their
+square.  A candidate whose fingerprints differ in more than NEAR_SHARE of all bits is dropped, the
+others are verified on the shingles of the whole texts, and only verified links make groups: equal
+fingerprints alone link nothing.  A link is lost where no tree has both (about 3 of 1,000 links at
+just 0.8, and more of those of very short texts), or where in all trees that have them the two are
+joined by closer pairs of which one fails.
 
 Defined cases: a text that is null or has no word has fingerprint zero and is linked like any
 other; a text of fewer words than a shingle is one shingle; null doc_ids take part but are no
 component_id (null if a component has no other); repeated rows are equal copies; rows of one doc_id
 with unlike texts are linked with what their texts are like, not with each other; an empty table
-gives no rows; further columns are ignored.
+gives no rows; further columns are ignored, and ``clean`` keeps them as they are, whatever they are
+called or hold.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ from .components import components
 SEED, WORDS, RADIUS, BANDS = 42, 4, 4, 6
 #: Of near-duplicates: words of a shingle, similarity, and what finds the candidates.
 NEAR_WORDS, SIMILARITY = 5, 0.8
-NEAR_RADIUS, NEAR_BANDS, NEAR_AGREE, NEAR_SEEDS = 14, 8, 2, 3
+NEAR_RADIUS, NEAR_BANDS, NEAR_SEEDS, NEAR_SHARE = 16, 4, 21, 0.27
 #: Fingerprints that a shard holds on average.
 SHARD_ROWS = 300_000
 STEP = 200_000  # queries at a time
@@ -76,23 +81,17 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return majority(hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seeds: int = 1) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); with more seeds also row (a hash of the text) and fp1 and so on, independent fingerprints of the same shingles."""
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long)."""
     common.prepare(docs.sparkSession)
-    names = ["fp", *[f"fp{k}" for k in range(1, seeds)]]
-    extra = ["row"] * (seeds > 1)
 
     def run(batches):
         for batch in batches:
-            found = np.zeros((len(names), batch.num_rows), np.uint64)
-            for i, t in enumerate(common.column_bytes(batch.column("text"))):
-                h = hashes(t, words)
-                for k in range(seeds):
-                    found[k, i] = majority(common.mix(h + np.uint64(k)) if k else h)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ["doc_id", *extra]] + [pa.array(f.view(np.int64)) for f in found], ["doc_id", *extra, *names])
+            found = np.array([fingerprint(t, words) for t in common.column_bytes(batch.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = placed(docs).select(F.col("__id").alias("doc_id"), *[F.col("__row").alias(c) for c in extra], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in [*extra, *names]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bands: int = BANDS) -> list[int]:
@@ -250,13 +249,15 @@ def merged(n: int, pairs: np.ndarray) -> np.ndarray:
     return label
 
 
-def _deal(shards: int, chosen: list[int]):
+def _deal(shards: int, chosen: list[tuple[str, int]]):
+    """Entries of each choice (a fingerprint's column, the bits that a tree agrees on)."""
+
     def run(batches):
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
             vertex = batch.column("vertex").to_numpy()
             rows = []
-            for c, mask in enumerate(chosen):
+            for c, (column, mask) in enumerate(chosen):
+                fp = batch.column(column).to_numpy().view(np.uint64)
                 order, bounds = common.split_by(common.mix((fp & np.uint64(mask)) + np.uint64(c)), shards)
                 f, v = fp[order], vertex[order]
                 rows += [(s, c, f[a:b].tobytes(), v[a:b].tobytes()) for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if b > a]
@@ -266,7 +267,7 @@ def _deal(shards: int, chosen: list[int]):
     return run
 
 
-def _search(radius: int, chosen: list[int], forest: bool = False):
+def _search(radius: int, chosen: list[tuple[str, int]], forest: bool = False):
     def run(rows: pa.Table) -> pa.Table:
         u, v = [], []
         choice = rows.column("choice").to_numpy() if rows.num_rows else np.zeros(0, np.int32)
@@ -274,7 +275,7 @@ def _search(radius: int, chosen: list[int], forest: bool = False):
             part = rows.filter(pa.array(choice == c))
             fp = np.frombuffer(b"".join(part.column("fps").to_pylist()), np.uint64)
             vertex = np.frombuffer(b"".join(part.column("vertices").to_pylist()), np.int64)
-            key = fp & np.uint64(chosen[c])
+            key = fp & np.uint64(chosen[c][1])
             order = np.lexsort((vertex, key))
             key, fp, vertex = key[order], fp[order], vertex[order]
             same = np.zeros(len(key), bool)  # a tree of one has no links
@@ -295,31 +296,31 @@ def _search(radius: int, chosen: list[int], forest: bool = False):
     return run
 
 
-def search(vertices: DataFrame, column: str, radius: int, bands: int, agree: int, shard_rows: int, forest: bool = False) -> DataFrame:
-    """Links (u, v: fingerprints ``fp``) among the values of ``column``, which is ``fp`` or another fingerprint of the same texts."""
-    chosen = masks(bands - agree, bands)
+def search(vertices: DataFrame, columns: list[str], key: str, radius: int, bands: int, agree: int, shard_rows: int, forest: bool = False) -> DataFrame:
+    """Links (u, v: values of ``key``) among vertices by any of their fingerprints ``columns``."""
+    chosen = [(c, m) for c in columns for m in masks(bands - agree, bands)]
     shards = max(1, -(-vertices.count() * len(chosen) // shard_rows))
-    dealt = vertices.select(F.col(column).alias("fp"), F.col("fp").alias("vertex")).mapInArrow(_deal(shards, chosen), "shard int, choice int, fps binary, vertices binary")
+    dealt = vertices.select(*columns, F.col(key).alias("vertex")).mapInArrow(_deal(shards, chosen), "shard int, choice int, fps binary, vertices binary")
     return common.grouped(dealt, "shard", _search(radius, chosen, forest), "u long, v long")
 
 
-def joined(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row (fp, group: the least fingerprint linked with it, component_id) for each of ``vertices`` (fp, least: the least doc_id that has it): the least doc_id of all that it is linked with.
+def joined(vertices: DataFrame, edges: DataFrame, key: str = "fp") -> DataFrame:
+    """One row (key, group: the least key linked with it, component_id) for each of ``vertices`` (key, least: the least doc_id that has it): the least doc_id of all that it is linked with.
 
-    Components are of fingerprints; whose doc_ids they have is looked up afterwards, so rows of one doc_id link nothing."""
+    Components are of keys; whose doc_ids they have is looked up afterwards, so rows of one doc_id link nothing."""
     roots = common.cut(components(edges), "roots")  # of all but the roots themselves
     own = roots.select("root").distinct().select(F.col("root").alias("vertex"), "root")
     member = roots.unionByName(own)
-    least = member.join(vertices.select(F.col("fp").alias("vertex"), "least"), "vertex").groupBy("root").agg(F.min("least").alias("component_id"))
-    found = member.join(least, "root").select(F.col("vertex").alias("fp"), "root", "component_id")
-    out = vertices.join(found, "fp", "left")
-    return common.cut(out.select("fp", F.coalesce("root", "fp").alias("group"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
+    least = member.join(vertices.select(F.col(key).alias("vertex"), "least"), "vertex").groupBy("root").agg(F.min("least").alias("component_id"))
+    found = member.join(least, "root").select(F.col("vertex").alias(key), "root", "component_id")
+    out = vertices.join(found, key, "left")
+    return common.cut(out.select(key, F.coalesce("root", key).alias("group"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")), "components")
 
 
 def link(prints: DataFrame, radius: int = RADIUS, bands: int = BANDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """prints: doc_id, fp.  One row (fp, component_id) for each fingerprint; exact, as two fingerprints within the radius agree on bands - radius bands."""
     vertices = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
-    return joined(vertices, search(vertices, "fp", radius, bands, bands - radius, shard_rows)).select("fp", "component_id")
+    return joined(vertices, search(vertices.select("fp"), ["fp"], "fp", radius, bands, bands - radius, shard_rows)).select("fp", "component_id")
 
 
 def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -337,11 +338,47 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.unique(hashes(text, words))
 
 
+def several(found: np.ndarray, seeds: int) -> np.ndarray:
+    """Fingerprints of distinct shingles under several hashes of their hashes."""
+    counts = np.zeros(64 * seeds, np.int64)
+    salt = np.arange(seeds, dtype=np.uint64)
+    for k in range(0, len(found), 4096):
+        part = common.mix(found[k : k + 4096, None] + salt).astype(">u8").view(np.uint8)
+        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found)).view(">u8").astype(np.uint64)
+
+
+def profiles(docs: DataFrame, words: int, seeds: int) -> DataFrame:
+    """doc_id, row (a hash of the text), vertex (a hash of its set of shingles), fp0, fp1 and so on."""
+    names = ["vertex", *[f"fp{k}" for k in range(seeds)]]
+
+    def run(batches):
+        for batch in batches:
+            found = np.zeros((len(names), batch.num_rows), np.uint64)
+            for i, t in enumerate(common.column_bytes(batch.column("text"))):
+                h = shingle_hashes(t, words)
+                found[0, i] = xxhash.xxh64_intdigest(h.tobytes())
+                found[1:, i] = several(h, seeds)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *[pa.array(f.view(np.int64)) for f in found]], ["doc_id", "row", *names])
+
+    rows = docs.select(_id().alias("doc_id"), _row().alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long" + "".join(f", {c} long" for c in names))
+
+
+def _id():
+    return F.col("doc_id").cast("long")
+
+
+def _row():
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _sketches(words: int):
     def run(batches):
         for batch in batches:
             found = [shingle_hashes(t, words).tobytes() for t in common.column_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(found, pa.binary())], ["vertex", "shingles"])
 
     return run
 
@@ -362,49 +399,44 @@ def _alike(similarity: float):
 
 
 def similar(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, seeds: int = NEAR_SEEDS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Groups of documents whose shingles have a Jaccard similarity of ``similarity``: doc_id, row (a hash), fp of all rows, and fp, group, component_id of all fingerprints.
-
-    Candidates are fingerprints within a wide radius, of ``seeds`` independent ones, that agree on
-    NEAR_AGREE of NEAR_BANDS bands.  Each tree gives the least edges that join all that it has
-    within the radius, the closest first, and only those are verified on the whole texts."""
+    """Groups of documents whose shingles have a Jaccard similarity of ``similarity``: doc_id, row (a hash), vertex of all rows, and vertex, group, component_id of all vertices."""
     spark = docs.sparkSession
     common.prepare(spark)
-    prints = common.cut(fingerprints(docs, words, seeds), "prints")
-    first = [F.min(F.struct("doc_id", "row")).alias("one")]
-    vertices = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("named"), *first, *[F.first(f"fp{k}").alias(f"fp{k}") for k in range(1, seeds)]).withColumn("one", F.coalesce("named", "one")).drop("named"), "vertices")
-    edges = None
-    for k in range(seeds):
-        found = search(vertices, f"fp{k}" if k else "fp", radius, NEAR_BANDS, NEAR_AGREE, shard_rows, forest=True)
-        edges = found if edges is None else edges.unionByName(found)
-    edges = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
-    # The shingles of one text of each fingerprint that has a candidate.
-    wanted = edges.select(F.col("u").alias("fp")).unionByName(edges.select(F.col("v").alias("fp"))).distinct()
-    chosen = vertices.join(wanted, "fp", "left_semi").select("fp", "one.doc_id", "one.row")
-    texts = placed(docs).select("__id", "__row", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sketch = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["__id"]) & (chosen["row"] == texts["__row"])).select("fp", "text")
-    sketch = common.cut(sketch.mapInArrow(_sketches(words), "fp long, shingles binary").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-    pairs = edges.join(sketch.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sketch.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    prints, names = common.cut(profiles(docs, words, seeds), "prints"), [f"fp{k}" for k in range(seeds)]
+    # Of each vertex the row whose text is looked at: one with an id, if there is one.
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
+    vertices = common.cut(prints.groupBy("vertex").agg(F.min("doc_id").alias("least"), one, *[F.first(n).alias(n) for n in names]), "vertices")
+    edges = search(vertices.select("vertex", *names), names, "vertex", radius, NEAR_BANDS, 1, shard_rows, forest=True)
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # All fingerprints together tell chance from likeness.
+    side = lambda end: vertices.select(F.col("vertex").alias(end), F.array(*names).alias(f"{end}_fps"))
+    apart = F.aggregate(F.zip_with("u_fps", "v_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    edges = common.cut(edges.join(side("u"), "u").join(side("v"), "v").filter(apart <= int(NEAR_SHARE * 64 * seeds)).select("u", "v"), "candidates")
+    # The shingles of one text of each vertex that has a candidate.
+    wanted = edges.select(F.col("u").alias("vertex")).unionByName(edges.select(F.col("v").alias("vertex"))).distinct()
+    chosen = vertices.join(wanted, "vertex", "left_semi").select("vertex", "one.doc_id", "one.row")
+    texts = docs.select(_id().alias("t_id"), _row().alias("t_row"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    sketch = chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["t_id"]) & (chosen["row"] == texts["t_row"])).select("vertex", "text")
+    sketch = common.cut(sketch.mapInArrow(_sketches(words), "vertex long, shingles binary").groupBy("vertex").agg(F.min("shingles").alias("shingles")), "shingles")
+    pairs = edges.join(sketch.select(F.col("vertex").alias("u"), F.col("shingles").alias("a")), "u").join(sketch.select(F.col("vertex").alias("v"), F.col("shingles").alias("b")), "v")
     alike = common.cut(pairs.select("u", "v", "a", "b").mapInArrow(_alike(similarity), "u long, v long"), "alike")
-    return prints, joined(vertices, alike)
-
-
-def placed(docs: DataFrame) -> DataFrame:
-    """Documents with their id as a long and a hash that tells rows of one id apart."""
-    return docs.withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return prints, joined(vertices, alike, "vertex")
 
 
 def clean(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """One document of each group of near-duplicates, as it is: that with the least doc_id (null after all others), of equal ids the one with the least hash of its text, of equal rows one."""
+    """One document of each group of near-duplicates, as it is: that with the least doc_id (null after all others), of equal ids the one with the least hash of its text, of rows equal in id and text the one whose JSON is least."""
     prints, linked = similar(docs, words, similarity, radius)
     # Rows of one id may be in several groups, so the group is named by its least row.
-    roots = linked.select("fp", "group")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    stay = prints.join(roots, "fp").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("s_id"), F.col("first.row").alias("s_row")).distinct()
-    rows = placed(docs)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = rows.join(stay, rows["__id"].eqNullSafe(stay["s_id"]) & (rows["__row"] == stay["s_row"]), "left_semi")
-    # Rows that are equal in id and text are one document.
-    return kept.groupBy("__id", "__row").agg(F.min(F.struct(*columns)).alias("__kept")).select(*[F.col(f"__kept.`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = prints.join(linked.select("vertex", "group"), "vertex").groupBy("group").agg(F.min(order).alias("first"))
+    key = [F.col("first.none").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.row").alias("row")]
+    # Which of them stand for several equal rows: only these are brought together.
+    many = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row", F.lit(True).alias("many"))
+    stay = common.cut(first.select(*key).distinct().join(many, ["none", "id", "row"], "left"), "stay")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), _id().isNull().alias("none"), F.coalesce(_id(), F.lit(0)).alias("id"), _row().alias("row"))
+    kept = rows.join(stay, ["none", "id", "row"])
+    again = kept.filter("many").groupBy("none", "id", "row").agg(F.min_by("d", F.to_json("d")).alias("d"))
+    return kept.filter("many is null").select("d").unionByName(again.select("d")).select("d.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

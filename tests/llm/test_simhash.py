@@ -153,6 +153,55 @@ def test_near_duplicates_against_brute_force(spark):
     assert should > 150 and gone >= 0.97 * should
 
 
+def test_a_repeated_line_makes_no_documents_alike(spark):
+    """Most of each text is one line over and over, which decides every bit of a fingerprint of all shingles; the texts have nothing else in common."""
+    rng = random.Random(21)
+    rows = ["na " * 700 + " ".join(f"own{rng.randrange(10**6)}" for _ in range(600)) for _ in range(6)]
+    assert sorted(r.doc_id for r in simhash.clean(documents(spark, rows)).collect()) == list(range(6))
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    """All texts have one fingerprint: only those that are alike are linked."""
+    monkeypatch.setattr(simhash, "several", lambda found, seeds: np.zeros(seeds, np.uint64))
+    rows = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(20)] + [" ".join([*(f"t3w{k}" for k in range(40)), "end"])]
+    kept = sorted(r.doc_id for r in simhash.clean(documents(spark, rows)).collect())
+    assert set(range(20)) <= set(kept)
+
+
+def test_links_found_by_similarity(spark):
+    """Pairs of texts of a known Jaccard similarity, each pair unlike the others: how many are found by class of similarity."""
+    rng = random.Random(22)
+    rows, classes = [], {}
+    for n in range(1_200):
+        size = rng.choice([80, 200, 600])
+        base = [f"w{rng.randrange(3_000)}" for _ in range(size)]
+        other = list(base)
+        for _ in range(rng.randint(1, max(1, size // 45))):
+            other[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        like = len(a & b) / len(a | b)
+        if like >= 0.8:
+            classes[len(rows)] = "0.80-0.85" if like < 0.85 else "0.85-0.90" if like < 0.9 else "0.90-1.00"
+        rows += [" ".join(base), " ".join(other)]
+    kept = {r.doc_id for r in simhash.clean(documents(spark, rows)).collect()}
+    found = {}
+    for i, c in classes.items():
+        n, hit = found.get(c, (0, 0))
+        found[c] = n + 1, hit + (i + 1 not in kept)
+    print(found)
+    assert all(i in kept for i in range(0, len(rows), 2)) and all(i + 1 in kept for i in range(0, len(rows), 2) if i not in classes)
+    assert all(n >= 80 for n, _ in found.values())
+    assert all(hit >= 0.98 * n for n, hit in found.values())
+
+
+def test_columns_of_any_name_and_kind_stay(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7, {"k": 1}), (1, "a b c d e f", 5, 6, 7, {"k": 1}), (2, "a b c d e f", 8, 9, 9, None), (3, None, 1, 1, 1, {"z": 2}), (None, "other words of it all", 0, 0, 0, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __row int, d int, m map<string,int>").withColumnRenamed("d", "row.d")
+    kept = simhash.clean(docs)
+    assert kept.schema == docs.schema
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
 def test_a_dense_group_leaves_one(spark):
     rng = random.Random(14)
     base = [f"w{rng.randrange(500)}" for _ in range(300)]
