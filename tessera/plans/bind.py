@@ -37,6 +37,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return held[name]
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What ``make`` gives, made when it is first asked for in an application."""
+    held = _BOUND.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus as it is after a load: each table, and the index of the texts, is written when it is first asked for and read from there on."""
     held = _BOUND.setdefault((spark.sparkContext.applicationId, sf_dir), {})

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue_changes, catalogue_more, catalogue_reports, catalogue_text
+from . import catalogue_changes, catalogue_more, catalogue_reports, catalogue_store, catalogue_text
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (catalogue_reports, catalogue_text, catalogue_changes, catalogue_more)
+PARTS = (catalogue_reports, catalogue_text, catalogue_changes, catalogue_more, catalogue_store)
 
 
 def queries() -> dict[str, Query]:
