@@ -41,10 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def home(spark: SparkSession) -> str:
+    """This subpackage's part of the application's shared folder."""
+    return f"{shared_dir(spark)}/llm"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{home(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_at = path
@@ -57,8 +62,8 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all that this application has cut; results that read it can't be computed any more."""
-    delete(spark, shared_dir(spark))
+    """Delete all that this subpackage has cut in this application; results that read it can't be computed any more."""
+    delete(spark, home(spark))
 
 
 def blocks_for(docs: DataFrame, column: str = "text", each: int = BLOCK_BYTES) -> int:

@@ -12,13 +12,16 @@ ids (little-endian uint32), doc_tokens, sequence_id and offset.
 Defined cases: a null or empty text is the end id alone; a null doc_id is packed like any other;
 repeated rows are packed as often as they occur; an empty table gives no rows; further columns are
 ignored.  Nothing is padded.  Shards are made by a hash of a piece's document, place and ids, so rows
-without an id spread over all of them.
+without an id spread over all of them.  Rows that are equal in id and text more than CROWD times are
+also told apart by how often their task has had them before, so they spread as well; equal rows may
+stand for one another, so a task that is run again deals them alike.
 """
 
 from __future__ import annotations
 
 import struct
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ CAPACITY = 4096
 END = 2
 #: Bytes of text whose pieces a shard holds on average.
 SHARD_BYTES = 8_000_000
+#: Equal rows beyond which they are dealt out, and how many such rows may be told to all workers (8 bytes each): with more, only the larger crowds are.
+CROWD, MOST_CROWDS = 256, 100_000
 VOCABULARY = "word_bpe_49k.json"
 LATIN = "\u0250"
 # The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100 on.
@@ -105,17 +110,19 @@ def _cut_documents(vocabulary: str, capacity: int, end: int):
     tail = struct.pack("<I", end)
 
     def run(batches):
-        model = tokenizer(vocabulary)
+        model, seen = tokenizer(vocabulary), Counter()
         for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), common.column_bytes(batch.column("text"))
+            ids_of, texts, crowds = batch.column("doc_id").to_pylist(), common.column_bytes(batch.column("text")), batch.column("crowd").to_pylist()
             for at in range(0, len(texts), 256):
                 rows = []
-                for doc, ids in zip(ids_of[at : at + 256], model.encode(texts[at : at + 256]), strict=True):
+                for doc, crowd, ids in zip(ids_of[at : at + 256], crowds[at : at + 256], model.encode(texts[at : at + 256]), strict=True):
                     ids += tail
-                    n = len(ids) // 4
-                    rows += [(doc, s, min(capacity, n - s), n, ids[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                    n, turn = len(ids) // 4, 0
+                    if crowd is not None:
+                        turn = seen[crowd] = seen[crowd] + 1
+                    rows += [(doc, s, min(capacity, n - s), n, ids[4 * s : 4 * (s + capacity)], turn) for s in range(0, n, capacity)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids", "turn"])
 
     return run
 
@@ -208,12 +215,23 @@ def _pack_shard(capacity: int):
     return run
 
 
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """The rows with ``crowd``: a hash of those of which there are very many, else null."""
+    h = F.xxhash64("doc_id", "text")
+    crowds, most = common.cut(texts.groupBy(h.alias("crowd")).agg(F.count("*").alias("n")).filter(F.col("n") > CROWD), "crowds"), CROWD
+    while (n := crowds.filter(F.col("n") > most).count()) > MOST_CROWDS:
+        most *= 2
+    if not n:
+        return texts.withColumn("crowd", F.lit(None).cast("long"))
+    return texts.join(F.broadcast(crowds.filter(F.col("n") > most).select("crowd")), h == F.col("crowd"), "left")
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     common.prepare(docs.sparkSession)
     shards = common.blocks_for(docs, each=shard_bytes)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    pieces = texts.mapInArrow(_cut_documents(vocabulary, capacity, end), PIECES)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int"))
+    pieces = _told_apart(texts).mapInArrow(_cut_documents(vocabulary, capacity, end), PIECES + ", turn long")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids", "turn"), F.lit(shards)).cast("int")).drop("turn")
     return common.grouped(pieces, "shard", _pack_shard(capacity), PACKED)
 
 

@@ -164,7 +164,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{common.home(spark)}/warc-{uuid.uuid4().hex}"
     write(common.table(spark, sf_dir, "pages"), path)
     return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -93,3 +94,24 @@ def test_empty_table_null_ids_and_repeats(spark):
     assert packing.pack(documents(spark, [])).count() == 0
     got = packing.pack(documents(spark, [(None, "a b"), (None, "a b"), (5, "c"), (5, "c")]))
     assert sum(r.length for r in got.collect()) == 3 + 3 + 2 + 2
+
+
+def test_equal_rows_spread_over_the_shards(spark):
+    """Half of all rows have neither id nor text, and a fifth is one document: no shard is much larger than the others."""
+    rows = [(None, None)] * 6_000 + [(7, "the same text again")] * 2_400 + [(i, f"text number {i} of its own") for i in range(3_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = packing.pack(docs, shard_bytes=4_000).withColumn("shard", F.shiftright("sequence_id", 32))
+    sizes = sorted(r["count"] for r in packed.groupBy("shard").count().collect())
+    assert len(sizes) > 20 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    tokens = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.max("doc_tokens").alias("n")).collect()}
+    assert packed.agg(F.sum("length")).first()[0] == sum(tokens[i] for i, _ in rows)
+
+
+def test_release_leaves_what_is_not_its_own(spark, tmp_path):
+    from tessera.llm import common
+    from tessera.sources import store
+
+    theirs = store.written(spark.range(5), "theirs")
+    mine = common.cut(spark.range(3), "mine")
+    common.release(spark)
+    assert theirs.count() == 5 and not store.exists(spark, mine.cut_at)
