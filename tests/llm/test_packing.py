@@ -98,7 +98,7 @@ def test_empty_table_null_ids_and_repeats(spark):
 
 def test_equal_rows_spread_over_the_shards(spark):
     """Half of all rows have neither id nor text, and a fifth is one document: no shard is much larger than the others."""
-    rows = [(None, None)] * 6_000 + [(7, "the same text again")] * 2_400 + [(i, f"text number {i} of its own") for i in range(3_600)]
+    rows = [(None, None)] * 6_000 + [(10**6, "the same text again")] * 2_400 + [(i, f"text number {i} of its own") for i in range(3_600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     packed = packing.pack(docs, shard_bytes=4_000).withColumn("shard", F.shiftright("sequence_id", 32))
     sizes = sorted(r["count"] for r in packed.groupBy("shard").count().collect())
