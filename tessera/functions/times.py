@@ -7,7 +7,7 @@ import datetime as dt
 import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY = 86_400
@@ -127,28 +127,37 @@ def freshness(generated, now: float, limit: float = STALE) -> dict | None:
     return {"age": age, "iso": dt.datetime.fromtimestamp(generated, dt.UTC).isoformat(), "phrase": age_phrase(age), "stale": is_stale(age, limit)}
 
 
-def months_before(day: dt.date, n: int) -> dt.date:
-    """The same day n months before, or the last one of a shorter month."""
-    at = day.year * 12 + day.month - 1 - n
-    return dt.date(at // 12, at % 12 + 1, min(day.day, calendar.monthrange(at // 12, at % 12 + 1)[1]))
-
-
-def presets(bounds: tuple[dt.date, dt.date] | None, today: dt.date) -> list[tuple[str, str, dt.date | None, dt.date | None]]:
-    """key, label, first and last day of the shortcuts that touch the days there are, cut to them."""
-    day = dt.timedelta(days=1)
-    wanted = [
-        ("30d", "Last 30 days", today - 29 * day, today),
-        ("90d", "Last 90 days", today - 89 * day, today),
-        ("12m", "Last 12 months", months_before(today, 12) + day, today),
-        ("24m", "Last 24 months", months_before(today, 24) + day, today),
-        ("ytd", "Year to date", today.replace(month=1, day=1), today),
-        ("prev-year", str(today.year - 1), dt.date(today.year - 1, 1, 1), dt.date(today.year - 1, 12, 31)),
-    ]
-    low, high = bounds or (dt.date.min, dt.date.max)
-    return [("all", "All time", None, None)] + [(k, label, max(a, low), min(b, high)) for k, label, a, b in wanted if a <= high and b >= low]
-
-
-def quick_ranges(today: dt.date) -> list[tuple[str, str, dt.date | None]]:
-    """key, label and first day of the ranges that end with the data."""
-    years = [(f"{n}y", f"{n} yr", years_back(today, n)) for n in (10, 5, 2, 1)]
-    return [("all", "All time", None), *years, ("ytd", "YTD", today.replace(month=1, day=1))]
+# The names of the ranges that a day offers, cut to the data and open at the end.
+SHORTCUTS = "30d 90d 12m 24m ytd prev-year".split()
+QUICK = "10y 5y 2y 1y ytd".split()
+
+
+def shortcut(name: str, today: Column) -> tuple[Column, Column]:
+    """First and last day of a range that a name stands for: a number of days or months up to today, years back to the Monday of that week, ``ytd`` (this year so far) or ``prev-year``."""
+    year = F.trunc(today, "YEAR")
+    if name == "prev-year":
+        return F.add_months(year, -12), F.date_sub(year, 1)
+    if name == "ytd":
+        return year, today
+    back, unit = -int(name[:-1]), name[-1]
+    if unit == "d":
+        return F.date_add(today, back + 1), today
+    before = F.add_months(today, back * (12 if unit == "y" else 1))
+    return (F.trunc(before, "WEEK") if unit == "y" else F.date_add(before, 1)), today
+
+
+def ranges(days: DataFrame, names: list[str], low: Column | None = None, high: Column | None = None, today: str = "today") -> DataFrame:
+    """The columns of ``days`` and name, first, last: of each day the ranges that touch the days from low to high, cut to them, after one over all (``all``, without bounds)."""
+    told = [(F.lit("all"), F.lit(None).cast("date"), F.lit(None).cast("date"))] + [(F.lit(n), *shortcut(n, F.col(today))) for n in names]
+    each = F.explode(F.array(*[F.struct(n.alias("name"), a.alias("first"), b.alias("last")) for n, a, b in told]))
+    rows = days.select("*", each.alias("__range")).select(*days.columns, "__range.*")
+    if low is not None:
+        rows = rows.filter((F.col("name") == "all") | (F.col("last") >= low)).withColumn("first", F.when(F.col("first").isNotNull(), F.greatest("first", low)))
+    if high is not None:
+        rows = rows.filter((F.col("name") == "all") | (F.col("first") <= high)).withColumn("last", F.when(F.col("last").isNotNull(), F.least("last", high)))
+    return rows
+
+
+def opened(days: DataFrame, today: str = "today") -> DataFrame:
+    """The columns of ``days`` and name, first of the ranges that end with the data."""
+    return ranges(days, QUICK, today=today).drop("last")

@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from ..model import CatalogMissing, Corpus
 from . import bitmaps as B
 from . import dims as D
+from . import paging
 from .filters import Filters, matching, require_kev, unmatched
 
 # The caps of the surface.
 ROWS_DEFAULT, ROWS_MAX, OFFSET_MAX = 500, 5_000, 1_000_000
 GROUPS, SERIES, CELLS = 400, 24, 3_000
 DETAIL_CAPS = {"cwes": 64, "products": 400, "versions": 800, "refs": 400}
+#: From this offset on a page is sought by counts of its sort key instead of sorting all that comes before it.
+FAR = 50_000
 SORTS = {
     "published": [F.desc_nulls_last, "published"],
     "updated": [F.desc_nulls_last, "updated"],
@@ -49,12 +52,20 @@ def _sorted(records: DataFrame, sort: str | None) -> list[Column]:
     return [how(column)] + [F.desc("id")] * (column != "cve_id")
 
 
-def rows(corpus: Corpus, filters: Filters, limit=None, offset=0, sort: str | None = None, full: bool = False, kev: bool = False) -> DataFrame:
-    """The matching records; ``full`` adds the columns of an export, ``kev`` those of the overlay."""
+def rows(corpus: Corpus, filters: Filters, limit=None, offset=0, sort: str | None = None, full: bool = False, kev: bool = False, after: tuple | None = None) -> DataFrame:
+    """The matching records; ``full`` adds the columns of an export, ``kev`` those of the overlay.
+
+    ``after``: the sort column's value and the id of the last record that was read; the page goes on from there, without an offset."""
     n, skip = clamp(limit, ROWS_DEFAULT, ROWS_MAX), clamp_offset(offset)
-    found = matching(corpus, filters)
+    found, column = matching(corpus, filters), SORTS.get(sort, SORTS["published"])[1]
+    if after is not None:
+        found, skip = paging.after(found, column, *after), 0
+    elif skip >= FAR and column != "cve_id":
+        found, skip = paging.window(found, column, skip, n + 1)
     # The page is cut first: the wide columns are joined to its few rows only.
-    page = found.orderBy(*_sorted(found, sort)).offset(skip).limit(n + 1)
+    page = found.orderBy(*_sorted(found, sort)).limit(skip + n + 1)
+    if skip:  # by number, as joins behind an offset lose the order in Spark 4.1
+        page = page.withColumn("__place", F.row_number().over(Window.orderBy(*_sorted(found, sort)))).filter(F.col("__place") > skip).drop("__place")
     page = D.join(corpus, page, "cna")
     text = corpus.cve_text.select(F.col("cve_id").alias("id"), "descr", "title", "reason")
     page = page.join(text, "id", "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times
 from ..model import DERIVED, Corpus
-from ..operators import bitmaps, search
+from ..operators import bitmaps, layout, search
 from ..sources import store
 
 
@@ -26,7 +26,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: By application and folder: the bound tables as written.
 _BOUND: dict[tuple[str, str], dict[str, DataFrame]] = {}
 #: How each table is laid out: the column that its files are ranges of, if its readers look for ranges.
-ORDER = {"cve": "cve_id", "cve_cwe": "cve_id", "cve_ref": "cve_id", "cve_prod": "cve_id", "cve_ver": "cve_id", "cve_text": "cve_id"}
+ORDER = {"cve_cwe": "cve_id", "cve_ref": "cve_id", "cve_prod": "cve_id", "cve_ver": "cve_id", "cve_text": "cve_id"}
+
+#: Records lie along a curve through the columns that ranges are asked of, and are found by value with Bloom filters.
+CURVE, SOUGHT = ["published", "cvss_score", "cna_id"], ("cve_id", "id")
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -55,10 +58,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
             if name not in held:
                 df = getattr(source, name)
                 path = f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/{name}"
-                if name in ORDER:
-                    df = df.repartitionByRange(ORDER[name]).sortWithinPartitions(ORDER[name])
-                df.write.parquet(path)
-                held[name] = spark.read.schema(df.schema).parquet(path)
+                if name == "cve":
+                    held[name] = layout.keep(df, path, CURVE, SOUGHT)
+                else:
+                    if name in ORDER:
+                        df = df.repartitionByRange(ORDER[name]).sortWithinPartitions(ORDER[name])
+                    df.write.parquet(path)
+                    held[name] = spark.read.schema(df.schema).parquet(path)
             return held[name]
 
         return get

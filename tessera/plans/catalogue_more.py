@@ -444,13 +444,30 @@ raw(
     "SELECT page_id, 'first' \"text\", NULL url FROM pages UNION ALL SELECT page_id, 'see ' || url || ' now', url FROM pages",
 )
 _TODAY = dt.date(2024, 2, 29)
-told(
+
+
+def _days(c):
+    return c.cve.select(times.moment("published").cast("date").alias("today")).filter("today is not null").distinct()
+
+
+_DAYS = "days AS (SELECT DISTINCT make_timestamp(published * 1000000)::DATE today FROM cve WHERE published IS NOT NULL)"
+_LOW, _HIGH = dt.date(1997, 6, 1), dt.date(2000, 2, 10)
+add(
     "date_shortcuts",
-    "what string, first date, last date",
-    lambda c: [(k, a, b) for k, _, a, b in times.presets((dt.date(2023, 6, 1), dt.date(2024, 2, 10)), _TODAY)] + [(f"quick {k}", a, None) for k, _, a in times.quick_ranges(_TODAY)],
-    """SELECT w what, f::DATE "first", l::DATE "last"
-FROM (VALUES ('all', NULL, NULL), ('30d', '2024-01-31', '2024-02-10'), ('90d', '2023-12-02', '2024-02-10'), ('12m', '2023-06-01', '2024-02-10'), ('24m', '2023-06-01', '2024-02-10'), ('ytd', '2024-01-01', '2024-02-10'), ('prev-year', '2023-06-01', '2023-12-31'),
-('quick all', NULL, NULL), ('quick 10y', '2014-02-24', NULL), ('quick 5y', '2019-02-25', NULL), ('quick 2y', '2022-02-28', NULL), ('quick 1y', '2023-02-27', NULL), ('quick ytd', '2024-01-01', NULL)) t(w, f, l)""",
+    lambda c: times.ranges(_days(c), times.SHORTCUTS, F.lit(_LOW), F.lit(_HIGH)),
+    f"""{_DAYS},
+r AS (SELECT today, '30d' AS name, today - 29 "first", today "last" FROM days UNION ALL SELECT today, '90d', today - 89, today FROM days
+UNION ALL SELECT today, '12m', (today - INTERVAL 12 MONTH)::DATE + 1, today FROM days UNION ALL SELECT today, '24m', (today - INTERVAL 24 MONTH)::DATE + 1, today FROM days
+UNION ALL SELECT today, 'ytd', date_trunc('year', today)::DATE, today FROM days UNION ALL SELECT today, 'prev-year', (date_trunc('year', today) - INTERVAL 1 YEAR)::DATE, date_trunc('year', today)::DATE - 1 FROM days)
+SELECT today, name, greatest("first", DATE '{_LOW}') "first", least("last", DATE '{_HIGH}') "last" FROM r WHERE "first" <= DATE '{_HIGH}' AND "last" >= DATE '{_LOW}'
+UNION ALL SELECT today, 'all', NULL, NULL FROM days""",
+)
+add(
+    "date_quick_ranges",
+    lambda c: times.opened(_days(c)),
+    f"""{_DAYS}
+SELECT today, n::VARCHAR || 'y' AS name, date_trunc('week', today - to_years(n::INT))::DATE "first" FROM days, (VALUES (10), (5), (2), (1)) v(n)
+UNION ALL SELECT today, 'ytd', date_trunc('year', today)::DATE FROM days UNION ALL SELECT today, 'all', NULL FROM days""",
 )
 told(
     "date_arithmetic",

@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import ranking, search, sketches
+from ..operators import catalog, digests, names, paging, ranking, search, sketches
+from ..operators import reports as R
+from ..operators.filters import Filters
 from ..sources import store
 from ..streaming import buckets as B
 from ..streaming import changes as C
@@ -132,6 +134,31 @@ tok AS (SELECT cve_id, unnest({TOKENS.format('descr')}) term FROM now UNION ALL
 SELECT term, count(DISTINCT cve_id) docs, count(*) places FROM tok GROUP BY 1""",
 )
 
+# --- drift --------------------------------------------------------------------------------------------------
+LEAF = 256
+
+
+def _drift(c, spark, sf, rows=False):
+    """Two copies of the records, of which one has lost some, has others changed and one too many."""
+    other = c.cve.filter("id % 2003 <> 11").withColumn("cvss_score", F.when(F.col("id") % 4001 == 13, F.lit(-1.0)).otherwise(F.col("cvss_score")))
+    other = other.unionByName(c.cve.filter("id = 1").withColumn("id", F.lit(10**9).cast("long")))
+    one = kept(spark, sf, "cve_digests", lambda: digests.tree(c.cve, leaf=LEAF))
+    two = kept(spark, sf, "other_digests", lambda: digests.tree(other, leaf=LEAF))
+    found = digests.drift(one, two, leaf=LEAF)
+    return digests.drifted(c.cve, other, found, leaf=LEAF).select("id", "copy") if rows else found
+
+
+_OTHER = """other AS (SELECT id, CASE WHEN id % 4001 = 13 THEN -1.0 ELSE cvss_score END s FROM cve WHERE id % 2003 <> 11 UNION ALL SELECT 1000000000, cvss_score FROM cve WHERE id = 1),
+lone AS (SELECT id, 1 "copy" FROM (SELECT id, cvss_score s FROM cve EXCEPT SELECT id, s FROM other) UNION ALL SELECT id, 2 FROM (SELECT id, s FROM other EXCEPT SELECT id, cvss_score FROM cve))"""
+add(
+    "id_drift",
+    _drift,
+    f"""{_OTHER},
+leaf AS (SELECT DISTINCT id // {LEAF} b FROM lone)
+SELECT b * {LEAF} "first", b * {LEAF} + {LEAF - 1} "last", (SELECT count(*) FROM cve WHERE id // {LEAF} = b) "rows", (SELECT count(*) FROM other WHERE id // {LEAF} = b) other_rows FROM leaf""",
+)
+add("id_drift_rows", lambda c, spark, sf: _drift(c, spark, sf, True), f'{_OTHER}\nSELECT id, "copy" FROM lone')
+
 # --- ranked search ----------------------------------------------------------------------------------------
 
 
@@ -194,6 +221,96 @@ SELECT cve_id, CASE WHEN w IS NOT NULL THEN CASE WHEN s > 0 THEN '…' ELSE g[1]
 || CASE WHEN s + 12 < len(w) THEN '…' WHEN len(w) = 0 THEN '' ELSE g[len(g)] END END shown FROM cut""",
 )
 
+# --- names and pages ------------------------------------------------------------------------------------------
+_PRODUCTS = "pr AS (SELECT p.id, p.vendor_id, p.name, coalesce(n, 0)::BIGINT records FROM product p LEFT JOIN (SELECT product_id, count(*) n FROM cve_prod GROUP BY 1) x ON x.product_id = p.id)"
+_TIER = "CASE WHEN lower({0}) = '{1}' THEN 3 WHEN starts_with(lower({0}), '{1}') THEN 2 WHEN contains(lower({0}), '{1}') THEN 1 ELSE 0 END"
+
+
+def _grams(spark, sf, table, name):
+    return bind.once(spark, sf, f"grams_{name}", lambda: names.keep_grams(table, f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/grams_{name}"))
+
+
+def _found(name, text, vendor_ids=None, limit=25):
+    def run(c, spark, sf):
+        index = _grams(spark, sf, getattr(c, name), name)
+        return catalog.search_vendors(c, text, limit, index) if name == "vendor" else catalog.search_products(c, text, vendor_ids, limit, index)
+
+    return run
+
+
+def _products_sql(text, limit, where=""):
+    return f"""{_PRODUCTS}
+SELECT name, records, vendors, {_TIER.format('k', text)} tier
+FROM (SELECT lower(name) k, min(name) AS name, sum(records)::BIGINT records, count(DISTINCT vendor_id) vendors FROM pr {where} GROUP BY 1)
+WHERE contains(k, '{text}') ORDER BY tier DESC, records DESC, k LIMIT {limit}"""
+
+
+add("catalog_index_products", _found("product", " Ring", None, 40), _products_sql("ring", 40))
+add("catalog_index_of_vendors", _found("product", "red", [11, 12], 15), _products_sql("red", 15, "WHERE vendor_id IN (11, 12)"))
+add("catalog_index_short", _found("product", "O", None, 30), _products_sql("o", 30))
+add("catalog_index_long", _found("product", "d ring", None, 30), _products_sql("d ring", 30))
+add(
+    "catalog_index_vendors",
+    _found("vendor", "and#1", None, 10),
+    f"""{_PRODUCTS}
+SELECT id, name, records, {_TIER.format('name', 'and#1')} tier FROM (SELECT v.id, v.name, coalesce(sum(pr.records), 0)::BIGINT records FROM vendor v
+LEFT JOIN pr ON pr.vendor_id = v.id GROUP BY 1, 2) WHERE contains(lower(name), 'and#1') ORDER BY tier DESC, records DESC, name, id LIMIT 10""",
+)
+
+
+def _assigners(c):
+    n = c.cve.filter("cna_id is not null").groupBy(F.col("cna_id").alias("id")).agg(F.count("*").alias("records"))
+    return c.cna.join(n, "id", "left").select("id", "name", F.coalesce("records", F.lit(0)).cast("long").alias("records"))
+
+
+def _ahead(text, limit=25, changed=False):
+    """Type-ahead over the kept beginnings; ``changed``: after every tenth name has got another one and every eleventh went."""
+
+    def run(c, spark, sf):
+        before = kept(spark, sf, "assigners", lambda: _assigners(c))
+        index = bind.once(spark, sf, "beginnings", lambda: names.keep_beginnings(before, f"{store.shared_dir(spark)}/bound-{uuid.uuid4().hex}/beginnings"))
+        if not changed:
+            return names.type_ahead(index, before, text, limit)
+        after = before.filter("id % 11 <> 0").withColumn("name", F.when(F.col("id") % 10 == 0, F.concat(F.lit("Customs "), "name")).otherwise(F.col("name")))
+        touched = before.filter("id % 10 = 0 or id % 11 = 0").select("id")
+        return names.type_ahead(names.maintain_beginnings(index, before, after, touched), after, text, limit)
+
+    return run
+
+
+_ASSIGNERS = "a AS (SELECT cna.id, name, count(c.id) records FROM cna LEFT JOIN cve c ON c.cna_id = cna.id GROUP BY ALL)"
+_AHEAD = "SELECT id, name, records, CASE WHEN lower(name) = '{0}' THEN 3 ELSE 2 END tier FROM {1} WHERE starts_with(lower(name), '{0}') ORDER BY tier DESC, records DESC, name, id LIMIT {2}"
+add("fts_typeahead_kept", _ahead("Customer#0000"), f"{_ASSIGNERS}\n{_AHEAD.format('customer#0000', 'a', 25)}")
+add("fts_typeahead_whole", _ahead("customer#000000012"), f"{_ASSIGNERS}\n{_AHEAD.format('customer#000000012', 'a', 25)}")
+add(
+    "fts_typeahead_maintained",
+    _ahead("custom", 25, True),
+    f"""{_ASSIGNERS},
+b AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'Customs ' || name ELSE name END AS name, records FROM a WHERE id % 11 <> 0)
+{_AHEAD.format('custom', 'b', 25)}""",
+)
+
+
+def _sought(sort, skip, take=100):
+    """A page of the list of all records, sought with so few rows left to sort that every table is narrowed."""
+
+    def run(c, spark, sf):
+        found, rest = paging.window(c.cve, sort, skip(c), take, few=50)
+        return found.orderBy(F.desc_nulls_last(sort), F.desc("id")).offset(rest).limit(take).select("id", sort)
+
+    return run
+
+
+_MIDDLE = lambda c: c.cve.count() // 2
+for _sort in ("published", "updated"):
+    add(f"rows_seek_{_sort}", _sought(_sort, _MIDDLE), f"SELECT id, {_sort} FROM cve ORDER BY {_sort} DESC NULLS LAST, id DESC LIMIT 100 OFFSET (SELECT count(*) // 2 FROM cve)")
+add("rows_seek_nulls", _sought("cvss_score", lambda c: c.cve.filter("cvss_score is not null").count() - 40), "SELECT id, cvss_score FROM cve ORDER BY cvss_score DESC NULLS LAST, id DESC LIMIT 100 OFFSET (SELECT count(cvss_score) - 40 FROM cve)")
+add(
+    "rows_after",
+    lambda c, spark, sf: R.rows(c, Filters(), 50, sort="score", after=(100_000.0, 0)).select("cve", "cvss_score"),
+    "SELECT cve_id cve, cvss_score FROM cve WHERE state = 1 AND (cvss_score < 100000 OR cvss_score IS NULL) ORDER BY cvss_score DESC NULLS LAST, id DESC LIMIT 51",
+)
+
 # --- sketches ----------------------------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from ..model import Corpus
 MOST_ROWS, MOST_CELL, MOST_CHARS, SECONDS = 1_000, 1 << 20, 8_000_000, 60
 #: Of what it may cost: bytes that it reads, by what is known of the files, and bytes of the smaller side of a join without equal keys.
 MOST_READ, MOST_NESTED = 1 << 40, 16 << 10
+UNKNOWN = (1 << 63) - 1
 #: Of a statement.
 MOST_SQL, MOST_ARGS, MOST_ARG = 65_536, 1_000, 65_536
 # The same for a query that comes from outside.
@@ -133,7 +134,7 @@ def inspect_analysed(plan) -> None:
 
 @dataclass(frozen=True)
 class Cost:
-    """What Spark expects of an optimised plan: bytes read, and of each join without equal keys the bytes of its smaller side."""
+    """What Spark expects of an optimised plan: bytes read (of tables whose size is known), and of each join without equal keys the bytes of its smaller side."""
 
     read: int
     nested: list[int]
@@ -145,7 +146,7 @@ def cost(df: DataFrame) -> Cost:
     for node, _ in _walk(df._jdf.queryExecution().optimizedPlan()):
         size = lambda n: int(str(n.stats().sizeInBytes()))
         if not node.children().size():
-            read += size(node)
+            read += size(node) if size(node) < UNKNOWN else 0
         elif _kind(node) == "Join" and keys.unapply(node).isEmpty():
             nested.append(min(size(node.left()), size(node.right())))
     return Cost(read, nested)

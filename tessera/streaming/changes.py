@@ -353,20 +353,19 @@ def record(spark: SparkSession, path: str, token: str, rev: int, prints: dict[st
 def check_lineage(held: dict, token: str | None, published: bool, seed_rev: int | None = None, seed: dict[str, str] | None = None, adopt: bool = False) -> None:
     """Refuse a corpus whose ids aren't those that the copies out there have.
 
-    ``published``: whether anything is published; ``seed``: fingerprints of the corpus it was built from."""
-    if not token:
-        raise Refused("the corpus doesn't tell its id space")
-    if held["token"] and held["token"] != token:
-        raise Refused(f"the ids are of space {token}, those published of {held['token']}")
-    if not held["token"] and published and not adopt:
-        raise Refused("what is published doesn't tell its id space: adopt this one expressly")
-    if seed_rev is None or seed is None:
-        return
-    at = held["space"].get(str(seed_rev))
-    if at is None and held["space"]:
-        raise Refused(f"nothing is recorded of the ids of revision {seed_rev}")
-    if at is not None and at != seed:
-        raise Refused(f"the corpus continues another revision {seed_rev} than the one published")
+    ``published``: whether anything is published; ``seed``: fingerprints of the corpus it was built from, at ``seed_rev``."""
+    known, recorded = held["token"], held["space"]
+    built_on = None if seed is None or seed_rev is None else (str(seed_rev), seed)
+    rules = {
+        "its id space has a name": bool(token),
+        "the name is that of what is published": not known or not token or known == token,
+        "what is published has a name, or this one is adopted expressly": bool(known) or not published or adopt,
+        "the revision that it was built on is recorded": built_on is None or not recorded or built_on[0] in recorded,
+        "that revision is recorded with the same ids": built_on is None or recorded.get(built_on[0], built_on[1]) == built_on[1],
+    }
+    broken = [rule for rule, holds in rules.items() if not holds]
+    if broken:
+        raise Refused(f"the ids don't continue those published: not so that {'; '.join(broken)}")
 
 
 def sync(spark: SparkSession, copy: str, deltas: str, edges: list[tuple[int, int]], head: int) -> list[int]:

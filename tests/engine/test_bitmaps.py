@@ -63,5 +63,5 @@ def test_bitmaps_follow_a_delta_and_go_with_their_links(spark):
 def test_only_full_axes_are_kept(spark, monkeypatch):
     c = make(spark)
     assert not bitmaps.dense(c, "vendor")
-    monkeypatch.setattr(bitmaps, "DENSE", 2)
+    monkeypatch.setattr(bitmaps, "DENSE", 1)
     assert bitmaps.dense(c, "vendor") and not bitmaps.dense(c.having(cve_prod=c.cve_prod.limit(0)), "vendor")
