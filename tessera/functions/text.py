@@ -48,7 +48,8 @@ def storable(c: Column) -> Column:
     escape = r"(?<!\\)(?:\\\\)*\\u"
     high, low = r"[dD][89abAB][0-9a-fA-F]{2}", r"[dD][c-fC-F][0-9a-fA-F]{2}"
     pairs = F.regexp_replace(c, rf"({escape}){high}\\u{low}", "")
-    return ~F.coalesce(pairs.rlike(rf"{escape}[dD][89a-fA-F][0-9a-fA-F]{{2}}"), F.lit(False))
+    lone = ~F.coalesce(pairs.rlike(rf"{escape}[dD][89a-fA-F][0-9a-fA-F]{{2}}"), F.lit(False))
+    return F.when(F.contains(c, F.lit("\\u")), lone).otherwise(True)  # most texts have no escape at all
 
 
 def host(url: Column) -> Column:

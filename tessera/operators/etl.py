@@ -27,6 +27,7 @@ RECORD = f"struct<cveMetadata: struct<cveId: string, state: string, assignerShor
 STATES = {"PUBLISHED": 1, "REJECTED": 2}
 STATUSES = {"affected": 1, "unaffected": 2, "unknown": 3}
 DEFAULT_ORDER = {1: 0, 3: 1, 2: 2}  # affected before unknown before unaffected
+NAMED = "struct<cveMetadata: struct<cveId: string>>"
 VERSIONS = (("cvssV4_0", 4), ("cvssV3_1", 31), ("cvssV3_0", 30), ("cvssV2_0", 2))  # by preference
 SSVC = {"Exploitation": {"none": 0, "poc": 1, "active": 2}, "Automatable": {"no": 0, "yes": 1}, "Technical Impact": {"partial": 0, "total": 1}}
 
@@ -39,17 +40,30 @@ def _code(c: Column, words: dict[str, int], otherwise=None) -> Column:
 
 
 def parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """raw: path, text.  Records (path, id, r) and what was skipped (path, reason): not JSON, text that can't be stored, no usable id, or an id that an earlier path has.
-
-    Only rows with an id meet others of the same id, by path, as raw text; what has none is judged alone.  A record is parsed once, where it stays."""
-    rows = raw.select("path", "text", F.get_json_object("text", "$.cveMetadata").isNotNull().alias("is_record"), F.upper(F.trim(F.get_json_object("text", "$.cveMetadata.cveId"))).alias("id"))
-    usable = F.coalesce(T.is_cve_id(F.col("id")), F.lit(False))
-    reason = F.when(~F.coalesce("is_record", F.lit(False)), "not a record").when(~T.storable(F.col("text")), "text that can't be stored").when(~usable, "no usable id")
-    rows = rows.withColumn("reason", reason)
-    first = rows.filter("reason is null").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path")))
-    good = first.filter("n = 1").select("path", "id", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"))
-    skipped = rows.filter("reason is not null").select("path", "reason")
-    return good, skipped.unionByName(first.filter("n > 1").select("path", F.lit("id seen before").alias("reason")))
+    """raw: path (each once), text.  Records (path, id, r) and what was skipped (path, reason): not JSON, text that can't be stored, no usable id, or an id that an earlier path has.
+
+    A first pass tells each path's id and what is wrong with it, which is a narrow table; ids of several paths are found in that.  A second pass parses the records where they lie, so no text is shuffled."""
+    found = F.from_json("text", NAMED, {"mode": "PERMISSIVE"})["cveMetadata"]["cveId"]
+    is_record = found.isNotNull() | F.get_json_object("text", "$.cveMetadata").isNotNull()
+    told = raw.select("path", found.alias("found"), F.coalesce(is_record, F.lit(False)).alias("is_record"), T.storable(F.col("text")).alias("storable"))
+    told = told.withColumn("id", _identifier(F.col("found")))
+    reason = F.when(~F.col("is_record"), "not a record").when(~F.col("storable"), "text that can't be stored").when(F.col("id").isNull(), "no usable id")
+    told = written(told.select("path", "id", reason.alias("reason")), "paths")
+    sound = told.filter("reason is null")
+    # Ids of several paths: the first path has them.
+    twice = sound.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1").select("id", "first")
+    rows = raw.filter(T.storable(F.col("text"))).select("path", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"), "text")
+    # Were a record's other fields to spoil it, its id would be read as in the first pass.
+    rows = rows.withColumn("id", _identifier(F.coalesce("r.cveMetadata.cveId", found))).filter("id is not null").drop("text")
+    good = rows.join(twice, "id", "left").filter("first is null or path = first").select("path", "id", "r")
+    later = sound.join(twice, "id").filter("path <> first").select("path", F.lit("id seen before").alias("reason"))
+    return good, told.filter("reason is not null").select("path", "reason").unionByName(later)
+
+
+def _identifier(text: Column) -> Column:
+    """The id that a record tells, in upper case; null if it is none."""
+    id = F.upper(F.trim(text))
+    return F.when(T.is_cve_id(id), id)
 
 
 def _score(c: Column) -> Column:

@@ -14,7 +14,7 @@ from ..sources.sinks import digests
 from ..streaming import changes as C
 from ..streaming import streams
 from . import guard
-from .bind import corpus, kept, load, oracle
+from .bind import SQL, corpus, kept, load, oracle
 from .catalogue_reports import KEV_OF, cross_sql
 from .report import parse, run
 
@@ -311,7 +311,7 @@ def sql(name, text, duck=None):
 sql(
     "window",
     """SELECT cna_id, id, row_number() OVER (PARTITION BY cna_id ORDER BY cvss_score DESC NULLS LAST, id) AS rn, lag(id) OVER (PARTITION BY cna_id
-ORDER BY id) AS before FROM cve WHERE cna_id < 50""",
+ORDER BY id) AS before FROM cve""",
 )
 sql("union", "SELECT id AS k FROM vendor UNION SELECT id AS k FROM host")
 sql("union_all", "SELECT id AS k FROM vendor UNION ALL SELECT id AS k FROM host")
@@ -332,18 +332,20 @@ WHERE p.vendor_id = v.id AND p.id < 40)""",
 sql("rollup", "SELECT state, cvss_sev, count(*) AS n FROM cve GROUP BY ROLLUP (state, cvss_sev)")
 sql(
     "group_concat",
-    "SELECT vendor_id, listagg(name, ',') WITHIN GROUP (ORDER BY id) AS names FROM product WHERE id <= 60 GROUP BY vendor_id",
-    "SELECT vendor_id, string_agg(name, ',' ORDER BY id) AS names FROM product WHERE id <= 60 GROUP BY vendor_id",
+    "SELECT vendor_id, listagg(name, ',') WITHIN GROUP (ORDER BY id) AS names FROM product GROUP BY vendor_id",
+    "SELECT vendor_id, string_agg(name, ',' ORDER BY id) AS names FROM product GROUP BY vendor_id",
 )
 sql(
     "functions",
     """SELECT id, substring(cve_id, 5, 4) AS y, instr(cve_id, '-') AS dash, upper(cvss_vec) AS u, coalesce(cvss_sev, -1) AS s, nullif(state, 2) AS st, greatest(id, 100) AS g, format_string('%05d', id) AS f
-FROM cve WHERE id < 500""",
+FROM cve""",
     """SELECT id, substring(cve_id, 5, 4) AS y, instr(cve_id, '-')::INT AS dash, upper(cvss_vec) AS u, coalesce(cvss_sev, -1) AS s, nullif(state, 2) AS st, greatest(id, 100) AS g, printf('%05d', id) AS f
-FROM cve WHERE id < 500""",
+FROM cve""",
 )
-QUERIES["sql_recursive"] = lambda spark, sf: guard.frame(spark, corpus(spark, sf), "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
-ORACLES["sql_recursive"] = "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t"
+_WALK = """t(id, name, depth) AS (SELECT id, name, 0 FROM host WHERE id = (SELECT min(id) FROM host)
+UNION ALL SELECT h.id, h.name, t.depth + 1 FROM t JOIN host h ON h.id = t.id * 2 OR h.id = t.id + 3 WHERE t.depth < 4) SELECT id, name, depth FROM t"""
+sql("recursive", f"WITH RECURSIVE {_WALK}")
+ORACLES["sql_recursive"] = f"WITH RECURSIVE {SQL.strip()},\n{_WALK}"
 
 # --- streams (an addition, no counterpart in the data model) -----------------------------------------
 raw(

@@ -81,7 +81,6 @@ def _published(c):
     spark = c.cve.sparkSession
     copy, deltas = folder(spark), folder(spark)
     small = from_one(c)
-    small = small.having(cve=small.cve.filter("id < 400"))
     C.save(small, copy, 1)
     delta = _delta(small)[2]
     ids = delta.tables["cve"].selectExpr("id cve_id")
@@ -95,7 +94,7 @@ def _published(c):
 add(
     "delta_sync",
     lambda c: _published(c).cve.select("id", "cvss_score"),
-    "SELECT id + 1 AS id, CASE WHEN (id + 1) % 6 = 0 THEN 1.0 ELSE cvss_score END cvss_score FROM cve WHERE (id + 1) % 13 <> 5 AND id + 1 < 400",
+    "SELECT id + 1 AS id, CASE WHEN (id + 1) % 6 = 0 THEN 1.0 ELSE cvss_score END cvss_score FROM cve WHERE (id + 1) % 13 <> 5",
 )
 
 
@@ -103,7 +102,7 @@ def _resumed(c):
     """A pinned run that is finished after a break, and asked again."""
     spark = c.cve.sparkSession
     copy, deltas = folder(spark), folder(spark)
-    small = c.having(kev=None, postings=None, cve=c.cve.filter("id < 50"))
+    small = c.having(kev=None, postings=None)
     C.save(small, copy, 1)
     after = small.having(cve=small.cve.filter("id <> 7"))
     changes = small.cve.filter("id = 7").selectExpr("cve_id", "'deleted' kind")
@@ -141,7 +140,10 @@ told(
 
 
 def _lineage(c):
-    held, seed = {"token": "t", "space": {"3": {"cna": "a"}}}, {"cna": "a"}
+    """Fingerprints of the lookups' ids: those of the corpus, and of one whose assigners begin elsewhere."""
+    seed = {n: etl.fingerprint(getattr(c, n).select("id", "name")) for n in ("cna", "vendor", "host")}
+    sibling = seed | {"cna": etl.fingerprint(c.cna.select((F.col("id") + 1).alias("id"), "name"))}
+    held = {"token": "t", "space": {"3": seed}}
     cases = [
         ("same", lambda: C.check_lineage(held, "t", True, 3, seed)),
         ("no token", lambda: C.check_lineage(held, None, True)),
@@ -150,7 +152,7 @@ def _lineage(c):
         ("adopted", lambda: C.check_lineage({"token": None, "space": {}}, "t", True, adopt=True)),
         ("first", lambda: C.check_lineage({"token": None, "space": {}}, "t", False)),
         ("unrecorded", lambda: C.check_lineage(held, "t", True, 2, seed)),
-        ("sibling", lambda: C.check_lineage(held, "t", True, 3, {"cna": "b"})),
+        ("sibling", lambda: C.check_lineage(held, "t", True, 3, sibling)),
     ]
     return [(n, refused(f)) for n, f in cases]
 
@@ -195,19 +197,29 @@ told(
     """SELECT *
 FROM (VALUES ('too many', 'Refused'), ('few enough', ''), ('no limit', 'ValueError'), ('passes differ', 'Refused'), ('no catalog', 'CatalogMissing'), ('wrong revision', 'Refused')) t(what, answer)""",
 )
+
+
+def _planned(c):
+    """Of each revision of a graph over the ids of weaknesses (each leads to the next, some to the fourth after it) the way to the last one, and what a rotation keeps."""
+    ids = sorted(r["id"] for r in c.cwe.select("id").collect())  # a manifest's revisions
+    head = ids[-1]
+    edges = [(a, a + 1) for a in ids if a < head] + [(a, a + 4) for a in ids if a % 3 == 0 and a + 4 <= head and a != 6]
+    plans = [(r, C.plan_sync(edges, r, head)) for r in ids]
+    kept, serve, floor = C.rotation(ids, edges, 5)
+    return [(r, len(p), p[0][1] - r if p else 0, r in kept, sum(e[0] == r for e in serve), r >= floor) for r, p in plans]
+
+
 told(
     "sync_plan",
-    "what string, answer string",
-    lambda c: [
-        ("shortest", str(C.plan_sync([(1, 2), (2, 3), (1, 3), (3, 4)], 1, 4))),
-        ("there", str(C.plan_sync([], 4, 4))),
-        ("none", str(C.plan_sync([(1, 2)], 1, 4))),
-        ("untiled", str(C.untiled([(1, 2), (3, 4)], 4))),
-        ("retained", str(C.retained([1, 2, 3, 9], 2, 1))),
-        ("rotation", str(C.rotation([3, 7, 9], [(1, 3), (3, 7), (7, 9), (8, 9)], 2))),
-    ],
-    """SELECT *
-FROM (VALUES ('shortest', '[(1, 3), (3, 4)]'), ('there', '[]'), ('none', 'None'), ('untiled', '[1, 2]'), ('retained', '[1, 3, 9]'), ('rotation', '([7, 9], [(7, 9), (8, 9)], 7)')) t(what, answer)""",
+    "rev long, files int, first_step long, kept boolean, deltas int, served boolean",
+    _planned,
+    """edge AS (SELECT id a, id + 1 b FROM cwe WHERE id < (SELECT max(id) FROM cwe)
+UNION ALL SELECT id, id + 4 FROM cwe WHERE id % 3 = 0 AND id + 4 <= (SELECT max(id) FROM cwe) AND id <> 6),
+way AS (SELECT * FROM (WITH RECURSIVE w(rev, pos, n, step) AS (SELECT id, id, 0, 0::BIGINT FROM cwe
+UNION ALL SELECT w.rev, e.b, n + 1, CASE WHEN n = 0 THEN e.b - e.a ELSE step END FROM w JOIN edge e ON e.a = w.pos) SELECT rev, pos, n, step FROM w)),
+done AS (SELECT rev, n, max(step) step FROM way WHERE pos = (SELECT max(id) FROM cwe) GROUP BY rev, n),
+best AS (SELECT rev, min(n) n, arg_min(step, n) step FROM done GROUP BY rev)
+SELECT rev, n::INT files, step first_step, rev > (SELECT max(id) - 5 FROM cwe) kept, (SELECT count(*) FROM edge WHERE a = rev AND a > (SELECT max(id) - 5 FROM cwe))::INT deltas, rev > (SELECT max(id) - 5 FROM cwe) served FROM best""",
 )
 told(
     "promotion_gate",
@@ -299,32 +311,26 @@ FROM (VALUES ('rows', '5'), ('truncated', 'True'), ('cells', '[50, 4]'), ('chara
 
 
 def _reports(c):
-    value = {"v": 1, "title": "t", "rows": "month", "series": "severity", "filters": {"severity": [4, -1], "vendor": ["x"], "score_min": 7}}
-    r = report.parse(value)
-    f = Filters(severity=(0, 4, -1), vendor=("a", "b"), published_from=1_704_067_200, score_min=7.0)
-    shelf = report.Shelf(most_recent=2)
-    shelf.save(r)
-    shelf.save(r)
-    for k in range(3):
-        shelf.visit(report.parse({**value, "title": f"t{k}"}))
-    return [
-        ("fragment", str(report.from_fragment(report.to_fragment(r)) == r)),
-        ("form", str(report.from_form(report.to_form(f)) == f)),
-        ("unknown key", refused(lambda: report.parse({**value, "more": 1}))),
-        ("saved", str(len(shelf.saved))),
-        ("recent", str(len(shelf.recent))),
-        ("slug", T.slug("A b/c!")),
-        ("inline", T.inline("a = ? and b = '?'", ["o'x"])),
-        ("counts", T.short_count(1_234_000)),
-    ]
+    """Each vendor's report: whether it comes back whole from its fragment and its form, its file's name, and its name inside a statement."""
+    out, shelf = [], report.Shelf(most_recent=2)
+    for r in c.vendor.orderBy("id").collect():  # 25 names
+        value = {"v": 1, "title": r["name"], "rows": "month", "series": "severity", "filters": {"severity": [r["id"] % 5, -1], "vendor": [r["name"]], "score_min": r["id"] % 10}}
+        made = report.parse(value)
+        f = Filters(severity=(r["id"] % 5, -1), vendor=(r["name"],), published_from=1_704_067_200 + 86_400 * r["id"], score_min=float(r["id"] % 10))
+        for _ in range(2):
+            shelf.save(made)
+            shelf.visit(made)
+        refusal = refused(lambda value=value: report.parse({**value, "more": 1}))
+        out.append((r["id"], report.from_fragment(report.to_fragment(made)) == made, report.from_form(report.to_form(f)) == f, T.slug(r["name"] + "/x!"), T.inline("a = ? and b = '?'", [r["name"] + "'"]), refusal, len(shelf.saved), len(shelf.recent)))
+    return out
 
 
 told(
     "report_forms",
-    "what string, answer string",
+    "id long, fragment boolean, form boolean, slug string, inlined string, unknown_key string, saved int, recent int",
     _reports,
-    """SELECT *
-FROM (VALUES ('fragment', 'True'), ('form', 'True'), ('unknown key', 'Invalid'), ('saved', '1'), ('recent', '2'), ('slug', 'a-b-c'), ('inline', 'a = ''o''''x'' and b = ''?'''), ('counts', '1.2M')) t(what, answer)""",
+    """SELECT id, true fragment, true form, lower(replace(name, '#', '-')) || '-x' slug, 'a = ''' || name || ''''''' and b = ''?''' inlined, 'Invalid' unknown_key,
+row_number() OVER (ORDER BY id)::INT saved, least(row_number() OVER (ORDER BY id), 2)::INT recent FROM vendor""",
 )
 
 # --- scores ------------------------------------------------------------------------------------------------
@@ -443,7 +449,6 @@ raw(
     lambda s, sf: load(s, sf, "pages").select("page_id", F.explode(T.notes(F.concat(F.lit("first;; see "), "url", F.lit(" now ;")))).alias("n")).select("page_id", "n.text", "n.url"),
     "SELECT page_id, 'first' \"text\", NULL url FROM pages UNION ALL SELECT page_id, 'see ' || url || ' now', url FROM pages",
 )
-_TODAY = dt.date(2024, 2, 29)
 
 
 def _days(c):
@@ -469,23 +474,31 @@ add(
 SELECT today, n::VARCHAR || 'y' AS name, date_trunc('week', today - to_years(n::INT))::DATE "first" FROM days, (VALUES (10), (5), (2), (1)) v(n)
 UNION ALL SELECT today, 'ytd', date_trunc('year', today)::DATE FROM days UNION ALL SELECT today, 'all', NULL FROM days""",
 )
+
+
+def _spans(c):
+    """Of each year of the records: the days that its number means, the buckets from its first day to the last of all, the grain for so many, and how old it is then."""
+    years = sorted(r["y"] for r in c.cve.select(times.year_of().alias("y")).distinct().collect() if r["y"])  # as many as there are years
+    last = times.lenient_day(years[-1], True)
+    at = lambda day: dt.datetime.combine(day, dt.time(), dt.UTC).timestamp()
+    out = []
+    for y in years:
+        first = times.lenient_day(y)
+        age = times.freshness(at(first), at(last))
+        days = [first, times.lenient_day(f"{y}-2", True), times.lenient_day(f"{y}0304"), times.lenient_day(f"{y}-13")]
+        out.append((y, *days, *[times.span(first, last, g) for g in ("week", "month", "quarter", "year")], times.coarsen(first, last, "week", 60), age["phrase"], age["stale"]))
+    return out
+
+
 told(
     "date_arithmetic",
-    "what string, answer string",
-    lambda c: [
-        ("lenient", str([str(times.lenient_day(x)) for x in ("2025", "2025-3", "2025-03-04", "20250304", "2025-13", "x")])),
-        ("lenient end", str([str(times.lenient_day(x, True)) for x in ("2025", "2024-2")])),
-        ("span", str([times.span(dt.date(2023, 12, 31), dt.date(2024, 1, 8), g) for g in ("week", "month", "quarter", "year")])),
-        ("coarsen", str([times.coarsen(dt.date(1999, 1, 1), _TODAY, "week", n) for n in (2_000, 400, 120, 30)])),
-        ("age", str([times.freshness(1_000_000, 1_000_000 + s)["phrase"] for s in (-5, 4_000, 90_000, 300_000)])),
-        ("stale", str([times.is_stale(3 * 86_400, limit) for limit in (times.STALE, times.KEV_STALE, times.AUTO_SYNC)])),
-        ("no time", str([times.freshness(x, 5) for x in (None, 0, float("nan"), True)])),
-        ("span of chart", str(chart.time_span(None, dt.date(2030, 1, 1), dt.date(2020, 1, 1), dt.date(2025, 1, 1)))),
-        ("ticks", str(T.nice_ticks(7))),
-    ],
-    """SELECT *
-FROM (VALUES ('lenient', '[''2025-01-01'', ''2025-03-01'', ''2025-03-04'', ''2025-03-04'', ''None'', ''None'']'), ('lenient end', '[''2025-12-31'', ''2024-02-29'']'), ('span', '[3, 2, 2, 2]'), ('coarsen', '[''week'', ''month'', ''quarter'', ''year'']'),
-('age', '[''less than an hour old'', ''1 hour old'', ''1 day old'', ''3 days old'']'), ('stale', '[True, False, True]'), ('no time', '[None, None, None, None]'), ('span of chart', '(datetime.date(2020, 1, 1), datetime.date(2025, 1, 1), False)'), ('ticks', '[0, 2, 4, 6, 8]')) t(what, answer)""",
+    "y string, first date, february date, march date, nothing date, weeks int, months int, quarters int, years int, grain string, age string, stale boolean",
+    _spans,
+    """d AS (SELECT DISTINCT strftime(make_timestamp(published * 1000000), '%Y') y FROM cve WHERE published IS NOT NULL),
+e AS (SELECT y, (y || '-01-01')::DATE f, (max(y) OVER () || '-12-31')::DATE l FROM d),
+n AS (SELECT *, (date_diff('day', date_trunc('week', f), date_trunc('week', l)) // 7 + 1)::INT w, (date_diff('month', f, l) + 1)::INT m, (date_diff('quarter', f, l) + 1)::INT q, (date_diff('year', f, l) + 1)::INT k FROM e)
+SELECT y, f "first", last_day((y || '-02-01')::DATE) february, (y || '-03-04')::DATE march, NULL::DATE nothing, w AS "weeks", m AS "months", q AS "quarters", k AS "years",
+CASE WHEN w <= 60 THEN 'week' WHEN m <= 60 THEN 'month' WHEN q <= 60 THEN 'quarter' ELSE 'year' END grain, date_diff('day', f, l) || ' days old' age, true stale FROM n""",
 )
 raw(
     "budget_of_rows",

@@ -234,13 +234,13 @@ _export = lambda c: sinks.records(c, Filters()).select("cve", "state", "cna", "t
 add("csv_guard", lambda c: sinks.csv_lines(_export(c)), f"{_LIST}\nSELECT {' || chr(44) || '.join(map(_field, ('cve', 'state', 'cna', 'title')))} line FROM e")
 raw(
     "csv_guard_text",
-    lambda spark, sf: sinks.csv_lines(load(spark, sf, "documents").select("doc_id", _odd(F.substring("text", 1, 30)).alias("x"))),
-    f"SELECT {_field('doc_id')} || ',' || {_field('x')} line FROM (SELECT doc_id, {_ODD_SQL} || substr(text, 1, 30) x FROM documents)",
+    lambda spark, sf: sinks.csv_lines(load(spark, sf, "documents").select("doc_id", _odd(F.col("text")).alias("x"))),
+    f"SELECT {_field('doc_id')} || ',' || {_field('x')} line FROM (SELECT doc_id, {_ODD_SQL} || text x FROM documents)",
 )
 raw(
     "sheet_cells",
-    lambda spark, sf: sinks.sheet_rows(load(spark, sf, "documents").select((-F.col("doc_id")).alias("n"), _odd(F.substring("text", 1, 20)).alias("x"))),
-    f"SELECT (-doc_id)::VARCHAR || chr(9) || {_guarded('x')} line FROM (SELECT doc_id, {_ODD_SQL} || substr(text, 1, 20) x FROM documents)",
+    lambda spark, sf: sinks.sheet_rows(load(spark, sf, "documents").select((-F.col("doc_id")).alias("n"), _odd(F.col("text")).alias("x"))),
+    f"SELECT (-doc_id)::VARCHAR || chr(9) || {_guarded('x')} line FROM (SELECT doc_id, {_ODD_SQL} || text x FROM documents)",
 )
 add(
     "json_rows",
@@ -292,14 +292,14 @@ raw(
 )
 raw(
     "strip_controls",
-    lambda spark, sf: load(spark, sf, "documents").select("doc_id", T.strip_controls(_odd(F.substring("text", 1, 40))).alias("x")),
-    f"SELECT doc_id, {_CLEAN.format('x')} x FROM (SELECT doc_id, {_ODD_SQL} || substr(text, 1, 40) x FROM documents)",
+    lambda spark, sf: load(spark, sf, "documents").select("doc_id", T.strip_controls(_odd(F.col("text"))).alias("x")),
+    f"SELECT doc_id, {_CLEAN.format('x')} x FROM (SELECT doc_id, {_ODD_SQL} || text x FROM documents)",
 )
 raw(
     "strip_invisible",
-    lambda spark, sf: load(spark, sf, "documents").select("doc_id", T.strip_invisible(F.concat(_odd(F.substring("text", 1, 9)), F.lit("\u200b\u2028\u2029\u202f\ufeff\U000e0041"))).alias("x")),
+    lambda spark, sf: load(spark, sf, "documents").select("doc_id", T.strip_invisible(F.concat(_odd(F.col("text")), F.lit("\u200b\u2028\u2029\u202f\ufeff\U000e0041"))).alias("x")),
     f"""SELECT doc_id, replace(replace({_CLEAN.format('x')}, chr(8206), ' '), chr(1564), ' ') || '      ' x
-FROM (SELECT doc_id, {_ODD_SQL} || substr(text, 1, 9) x FROM documents)""",
+FROM (SELECT doc_id, {_ODD_SQL} || text x FROM documents)""",
 )
 raw(
     "version_order",
