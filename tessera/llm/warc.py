@@ -147,7 +147,8 @@ def plan(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     # Only ids and digests meet here; the counts are summed before they are shuffled, so a payload that many pages share is a few rows.
     keys = whole.select("page_id", "sha1", "length").filter((F.col("length") >= min_payload) & F.col("page_id").isNotNull())
     tops = common.cut(keys.groupBy("sha1", "length").agg(F.max("page_id").alias("top"), F.min("page_id").alias("least")).filter("least < top").select("sha1", "length", "top"), "warc-tops")
-    revisits = keys.join(tops, ["sha1", "length"]).filter("page_id < top").select("page_id", "sha1", "top").distinct()
+    # Written, so that Spark knows their size: few revisits are sent to the pages, and no page is shuffled for them.
+    revisits = common.cut(keys.join(tops, ["sha1", "length"]).filter("page_id < top").select("page_id", "sha1", "top").distinct(), "warc-revisits")
     return whole.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "length", "sha1", "top", F.when(F.col("top").isNull(), F.col("html")).alias("html"))
 
 
