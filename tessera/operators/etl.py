@@ -52,10 +52,9 @@ def parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     sound = told.filter("reason is null")
     # Ids of several paths: the first path has them.
     twice = sound.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("first")).filter("n > 1").select("id", "first")
-    rows = raw.filter(T.storable(F.col("text"))).select("path", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"), "text")
-    # Were a record's other fields to spoil it, its id would be read as in the first pass.
-    rows = rows.withColumn("id", _identifier(F.coalesce("r.cveMetadata.cveId", found))).filter("id is not null").drop("text")
-    good = rows.join(twice, "id", "left").filter("first is null or path = first").select("path", "id", "r")
+    # The id is read by itself again: taken from the whole record, it would have that parsed for the filter as well as for the result.
+    rows = raw.filter(T.storable(F.col("text"))).select("path", _identifier(found).alias("id"), "text").filter("id is not null")
+    good = rows.join(twice, "id", "left").filter("first is null or path = first").select("path", "id", F.from_json("text", RECORD, {"mode": "PERMISSIVE"}).alias("r"))
     later = sound.join(twice, "id").filter("path <> first").select("path", F.lit("id seen before").alias("reason"))
     return good, told.filter("reason is not null").select("path", "reason").unionByName(later)
 

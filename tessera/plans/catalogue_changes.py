@@ -47,8 +47,8 @@ RAW = f"""to_json(struct(
 
 
 def raw_records(spark, sf):
-    """The records as they come from their files: path and text."""
-    return kept(spark, sf, "raw-records", lambda: load(spark, sf, "orders").selectExpr(PATH, RAW))
+    """The records as they come from their files: path and text, in two files a core, as a clone's many files would be dealt."""
+    return kept(spark, sf, "raw-records", lambda: load(spark, sf, "orders").selectExpr(PATH, RAW).repartition(2 * spark.sparkContext.defaultParallelism))
 
 
 _GOOD = "o AS (SELECT *, o_orderkey - (o_orderkey % 50) // 49 k FROM orders), g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY 'CVE-' || (1999 + k % 9) || '-' || lpad(k::VARCHAR, 7, '0') ORDER BY 'records/' || (o_orderkey % 10) || '/' || o_orderkey) n FROM o))"
