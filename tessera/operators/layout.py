@@ -18,12 +18,12 @@ GROUP = 1 << 20
 
 
 def _rank(df: DataFrame, column: str, bounds: list[float], out: str) -> DataFrame:
-    """How many of the sorted bounds (2 ** BITS - 1 of them) a value reaches, by halving."""
+    """How many of the sorted bounds (2 ** BITS - 1 of them) lie below a value, by halving; so a value that very many rows have is apart from those above it."""
     held = F.array(*[F.lit(float(b)) for b in bounds])
     df = df.withColumn(out, F.lit(0))
     for bit in range(BITS - 1, -1, -1):
         step = 1 << bit
-        more = F.element_at(held, F.col(out) + step) <= F.col(column)
+        more = F.element_at(held, F.col(out) + step) < F.col(column)
         df = df.withColumn(out, F.col(out) + F.when(more, step).otherwise(0))
     return df
 

@@ -1,7 +1,5 @@
 """Counts from kept bitmaps are the counts from links, also after a delta."""
 
-import itertools
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +32,11 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize(("a", "b"), [p for p in itertools.permutations(["vendor", "cwe", "host", "severity", "year", "kev", "product"], 2) if set(p) & set(bitmaps.AXES)])
+@pytest.mark.parametrize(("a", "b"), [("vendor", "cwe"), ("cwe", "host"), ("host", "severity"), ("severity", "vendor"), ("kev", "cwe"), ("vendor", "product")])
 def test_cross_tabs_agree(both, a, b):
     plain, kept = both
-    for filters in (Filters(), Filters(severity=(4,), state="all")):
-        assert rows(R.cross(kept, filters, a, b)) == rows(R.cross(plain, filters, a, b))
+    filters = Filters(severity=(4,), state="all")
+    assert rows(R.cross(kept, filters, a, b)) == rows(R.cross(plain, filters, a, b))
     assert rows(R.cross(kept, Filters(), a, b, 1, 2)) == rows(R.cross(plain, Filters(), a, b, 1, 2))
 
 

@@ -27,7 +27,11 @@ def corpus(spark):
     return make(spark)
 
 
-@pytest.mark.parametrize("statement", [*(f"SELECT {f} AS x FROM cve" for f in [*ACCEPTED, *AGGREGATES]), *PIPES])
+def together(functions):
+    return f"SELECT {', '.join(f'{f} AS x{i}' for i, f in enumerate(functions))} FROM cve"
+
+
+@pytest.mark.parametrize("statement", [together(ACCEPTED), together(AGGREGATES), *PIPES])
 def test_accepted(spark, corpus, statement):
     guard.frame(spark, corpus, statement)
 

@@ -30,8 +30,8 @@ def test_pages_of_every_kind(lists):
     for column in ("score", "at"):
         k = 1 if column == "score" else 2
         known = sum(r[k] is not None for r in rows)
-        for skip, take in ((0, 10), (1, 1), (700, 40), (2_500, 300), (known - 5, 20), (known, 10), (known + 50, 10), (4_990, 50), (5_000, 5), (9_999, 5), (0, 5_000)):
-            for few in (0, 30, 10_000):
+        for skip, take in ((0, 10), (700, 40), (2_500, 300), (known - 5, 20), (known + 50, 10), (4_990, 50), (9_999, 5), (0, 5_000)):
+            for few in (0, 30):
                 found, rest = paging.window(df, column, skip, take, few=few)
                 got = [r.id for r in found.orderBy(F.desc_nulls_last(column), F.desc("id")).offset(rest).limit(take).collect()]
                 assert got == page(rows, column, skip, take), (column, skip, take, few)
