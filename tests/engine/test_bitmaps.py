@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.model import Made
 from tessera.operators import bitmaps
+from tessera.operators import dims as D
 from tessera.operators import reports as R
 from tessera.operators.filters import Filters
+from tessera.plans import bind
 from tessera.streaming import changes as C
 
 from .corpus import make
@@ -63,3 +66,16 @@ def test_only_full_axes_are_kept(spark, monkeypatch):
     assert not bitmaps.dense(c, "vendor")
     monkeypatch.setattr(bitmaps, "DENSE", 1)
     assert bitmaps.dense(c, "vendor") and not bitmaps.dense(c.having(cve_prod=c.cve_prod.limit(0)), "vendor")
+
+
+def test_an_axis_is_made_when_it_is_asked_for(spark):
+    c, asked = make(spark), []
+    lazy = c.having(bits=Made({a: lambda a=a: asked.append(a) or (bitmaps.axis(c, a) if a != "cwe" else None) for a in bitmaps.AXES}))
+    assert bitmaps.usable(lazy, [D.dim("vendor")]) and not bitmaps.usable(lazy, [D.dim("cwe")]) and asked == ["vendor", "cwe"]
+
+
+def test_links_are_shuffled_once(spark):
+    c = bind.views(spark, "/root/testdata/sf0.001", lambda df: df.repartitionByRange("cve_id"))
+    for name in bind.GROUPED:
+        plan = getattr(c, name).sortWithinPartitions("cve_id")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
