@@ -123,3 +123,12 @@ def test_a_part_of_a_search_asks_for_its_own_tables(spark):
     assert [r.name_key for r in found.unmatched["vendor"].collect()] == ["nobody"] and found.matches is None
     with pytest.raises(AssertionError):
         found.rows  # noqa: B018
+
+
+def test_names_that_nothing_has_read_no_links(spark):
+    def never():
+        raise AssertionError("asked for")
+
+    c = make(spark).having(**{n: never for n in ("cve_text", "cve_prod", "cve_cwe", "cve_ref", "product", "url")})
+    assert matching(c, Filters(vendor=["nobody"])).count() == matching(c, Filters(vendor=["Cisco"], cwe=["CWE-1"], text="web")).count() == 0
+    assert matching(c, Filters(cna=["MITRE"], state="all")).count() == 2
