@@ -114,10 +114,6 @@ def combine(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(salt)))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _LONG = 256
 
@@ -128,15 +124,13 @@ def word_hashes(texts: list[bytes], lower: bool = False, each: int = 300_000) ->
     Words are hashed eight bytes at a time, all words of about ``each`` bytes of text at once;
     ``lower`` lower-cases A-Z."""
     found, counts, at = [], np.zeros(len(texts), np.int64), 0
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(lengths)
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) < each):
-            size += len(texts[end])
-            end += 1
-        raw = np.frombuffer(b"\n".join([b"", *texts[at:end], b" " * 8]), np.uint8)
-        if lower:
-            raw = _LOWER[raw]
-        space = _SPACE[raw]
+        end = max(at + 1, int(np.searchsorted(ends, each + (ends[at - 1] if at else 0))))
+        raw = b"\n".join([b"", *texts[at:end], b" " * 8])
+        raw = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+        space = (raw == 32) | (raw - np.uint8(9) < 5)
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         start, n = edges[::2], edges[1::2] - edges[::2]
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
@@ -149,8 +143,7 @@ def word_hashes(texts: list[bytes], lower: bool = False, each: int = 300_000) ->
         for i in np.flatnonzero(n > _LONG).tolist():
             h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + n[i]].tobytes())
         found.append(h)
-        lengths = np.fromiter((len(t) + 1 for t in texts[at:end]), np.int64, end - at)
-        counts[at:end] = np.diff(np.searchsorted(start, np.r_[1, 1 + np.cumsum(lengths)]))
+        counts[at:end] = np.diff(np.searchsorted(start, np.r_[1, 1 + np.cumsum(lengths[at:end] + 1)]))
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64), counts
 

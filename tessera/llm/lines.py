@@ -28,9 +28,11 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return np.minimum(4095, np.log2(counts + 1) * 100).astype(np.uint16)
 
 
+def _worded(line: bytes) -> bool:
+    return bool(line.strip()) if MIN_WORDS == 1 else len(line.split(None, MIN_WORDS)) >= MIN_WORDS
+
+
 class Block:
     """Lines of a block's documents, in order; equal ones, but those without a word, have the place of the first."""
 
@@ -87,10 +93,20 @@ class Block:
         self.starts = np.r_[0, np.cumsum([len(x) for x in self.lines])].astype(np.int64)
         self.number = docs.column("block")[0].as_py()
         self.flat = [x for part in self.lines for x in part]
-        known: dict[bytes, int] = {}
-        self.first = np.fromiter((known.setdefault(x, i) for i, x in enumerate(self.flat)), np.int64, len(self.flat))
-        # The distinct lines that are compared.
-        self.known = np.fromiter((i for x, i in known.items() if len(x.split(None, MIN_WORDS)) >= MIN_WORDS), np.int64)
+
+    @cached_property
+    def places(self) -> dict[bytes, int]:
+        """Where each distinct line is first."""
+        return dict(zip(reversed(self.flat), range(len(self.flat) - 1, -1, -1), strict=True))
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.fromiter(map(self.places.__getitem__, self.flat), np.int64, len(self.flat))
+
+    @cached_property
+    def known(self) -> np.ndarray:
+        """The distinct lines that are compared."""
+        return np.sort(np.fromiter((i for x, i in self.places.items() if _worded(x)), np.int64))
 
     def docs(self) -> np.ndarray:
         return np.repeat(np.array(self.ids, np.int64), np.diff(self.starts))
@@ -132,16 +148,14 @@ def sets_of(lines: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return key & np.uint64((1 << 52) - 1), starts
 
 
-def _lots(flat: list[bytes], which: np.ndarray):
+def _lots(lines: list[bytes]):
     """Bounds of runs of at most LINES lines of about CHUNK bytes."""
-    at = 0
-    while at < len(which):
-        end, n = at, 0
-        while end < len(which) and end - at < LINES and (end == at or n + len(flat[which[end]]) < CHUNK):
-            n += len(flat[which[end]])
-            end += 1
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    at, before = 0, 0
+    while at < len(lines):
+        end = max(at + 1, min(at + LINES, int(np.searchsorted(ends, before + CHUNK))))
         yield at, end
-        at = end
+        at, before = end, int(ends[end - 1])
 
 
 def pictures(rank: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -155,16 +169,26 @@ def _prefixes(sizes: np.ndarray) -> np.ndarray:
     return sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + 1
 
 
+def _count(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
 def keys_of(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, place) of each entry of the lines in groups."""
     sizes = np.diff(starts)
     many = np.where(sizes > 3, _prefixes(sizes), 1)
-    line = np.repeat(np.arange(len(sizes)), many)
-    place = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
+    line, place = np.repeat(np.arange(len(sizes)), many), _count(many)
     key = rank[starts[line] + place]
-    small = sizes[line] <= 3
-    whole = np.add.reduceat(common.mix(rank), starts[:-1]) if len(rank) else np.zeros(0, np.uint64)
-    key[small] = common.mix(whole[line[small]] + np.uint64(3)) >> np.uint64(12)
+    small = np.flatnonzero(sizes <= 3)  # each has one entry
+    if len(small):
+        # Sums of the words' names, taken from a running sum (wrapping) over the words of these lines only.
+        own = rank[np.repeat(starts[small], sizes[small]) + _count(sizes[small])]
+        ends = np.cumsum(sizes[small])
+        sums = np.r_[np.uint64(0), np.cumsum(common.mix(own))]
+        whole = sums[ends] - sums[ends - sizes[small]]
+        key[(np.cumsum(many) - many)[small]] = common.mix(whole + np.uint64(3)) >> np.uint64(12)
     return line, key, place
 
 
@@ -184,9 +208,9 @@ def _offer(shared, shards: int):
         mine[b.known] = True
         mine[_lines(found["repeats"])] = False
         mine = np.flatnonzero(mine)
-        out = []
-        for lo, hi in _lots(b.flat, mine):
-            rank, starts = sets_of([b.flat[i] for i in mine[lo:hi].tolist()], codes)
+        own, out = [b.flat[i] for i in mine.tolist()], []
+        for lo, hi in _lots(own):
+            rank, starts = sets_of(own[lo:hi], codes)
             line, key, place = keys_of(rank, starts)
             short = lambda x: np.minimum(x, FULL).astype("<u2")
             out.append((key, mine[lo:hi][line].astype("<u4"), short(np.diff(starts)[line]), short(place), pictures(rank, starts)[line]))
@@ -206,27 +230,31 @@ def _may_match(rows: pa.Table) -> pa.Table:
     s = blocks.Shard(rows, key=np.dtype(("u1", 7)), line=np.dtype("<u4"), size=np.dtype("<u2"), place=np.dtype("<u2"), picture=np.dtype(("<u8", 2)))
     keys = common.large(s.key)
     order = np.lexsort((s.size, keys))
-    key, picture = keys[order], s.picture[order]
-    size, place = s.size[order].astype(np.int64), s.place[order].astype(np.int64)
+    key, size = keys[order], s.size[order].astype(np.int64)
+    rest = size - s.place[order]
+    one, other = np.ascontiguousarray(s.picture[order].T)
     n = len(key)
     flagged = np.zeros(n, bool)
     group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if n else np.zeros(0, np.int64)
-    i, d = np.arange(n), 1
+    unflagged = np.bincount(group)
+    # Sizes rise in a group; what is left of a set from its place on bounds the size of the later one, and so where to stop.
+    most = np.where(size >= SIMILARITY * FULL - 1e-9, FULL, (rest + 1e-6) * ((1 + SIMILARITY) / SIMILARITY) - size).astype(np.int64)
+    last = np.searchsorted(group << 16 | size, group << 16 | np.clip(most, 0, FULL), "right") - 1
+    i, d = np.flatnonzero(last > np.arange(n)), 1
     while len(i):
-        i = i[i + d < n]
         j = i + d
-        i = i[(key[i] == key[j]) & (size[i] >= SIMILARITY * size[j] - 1e-9)]  # sizes rise in a group
-        j = i + d
-        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (size[i] + size[j]) - 1e-9)
-        good = np.minimum(size[i] - place[i], size[j] - place[j]) >= need
-        good &= np.bitwise_count(picture[i] ^ picture[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j] - 2 * need
-        good |= size[j] == FULL
-        flagged[i[good]] = True
-        flagged[j[good]] = True
-        if good.any() or d == 1:  # a group of flagged lines only has nothing left to tell
-            open_ = np.bincount(group, ~flagged) > 0
-        i = i[open_[group[i]]]
+        both = size[i] + size[j]
+        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * both - 1e-9).astype(np.int64)
+        fit = np.flatnonzero((rest[j] >= need) | (size[j] == FULL))
+        x, y = i[fit], j[fit]
+        good = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(other[x] ^ other[y]) <= (both - 2 * need)[fit]
+        good |= size[y] == FULL
+        new = np.unique(np.r_[x[good], y[good]])
+        new = new[~flagged[new]]
+        flagged[new] = True
+        np.subtract.at(unflagged, group[new], 1)
         d += 1
+        i = i[(last[i] >= i + d) & (unflagged[group[i]] > 0)]  # a group of flagged lines only has nothing left to tell
     found = np.zeros(n, bool)
     found[order] = flagged
     out = np.zeros(n, _ASKED)
@@ -245,10 +273,12 @@ def _show(shards: int):
         asked = np.frombuffer(b"".join(a["answer"] for a in found["offers"]), _ASKED)
         order, bounds = common.split_by(common.mix(asked["key"]), shards)
         lines, doc, rows = asked["line"].astype(np.int64), b.docs(), []
+        shown, at = np.unique(lines, return_inverse=True)
+        texts = [b" ".join(dict.fromkeys(b.flat[i].lower().split())) for i in shown.tolist()]  # once for all shards
         for s in np.flatnonzero(np.diff(bounds)).tolist():
             o = order[bounds[s] : bounds[s + 1]]
-            own, which = np.unique(lines[o], return_inverse=True)
-            text = b"\n".join([b" ".join(dict.fromkeys(b.flat[i].lower().split())) for i in own.tolist()])
+            own, which = np.unique(at[o], return_inverse=True)
+            text = b"\n".join([texts[k] for k in own.tolist()])
             rows.append((s, b.number, len(o), *map(blocks.pack, (asked["key"][o], doc[lines[o]], asked["line"][o], which.astype("<u4"))), text))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), nothing.schema, strict=True)], schema=nothing.schema) if rows else nothing
 
@@ -256,18 +286,20 @@ def _show(shards: int):
     return run
 
 
+def _pieces(texts: pa.Array, mark: str) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts between the marks, and how many each text has."""
+    parts = pc.split_pattern(texts, mark)
+    return parts.flatten(), pc.list_value_length(parts).to_numpy().astype(np.int64)
+
+
 def _similar(rows: pa.Table) -> pa.Table:
     """Answers with the lines that have an earlier similar one."""
     s = blocks.Shard(rows, key=np.dtype("<u8"), doc=np.dtype("<i8"), line=np.dtype("<u4"), which=np.dtype("<u4"))
-    names: dict[bytes, int] = {}
-    texts = [x.split(b"\n") for x in rows.column("text").to_pylist()]
-    sets = [[names.setdefault(w, len(names)) for w in x.split()] for part in texts for x in part]
-    text = (np.cumsum([0] + [len(x) for x in texts])[:-1])[s.of] + s.which  # the set of each entry
-    del texts
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    texts, each = _pieces(rows.column("text").cast(pa.large_binary()).combine_chunks(), "\n")
+    text = (np.cumsum(each) - each)[s.of] + s.which  # the set of each entry
+    words, sizes = _pieces(texts, " ")
     starts = np.r_[0, np.cumsum(sizes)]
-    words = np.fromiter((w for x in sets for w in x), np.uint64, int(starts[-1]))
-    del sets
+    words = words.dictionary_encode().indices.to_numpy().astype(np.uint64)  # words have numbers by what they are, not by a hash
     order = np.lexsort((s.line, np.array(s.block, np.int64)[s.of], s.doc, s.key))
     key = s.key[order]
     n = len(key)
