@@ -46,3 +46,8 @@ def test_deltas_over_long_keys_are_sound(spark, long_keys):
 def test_the_stream_applies_deltas_over_long_keys(spark, long_keys):
     for name in ("delta_stream_lookups", "delta_stream", "delta_stream_overlay"):
         agree(catalogue.queries()[name](spark, long_keys), catalogue.oracle_sql()[name], long_keys)
+
+
+@pytest.mark.parametrize("name", ["delta_apply_records", "delta_apply_links", "delta_apply_overlay", "closure_missing", "delta_problems", "delta_pairing", "delta_sync"])
+def test_other_deltas_over_long_keys_agree_with_their_sql(spark, long_keys, name):
+    agree(catalogue.queries()[name](spark, long_keys), catalogue.oracle_sql()[name], long_keys)
